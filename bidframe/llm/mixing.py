@@ -60,11 +60,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    # one row per source: as a written table its size is known, so Spark broadcasts it if it is small
     plan = source_targets(sizes, weights, most).withColumn("whole", F.floor(ratio)).select(
         F.col("source").alias("s"), "source_size", "target", "whole",
         (F.col("target") - F.col("whole") * F.col("source_size")).alias("wanted"),
         (ratio - F.col("whole")).alias("p"),
     )
+    plan = materialise(plan, "mix-plan")
     # the rank as a number in [0, 1): x / (1 + x) of the ranking quotient x keeps its order
     u = unit_hash("doc_id", seed=seed)
     rank = F.when(F.col("p") > 0, u * (1 - F.col("p")) / (u * (1 - F.col("p")) + (1 - u) * F.col("p"))).otherwise(u)
@@ -77,6 +79,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     cut = bins.filter((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("bin_size") < F.col("wanted"))).select(
         F.col("source").alias("s"), F.col("bin").alias("cut"), (F.col("upto") - F.col("bin_size")).alias("before")
     )
+    cut = materialise(cut, "mix-cuts")
     placed = ranked.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     inside = placed.filter(F.col("bin") == F.col("cut"))
     run = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
