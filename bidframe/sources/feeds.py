@@ -117,7 +117,8 @@ def rss_items(spark: SparkSession, path: str) -> DataFrame:
 
 def bid_news(items: DataFrame) -> DataFrame:
     """Items whose title or summary has a bid word, with the reference they name and their time."""
-    stamp = F.coalesce(F.try_to_timestamp("published", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("published"))
+    bare = F.regexp_replace("published", "^[A-Za-z]{3}, ", "")
+    stamp = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("Z", "z")], F.try_to_timestamp("published"))
     rows = items.filter(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))).rlike(BID_WORDS))
     return rows.withColumn("published_at", stamp).withColumn("regulator_ref", rss_key(F.col("title"), F.col("link"), F.col("summary")))
 
