@@ -1,4 +1,4 @@
 """Registered queries: operators applied to stand-in tables, each with its SQL."""
 
-from bidframe.plans import decisions, ingest, pricing, quality, text, views  # noqa: F401
+from bidframe.plans import decisions, ingest, models, pricing, quality, text, views  # noqa: F401
 from bidframe.plans.registry import ORACLE, QUERIES  # noqa: F401
