@@ -13,6 +13,7 @@ and plane lengths, and for each document its id and number of ids.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -33,60 +34,60 @@ MAGIC = b"BPZ1"
 BLOCK_IDS = 1 << 16
 #: Bytes of text in one file, roughly; a file is written and read by one task.
 FILE_BYTES = 16 << 20
-#: Pieces of text whose ids a task remembers.
-CACHE_PIECES = 500_000
+#: Pieces of text whose ids a Python worker remembers, about 200 bytes each.
+CACHE_PIECES = 1_000_000
 
 
 class PieceEncoder:
     """Encodes texts with a tokenizer, once for each distinct piece.
 
     The tokenizer's own pattern never joins a single space or line feed to the visible character before it, so a text
-    may be cut in front of these; pieces are encoded by the tokenizer as they stand and their ids remembered. A text
-    with other or adjacent white space, or with it at either end, is encoded whole.
+    may be cut in front of these; each piece, with the space or line feed it begins with, is encoded by the tokenizer
+    as it stands, and its ids are remembered as bytes. A text with other or adjacent white space, or with it at
+    either end, is encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.odd = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f\x85]")
-        self.bare: dict[str, list[int]] = {}
-        self.spaced: dict[str, list[int]] = {}
-        self.line = self.whole("\n")
+        self.known: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, pieces: list[str], known: dict[str, list[int]], lead: str) -> None:
-        got = self.tokenizer.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False)
-        known.update(zip(pieces, [e.ids for e in got]))
-
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
         if not text:
-            return []
+            return b""
         if self.odd.search(text):
             return self.whole(text)
-        lines = [line.split(" ") for line in text.split("\n")]
-        bare = {line[0] for line in lines}
-        spaced = {p for line in lines for p in line[1:]}
-        new_bare, new_spaced = bare - self.bare.keys(), spaced - self.spaced.keys()
-        if len(self.bare) + len(self.spaced) + len(new_bare) + len(new_spaced) > CACHE_PIECES:
-            self.bare.clear()
-            self.spaced.clear()
-            new_bare, new_spaced = bare, spaced
-        if new_bare:
-            self.learn(list(new_bare), self.bare, "")
-        if new_spaced:
-            self.learn(list(new_spaced), self.spaced, " ")
-        out: list[int] = []
-        known = self.spaced
-        for k, line in enumerate(lines):
-            if k:
-                out += self.line
-            out += self.bare[line[0]]
-            for p in line[1:]:
-                out += known[p]
-        return out
+        first, *pieces = text.replace("\n", " \n").split(" ")
+        known = self.known
+        try:
+            rest = b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            new = [p for p in set(pieces) if p not in known]
+            got = self.tokenizer.encode_batch_fast([p if p[0] == "\n" else " " + p for p in new], add_special_tokens=False)
+            learnt = dict(zip(new, [np.array(e.ids, dtype="<u4").tobytes() for e in got]))
+            if len(known) + len(learnt) <= CACHE_PIECES:  # the pieces met first are the common ones; once full, they stay
+                known.update(learnt)
+                rest = b"".join(map(known.__getitem__, pieces))
+            else:
+                rest = b"".join([known.get(p) or learnt[p] for p in pieces])
+        return self.whole(first) + rest
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """One encoder per Python worker, which keeps what it has learnt from task to task."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def to_planes(ids: np.ndarray, planes: str) -> list[bytes]:
@@ -197,18 +198,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    end = end_id.to_bytes(4, "little")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, encoder, fs, name, part = None, None, None, None, TaskContext.get().partitionId()
+        writer, fs, name, part = None, None, None, TaskContext.get().partitionId()
         for batch in batches:
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if writer is None:
-                    encoder = PieceEncoder(tokenizer)
+                    encode = encoder(tokenizer).encode
                     fs, base = pafs.FileSystem.from_uri(path)
                     fs.create_dir(base, recursive=True)
                     name = f"{base}/part-{part:06d}.bpz"
                     draft = f"{base}/.{uuid.uuid4().hex}.tmp"
                     writer = PlaneWriter(fs.open_output_stream(draft), planes)
-                writer.add(doc_id, np.array([*encoder.encode(body), end_id], dtype=np.uint32))
+                writer.add(doc_id, np.frombuffer(encode(body) + end, dtype="<u4"))
         if writer is not None:
             writer.close()
             fs.move(draft, name)
