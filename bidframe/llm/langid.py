@@ -22,7 +22,7 @@ LONGEST_GRAM = 5
 #: Added to every count.
 SMOOTH = 0.5
 #: Unseen words whose scores a task remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 UNKNOWN = "und"
 
 _letters = re.compile(r"[^\W\d_]+")
@@ -50,37 +50,70 @@ class BackoffModel:
         """counts: (lang, 0 for a word or n for an n-gram, string, count)."""
         self.langs = sorted({lang for lang, *_ in counts})
         at = {lang: k for k, lang in enumerate(self.langs)}
-        tables: dict[int, dict[str, np.ndarray]] = {}
+        self.rows: dict[int, dict[str, int]] = {}
+        for _, kind, string, _ in counts:
+            known = self.rows.setdefault(kind, {})
+            known.setdefault(string, len(known))
+        self.logs: dict[int, np.ndarray] = {}
+        tables = {kind: np.zeros((len(known), len(at))) for kind, known in self.rows.items()}
         for lang, kind, string, n in counts:
-            tables.setdefault(kind, {}).setdefault(string, np.zeros(len(self.langs)))[at[lang]] += n
-        self.logs: dict[int, dict[str, np.ndarray]] = {}
+            tables[kind][self.rows[kind][string], at[lang]] += n
         for kind, table in tables.items():
-            total = np.sum(list(table.values()), axis=0) + SMOOTH * (len(table) + 1)
-            self.logs[kind] = {s: np.log((c + SMOOTH) / total) for s, c in table.items()}
-        self.words = self.logs.get(0, {})
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def back_off(self, word: str) -> np.ndarray:
-        got = self.unseen.get(word)
-        if got is None:
-            got = np.zeros(len(self.langs))
-            for n in range(LONGEST_GRAM, 0, -1):
-                known = [x for g in grams_of(word, n) if (x := self.logs.get(n, {}).get(g)) is not None]
-                if known:
-                    got = np.mean(known, axis=0)
-                    break
-            if len(self.unseen) >= CACHE_WORDS:
-                self.unseen.clear()
-            self.unseen[word] = got
-        return got
+            self.logs[kind] = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * (len(table) + 1)))
+        # rows of `scores`: 0 for what isn't a word, 1 for words without any known character, then known and remembered words
+        words = self.logs.get(0, np.zeros((0, len(at))))
+        self.places = {w: k + 2 for w, k in self.rows.get(0, {}).items()}
+        self.scores = np.concatenate((np.zeros((2, len(at))), words))
+        self.filled = len(self.scores)
+
+    def back_off(self, word: str) -> np.ndarray | None:
+        for n in range(LONGEST_GRAM, 0, -1):
+            rows = self.rows.get(n, {})
+            known = [k for g in grams_of(word, n) if (k := rows.get(g)) is not None]
+            if known:
+                return self.logs[n][known].mean(axis=0)
+        return None
+
+    def learn(self, words: list[str]) -> list[str]:
+        """Remember the scores of unseen words; returns the words for which there is no more room."""
+        new, over = [], []
+        room = len(self.rows.get(0, {})) + CACHE_WORDS - len(self.places)
+        for w in words:
+            if len(new) >= room:
+                over.append(w)
+                continue
+            found = self.back_off(w) if w.isalpha() else None
+            if found is None:
+                self.places[w] = 1 if w.isalpha() else 0
+                room -= 1
+            else:
+                self.places[w] = self.filled + len(new)
+                new.append(found)
+        if new:
+            if self.filled + len(new) > len(self.scores):
+                grown = np.zeros((max(2 * len(self.scores), self.filled + len(new)), len(self.langs)))
+                grown[: self.filled] = self.scores[: self.filled]
+                self.scores = grown
+            self.scores[self.filled : self.filled + len(new)] = new
+            self.filled += len(new)
+        return over
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the likelihood; ties go to the first by code point."""
-        words = Counter(words_of(text)) if text else None
+        words = Counter(_letters.findall(text.lower())) if text else None
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        rows = [x if (x := self.words.get(w)) is not None else self.back_off(w) for w in words]
-        total = np.fromiter(words.values(), float, len(words)) @ np.array(rows)
+        places = self.places
+        over = self.learn([w for w in words if w not in places])
+        rows = np.fromiter([places.get(w, 0) for w in words], np.int64, len(words))
+        total = np.fromiter(words.values(), float, len(words)) @ self.scores[rows]
+        letters = bool(rows.any())
+        for w in over:
+            if w.isalpha():
+                letters = True
+                total = total + words[w] * (found if (found := self.back_off(w)) is not None else 0.0)
+        if not letters:
+            return UNKNOWN, 0.0
         best = int(np.argmax(total))
         return self.langs[best], 1.0 / float(np.exp(np.clip(total - total[best], -700, 0)).sum())
 
