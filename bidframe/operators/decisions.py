@@ -124,3 +124,23 @@ def daily_cycle(decisions: DataFrame, cooldown_min: int = 60, ramp_up: int = 10)
 
     folded = days.filter("NOT halted").withColumn("out", F.aggregate("rows", start, step, lambda s: s["out"]))
     return folded.select("run_day", F.posexplode("out").alias("pos", "o")).select("run_day", "pos", "o.deal_id", "o.outcome")
+
+
+def fresh_pool(deals: DataFrame, scores: DataFrame, closes: DataFrame, since, least_stars: int = 3) -> DataFrame:
+    """Fresh unlabelled deals with the reason why each is out, or its premium over the close of the business day before and the decision.
+
+    Reasons in order: not_home_venue, no_offer, not_scored, low_stars, no_close, premium_out_of_bounds; else decided.
+    """
+    from bidframe.operators.pricing import asof_close, premium, prev_business_day
+    from bidframe.operators.views import latest_score
+
+    fresh = deals.filter((F.col("announcement_date") >= F.lit(since)) & F.col("completion_label").isNull())
+    last = latest_score(scores).select("deal_id", "p_completion", "score_stars")
+    rows = fresh.join(last, fresh.id == last.deal_id, "left").drop("deal_id")
+    asked = rows.select("ticker", prev_business_day(F.col("announcement_date")).alias("d"), "id", "offer_price", "ticker_resolution_flag", "p_completion", "score_stars")
+    got = asof_close(asked, closes).withColumn("premium", premium(F.col("offer_price"), F.col("close")))
+    reason = (
+        F.when(~F.col("ticker_resolution_flag").eqNullSafe("home_venue"), "not_home_venue").when(F.col("offer_price").isNull(), "no_offer").when(F.col("score_stars").isNull(), "not_scored")
+        .when(F.col("score_stars") < least_stars, "low_stars").when(F.col("close").isNull(), "no_close").when(F.col("premium").isNull(), "premium_out_of_bounds").otherwise("decided")
+    )
+    return got.select("id", reason.alias("reason"), "premium", F.when(reason == "decided", call(F.col("p_completion"))).alias("decision"))

@@ -111,3 +111,33 @@ def days_open(deals: DataFrame, today) -> DataFrame:
         .when(F.col("past_close") > 90, "likely 1 if no failure news").when(F.col("past_close") >= 0, "verify").otherwise("likely pending NULL")
     )
     return rows.withColumn("label_guess", guess)
+
+
+def populate_consideration(deals: DataFrame, texts: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(consideration rows, rejects) of ``suspect_mixed`` deals (id) from their texts (id, text): cash and share legs with the acquirer looked up in a hand-made registry. No text, no share clause and an unknown acquirer are rejects with a reason."""
+    from bidframe.functions.filings import de_consideration
+    from bidframe.functions.names import registry_match
+
+    rows = deals.filter("offer_price_quality_flag = 'suspect_mixed'").select(F.col("id").alias("deal_id")).join(texts.withColumnRenamed("id", "deal_id"), "deal_id", "left").withColumn("c", de_consideration(F.col("text")))
+    rows = registry_match(rows.withColumn("acquirer_name", F.col("c.acquirer")), registry)
+    reason = F.when(F.col("text").isNull(), "no_text").when(F.col("c").isNull(), "no_share_clause").when(F.col("acquirer_ticker").isNull(), "unknown_acquirer")
+    rows = rows.withColumn("reason", reason)
+    good = rows.filter("reason IS NULL").select("deal_id", "c.cash_eur", "c.share_ratio", "acquirer_isin", "acquirer_ticker", F.col("c.excerpt").alias("source_clause_excerpt"))
+    return good, rows.filter("reason IS NOT NULL").select("deal_id", "reason")
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """One row per key, the first by ``order``."""
+    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def dominant_key(df: DataFrame, group: str, key: str, pos: str) -> DataFrame:
+    """The most frequent key of each group; of equally frequent ones the one seen first."""
+    n = df.groupBy(group, key).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
+    return n.groupBy(group).agg(F.max_by(key, F.struct("n", -F.col("first"))).alias(key))
+
+
+def top_corrections(df: DataFrame, old: str, new: str, n: int = 20, key: str = "id") -> DataFrame:
+    """The corrections with the largest change in percent of the old price."""
+    pct = F.try_divide(F.col(new) - F.col(old), F.col(old)) * 100
+    return df.withColumn("delta_pct", F.round(pct.cast("double"), 4)).filter("delta_pct IS NOT NULL").orderBy(F.desc(F.abs("delta_pct")), key).limit(n)

@@ -68,7 +68,7 @@ class ScoringModel:
         stages = [
             StringIndexer(inputCols=CATEGORICAL, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=index, outputCols=[f"o_{c}" for c in CATEGORICAL], dropLast=True),
             VectorAssembler(inputCols=[f"z_{c}" for c in self.numeric] + [f"o_{c}" for c in CATEGORICAL] + BOOLEAN, outputCol="features"),
-            LogisticRegression(labelCol="label", weightCol="weight", elasticNetParam=0.5, regParam=1.0 / n, standardization=False, maxIter=200, tol=1e-8),
+            LogisticRegression(labelCol="label", weightCol="weight", elasticNetParam=0.5, regParam=1.0 / n, standardization=False, maxIter=60, tol=1e-6),
         ]
         return Pipeline(stages=stages).fit(df.withColumn("label", F.col("label").cast("double")).withColumn("weight", weight))
 
@@ -198,3 +198,12 @@ def coefficient_stability(rows: DataFrame, steps: int = 3) -> DataFrame:
     g = found.groupBy("feature").agg(F.min("coefficient").alias("low"), F.max("coefficient").alias("high"), F.count_if(F.abs("coefficient") < 1e-9).alias("zeroed"), F.count("*").alias("steps"))
     verdict = F.when(F.col("zeroed") == F.col("steps"), "dropped").when(F.signum("low") * F.signum("high") < 0, "unstable").otherwise("stable")
     return g.withColumn("verdict", verdict)
+
+
+def version_record(model: ScoringModel, rows: DataFrame, report: DataFrame, corrected: DataFrame) -> DataFrame:
+    """One row on a model: in-sample metrics on all labelled clusters, pooled cross-validation metrics, and how many labelled clusters the corrected targets (target_name) touch."""
+    labelled = flatten(rows).filter("label IS NOT NULL")
+    own = metrics(model.predict(labelled).withColumn("k", F.lit(1)), "p", "label", ["k"]).select("k", F.col("n").alias("n_labelled"), F.col("auc").alias("auc_in_sample"), F.col("brier").alias("brier_in_sample"))
+    held = report.filter("fold = 0").select(F.lit(1).alias("k"), *[F.col(c).alias(f"{c}_cv") for c in ("auc", "brier") if c in report.columns])
+    touched = labelled.join(corrected.select("target_name").distinct(), "target_name", "left_semi").agg(F.count("*").alias("n_touched")).withColumn("k", F.lit(1))
+    return own.join(held, "k", "left").join(touched, "k").drop("k").withColumn("version", F.lit(model.info["version"]))
