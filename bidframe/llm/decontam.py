@@ -160,7 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     of_item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"))
     sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("windows"))
     met = found.select(F.col("id").alias("doc_id"), "at", "window", "slots").join(of_item, "window")
-    met = met.withColumn("shift", F.col("at") - F.col("item_at"))
+    met = materialise(met.withColumn("shift", F.col("at") - F.col("item_at")), "met-windows")
     pairs = met.select("doc_id", "item_id", "shift", "item_at", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("slot"))
     place = ["doc_id", "item_id", "shift"]
     bound = pairs.filter("slot IS NOT NULL").select(*place, F.col("slot.item_slots").alias("said"), F.col("slot.slots").alias("says")).distinct()
