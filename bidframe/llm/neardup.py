@@ -16,6 +16,11 @@ from bidframe.llm.words import mix, shingle_sets, split_words, text_blocks
 PERMUTATIONS = 64
 #: Signature values that must all agree in a band.
 BAND_ROWS = 4
+#: Classes outside a bucket's largest component from which they are compared in blocks instead of pair by pair.
+MOST_OUTSIDE = 4
+#: Classes, and shingles of these, in a block, about.
+BLOCK_CLASSES = 1024
+BLOCK_SHINGLES = 400_000
 
 
 def min_max_signatures(values: np.ndarray, starts: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -77,6 +82,44 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(values, starts)], names=["doc", "shingles"])
 
 
+def common_counts(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of ``one`` with each of ``other``: a product of 0/1 matrices over the values that occur on both sides, some thousand values at a time."""
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, other))
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, other))
+    shared = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    total = np.zeros((len(one), len(other)), dtype=np.float32)
+    if not len(shared):
+        return total
+    at_a, at_b = np.searchsorted(shared, a), np.searchsorted(shared, b)
+    hit_a, hit_b = (shared[np.minimum(at, len(shared) - 1)] == x for at, x in ((at_a, a), (at_b, b)))
+    at_a, row_a, at_b, row_b = at_a[hit_a], row_a[hit_a], at_b[hit_b], row_b[hit_b]
+    for low in range(0, len(shared), 4096):
+        left, right = (np.zeros((n, 4096), dtype=np.float32) for n in (len(one), len(other)))
+        for grid, at, row in ((left, at_a, row_a), (right, at_b, row_b)):
+            part = (at >= low) & (at < low + 4096)
+            grid[row[part], at[part] - low] = 1
+        total += left @ right.T
+    return total
+
+
+def _compare_blocks(least: int, of: int):
+    """Links (a, b) between two blocks of (rep, component, shingles) whose components differ."""
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(one) and len(other):
+            sets = [[np.array(x, dtype=np.int64) for x in t.column("shingles").to_pylist()] for t in (one, other)]
+            sizes = [np.array([len(x) for x in s], dtype=np.int64) for s in sets]
+            both = common_counts(*sets).astype(np.int64)
+            (rep_a, part_a), (rep_b, part_b) = ([t.column(c).to_numpy() for c in ("rep", "component")] for t in (one, other))
+            union = sizes[0][:, None] + sizes[1][None, :] - both
+            k, m = np.nonzero((both * of >= union * least) & (part_a[:, None] != part_b[None, :]))
+            out_a, out_b = [np.minimum(rep_a[k], rep_b[m])], [np.maximum(rep_a[k], rep_b[m])]
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return run
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``; a component is named by its smallest node.
 
@@ -108,6 +151,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return found
 
 
+def merge_links(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after ``links(a, b)`` were added; only the ends' components are joined again."""
+    if parts is None:
+        return connected_components(links)
+    end_a, end_b = (parts.select(F.col("node").alias(x), F.col("component").alias("part_" + x)) for x in "ab")
+    new = materialise(links.join(end_a, "a", "left").join(end_b, "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")), "new-links")
+    final = connected_components(new).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    # a component without an entry of its own is a node that had no link so far
+    alone = new.select(F.col("a").alias("node")).union(new.select("b")).distinct().select("node", F.col("node").alias("component"))
+    known = parts.unionByName(alone.join(parts.select("node"), "node", "left_anti"))
+    return materialise(known.join(final, "component", "left").select("node", F.coalesce("final", "component").alias("component")), "groups")
+
+
+def _open_buckets(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with their component, the bucket's largest one, and how many rows are outside of that."""
+    placed = members.drop("component", "main", "outside").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    per = placed.groupBy("bucket", "component").agg(F.count("*").alias("held"))
+    size = F.struct("held", "component")
+    main = per.groupBy("bucket").agg(F.max(size).alias("top"), F.sum("held").alias("all")).filter("all > top.held").select("bucket", F.col("top.component").alias("main"), (F.col("all") - F.col("top.held")).alias("outside"))
+    return placed.join(main, "bucket")
+
+
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), text: str = "text") -> DataFrame:
     """Groups of documents whose sets of 5-word shingles have a Jaccard similarity of 75/100 or more.
 
@@ -115,10 +180,13 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), te
        permutations give 128 values in 32 bands of 4. A pair at similarity 0.75 misses every band about once in
        200,000 times, and one link more in its group makes up for it.
     2. Documents with equal sets become one class, named by the smallest doc_id; only classes go on.
-    3. In each band bucket the smallest class is compared with the others, on full sets. Links make components.
-    4. In buckets that hold more than one component, the classes outside the bucket's largest component are compared
-       with all classes of other components. So every pair that shares a bucket is either compared or already
-       connected, while a group of m near copies costs m comparisons, not m * m.
+    3. In each band bucket the class that shares most buckets with others is compared with all, on full sets, and
+       links make components. Then the one of these among the classes outside of a bucket's largest component is
+       compared with the others outside. So a group of m near copies costs about m comparisons, not m * m.
+    4. What is still outside is compared with all classes of other components in its bucket: pair by pair where that
+       is a few classes; else, as in a crowd of texts that are alike but not alike enough, in blocks of bounded size,
+       each pair of blocks in a task that counts common shingles as a matrix product and returns only links. So every
+       pair that shares a bucket is either compared or already connected.
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. Rows that repeat a
     doc_id count as one document; a null doc_id gets a null component. An empty table gives an empty result. Other
@@ -129,15 +197,15 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), te
     signs = materialise(texts.mapInArrow(_signature_batches, "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"), "signatures")
     keys = ["n_shingles", "print1", "print2"]
     full = signs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = full.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
     heads = full.join(classes, keys).filter("doc_id = rep").dropDuplicates(["rep"])
     bands = materialise(heads.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "bands")
-    shared = bands.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("held")).filter("held > 1").select("bucket", "hub")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
     members = materialise(bands.join(shared, "bucket"), "members")
-
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    weights = members.groupBy("rep").agg(F.sum("held").alias("weight"))
+    members = materialise(members.join(weights, "rep").select("bucket", "rep", "n", "weight"), "weighted-members")
     sets = materialise(
-        texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_batches, "doc long, shingles array<long>"), "sets"
+        texts.join(weights.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_batches, "doc long, shingles array<long>"), "sets"
     )
 
     def close(n, m):
@@ -151,34 +219,45 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), te
         union = F.size("of_a") + F.size("of_b") - both
         return pairs.join(one, "b").join(other, "a").filter(both * of >= union * least).select("a", "b")
 
-    stars = members.filter((F.col("rep") != F.col("hub.rep")) & close(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialise(linked(stars), "links")
-    parts = connected_components(links)
+    def stars(rows: DataFrame, hub, outer) -> DataFrame:
+        """Pairs of each bucket's hub, an aggregate (rep, n), and the rows for which ``outer`` holds."""
+        hubs = rows.groupBy("bucket").agg(hub.alias("hub"))
+        return rows.filter(outer).join(hubs, "bucket").filter((F.col("rep") != F.col("hub.rep")) & close(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
-    placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    per = placed.groupBy("bucket", "component").agg(F.count("*").alias("held"))
-    main = per.groupBy("bucket").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
-    open_rows = placed.join(main, "bucket").filter("rep <> hub.rep").select("bucket", "rep", "n", "component", "main")
-    outside = open_rows.filter("component <> main").select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_part"))
-    inside = open_rows.select("bucket", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_part"))
-    crossing = outside.join(inside, "bucket").filter((F.col("x_part") != F.col("y_part")) & close(F.col("x_n"), F.col("y_n")))
-    more = linked(crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    # both ends of a new link are named by their components, so only those have to be joined again
-    name = parts.select("node", "component")
-    new = materialise(
-        more.join(name.select(F.col("node").alias("a"), F.col("component").alias("part_a")), "a", "left")
-        .join(name.select(F.col("node").alias("b"), F.col("component").alias("part_b")), "b", "left")
-        .select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")),
-        "crossing-links",
-    )
-    groups = parts
-    if not new.isEmpty():
-        merged = connected_components(new).select(F.col("node").alias("component"), F.col("component").alias("final"))
-        named = parts.select("component").union(new.select("a")).union(new.select("b")).distinct()
-        old = parts.unionByName(named.select(F.col("component").alias("node"), "component")).dropDuplicates(["node"])
-        groups = materialise(old.join(merged, "component", "left").select("node", F.coalesce("final", "component").alias("component")), "groups")
-
-    by_class = classes.select(*keys, "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
+    node = F.struct("rep", "n")
+    heaviest = F.struct("weight", "rep")
+    parts = merge_links(None, materialise(linked(stars(members, F.max_by(node, heaviest), F.lit(True))), "links"))
+    members = materialise(_open_buckets(members, parts), "open-members")
+    apart = F.col("component") != F.col("main")
+    again = materialise(linked(stars(members, F.max_by(node, F.when(apart, heaviest)), apart)), "links")
+    if not again.isEmpty():
+        parts = merge_links(parts, again)
+        members = materialise(_open_buckets(members, parts), "open-members")
+
+    few = members.filter(F.col("outside") <= MOST_OUTSIDE)
+    outside = few.filter(apart).select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_part"))
+    inside = few.select("bucket", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_part"), (~apart).alias("y_main"))
+    pair = (F.col("x_part") != F.col("y_part")) & (F.col("y_main") | (F.col("x") < F.col("y"))) & close(F.col("x_n"), F.col("y_n"))
+    crossing = outside.join(inside, "bucket").filter(pair).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    # buckets with many classes outside, taken together if they have the same largest component
+    many = materialise(members.filter(F.col("outside") > MOST_OUTSIDE).select("main", "rep", "n", "component").distinct(), "crowds")
+    blocks = lambda rows, volume: F.greatest(F.ceil(rows / BLOCK_CLASSES), F.ceil(volume / BLOCK_SHINGLES)).cast("int")
+    sizes = many.groupBy("main").agg(
+        blocks(F.count("*"), F.sum("n")).alias("n_all"), blocks(F.count_if(apart), F.sum(F.when(apart, F.col("n")).otherwise(0))).alias("n_out")
+    )
+    rows = many.join(sizes, "main").join(sets.withColumnRenamed("doc", "rep"), "rep")
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    grid = ["main", "out_block", "all_block"]
+    left = rows.filter(apart).select("main", place(F.col("n_out")).alias("out_block"), every(F.col("n_all")).alias("all_block"), "rep", "component", "shingles")
+    right = rows.select("main", every(F.col("n_out")).alias("out_block"), place(F.col("n_all")).alias("all_block"), "rep", "component", "shingles")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, for the cogroup
+    crowded = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(_compare_blocks(least, of), "a long, b long")
+    more = materialise(linked(crossing).unionByName(crowded).distinct(), "links")
+    groups = parts if more.isEmpty() else merge_links(parts, more)
+
+    by_class = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
     return signs.select("doc_id", *keys).join(by_class, keys, "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
