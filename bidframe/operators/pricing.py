@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -179,7 +180,6 @@ def identity_check(pairs: DataFrame, stop: list[str]) -> DataFrame:
 
 def exact_identity_ratio():
     """Pandas UDF: the matching-blocks ratio of two strings, exactly."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -54,6 +54,7 @@ def coefficient_stability(spark, d):
 def _landed(spark, d, name: str):
     """A table written as landed files, and its schema."""
     rows = table(spark, d, name)
+    rows = rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})  # event time has a zone
     path = _shared(spark, name)
     rows.write.parquet(path)
     return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)

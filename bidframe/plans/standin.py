@@ -72,7 +72,7 @@ _TABLES = {
 #: The stand-in tables in the oracle's SQL.
 SQL = {name: f"SELECT {', '.join(cols)} FROM {base}" + (f" WHERE {where}" if where else "") for name, (base, cols, where) in _TABLES.items()}
 SQL["scores"] = (
-    "SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_orderkey AS deal_id, l_shipdate AS ts, CAST(l_discount * 10 AS DECIMAL(6,5)) AS p_completion, "
+    "SELECT (l_orderkey * 8 + l_linenumber) * 100000000 + CAST(floor(l_extendedprice * 100) AS BIGINT) AS id, l_orderkey AS deal_id, l_shipdate AS ts, CAST(l_discount * 10 AS DECIMAL(6,5)) AS p_completion, "
     "CAST(1 + (l_partkey % 5) AS INT) AS score_stars, CASE WHEN l_linenumber % 2 = 0 THEN 'v2' ELSE 'v1' END AS model_version, "
     "concat('{\"acquirer_type\":\"', CASE WHEN l_returnflag = 'R' THEN 'pe' WHEN l_returnflag = 'A' THEN 'soe' ELSE 'family' END, '\"}') AS features FROM lineitem"
 )
@@ -87,7 +87,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in table, or one of the given ones."""
     if name == "scores":
         return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
-            "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id", "l_orderkey AS deal_id", "l_shipdate AS ts", "CAST(l_discount * 10 AS DECIMAL(6,5)) AS p_completion",
+            "(l_orderkey * 8 + l_linenumber) * 100000000 + CAST(floor(l_extendedprice * 100) AS BIGINT) AS id", "l_orderkey AS deal_id", "l_shipdate AS ts", "CAST(l_discount * 10 AS DECIMAL(6,5)) AS p_completion",
             "CAST(1 + (l_partkey % 5) AS INT) AS score_stars", "CASE WHEN l_linenumber % 2 = 0 THEN 'v2' ELSE 'v1' END AS model_version",
             "concat('{\"acquirer_type\":\"', CASE WHEN l_returnflag = 'R' THEN 'pe' WHEN l_returnflag = 'A' THEN 'soe' ELSE 'family' END, '\"}') AS features",
         )
