@@ -74,7 +74,7 @@ class ScoringModel:
 
     def fit(self, rows: DataFrame, version: str = "v1") -> ScoringModel:
         """Refuses to fit on fewer than 20 labelled rows or one class."""
-        rows = rows.filter("label IS NOT NULL")
+        rows = rows.filter("label IS NOT NULL").cache()  # labelled clusters, read by every fit below
         n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
         if n < LEAST_LABELS or pos in (0, n):
             raise ValueError(f"{n} labelled rows, {pos} of them positive: too few to fit on")
@@ -87,6 +87,7 @@ class ScoringModel:
             held = self._margin(base, ready.filter(F.col("fold") == k)).withColumn("label", F.col("label").cast("double"))
             self.calibrated.append((base, IsotonicRegression(featuresCol="margin", labelCol="label").fit(held)))
         ready.unpersist()
+        rows.unpersist()
         self.info = {"version": version, "n": n, "positive": int(pos)}
         return self
 
@@ -188,7 +189,7 @@ def validation_text(report: DataFrame) -> str:
 
 def coefficient_stability(rows: DataFrame, steps: int = 3) -> DataFrame:
     """Coefficients of models fitted on ever longer pasts: spread, times zeroed and a verdict per feature."""
-    days = flatten(rows).filter("label IS NOT NULL")
+    days = flatten(rows).filter("label IS NOT NULL").cache()
     cuts = [r[0] for r in [days.agg(F.percentile(F.unix_date("earliest_announcement"), (k + 1) / steps)).first() for k in range(steps)]]
     found = None
     for k, cut in enumerate(cuts):
