@@ -8,15 +8,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidframe.llm.common import materialise
 
-#: Words on either side of a protected entity that count as occurring with it.
-REACH = 5
-#: Documents in which a term must occur with an entity before its disclosure is judged.
-LEAST_TOGETHER = 3
+#: Normal quantile of the confidence bound on how often a term's documents hold an entity; it stands for 95 %.
+CONFIDENCE = 1.96
 #: Share of an entity's information that a term may give away; beyond it, the term is generalised or removed.
 DISCLOSURE = 0.5
 KINDS = ("email", "ip", "card", "phone")
@@ -67,56 +65,65 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def terms_near(text: str, spans: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within ``reach`` words of each span and outside all spans. Words are looked for in 40 characters a word, and in the rest of a word that begins there."""
-    out = []
-    width = 40 * reach
-    for s, e, kind in spans:
-        entity = f"{kind}:{text[s:e].lower()}"
-        low, high = max(0, s - width), min(len(text), e + width)
-        while low > 0 and text[low - 1].isalpha():
-            low -= 1
-        while high < len(text) and text[high].isalpha():
-            high += 1
-        around = [*list(_term.finditer(text, low, s))[-reach:], *list(_term.finditer(text, e, high))[:reach]]
-        out += [(entity, m[0].lower(), *m.span()) for m in around if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+def entity_of(text: str, span: tuple[int, int, str]) -> str:
+    return f"{span[2]}:{text[span[0] : span[1]].lower()}"
+
+
+def terms_outside(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the text's terms that touch no span."""
+    out, covered, k = [], [], 0
+    for s, e, _ in sorted(spans):
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    for m in _term.finditer(text):
+        while k < len(covered) and covered[k][1] <= m.start():
+            k += 1
+        if k == len(covered) or m.end() <= covered[k][0]:
+            out.append((m[0].lower(), *m.span()))
     return out
 
 
-_FOUND = "doc_id long, print long, base array<struct<start:int,end:int,kind:string>>, near array<struct<entity:string,term:string,start:int,end:int>>"
+def terms_near(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, int, int]]:
+    """(entity, term, start, end) of every entity of the text with every term outside all spans."""
+    terms = terms_outside(text, spans) if spans else []
+    return [(entity_of(text, span), *t) for span in spans for t in terms]
+
+
+_FOUND = "doc_id long, print long, base array<struct<start:int,end:int,kind:string>>, entities array<string>, terms array<struct<term:string,start:int,end:int>>"
 
 
-def base_findings(docs: DataFrame, reach: int = REACH, text: str = "text") -> DataFrame:
-    """doc_id, print (a hash of the text), base spans and the terms near them, of every document."""
+def base_findings(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, print (a hash of the text), base spans, the distinct entities in them and, of texts that have any, the terms outside of them, of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, near = [], []
+            base, entities, terms = [], [], []
             for body in batch.column(2).to_pylist():
                 spans = base_spans(body)
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
-                near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in sorted(set(terms_near(body, spans, reach)))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, _SPANS), pa.array(near, _NEAR)], names=["doc_id", "print", "base", "near"])
+                entities.append(sorted({entity_of(body, x) for x in spans}))
+                terms.append([dict(zip(("term", "start", "end"), x)) for x in terms_outside(body, spans)] if spans else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(base, _SPANS), pa.array(entities, pa.list_(pa.string())), pa.array(terms, _TERMS)], names=["doc_id", "print", "base", "entities", "terms"]
+            )
 
     return rows.mapInArrow(find, _FOUND)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_TERMS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def disclosing_terms(docs: DataFrame, findings: DataFrame, least: int = LEAST_TOGETHER, disclosure: float = DISCLOSURE, text: str = "text") -> DataFrame:
-    """(entity, term, together, share): terms that reveal a protected entity beyond the threshold.
-
-    Over all documents, an entity's information is -log2 of the share of documents it occurs in, and what a term
-    reveals of it is the pointwise mutual information of the two, log2(p(both) / (p(term) p(entity))); the quotient of
-    the two is held against ``disclosure``. Only terms seen with the entity in at least ``least`` documents are
-    judged. The pairs come from the entities' surroundings; the words of the whole corpus are counted by document.
-    """
-    one = findings.select(F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))))).alias("x")).select("x.*")
-    near = one.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= least)
-    near = materialise(near, "entity-terms")
+def _judged(docs: DataFrame, findings: DataFrame, least: int, disclosure: float, text: str, z: float) -> DataFrame:
+    """(doc_id, print, entity, term, together, share): in each document the pairs that ``disclosing_terms`` names. A document's terms meet the corpus's counts with all its entities in one row, so what is shuffled grows with the text and not with entities times terms."""
+    held = findings.filter("size(entities) > 0")
+    own_docs = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    known = held.select("doc_id", "print", F.explode("entities").alias("entity")).distinct().join(own_docs, "entity").groupBy("doc_id", "print").agg(F.collect_list(F.struct("entity", "entity_docs")).alias("known"))
+    rows = held.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("terms"))
+    rows = rows.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("doc_id", "print", "known", F.explode("terms").alias("term"))
     texts = docs.select(F.col(text).alias("text"))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,28 +135,42 @@ def disclosing_terms(docs: DataFrame, findings: DataFrame, least: int = LEAST_TO
             yield pd.DataFrame(found.items(), columns=["term", "n"])
 
     counts = texts.mapInPandas(spread, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
-    entity = F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"])))
-    entities = findings.select(entity.alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs")).filter(F.col("entity_docs") >= least)
+    pairs = rows.join(counts, "term").select("doc_id", "print", "term", "term_docs", F.explode("known").alias("k")).select("doc_id", "print", "term", "term_docs", "k.*")
+    pairs = pairs.withColumn("together", F.count("*").over(Window.partitionBy("term", "entity"))).filter(F.col("together") >= least)
     total = F.lit(float(max(2, findings.count())))
-    mutual = F.log2(F.col("together") * total / (F.col("term_docs") * F.col("entity_docs")))
+    n, seen = F.col("term_docs"), F.col("together") / F.col("term_docs")
+    sure = (seen + z * z / (2 * n) - z * F.sqrt(seen * (1 - seen) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    mutual = F.log2(sure * total / F.col("entity_docs"))
     own = F.log2(total / F.col("entity_docs"))
     share = F.when(own > 0, mutual / own).otherwise(0.0)
-    return near.join(counts, "term").join(entities, "entity").withColumn("share", share).filter(F.col("share") >= disclosure).select("entity", "term", "together", "share")
+    return pairs.withColumn("share", share).filter(F.col("share") >= disclosure).select("doc_id", "print", "entity", "term", "together", "share")
+
+
+def disclosing_terms(docs: DataFrame, findings: DataFrame, least: int = 1, disclosure: float = DISCLOSURE, text: str = "text", z: float = 0.0) -> DataFrame:
+    """(entity, term, together, share): terms that reveal a protected entity beyond the threshold.
+
+    Over all documents, an entity's information is -log2 of the share of documents it occurs in, and what a term
+    reveals of it is the pointwise mutual information of the two, log2(p(entity | term) / p(entity)); the quotient of
+    the two is held against ``disclosure``. The pairs are every entity with every term of its documents, and each is
+    judged from ``least`` documents on, which is one unless more are asked for. What few documents say is held down
+    by the measure: p(entity | term) is the lower end of Wilson's interval at the quantile ``z``, which with 0 is the
+    observed share. The words of the whole corpus are counted by document, entities by the documents with their spans.
+    """
+    return _judged(docs, findings, least, disclosure, text, z).select("entity", "term", "together", "share").distinct()
 
 
-def find_personal_data(docs: DataFrame, reach: int = REACH, least: int = LEAST_TOGETHER, disclosure: float = DISCLOSURE, text: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, text: str = "text", z: float = CONFIDENCE) -> DataFrame:
     """doc_id, print, base and spans of every document; spans are base spans and, as kind ``term``, the added ones.
 
-    A term near an entity is added if ``disclosing_terms`` found that it reveals this entity. A null or empty text has
-    no spans. Repeated rows are handled one by one, though each counts in the statistics; an empty table gives an
-    empty result; other columns aren't looked at.
+    A term in a document with an entity is added if ``disclosing_terms`` found that it reveals this entity. A null or
+    empty text has no spans. Repeated rows are handled one by one, though each counts in the statistics; an empty
+    table gives an empty result; other columns aren't looked at.
     """
-    findings = materialise(base_findings(docs, reach, text), "personal-data")
-    risky = disclosing_terms(docs, findings, least, disclosure, text)
-    near = findings.select("doc_id", "print", F.explode("near").alias("n")).select("doc_id", "print", "n.*").distinct()
-    added = near.join(risky, ["entity", "term"], "left_semi").groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind"))).alias("more"))
+    findings = materialise(base_findings(docs, text), "personal-data")
+    added = _judged(docs, findings, 1, disclosure, text, z).groupBy("doc_id", "print").agg(F.collect_set("term").alias("risky"))
     rows = findings.join(added.withColumnRenamed("doc_id", "d").withColumnRenamed("print", "p"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")
-    more = F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    more = F.transform(F.filter("terms", lambda t: F.array_contains("risky", t["term"])), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("term").alias("kind")))
+    more = F.when(F.col("risky").isNotNull(), more).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
     order = F.create_map(*[x for k, name in enumerate((*KINDS, "term")) for x in (F.lit(name), F.lit(k))])
     keyed = F.array_sort(F.transform(F.concat("base", more), lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return rows.select("doc_id", "print", "base", F.transform(keyed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
