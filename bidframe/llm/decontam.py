@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +89,19 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     return hashes, kind, first
 
 
+def merge_runs(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray):
+    """The words of ``templates`` with each run of numbers, or of names, as one word whose hash is that of the whole run."""
+    if not len(hashes):
+        return hashes, kind, first
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    same = np.concatenate(([False], (kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME)) & (row[1:] == row[:-1])))
+    start = np.flatnonzero(~same)
+    place = (np.arange(len(hashes)) - start[np.cumsum(~same) - 1]).astype(np.uint64)
+    whole = np.add.reduceat(mix(hashes + place * np.uint64(BASE), 4), start)
+    single = np.diff(np.concatenate((start, [len(hashes)]))) == 1
+    return np.where(single, hashes[start], whole), kind[start], np.concatenate(([0], np.cumsum(~same)))[first]
+
+
 def _windows(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The template windows of ``width`` words of a block: the positions of their first words and their hashes. Windows that reach into the next text or have too few literal words are left out."""
     n = len(hashes) - width + 1
@@ -103,7 +119,8 @@ def _windows(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, width: int
 
 
 def _window_batches(widths: list[int], passes: np.ndarray | None):
-    """Rows (id, at, window, slots, n_words) of each text's windows.
+    """Rows (id, at, window, slots, n_words, form) of each text's windows, read word by word (form 0) and with runs of
+    numbers or names as one word (form 1).
 
     With a filter these are the windows of all ``widths`` that pass it, for documents. Without one each text is a
     benchmark item, whose windows have WIDTH words, or as many as it has itself if those are fewer.
@@ -112,28 +129,64 @@ def _window_batches(widths: list[int], passes: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first_row, last_row, data, offsets in text_blocks(batch.column(1)):
-                hashes, kind, first = templates(data, offsets)
-                sizes = np.diff(first)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                tried = widths if passes is not None else sorted({WIDTH, *sizes[(sizes > 0) & (sizes < WIDTH)].tolist()})
-                for width in tried:
-                    at, windows = _windows(hashes, kind, first, width)
-                    if passes is not None:
-                        bit = windows % np.uint64(FILTER_BITS)
-                        keep = (passes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    else:
-                        keep = np.minimum(sizes[row[at]], WIDTH) == width
-                    at, windows = at[keep], windows[keep]
-                    slots = [hashes[k : k + width][kind[k : k + width] > 0].view(np.int64) for k in at.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(first_row + row[at])), pa.array((at - first[row[at]]).astype(np.int32)), pa.array(windows.view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(sizes[row[at]].astype(np.int32))],
-                        names=["id", "at", "window", "slots", "n_words"],
-                    )
+                plain = templates(data, offsets)
+                for form, (hashes, kind, first) in enumerate((plain, merge_runs(*plain))):
+                    sizes = np.diff(first)
+                    row = np.repeat(np.arange(len(sizes)), sizes)
+                    tried = widths if passes is not None else sorted({WIDTH, *sizes[(sizes > 0) & (sizes < WIDTH)].tolist()})
+                    for width in tried:
+                        at, windows = _windows(hashes, kind, first, width)
+                        if passes is not None:
+                            bit = windows % np.uint64(FILTER_BITS)
+                            keep = (passes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        else:
+                            keep = np.minimum(sizes[row[at]], WIDTH) == width
+                        at, windows = at[keep], windows[keep]
+                        slots = [hashes[k : k + width][kind[k : k + width] > 0].view(np.int64) for k in at.tolist()]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column(0).take(pa.array(first_row + row[at])), pa.array((at - first[row[at]]).astype(np.int32)), pa.array(windows.view(np.int64)), pa.array(slots, pa.list_(pa.int64())),
+                                pa.array(sizes[row[at]].astype(np.int32)), pa.array(np.full(len(at), form, np.int32)),
+                            ],
+                            names=["id", "at", "window", "slots", "n_words", "form"],
+                        )
 
     return run
 
 
-_ROW = "id long, at int, window long, slots array<long>, n_words int"
+def joined_cover(shift: list[int], item_at: list[int], said: list, says: list, reach: int) -> int:
+    """The most windows of an item that one place of a document holds, of the windows met there.
+
+    Within one shift, windows whose slots are not replaced one by one, in both directions, don't count. From each
+    shift on, the other shifts less than ``reach`` away join it, the best filled first, with those of their windows
+    that aren't there yet and whose slots agree with all that are.
+    """
+    hits = defaultdict(dict)
+    for s, at, a, b in zip(shift, item_at, said, says):
+        hits[int(s)][int(at)] = list(zip(a, b))
+    whole = {}
+    for s, windows in hits.items():
+        there, back = defaultdict(set), defaultdict(set)
+        for slots in windows.values():
+            for a, b in slots:
+                there[a].add(b)
+                back[b].add(a)
+        whole[s] = {at: slots for at, slots in windows.items() if all(len(there[a]) == 1 == len(back[b]) for a, b in slots)}
+    most, order = 0, sorted(whole)
+    for s in order:
+        found, there, back = set(), {}, {}
+        near = order[bisect_right(order, s - reach) : bisect_left(order, s + reach)]
+        for other in sorted(near, key=lambda x: (x != s, -len(whole[x]), abs(x - s), x)):
+            for at, slots in sorted(whole[other].items()):
+                if at not in found and all(there.get(a, b) == b and back.get(b, a) == a for a, b in slots):
+                    found.add(at)
+                    there.update(slots)
+                    back.update((b, a) for a, b in slots)
+        most = max(most, len(found))
+    return most
+
+
+_ROW = "id long, at int, window long, slots array<long>, n_words int, form int"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -142,10 +195,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Words are reduced to letters and digits in lower case; numbers, names and units become typed placeholders. Every
     window of 8 such words is hashed, and documents' windows meet items' windows in a join on the hash. A fixed-size
     bit filter of the items' windows (512 KB) is broadcast first, so that other windows never leave their task; it
-    only saves work, and the join decides. Slots are then checked: within one alignment of document and item (equal
-    distance between their positions) what an item has in its slots must be replaced consistently, one value by one
-    value in both directions; windows that break it don't count. A document holds an item if one alignment covers
-    ``coverage`` of the item's windows.
+    only saves work, and the join decides. Slots are then checked: what an item has in its slots must be replaced
+    consistently, one value by one value in both directions, within one alignment of document and item (equal
+    distance between their positions) and over those that join it. Inserted or removed words only move the
+    alignment, so alignments less than the item's length apart count together. A document holds an item if they
+    cover ``coverage`` of the item's windows, be runs of numbers or names read word by word or as one slot each.
 
     Items with fewer than 8 words are one window of their own width; items without 4 literal words in any window (or
     all words literal, if fewer) can't be recognised and match nothing. Null and empty texts hold nothing. Repeated
@@ -157,22 +211,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     np.bitwise_or.at(passes, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
     short = [r[0] for r in items.filter(F.col("n_words") < WIDTH).select("n_words").distinct().collect()]
     found = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(_window_batches([WIDTH, *short], passes), _ROW)
-    of_item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"))
-    sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("windows"))
-    met = found.select(F.col("id").alias("doc_id"), "at", "window", "slots").join(of_item, "window")
-    met = materialise(met.withColumn("shift", F.col("at") - F.col("item_at")), "met-windows")
-    pairs = met.select("doc_id", "item_id", "shift", "item_at", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("slot"))
-    place = ["doc_id", "item_id", "shift"]
-    bound = pairs.filter("slot IS NOT NULL").select(*place, F.col("slot.item_slots").alias("said"), F.col("slot.slots").alias("says")).distinct()
-    clash = bound.groupBy(*place, "said").agg(F.count("*").alias("n")).filter("n > 1").select(*place, "said")
-    crossed = bound.groupBy(*place, "says").agg(F.count("*").alias("n")).filter("n > 1").select(*place, "says")
-    broken = (
-        pairs.filter("slot IS NOT NULL").select(*place, "item_at", F.col("slot.item_slots").alias("said")).join(clash, [*place, "said"], "left_semi").select(*place, "item_at")
-        .union(pairs.filter("slot IS NOT NULL").select(*place, "item_at", F.col("slot.slots").alias("says")).join(crossed, [*place, "says"], "left_semi").select(*place, "item_at"))
-        .distinct()
-    )
-    whole = pairs.select(*place, "item_at").distinct().join(broken, [*place, "item_at"], "left_anti")
-    share = whole.groupBy(*place).agg(F.count("*").alias("n")).join(sizes, "item_id").withColumn("coverage", F.col("n") / F.col("windows"))
+    of_item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), "form")
+    sizes = items.groupBy(F.col("id").alias("item_id"), "form").agg(F.countDistinct("at").alias("windows"), F.max("n_words").alias("n_words"))
+    met = found.select(F.col("id").alias("doc_id"), "at", "window", "slots", "form").join(of_item, ["window", "form"])
+    met = materialise(met.withColumn("shift", F.col("at") - F.col("item_at")).select("doc_id", "item_id", "form", "shift", "item_at", "item_slots", "slots").distinct(), "met-windows")
+    enough = met.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("item_at").alias("n")).join(sizes, ["item_id", "form"]).filter(F.col("n") >= coverage * F.col("windows")).drop("n")
+
+    def cover(group: pd.DataFrame) -> pd.DataFrame:
+        n = joined_cover(group["shift"], group["item_at"], group["item_slots"], group["slots"], int(group["n_words"].iloc[0]))
+        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1], "item_id": group["item_id"].iloc[:1], "coverage": [n / group["windows"].iloc[0]]})
+
+    share = met.join(enough, ["doc_id", "item_id", "form"]).groupBy("doc_id", "item_id", "form").applyInPandas(cover, "doc_id long, item_id long, coverage double")
     return share.filter(F.col("coverage") >= coverage).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 

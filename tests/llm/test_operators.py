@@ -215,6 +215,20 @@ def test_decontamination_templates(spark):
     assert sorted(r.doc_id or 0 for r in decontam.decontaminate(docs, bench, 0.9).collect()) == [0, 2, 4, 5, 6, 7]
 
 
+def test_decontamination_shifted(spark):
+    """Words put in or left out, and slots whose number of words changes, split the match over shifts; it is still one."""
+    literal = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    plain, slots = literal[:38], "the {} that {} saw at the {} had {} red and blue stones for him while {} sang"
+    bench = spark.createDataFrame([(1, " ".join(plain)), (2, "so " + slots.format("12", "Tom", "bridge", "7", "Tom"))], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, " ".join(literal[50:] + plain[:19] + ["new"] + plain[19:])), (2, " ".join(plain[:18] + plain[19:])), (3, "so " + slots.format("1 200", "Mary Ann", "bridge", "30 000", "Mary Ann")),
+        (4, "so " + slots.format("1 200", "Mary Ann", "bridge", "30 000", "Otto Karl")), (5, " ".join(plain[:19] + literal[38:] * 3 + plain[19:])), (6, " ".join(plain[:20])),
+    ], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontam.contaminated(docs, bench).collect()}
+    assert got[1, 1] == pytest.approx(24 / 31) and (2, 1) in got and got[3, 2] == 1.0
+    assert set(got) - {(4, 2)} == {(1, 1), (2, 1), (3, 2)} and got.get((4, 2), 0) < 1
+
+
 def brute_mix(rows, weights=(1, 2, 3), most=3, seed=17):
     sizes = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s in rows]
     total = Counter()
