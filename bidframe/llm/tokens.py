@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,15 +35,27 @@ BLOCK_IDS = 1 << 16
 FILE_BYTES = 16 << 20
 #: Pieces of text whose ids a Python worker remembers, about 200 bytes each.
 CACHE_PIECES = 1_000_000
+#: Tasks that read files back, at most; beyond that, a task reads neighbouring files.
+READ_TASKS = 10_000
+#: New pieces that are encoded as one text.
+JOINED_PIECES = 1000
+#: How byte-level vocabularies write a space and a line feed; marks that a word is parted from.
+BYTE_LEVEL_SPACE = "\u0120\u010a"
+MARKS = ".,;:!?$%&*#@()[]{}<>/+=-_"
+#: Up to here Python and any tokenizer agree on what is a letter.
+LAST_LATIN = "\u024f"
+#: Characters of neighbouring texts whose new pieces are encoded in one call.
+CHUNK_CHARS = 2_000_000
 
 
 class PieceEncoder:
     """Encodes texts with a tokenizer, once for each distinct piece.
 
-    The tokenizer's own pattern never joins a single space or line feed to the visible character before it, so a text
-    may be cut in front of these; each piece, with the space or line feed it begins with, is encoded by the tokenizer
-    as it stands, and its ids are remembered as bytes. A text with other or adjacent white space, or with it at
-    either end, is encoded whole.
+    The pattern of byte-level pre-tokenizers never joins a single space or line feed to the visible character before
+    it, so a text may be cut in front of these; each piece, with the space or line feed it begins with, is encoded by
+    the tokenizer as it stands, and its ids are remembered as bytes. The pattern also parts a word of letters from the
+    marks that end the piece, so such a piece has the word's ids and then the marks'. A text with other or adjacent white
+    space, or with it at either end, is encoded whole; so is every text if the tokenizer isn't of this kind.
     """
 
     def __init__(self, path: str):
@@ -52,32 +63,85 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.odd = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f\x85]")
+        said = json.loads(self.tokenizer.to_str())
+        cuts = said.get("pre_tokenizer") or {}
+        plain = all(not said.get(part) for part in ("normalizer", "post_processor", "truncation", "padding"))
+        tokens = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]]) for t in said.get("added_tokens") or [])
+        self.by_piece = plain and tokens and cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space")
+        self.marks: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[k for token, k in vocabulary.items() if token[0] in BYTE_LEVEL_SPACE]] = True
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if self.odd.search(text):
-            return self.whole(text)
-        first, *pieces = text.replace("\n", " \n").split(" ")
-        known = self.known
-        try:
-            rest = b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            new = [p for p in set(pieces) if p not in known]
-            got = self.tokenizer.encode_batch_fast([p if p[0] == "\n" else " " + p for p in new], add_special_tokens=False)
-            learnt = dict(zip(new, [np.array(e.ids, dtype="<u4").tobytes() for e in got]))
-            if len(known) + len(learnt) <= CACHE_PIECES:  # the pieces met first are the common ones; once full, they stay
-                known.update(learnt)
-                rest = b"".join(map(known.__getitem__, pieces))
+    def mark(self, tail: str) -> bytes:
+        ids = self.marks.get(tail)
+        if ids is None:
+            ids = self.whole(tail)
+            if len(self.marks) < CACHE_PIECES:
+                self.marks[tail] = ids
+        return ids
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, given without their leading space: they are encoded as one text, in which the tokens that begin with a space or line feed say where each starts."""
+        groups = [new[k : k + JOINED_PIECES] for k in range(0, len(new), JOINED_PIECES)]
+        got = self.tokenizer.encode_batch_fast(["".join([p if p[0] == "\n" else " " + p for p in group]) for group in groups], add_special_tokens=False)
+        out = {}
+        for group, found in zip(groups, got):
+            ids = np.array(found.ids, dtype="<u4")
+            start = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(start) == len(group):
+                body = ids.tobytes()
+                out.update({p: body[k:m] for p, k, m in zip(group, start, [*start[1:], len(body)])})
+            else:
+                out.update({p: self.whole(p if p[0] == "\n" else " " + p) for p in group})
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        known, cut, out = self.known, [], []
+        for text in texts:
+            flat = text.replace("\n", " ") if "\n" in text else text
+            words = flat.split()
+            if not self.by_piece or not words or " ".join(words) != flat:
+                cut.append(None)
             else:
-                rest = b"".join([known.get(p) or learnt[p] for p in pieces])
-        return self.whole(first) + rest
+                cut.append(words if flat is text else text.replace("\n", " \n").split(" "))
+        new = set().union(*[pieces[1:] for pieces in cut if pieces]).difference(known)
+        ends = {p: stem for p in new if (stem := p.rstrip(MARKS)) != p and stem.isalpha() and max(stem) <= LAST_LATIN}
+        learnt = self.learn(list(new.difference(ends).union(ends.values()).difference(known)))
+        learnt.update({p: (known.get(stem) or learnt[stem]) + self.mark(p[len(stem) :]) for p, stem in ends.items()})
+        if len(known) + len(learnt) <= CACHE_PIECES:  # the pieces met first are the common ones; once full, they stay
+            known.update(learnt)
+            ids_of = known.__getitem__
+        else:
+            ids_of = lambda p: known.get(p) or learnt[p]
+        for text, pieces in zip(texts, cut):
+            if not text:
+                out.append(b"")
+            elif pieces is None:
+                out.append(self.whole(text))
+            else:
+                out.append(self.whole(pieces[0]) + b"".join(map(ids_of, pieces[1:])))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+
+def portions(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``chars`` characters."""
+    first = held = 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held >= chars:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -203,15 +267,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, fs, name, part = None, None, None, TaskContext.get().partitionId()
         for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, last in portions(texts):
                 if writer is None:
-                    encode = encoder(tokenizer).encode
                     fs, base = pafs.FileSystem.from_uri(path)
                     fs.create_dir(base, recursive=True)
                     name = f"{base}/part-{part:06d}.bpz"
                     draft = f"{base}/.{uuid.uuid4().hex}.tmp"
                     writer = PlaneWriter(fs.open_output_stream(draft), planes)
-                writer.add(doc_id, np.frombuffer(encode(body) + end, dtype="<u4"))
+                for doc_id, ids in zip(names[first:last], encoder(tokenizer).encode_all(texts[first:last])):
+                    writer.add(doc_id, np.frombuffer(ids + end, dtype="<u4"))
         if writer is not None:
             writer.close()
             fs.move(draft, name)
@@ -244,14 +309,13 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
                             out[k].append(v)
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    files = manifest.select("file", "start")
-    n = max(1, min(manifest.count(), 10_000))
-    return files.repartition(n, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.repartitionByRange(max(1, min(manifest.count(), READ_TASKS)), "part").select("file", "start")
+    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenise_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, planes: str = "byte", path: str | None = None) -> DataFrame:
-    """Write the token files of all documents and read them back; repeated doc_ids follow each other. An empty table writes no file and gives no rows."""
+    """Write the token files of all documents and read them back; repeated doc_ids follow each other. An empty table writes no file and gives no rows. ``path`` is a URI that driver and executors share."""
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     if "://" not in path:
-        path = "file://" + path
+        raise ValueError(f"not a URI: {path}")
     return read_token_files(write_token_files(docs, tokenizer, path, end_id, planes), path)
