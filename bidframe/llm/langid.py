@@ -1,41 +1,126 @@
-"""Language identification by word-first backoff."""
+"""Language identification by word-first backoff.
+
+Words and n-grams are handled as 64-bit hashes of their code points, a block of texts at a time, so that a model keeps
+everything it was fitted on.
+"""
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from bidframe.llm.words import BASE, BASE_INVERSE, mix, portions, powers
 
 #: Labelled documents of each language that the model is fitted on, about; the sample is drawn by a hash of doc_id.
-FIT_DOCS = 3000
-#: Most frequent words and n-grams that the model keeps, over all languages.
-KEEP_WORDS = 100_000
-KEEP_GRAMS = 60_000
+#: This alone bounds the model: every word and n-gram of the sample is kept.
+FIT_DOCS = 1000
 LONGEST_GRAM = 5
 #: Added to every count.
 SMOOTH = 0.5
-#: Unseen words whose scores a task remembers.
-CACHE_WORDS = 300_000
+#: Characters of neighbouring texts that are handled at once.
+BLOCK_CHARS = 1 << 20
 UNKNOWN = "und"
 
-_letters = re.compile(r"[^\W\d_]+")
+_alphabetic: list[np.ndarray] = []
+
+
+def is_letter(points: np.ndarray) -> np.ndarray:
+    """``str.isalpha`` of code points."""
+    if not _alphabetic:
+        _alphabetic.append(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000))
+    return _alphabetic[0][points]
+
+
+def segments(texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+    """The texts, long ones in pieces of about BLOCK_CHARS that end with a word, and the number of the text of each piece."""
+    number, out = [], []
+    for k, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end = at + BLOCK_CHARS
+            while end < len(text) and text[end].isalpha():
+                end += 1
+            number.append(k)
+            out.append(text[at:end] if at or end < len(text) else text)
+            at = end
+    return np.array(number, dtype=np.int64), out
+
+
+class Runs:
+    """The words of a block of texts: maximal runs of letters of the lower-cased texts.
+
+    points: code points of all texts; start, end, text: of each word, the text by number; hash: of its code points.
+    """
+
+    def __init__(self, texts: list[str]):
+        low = [t.lower() for t in texts]
+        self.points = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        flags = np.zeros(len(self.points) + 2, dtype=np.int8)
+        flags[1:-1] = is_letter(self.points)
+        turns = np.diff(flags)
+        self.start, self.end = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+        edges = np.cumsum([0] + [len(t) + 1 for t in low])
+        self.text = np.searchsorted(edges, self.start, side="right") - 1
+        n = len(self.points)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((self.points.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
+        self.hash = mix((sums[self.end] - sums[self.start]) * powers(BASE_INVERSE, n + 1)[self.start], 1)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, a word that has it, and for every word the number of its hash)."""
+        return np.unique(self.hash, return_index=True, return_inverse=True)
+
+    def padded(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of words, each between ``<`` and ``>``, and where each begins (and the last ends)."""
+        sizes = self.end[words] - self.start[words] + 2
+        begin = np.concatenate(([0], np.cumsum(sizes)))
+        out = self.points[np.clip(np.repeat(self.start[words] - 1 - begin[:-1], sizes) + np.arange(begin[-1]), 0, max(len(self.points) - 1, 0))]
+        out[begin[:-1]], out[begin[1:] - 1] = ord("<"), ord(">")
+        return out, begin
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
-    return [w for w in _letters.findall(text.lower()) if w.isalpha()]
+def gram_hashes(points: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of padded words: their hashes and the number of the word of each. Single characters are the word's own, without the padding."""
+    sizes = np.diff(begin)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(points)) - np.repeat(begin[:-1], sizes)
+    good = (place > 0) & (place < sizes[word] - 1) if n == 1 else place <= sizes[word] - n
+    at = np.flatnonzero(good)
+    total = np.full(len(at), n, dtype=np.uint64)
+    for k in range(n):
+        total = total * np.uint64(BASE) + points[at + k] + np.uint64(1)
+    return mix(total, 20 + n), word[at]
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    padded = f"<{word}>"
-    return [padded[k : k + n] for k in range(len(padded) - n + 1)]
+class HashIndex:
+    """Finds the places of 64-bit hashes in an array of distinct ones: their leading bits say where to look in its sorted copy."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits)))).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it isn't there."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        prefix = (hashes >> self.shift).astype(np.int64)
+        at, end = self.starts[prefix], self.starts[prefix + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self.keys[at[live]] == hashes[live]
+            out[live[hit]] = self.order[at[live[hit]]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
 
 class BackoffModel:
@@ -43,79 +128,90 @@ class BackoffModel:
 
     A known word adds its log frequency in each language. A word that isn't known is scored by its longest n-grams
     that are: all of length 5 if any is known, else of length 4, and so on down to 1, by the mean of their log
-    frequencies. A word without any known character adds nothing.
+    frequencies. N-grams of two and more characters are cut from the word between ``<`` and ``>``. A word without any
+    known character adds nothing.
     """
 
-    def __init__(self, counts: list[tuple[str, int, str, int]]):
-        """counts: (lang, 0 for a word or n for an n-gram, string, count)."""
-        self.langs = sorted({lang for lang, *_ in counts})
-        at = {lang: k for k, lang in enumerate(self.langs)}
-        self.rows: dict[int, dict[str, int]] = {}
-        for _, kind, string, _ in counts:
-            known = self.rows.setdefault(kind, {})
-            known.setdefault(string, len(known))
+    def __init__(self, lang: list[str], kind: np.ndarray, key: np.ndarray, n: np.ndarray):
+        """One entry per language, kind (0 for a word, or n for an n-gram) and hash: how often it occurs."""
+        self.langs = sorted(set(lang))
+        number = {name: k for k, name in enumerate(self.langs)}
+        of = np.fromiter((number[x] for x in lang), np.int64, len(lang))
+        self.index: dict[int, HashIndex] = {}
         self.logs: dict[int, np.ndarray] = {}
-        tables = {kind: np.zeros((len(known), len(at))) for kind, known in self.rows.items()}
-        for lang, kind, string, n in counts:
-            tables[kind][self.rows[kind][string], at[lang]] += n
-        for kind, table in tables.items():
-            self.logs[kind] = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * (len(table) + 1)))
-        # rows of `scores`: 0 for what isn't a word, 1 for words without any known character, then known and remembered words
-        words = self.logs.get(0, np.zeros((0, len(at))))
-        self.places = {w: k + 2 for w, k in self.rows.get(0, {}).items()}
-        self.scores = np.concatenate((np.zeros((2, len(at))), words))
-        self.filled = len(self.scores)
-
-    def back_off(self, word: str) -> np.ndarray | None:
+        for k in np.unique(kind).tolist():
+            part = kind == k
+            keys, row = np.unique(key[part], return_inverse=True)
+            table = np.zeros((len(keys), len(number)))
+            np.add.at(table, (row, of[part]), n[part])
+            self.index[k] = HashIndex(keys)
+            self.logs[k] = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * (len(keys) + 1))).astype(np.float32)
+
+    def back_off(self, runs: Runs, words: np.ndarray) -> np.ndarray:
+        """Scores of unseen words, one row each."""
+        out = np.zeros((len(words), len(self.langs)))
+        left = np.arange(len(words))
         for n in range(LONGEST_GRAM, 0, -1):
-            rows = self.rows.get(n, {})
-            known = [k for g in grams_of(word, n) if (k := rows.get(g)) is not None]
-            if known:
-                return self.logs[n][known].mean(axis=0)
-        return None
-
-    def learn(self, words: list[str]) -> list[str]:
-        """Remember the scores of unseen words; returns the words for which there is no more room."""
-        new, over = [], []
-        room = len(self.rows.get(0, {})) + CACHE_WORDS - len(self.places)
-        for w in words:
-            if len(new) >= room:
-                over.append(w)
+            if n not in self.index or not len(left):
                 continue
-            found = self.back_off(w) if w.isalpha() else None
-            if found is None:
-                self.places[w] = 1 if w.isalpha() else 0
-                room -= 1
-            else:
-                self.places[w] = self.filled + len(new)
-                new.append(found)
-        if new:
-            if self.filled + len(new) > len(self.scores):
-                grown = np.zeros((max(2 * len(self.scores), self.filled + len(new)), len(self.langs)))
-                grown[: self.filled] = self.scores[: self.filled]
-                self.scores = grown
-            self.scores[self.filled : self.filled + len(new)] = new
-            self.filled += len(new)
-        return over
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the likelihood; ties go to the first by code point."""
-        words = Counter(_letters.findall(text.lower())) if text else None
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        places = self.places
-        over = self.learn([w for w in words if w not in places])
-        rows = np.fromiter([places.get(w, 0) for w in words], np.int64, len(words))
-        total = np.fromiter(words.values(), float, len(words)) @ self.scores[rows]
-        letters = bool(rows.any())
-        for w in over:
-            if w.isalpha():
-                letters = True
-                total = total + words[w] * (found if (found := self.back_off(w)) is not None else 0.0)
-        if not letters:
-            return UNKNOWN, 0.0
-        best = int(np.argmax(total))
-        return self.langs[best], 1.0 / float(np.exp(np.clip(total - total[best], -700, 0)).sum())
+            hashes, word = gram_hashes(*runs.padded(words[left]), n)
+            rows = self.index[n].find(hashes)
+            known = rows >= 0
+            rows, word = rows[known], word[known]
+            held = np.bincount(word, minlength=len(left))
+            some = held > 0
+            for j in range(len(self.langs)):
+                out[left[some], j] = (np.bincount(word, weights=self.logs[n][rows, j], minlength=len(left))[some]) / held[some]
+            left = left[~some]
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of each text and its share of the likelihood; ties go to the first by code point."""
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        total, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=bool)
+        number, bodies = segments(texts)
+        for first, last in portions(bodies, BLOCK_CHARS) if self.langs else ():
+            runs = Runs(bodies[first:last])
+            if not len(runs.start):
+                continue
+            hashes, example, inverse = runs.distinct()
+            rows = self.index[0].find(hashes)
+            of_word = np.zeros((len(hashes), len(self.langs)))
+            seen = rows >= 0
+            of_word[seen] = self.logs[0][rows[seen]]
+            of_word[~seen] = self.back_off(runs, example[~seen])
+            cut = np.flatnonzero(np.diff(runs.text, prepend=-1))
+            texts_here = number[first + runs.text[cut]]
+            np.add.at(total, texts_here, np.add.reduceat(of_word[inverse], cut, axis=0))
+            letters[texts_here] = True
+        for k in np.flatnonzero(letters).tolist():
+            best = int(total[k].argmax())
+            langs[k], scores[k] = self.langs[best], 1.0 / float(np.exp(np.clip(total[k] - total[k, best], -700, 0)).sum())
+        return langs, scores
+
+
+def count_block(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, hashes, counts) of the words and n-grams of texts."""
+    runs = Runs(texts)
+    hashes, example, inverse = runs.distinct()
+    times = np.bincount(inverse, minlength=len(hashes))
+    yield 0, hashes, times
+    padded = runs.padded(example)
+    for n in range(1, LONGEST_GRAM + 1):
+        grams, word = gram_hashes(*padded, n)
+        keys, row = np.unique(grams, return_inverse=True)
+        yield n, keys, np.bincount(row, weights=times[word], minlength=len(keys)).astype(np.int64)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts: dict[str, list[str]] = {}
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts.setdefault(lang, []).extend(segments([text])[1])
+        for lang, rows in texts.items():
+            for first, last in portions(rows, BLOCK_CHARS):
+                for kind, keys, n in count_block(rows[first:last]):
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys)), "kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> BackoffModel:
@@ -123,46 +219,30 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> BackoffModel:
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     per = docs.groupBy("lang").count().collect()
     if not per:
-        return BackoffModel([])
+        return BackoffModel([], *np.zeros((3, 0), np.int64))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     keep = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(math.ceil(min(1.0, fit_docs / r["count"]) * (1 << 30)))) for r in per])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lang, rows in batch.groupby("lang"):
-                words = Counter(w for text in rows["text"] for w in words_of(text))
-                grams: Counter = Counter()
-                for w, n in words.items():
-                    for k in range(1, LONGEST_GRAM + 1):
-                        for g in grams_of(w, k):
-                            grams[k, g] += n
-                found = [(lang, 0, w, n) for w, n in words.items()] + [(lang, k, g, n) for (k, g), n in grams.items()]
-                yield pd.DataFrame(found, columns=["lang", "kind", "string", "n"])
-
-    counts = docs.filter(place < keep).mapInPandas(count, "lang string, kind int, string string, n long").groupBy("lang", "kind", "string").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(W.partitionBy("kind", "string"))
-    ranked = counts.withColumn("total", total).filter("total > 1")
-    strings = ranked.select("kind", "string", "total").distinct()
-    words = strings.filter("kind = 0").orderBy(F.desc("total"), "string").limit(KEEP_WORDS)
-    grams = strings.filter("kind > 0").orderBy(F.desc("total"), "kind", "string").limit(KEEP_GRAMS)
-    kept = ranked.join(words.unionByName(grams).select("kind", "string"), ["kind", "string"])
-    return BackoffModel([tuple(r) for r in kept.select("lang", "kind", "string", "n").collect()])
+    counts = docs.filter(place < keep).select("text", "lang").mapInArrow(_count_batches, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    # languages as in the sample; one whose documents have no letters has no entry
+    return BackoffModel(counts["lang"].to_pylist(), counts["kind"].to_numpy(), counts["key"].to_numpy().view(np.uint64), counts["n"].to_numpy())
 
 
 def identify(docs: DataFrame, model: BackoffModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, from the text alone.
+    """``docs`` with lang_pred and score, from the text alone; columns of these names are replaced, all others stay.
 
     A text that is null or has no letter is ``und`` with score 0; so is every text if the model has no language. A
-    text none of whose characters the model knows goes to the first language with an equal share for each.
+    text none of whose characters the model knows goes to the first language with an equal share for each. Repeated
+    rows are judged one by one, and an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(dict(zip(("lang_pred", "score"), shared.value.predict(texts.tolist()))))
 
-    got = docs.withColumn("_found", predict(F.col(text)))
-    return got.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    found = docs.select(F.struct(*others).alias("row"), predict(F.col(text)).alias("found"))
+    return found.select("row.*", "found.lang_pred", "found.score")
 
 
 def held_out():
@@ -175,3 +255,10 @@ def identify_documents(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = fit(rows.filter(~F.col("held_out")), fit_docs)
     return identify(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least_score: float, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose language is identified with ``least_score`` of the likelihood or more; the model is fitted as for ``identify_documents``."""
+    model = fit(docs.filter(~held_out()), fit_docs)
+    found = identify(docs.select(F.struct("*").alias("row"), "text"), model)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bidframe.llm.common import materialise, shared_dir
+from bidframe.llm.words import portions
 
 MAGIC = b"BPZ1"
 BLOCK_IDS = 1 << 16
@@ -132,18 +133,6 @@ class PieceEncoder:
         return self.encode_all([text])[0]
 
 
-def portions(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about ``chars`` characters."""
-    first = held = 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= chars:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -268,7 +257,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         writer, fs, name, part = None, None, None, TaskContext.get().partitionId()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, last in portions(texts):
+            for first, last in portions(texts, CHUNK_CHARS):
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(path)
                     fs.create_dir(base, recursive=True)

@@ -62,6 +62,18 @@ def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         row = end
 
 
+def portions(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``chars`` characters."""
+    first = held = 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held >= chars:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 

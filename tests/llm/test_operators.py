@@ -141,14 +141,6 @@ def test_language_uses_only_text(spark, documents):
     assert {r.doc_id: r.lang_pred for r in langid.identify_documents(moved).collect()} == base
 
 
-def test_language_backoff():
-    model = langid.BackoffModel([("aa", 0, "the", 10), ("bb", 0, "der", 10), ("aa", 3, "ing", 5), ("bb", 3, "sch", 5), ("aa", 1, "z", 3), ("bb", 1, "y", 3)])
-    assert model.predict("the")[0] == "aa" and model.predict("der")[0] == "bb"
-    assert model.predict("xxing")[0] == "aa" and model.predict("schxx")[0] == "bb" and model.predict("yyy")[0] == "bb"
-    assert model.predict("12 + 3") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
-    assert model.predict("日本") == ("aa", 0.5)
-
-
 def test_language_odd(odd, none):
     got = {r.doc_id: r for r in langid.identify_documents(odd).collect()}
     assert got[1].lang_pred == got[2].lang_pred == "und" and got[10].lang_pred in ("en", "fr")

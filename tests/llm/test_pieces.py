@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from bidframe.llm import tokens
+from bidframe.llm.words import portions
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -31,4 +32,4 @@ def test_a_full_memory_changes_nothing(monkeypatch):
 
 
 def test_portions():
-    assert list(tokens.portions(["aa", "b", "cccc", "", "d"], 3)) == [(0, 2), (2, 3), (3, 5)] and list(tokens.portions([], 3)) == []
+    assert list(portions(["aa", "b", "cccc", "", "d"], 3)) == [(0, 2), (2, 3), (3, 5)] and list(portions([], 3)) == []
