@@ -38,7 +38,7 @@ QUALIFY row_number() OVER w <= 10
 """
 
 OP5 = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 r AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS w FROM s),
 o AS (
@@ -50,14 +50,31 @@ f AS (SELECT *, CAST(total - 3 * (upto - source_size) AS DOUBLE) / CAST(w_total
 l AS (SELECT arg_min(share, k) AS level FROM f WHERE share * w <= 3 * source_size),
 t AS (SELECT source, source_size, coalesce(least(CAST(3 * source_size AS DOUBLE), level * w), CAST(3 * source_size AS DOUBLE)) AS target FROM f LEFT JOIN l ON true),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t),
-q AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS wanted FROM p),
-u AS (
-    SELECT d.*, q.* EXCLUDE (source), CAST(CAST('0x' || md5(concat(coalesce(CAST(doc_id AS VARCHAR), '~'), ':17'))[1:13] AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+q AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p FROM p),
+e AS (
+    SELECT *, CASE WHEN size > 0 THEN 4 * length(bin(size)) + (size * 4) // (CAST(1 AS BIGINT) << (length(bin(size)) - 1)) - 4 ELSE 0 END AS class,
+        CAST(CAST('0x' || md5(concat(coalesce(CAST(doc_id AS VARCHAR), '~'), ':17'))[1:13] AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+    FROM d
 ),
-k AS (SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) ELSE u END AS rk FROM u),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rk, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum FROM k)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN 2 * cum - size <= 2 * wanted THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
+h AS (SELECT source, class, CAST(count(*) AS DOUBLE) AS held, CAST(sum(size) AS DOUBLE) AS words, CAST(sum(size * size) AS DOUBLE) AS squares, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS k FROM e WHERE class > 0 GROUP BY source, class),
+g(source, class, k, n, mean, f, carry) AS (
+    SELECT source, 0, CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM q
+    UNION ALL
+    SELECT source, class, k, n, mean, f, wanted - (f * words + f * (1 - f) * (squares / mean - words)) FROM (
+        SELECT *, n / held AS f FROM (
+            SELECT *, greatest(0.0, least(held, floor(wanted / mean + 0.5))) AS n FROM (
+                SELECT h.*, q.p * h.words + g.carry AS wanted, h.words / h.held AS mean
+                FROM g JOIN h ON h.source IS NOT DISTINCT FROM g.source AND h.k = g.k + 1 JOIN q ON q.source IS NOT DISTINCT FROM g.source
+            )
+        )
+    )
+),
+i AS (
+    SELECT e.doc_id, e.size, e.source, e.class, e.u, q.source_size, q.target, q.whole, coalesce(g.n, 0) AS n, CASE WHEN g.f > 0 AND g.f < 1 THEN g.f + g.f * (1 - g.f) * (e.size / g.mean - 1) END AS p
+    FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source LEFT JOIN g ON e.source IS NOT DISTINCT FROM g.source AND e.class = g.class AND g.class > 0
+),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY CASE WHEN p IS NULL THEN u ELSE u * (1 - p) / (u * (1 - p) + (1 - u) * p) END, doc_id, size) AS place FROM i)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN place <= n THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r2
 """
 
 
