@@ -176,7 +176,7 @@ def test_top_k_prunes_and_stays_exact():
     vectors = np.floor(1024 * (centre + 0.2 * rng.normal(size=(5000, 24))) * rng.choice([0.2, 0.6, 1.0, 1.4], 5000)[:, None])
     vectors[2500:] = np.floor(300 * rng.normal(size=(2500, 24)))
     ids = rng.permutation(5000)
-    got = topk.search_block(ids[:40], vectors[:40], ids, vectors, 10)
+    got = list(zip(*(x.tolist() for x in topk.search_block(ids[:40], vectors[:40], ids, vectors, 10))))
     products = (vectors[:40] @ vectors.T).astype(np.int64)
     for q in range(40):
         want = sorted((-int(products[q, j]), int(ids[j])) for j in range(5000) if ids[j] != ids[q])[:10]
