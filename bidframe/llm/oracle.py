@@ -5,7 +5,9 @@ Not here: language ID and token files (model and tokenizer), URL rules (mined),
 
 from __future__ import annotations
 
-from bidframe.llm.licences import CUT, RULES, SENTENCES, STEMS
+import re
+
+from bidframe.llm.licences import ABBREVIATION, COMMENT, CUT, FORMS, LAST_RULES, LINE, PARAGRAPH, STEMS, TAG, TWO_TAGS, known_sentences, ordered_rules, rule_pattern
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -79,22 +81,52 @@ SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN place <= n THE
 
 
 def _op9() -> str:
-    ids = " ".join(f"WHEN regexp_matches(s, '^(?:{p})[ ,-]*$') THEN '{name}'" for name, p in SENTENCES)
-    rule = " ".join(f"WHEN regexp_matches(line, '{p}') THEN {k}" for k, (_, p) in enumerate(RULES, 1))
-    names = ", ".join(f"'{n}'" for n, _ in RULES)
+    """Paragraphs, their lines and their joined text are rows here, and each rule is a step of a recursion."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    form = "trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, to in FORMS:
+        form = f"regexp_replace({form}, {q(_re2(pattern))}, {q(to if '(?=' not in pattern else to + chr(92) + '1')}, 'g')"
+    table = ", ".join(f"({q(k)}, {q(v)})" for k, v in known_sentences().items())
+    patterns = [(licence, *rule_pattern(names)) for licence, names in ordered_rules()] + [(licence, p, "+") for licence, p in LAST_RULES]
+    rules = ", ".join(f"({k}, {q(licence)}, {q(p)}, {q(left.replace('$', chr(92)))})" for k, (licence, p, left) in enumerate(patterns, 1))
+    stems = q("|".join(STEMS))
+    tags = q("spdx-license-identifier: " + chr(92) + "1") + " || chr(10) || chr(10) || " + q("spdx-license-identifier: " + chr(92) + "2")
     return f"""
-WITH s AS (
-    SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '{CUT}'), lambda x: regexp_matches(x, '{STEMS}'))) AS raw, generate_subscripts(list_filter(string_split_regex(lower(coalesce(text, '')), '{CUT}'), lambda x: regexp_matches(x, '{STEMS}')), 1) AS k
-    FROM documents
+WITH RECURSIVE known(s, id) AS (VALUES {table}),
+rules(k, licence, pattern, kept) AS (VALUES {rules}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\r\n?', chr(10), 'g'), {q(TWO_TAGS)}, {tags}, 'g'), {q(COMMENT)}, '', 'g') AS low FROM documents),
+c AS (SELECT rid, regexp_replace(regexp_replace(low, {q(TAG)}, 'spdx id ', 'g'), {q(_re2(ABBREVIATION))}, 'v \1', 'g') AS low FROM d WHERE regexp_matches(low, {stems})),
+p AS (SELECT rid, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT rid, regexp_split_to_array(low, {q(PARAGRAPH)}) AS parts FROM c)),
+u AS (
+    SELECT rid, pos, 0 AS line, regexp_replace(part, {q(LINE)}, ' ', 'g') AS u FROM p WHERE regexp_matches(part, {stems})
+    UNION ALL SELECT rid, pos, generate_subscripts(lines, 1) AS line, unnest(lines) AS u FROM (SELECT rid, pos, regexp_split_to_array(part, {q(LINE)}) AS lines FROM p WHERE regexp_matches(part, {stems}))
+),
+t AS (SELECT rid, pos, line, generate_subscripts(ss, 1) AS k, unnest(ss) AS s FROM (SELECT rid, pos, line, regexp_split_to_array(u, {q(CUT)}) AS ss FROM u)),
+n AS (SELECT rid, pos, line, k, {form} AS s FROM t WHERE regexp_matches(s, {stems})),
+i AS (SELECT rid, pos, line, k, id FROM n JOIN known USING (s)),
+j AS (
+    SELECT * FROM i WHERE line = 0
+    UNION ALL
+    SELECT rid, pos, min(line), min_by(k, (line, k)), id FROM i WHERE line > 0 AND NOT EXISTS (SELECT 1 FROM i AS w WHERE w.rid = i.rid AND w.pos = i.pos AND w.line = 0 AND w.id = i.id) GROUP BY rid, pos, id
 ),
-n AS (SELECT doc_id, k, trim(regexp_replace(raw, '[^a-z0-9,-]+', ' ', 'g')) AS s FROM s),
-i AS (SELECT doc_id, k, CASE {ids} END AS id FROM n),
-g AS (SELECT doc_id, count(id) AS n_known, string_agg(id, ' ' ORDER BY k) AS sequence, '<' || string_agg(id, '><' ORDER BY k) || '>' AS line FROM i WHERE id IS NOT NULL GROUP BY 1),
-r AS (SELECT d.doc_id, coalesce(n_known, 0) AS n_known, coalesce(sequence, '') AS sequence, CAST(CASE {rule} END AS INT) AS rule FROM documents d LEFT JOIN g USING (doc_id))
-SELECT doc_id, n_known, sequence, CASE WHEN rule IS NOT NULL THEN [{names}][rule] END AS licence, rule FROM r
+g AS (SELECT rid, count(*) AS n_known, string_agg(id, ', ' ORDER BY pos, line, k) AS sequence, '<' || string_agg(id, '><' ORDER BY pos, line, k) || '>' AS line FROM j GROUP BY rid),
+m(rid, k, line, licences, hits) AS (
+    SELECT rid, 0, line, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM g
+    UNION ALL
+    SELECT rid, rules.k, regexp_replace(line, pattern, kept, 'g'), CASE WHEN regexp_matches(line, pattern) AND NOT list_contains(licences, licence) THEN list_append(licences, licence) ELSE licences END,
+        CASE WHEN regexp_matches(line, pattern) THEN list_append(hits, CAST(rules.k AS VARCHAR)) ELSE hits END
+    FROM m JOIN rules ON rules.k = m.k + 1
+),
+r AS (SELECT rid, array_to_string(licences, ' AND ') AS licence, array_to_string(hits, ',') AS rule FROM m WHERE k = (SELECT max(k) FROM rules))
+SELECT doc_id, coalesce(n_known, 0) AS n_known, coalesce(sequence, '') AS sequence, nullif(licence, '') AS licence, nullif(rule, '') AS rule FROM d LEFT JOIN g USING (rid) LEFT JOIN r USING (rid)
 """
 
 
+def _re2(pattern: str) -> str:
+    """A pattern's lookahead at its end as a group, which the replacement then writes back."""
+    return re.sub(r"\(\?=(.*)\)$", r"(\1)", pattern)
+
+
 #: The CRC's table follows from its polynomial; bytes are read from the text's hexadecimal form.
 OP10 = """
 WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END FROM bits WHERE k < 8),

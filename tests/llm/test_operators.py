@@ -423,24 +423,10 @@ def test_personal_data_odd(odd, none):
     assert pii.find_personal_data(odd).count() == len(ODD)
 
 
-def test_licences(spark, odd, none):
-    rows = [
-        (1, "x.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0"), (2, "Released under the MIT License.", "MIT"), (3, "This work is licensed under the GNU General Public License, version 3.\nAll rights reserved.", "GPL-3.0"),
-        (4, "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), (5, "All rights reserved.", "proprietary"), (6, "we talk of the MIT License here", None), (7, None, None), (8, "", None),
-        (9, "Permission is hereby granted, free of charge, to any person obtaining a copy of this.\nThe above copyright notice and this permission notice shall be included in all copies or so.", "MIT"), (10, "LICENSED UNDER CC BY-NC 4.0!!", "CC-BY-NC-4.0"),
-    ]
-    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    assert {r.doc_id: r.licence for r in licences.licence_scan(df).collect()} == {r[0]: r[2] for r in rows}
-    assert licences.licence_scan(odd).count() == len(ODD) and licences.licence_scan(none).count() == 0
-
-
-def plain_jump(key, n):
-    b, j = -1, 0
-    while j < n:
-        b = j
-        key = (key * 2862933555777941757 + 1) % 2**64
-        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
-    return b
+def test_licences_odd(odd, none):
+    got = licences.licence_scan(odd).collect()
+    assert len(got) == len(ODD) and all(r.n_known == 0 and r.sequence == "" and r.licence is None for r in got)
+    assert licences.licence_scan(none).count() == 0
 
 
 def test_jump_hash():
