@@ -53,7 +53,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are those of the document with the page's id: bad if toxic or of low quality."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    return filter_urls(pages, pages.join(bad, "page_id").select("url", "bad")).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, pages.join(bad, "page_id").select("url", "bad")).select("page_id", "host", "path", "rule", "verdict", "mined_rules")
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

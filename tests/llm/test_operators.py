@@ -330,7 +330,8 @@ def test_url_rules_brute_force(spark):
     urls = [f"http://{h}.example.org/{p}/{n}.html?utm={n}" for n, (h, p) in enumerate(zip(rng.choice(["spam", "good", "news"], 600), rng.choice(["win", "read"], 600)))]
     rows = [(u, bool(("spam" in u and "win" in u) or rng.random() < 0.1)) for u in urls]
     df = spark.createDataFrame(rows, "url string, bad boolean")
-    found = {tuple(r.tokens): (r.confidence, r.support) for r in urlfilter.mine_rules(df, 0.05, 0.6).collect()}
+    lift = 0.6 / (sum(b for _, b in rows) / len(rows))
+    found = {tuple(r.tokens): (r.confidence, r.support) for r in urlfilter.mine_rules(df, 0.05, lift).collect()}
     token = {r.url: set(r.t) for r in df.select("url", urlfilter.url_tokens(F.col("url")).alias("t")).collect()}
     import itertools
 
@@ -343,7 +344,7 @@ def test_url_rules_brute_force(spark):
                 want[combo] = (sum(hit) / len(hit), sum(hit) / len(rows))
     short = {k: v for k, v in found.items() if len(k) <= 3}
     assert want and short.keys() == want.keys() and all(short[k] == pytest.approx(want[k]) for k in want)
-    blocked = {r.url for r in urlfilter.match_rules(df, urlfilter.mine_rules(df, 0.05, 0.6)).collect()}
+    blocked = {r.url for r in urlfilter.match_rules(df, urlfilter.mine_rules(df, 0.05, lift)).collect()}
     assert blocked == {u for u in urls if any(token[u].issuperset(c) for c in found)}
 
 
