@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidframe.llm.common import materialise
-from bidframe.llm.words import BASE, BASE_INVERSE, ascii_lower, is_space, mix, powers, text_blocks
+from bidframe.llm.words import BASE, BASE_INVERSE, mix, powers, text_blocks
 
 #: Words of a window; a shorter item is one window.
 WIDTH = 8
@@ -33,27 +33,50 @@ NUMBER, NAME, UNIT = 1, 2, 3
 def _raw_hash(word: str) -> int:
     """The hash that ``templates`` gives a word, before placeholders."""
     h = 0
-    for k, byte in enumerate(word.encode()):
-        h = (h + (byte + 1) * pow(BASE, k, 1 << 64)) % (1 << 64)
+    for k, letter in enumerate(word):
+        h = (h + (ord(letter) + 1) * pow(BASE, k, 1 << 64)) % (1 << 64)
     return int(mix(np.array([h], dtype=np.uint64), 1)[0])
 
 
 _UNIT_HASHES = np.sort(np.array([_raw_hash(u.replace("/", "")) for u in UNITS], dtype=np.uint64))
+_tables: list[np.ndarray] = []
+
+
+def character_tables() -> list[np.ndarray]:
+    """For every code point whether it is a letter or digit, whether it is white space, and its lower case (itself, if that has several characters)."""
+    if not _tables:
+        every = [chr(k) for k in range(0x110000)]
+        _tables.extend(np.fromiter(map(test, every), bool, len(every)) for test in (str.isalnum, str.isspace))
+        _tables.append(np.fromiter((ord(low) if len(low := c.lower()) == 1 else ord(c) for c in every), np.uint32, len(every)))
+    return _tables
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a block of texts in UTF-8, and where each text's start (and the last ends)."""
+    body = data.tobytes()
+    points = np.frombuffer(body.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    edges = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    if edges[-1] != len(points):  # bytes that aren't UTF-8: text by text
+        texts = [body[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        edges = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return points, edges
 
 
 def templates(data: np.ndarray, offsets: np.ndarray):
-    """The words of a block of texts, as (hash, kind, first): letters and digits only, lower-cased, with kind 0 for a
-    literal word, or a placeholder's kind. A number holds a digit. A name is a capitalised word, not all capitals,
-    that doesn't begin a sentence. A unit is a word of the list that follows a number."""
-    letter = ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90)) | ((data >= 48) & (data <= 57)) | (data >= 128)
-    space = is_space(data)
-    end = (data == 46) | (data == 33) | (data == 63) | (data == 10) | (data == 58) | (data == 124)
+    """The words of a block of texts, as (hash, kind, first, opener): letters and digits only, lower-cased, with kind 0
+    for a literal word, or a placeholder's kind. A number holds a digit. A name is a capitalised word, not all
+    capitals, that doesn't begin a sentence; one that does is an opener. A unit is a word of the list that follows a
+    number."""
+    is_letter, is_white, lower_of = character_tables()
+    points, offsets = code_points(data, offsets)
+    kept = is_letter[points] | is_white[points]
+    end = (points == 46) | (points == 33) | (points == 63) | (points == 10) | (points == 58) | (points == 124)
     ends = np.concatenate(([0], np.cumsum(end)))
-    kept = letter | space
     where = np.flatnonzero(kept)
-    small = data[where]
+    small = points[where]
     small_offsets = np.searchsorted(where, offsets)
-    inside = ~is_space(small)
+    inside = ~is_white[small]
     edge = np.zeros(len(small) + 1, dtype=bool)
     edge[small_offsets] = True
     before = np.concatenate(([False], inside[:-1])) if len(small) else inside
@@ -61,40 +84,39 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     stop = np.flatnonzero(inside & (~after | edge[1:])) + 1
     first = np.searchsorted(start, small_offsets)
-    lower = ascii_lower(small)
-    # the capitals of Latin-1, whose second byte in UTF-8 is 0x80 to 0x9E after 0xC3
-    latin = np.concatenate(([False], small[:-1] == 0xC3)) & (small >= 0x80) & (small <= 0x9E) & (small != 0x97) if len(small) else inside
-    lower = np.where(latin, lower + np.uint8(32), lower)
+    lower = lower_of[small]
     sums = np.zeros(len(small) + 1, dtype=np.uint64)
     np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(small)), out=sums[1:])
     hashes = mix((sums[stop] - sums[start]) * powers(BASE_INVERSE, len(small) + 1)[start], 1)
-    kind = np.zeros(len(start), dtype=np.int8)
+    kind, opener = np.zeros(len(start), dtype=np.int8), np.zeros(len(start), dtype=bool)
     if len(start):
-        capital = (lower != small) & inside
+        capital = lower != small
         count = lambda flags: np.concatenate(([0], np.cumsum(flags)))
-        capitals, digits = count(capital), count(inside & (small >= 48) & (small <= 57))
+        capitals, digits = count(capital), count((small >= 48) & (small <= 57))
         opens = np.zeros(len(start), dtype=bool)
         opens[first[:-1][first[:-1] < len(start)]] = True
         opens[1:] |= ends[where[start[1:]]] > ends[where[stop[:-1] - 1]]
-        lead = capital[start] | np.concatenate((latin, [False]))[np.minimum(start + 1, len(small))] & (small[start] == 0xC3)
-        n_capitals = capitals[stop] - capitals[start]
-        kind[lead & (n_capitals == 1) & ~opens & (stop - start > 1)] = NAME
-        kind[digits[stop] > digits[start]] = NUMBER
+        name = capital[start] & (capitals[stop] - capitals[start] == 1) & (stop - start > 1)
+        kind[name & ~opens] = NAME
+        number = digits[stop] > digits[start]
+        kind[number] = NUMBER
+        opener = name & opens & ~number
         at = np.minimum(np.searchsorted(_UNIT_HASHES, hashes), len(_UNIT_HASHES) - 1)
         unit = (_UNIT_HASHES[at] == hashes) & (kind == 0)
         unit[1:] &= kind[:-1] == NUMBER
         unit[0] = False
         unit[first[:-1][first[:-1] < len(start)]] = False
         kind[unit] = UNIT
-    return hashes, kind, first
+    return hashes, kind, first, opener
 
 
-def merge_runs(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray):
-    """The words of ``templates`` with each run of numbers, or of names, as one word whose hash is that of the whole run."""
+def merge_runs(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, opener: np.ndarray):
+    """The words of ``templates`` with each run of numbers and their units, or of names and openers, as one word whose hash is that of the whole run."""
     if not len(hashes):
         return hashes, kind, first
+    kind = np.where(opener, NAME, np.where(kind == UNIT, NUMBER, kind)).astype(np.int8)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    same = np.concatenate(([False], (kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME)) & (row[1:] == row[:-1])))
+    same = np.concatenate(([False], (kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME)) & ~opener[1:] & (row[1:] == row[:-1])))
     start = np.flatnonzero(~same)
     place = (np.arange(len(hashes)) - start[np.cumsum(~same) - 1]).astype(np.uint64)
     whole = np.add.reduceat(mix(hashes + place * np.uint64(BASE), 4), start)
@@ -120,7 +142,7 @@ def _windows(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, width: int
 
 def _window_batches(widths: list[int], passes: np.ndarray | None):
     """Rows (id, at, window, slots, n_words, form) of each text's windows, read word by word (form 0) and with runs of
-    numbers or names as one word (form 1).
+    numbers and units, or of names (capitalised words that begin a sentence among them), as one word (form 1).
 
     With a filter these are the windows of all ``widths`` that pass it, for documents. Without one each text is a
     benchmark item, whose windows have WIDTH words, or as many as it has itself if those are fewer.
@@ -130,7 +152,7 @@ def _window_batches(widths: list[int], passes: np.ndarray | None):
         for batch in batches:
             for first_row, last_row, data, offsets in text_blocks(batch.column(1)):
                 plain = templates(data, offsets)
-                for form, (hashes, kind, first) in enumerate((plain, merge_runs(*plain))):
+                for form, (hashes, kind, first) in enumerate((plain[:3], merge_runs(*plain))):
                     sizes = np.diff(first)
                     row = np.repeat(np.arange(len(sizes)), sizes)
                     tried = widths if passes is not None else sorted({WIDTH, *sizes[(sizes > 0) & (sizes < WIDTH)].tolist()})
@@ -192,7 +214,8 @@ _ROW = "id long, at int, window long, slots array<long>, n_words int, form int"
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents that hold a benchmark item, re-parameterised or not: doc_id, item_id, coverage.
 
-    Words are reduced to letters and digits in lower case; numbers, names and units become typed placeholders. Every
+    Words are reduced to letters and digits in lower case, of any script; numbers, names and units become typed
+    placeholders, which may span words: "1 200 euros" or "Mary Ann Smith" is also read as one. Every
     window of 8 such words is hashed, and documents' windows meet items' windows in a join on the hash. A fixed-size
     bit filter of the items' windows (512 KB) is broadcast first, so that other windows never leave their task; it
     only saves work, and the join decides. Slots are then checked: what an item has in its slots must be replaced

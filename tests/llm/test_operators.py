@@ -201,8 +201,7 @@ def test_decontamination_templates(spark):
         (1, said.format("Petra"), 0), (2, said.format("Klaus"), 0), (3, "tell me, what is the capital of it", 0), (4, "a train leaves the town", 0), (5, None, 0), (6, "", 0), (7, "1 2 3", 0), (1, said.format("Petra"), 0), (None, said, 0),
     ], "doc_id long, text string, window int")
     got = {(r.doc_id, r.item_id): r.coverage for r in decontam.contaminated(docs, bench).collect()}
-    assert set(got) == {(1, 1), (3, 2)} or set(got) == {(1, 1), (2, 1), (3, 2)}
-    assert got.get((2, 1), 0) < got[1, 1]
+    assert set(got) == {(1, 1), (3, 2)}
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
     assert sorted(r.doc_id or 0 for r in decontam.decontaminate(docs, bench, 0.9).collect()) == [0, 2, 4, 5, 6, 7]
 
@@ -218,7 +217,7 @@ def test_decontamination_shifted(spark):
     ], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.coverage for r in decontam.contaminated(docs, bench).collect()}
     assert got[1, 1] == pytest.approx(24 / 31) and (2, 1) in got and got[3, 2] == 1.0
-    assert set(got) - {(4, 2)} == {(1, 1), (2, 1), (3, 2)} and got.get((4, 2), 0) < 1
+    assert set(got) == {(1, 1), (2, 1), (3, 2)}
 
 
 def brute_mix(rows, weights=(1, 2, 3), most=3, seed=17):
