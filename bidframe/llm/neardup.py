@@ -18,6 +18,8 @@ PERMUTATIONS = 64
 BAND_ROWS = 4
 #: Classes outside a bucket's largest component from which they are compared in blocks instead of pair by pair.
 MOST_OUTSIDE = 4
+#: Classes that hold more than one row in so many are joined by broadcast; there are fewer of them than this.
+COMMON = 1000
 #: Classes, and shingles of these, in a block, about.
 BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 400_000
@@ -67,19 +69,29 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 edges = np.concatenate((starts[full], starts[-1:]))
                 bands = band_hashes(min_max_signatures(values, edges)).ravel()
                 band_starts[1:] = np.cumsum((sizes > 0) * width)
-                for k in (0, 1):
-                    prints[k, full] = np.add.reduceat(mix(values, 11 + k), edges[:-1])
+                prints[:, full] = _prints(values, edges)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, last - first), pa.array(sizes.astype(np.int64)), pa.array(_signed(prints[0])), pa.array(_signed(prints[1])), _lists(bands, band_starts)],
                 names=["doc_id", "n_shingles", "print1", "print2", "bands"],
             )
 
 
+def _prints(values: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """The two fingerprints of non-empty sets, which don't depend on an order."""
+    return [np.add.reduceat(mix(values, 11 + k), edges[:-1]) for k in (0, 1)]
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, shingles) of the rows (doc_id, text, print1, print2) whose text has these fingerprints."""
     for batch in batches:
         for first, last, data, offsets in text_blocks(batch.column(1)):
             values, starts = shingle_sets(split_words(data, offsets))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(values, starts)], names=["doc", "shingles"])
+            full = np.flatnonzero(np.diff(starts))
+            want = [batch.column(2 + k).slice(first, last - first).to_numpy().view(np.uint64) for k in (0, 1)]
+            got = _prints(values, np.concatenate((starts[full], starts[-1:]))) if len(full) else want
+            same = full[(got[0] == want[0][full]) & (got[1] == want[1][full])] if len(full) else full
+            lists = _lists(values, starts).take(pa.array(same))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(same)), lists], names=["doc", "shingles"])
 
 
 def common_counts(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -189,7 +201,8 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), te
        pair that shares a bucket is either compared or already connected.
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. Rows that repeat a
-    doc_id count as one document; a null doc_id gets a null component. An empty table gives an empty result. Other
+    doc_id with another text are judged by their own text each; as links name documents, what one of these texts is
+    linked with in its own name is linked with the other. A null doc_id gets a null component. An empty table gives an empty result. Other
     columns aren't looked at. Returns doc_id, n_shingles, component_id, kept.
     """
     least, of = similarity
@@ -197,15 +210,15 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), te
     signs = materialise(texts.mapInArrow(_signature_batches, "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"), "signatures")
     keys = ["n_shingles", "print1", "print2"]
     full = signs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
-    heads = full.join(classes, keys).filter("doc_id = rep").dropDuplicates(["rep"])
+    heads = materialise(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies")), "classes")
+    classes = heads.drop("bands")
     bands = materialise(heads.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "bands")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
     members = materialise(bands.join(shared, "bucket"), "members")
     weights = members.groupBy("rep").agg(F.sum("held").alias("weight"))
     members = materialise(members.join(weights, "rep").select("bucket", "rep", "n", "weight"), "weighted-members")
     sets = materialise(
-        texts.join(weights.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_batches, "doc long, shingles array<long>"), "sets"
+        texts.join(classes.join(weights.select("rep"), "rep").select(F.col("rep").alias("doc_id"), "print1", "print2"), "doc_id").select("doc_id", "text", "print1", "print2").mapInArrow(_set_batches, "doc long, shingles array<long>").distinct(), "sets"
     )
 
     def close(n, m):
@@ -257,9 +270,14 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), te
     more = materialise(linked(crossing).unionByName(crowded).distinct(), "links")
     groups = parts if more.isEmpty() else merge_links(parts, more)
 
-    by_class = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
+    by_class = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, "copies", F.coalesce("component", "rep").alias("component_id"))
+    rows = signs.select("doc_id", *keys)
+    # fewer than COMMON classes hold more than one row in COMMON each, so these are broadcast; their rows aren't shuffled
+    common = F.col("copies") * COMMON > full.count()
+    top = rows.join(F.broadcast(by_class.filter(common).drop("copies")), keys, "left")
+    rest = top.filter("component_id IS NULL").drop("component_id").join(by_class.filter(~common).drop("copies"), keys, "left")
     component = F.coalesce("component_id", "doc_id")
-    return signs.select("doc_id", *keys).join(by_class, keys, "left").select(
+    return top.filter("component_id IS NOT NULL").unionByName(rest).select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )

@@ -72,3 +72,18 @@ def test_odd_documents_run_through(spark):
     for _, stage in cp.STAGES:
         empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_repeated_rows_stay_or_go_together(spark):
+    """Rows are judged by their own text; a doc_id is one document from the second stage on."""
+    said = lambda a, b: " ".join(f"word{k % 7} and{k}" for k in range(a, b))
+    docs = spark.createDataFrame(
+        [(1, said(0, 50), "en", "a", 1), (1, said(0, 50), "en", "a", 1), (2, said(0, 51), "en", "a", 1), (3, "12 34", "en", "a", 1), (3, said(60, 90), "en", "a", 1), (4, said(100, 150), "en", "b", 1), (4, said(0, 50), "en", "b", 1), (None, said(200, 230), None, "b", 1), (5, None, "en", "a", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    first = cp.keep_identified_languages(spark, docs, "")
+    assert sorted(r.doc_id or 0 for r in first.collect()) == [0, 1, 1, 2, 3, 4, 4]
+    second = cp.keep_one_of_each_group(spark, first, "")
+    assert sorted(r.doc_id or 0 for r in second.collect()) == [0, 1, 1, 3]
+    taken = cp.mix(spark, second, "")
+    assert {r.doc_id for r in taken.collect()} <= {None, 1, 3} and taken.columns == cp.COLUMNS
