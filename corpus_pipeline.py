@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bidframe.llm.common import materialise, table
 from bidframe.llm.decontam import decontaminate
-from bidframe.llm.langid import UNKNOWN, identify_documents
+from bidframe.llm.langid import keep_identified
 from bidframe.llm.mixing import mix_sources
 from bidframe.llm.neardup import near_duplicates
 from bidframe.llm.tokens import tokenise_documents
@@ -18,16 +18,15 @@ LEAST_SCORE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified. Those with a null doc_id go, as do repeated rows but one: from here on a doc_id is one document."""
-    found = identify_documents(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def keep_identified_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose language is identified. Every row is judged by its own text: repeated rows stay together, and so does a row with a null doc_id, which nothing later can drop by name."""
+    return keep_identified(docs, LEAST_SCORE).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The document with the smallest doc_id of each near-duplicate group. Rows that repeat a doc_id are one document: they stay or go together, and it goes if any of its texts is a copy of an earlier document's."""
+    dropped = materialise(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies")
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark_holders(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +35,10 @@ def drop_benchmark_holders(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Documents as often as the mix takes them; of rows that repeat a doc_id, each as often as the one taken most. Rows with a null doc_id are one document in this."""
+    taken = materialise(mix_sources(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).filter("copies > 0"), "copies")
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
-    ("language_id", keep_identified),
+    ("language_id", keep_identified_languages),
     ("near_duplicates", keep_one_of_each_group),
     ("decontamination", drop_benchmark_holders),
     ("mixing", mix),
