@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from bidframe.llm.common import materialise, unit_hash
 
 #: Ranks of a stratum are counted in this many bins; only the bin that holds the cut is put in order.
-BINS = 4096
+BINS = 512
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -77,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     a source, documents of like size are a stratum, which ``sampling_plan`` gives a number n of its N documents. With
     f = n / N, a document has the inclusion probability p = f + f (1 - f) (size / mean size - 1), so longer ones are
     taken more often and the p of a stratum sum up to n. Documents are ranked by (u / (1 - u)) / (p / (1 - p)), u
-    being a number in [0, 1) that doc_id and seed decide, and the n first are taken. Counts of 4096 rank bins give
+    being a number in [0, 1) that doc_id and seed decide, and the n first are taken. Counts of 512 rank bins give
     the bin in which the n-th lies, so that no task sorts a stratum.
 
     A null text has size 0 and is in no sample. A null source is a source of its own, after the others. Rows that
