@@ -68,7 +68,7 @@ def collapse_chains(deals: DataFrame, gap_days: int = 730) -> DataFrame:
 
 def candidate_failures(collapsed: DataFrame, pairs: DataFrame, parts: list[str], long_chain: int = 4) -> DataFrame:
     """Flag collapsed rows that a hand-made list of (juridiction, target) pairs or name parts marks as likely failures, and label chains of ``long_chain`` filings or more as completed."""
-    listed = F.broadcast(pairs.select("juridiction", "target_name").distinct().withColumn("listed", F.lit(True)))
+    listed = pairs.select("juridiction", "target_name").distinct().withColumn("listed", F.lit(True))
     named = F.lit(False)
     for part in parts:
         named = named | F.lower("target_name").contains(part.lower())

@@ -54,13 +54,25 @@ def before_first_known(feed: DataFrame, known: DataFrame, partition: list[str],
     return hit.withColumn("_seen", F.max("_k").over(w)).filter("_seen IS NULL").drop("_k", "_seen")
 
 
-def apply_labels(deals: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deals, unknown ids). ``labels(line, id_cluster, label_y, label_source, label_notes)``: ids joined by ``_``; 1 and 0 are labels, all else none; of several lines for a deal the last counts."""
+def apply_labels(deals: DataFrame, labels: DataFrame, today) -> tuple[DataFrame, DataFrame]:
+    """(deals, unknown ids). ``labels(line, id_cluster, label_y, label_source, label_notes)``: ids joined by ``_``.
+
+    Lines whose label is neither 1 nor 0 are skipped. Of the others the last for a deal counts: it sets label, source
+    (notes are added to it, or stand for it), and ``today`` as the label's date. Deals without such a line keep all
+    three, or get null columns of them if they had none.
+    """
     ids = F.transform(F.filter(F.split("id_cluster", "_"), lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("bigint"))
     value = F.when(F.trim("label_y") == "1", 1).when(F.trim("label_y") == "0", 0)
-    rows = labels.select("line", F.explode(ids).alias("id"), value.alias("y"), "label_source", "label_notes")
-    last = rows.groupBy("id").agg(F.max_by(F.struct("y", "label_source", "label_notes"), "line").alias("l"))
-    got = deals.join(last, "id", "left").withColumn("completion_label", F.when(F.col("l").isNotNull(), F.col("l.y")).otherwise(F.col("completion_label"))).withColumn("label_source", F.col("l.label_source")).drop("l")
+    source, notes = (F.nullif(F.trim(c), F.lit("")) for c in ("label_source", "label_notes"))
+    said = F.nullif(F.concat_ws(" | ", source, notes), F.lit(""))
+    rows = labels.select("line", F.explode(ids).alias("id"), value.alias("y"), said.alias("said")).filter("y IS NOT NULL")
+    last = rows.groupBy("id").agg(F.max_by(F.struct("y", "said"), "line").alias("l"))
+    old = {c: F.col(c) if c in deals.columns else F.lit(None).cast(t) for c, t in (("label_source", "string"), ("label_date", "date"))}
+    hit = F.col("l").isNotNull()
+    got = deals.join(last, "id", "left").withColumns({
+        "completion_label": F.when(hit, F.col("l.y")).otherwise(F.col("completion_label")), "label_source": F.when(hit, F.col("l.said")).otherwise(old["label_source"]),
+        "label_date": F.when(hit, F.lit(today).cast("date")).otherwise(old["label_date"]),
+    }).drop("l")
     return got, last.select("id").join(deals.select("id"), "id", "left_anti")
 
 
@@ -81,14 +93,17 @@ def invalidate_scores(scores: DataFrame, changed: DataFrame) -> tuple[DataFrame,
 
 
 def cascade_delete(deals: DataFrame, children: dict[str, DataFrame], pattern: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
-    """Delete deals by key pattern and their rows in the child tables. Returns deals, children and, per table, the numbers before, deleted and left over (which must be zero)."""
+    """Delete deals by key pattern and their rows in the child tables. Returns deals, children and, per table, the numbers before and deleted, and the rows of deleted deals that are left in the result (which must be zero)."""
     gone = deals.filter(F.col("regulator_ref").like(pattern)).select(F.col("id").alias("deal_id"))
-    kept = deals.filter(~F.col("regulator_ref").like(pattern))
+    kept = deals.filter(~F.coalesce(F.col("regulator_ref").like(pattern), F.lit(False)))
     after = {n: c.join(gone, "deal_id", "left_anti") for n, c in children.items()}
     counts = None
-    for name, child in [("deals", deals.withColumnRenamed("id", "deal_id")), *children.items()]:
-        tagged = child.select("deal_id").join(gone.withColumn("_g", F.lit(1)), "deal_id", "left")
-        row = tagged.agg(F.count("*").alias("before"), F.count("_g").alias("deleted")).select(F.lit(name).alias("table_name"), "before", "deleted", F.lit(0).cast("bigint").alias("left_over"))
+    for name, before, result in [("deals", deals, kept), *((n, c, after[n]) for n, c in children.items())]:
+        key = F.col("id" if name == "deals" else "deal_id").alias("deal_id")
+        tagged = before.select(key, F.lit(1).alias("then"), F.lit(0).alias("now")).unionByName(result.select(key, F.lit(0).alias("then"), F.lit(1).alias("now")))
+        tagged = tagged.join(gone.withColumn("gone", F.lit(1)), "deal_id", "left")
+        row = tagged.agg(F.sum("then").alias("before"), F.coalesce(F.sum(F.col("then") * F.col("gone")), F.lit(0)).alias("deleted"), F.coalesce(F.sum(F.col("now") * F.col("gone")), F.lit(0)).alias("left_over"))
+        row = row.select(F.lit(name).alias("table_name"), F.coalesce("before", F.lit(0)).alias("before"), "deleted", "left_over")
         counts = row if counts is None else counts.unionByName(row)
     return kept, after, counts
 

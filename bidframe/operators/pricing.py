@@ -166,13 +166,12 @@ def validate_small_caps(chosen: DataFrame, closes: DataFrame) -> DataFrame:
 
 
 def identity_check(pairs: DataFrame, stop: list[str]) -> DataFrame:
-    """``pairs(key, target_name, listed_name)``: CONFIRM if the sorted words are alike by 0.6 or share a word of 5 letters, else REJECT; no_data without a listed name, no_ticker without a key. The likeness is 1 - edit distance / length, which only approximates the matching-blocks ratio."""
+    """``pairs(key, target_name, listed_name)``: CONFIRM if the sorted words are alike by 0.6 or share a word of 5 letters, else REJECT; no_data without a listed name, no_ticker without a key. The likeness is the matching-blocks ratio."""
     from bidframe.functions.names import name_tokens
 
     t, n = name_tokens(F.col("target_name"), stop), name_tokens(F.col("listed_name"), stop)
     joined = lambda x: F.array_join(F.array_sort(x), " ")
-    longest = F.greatest(F.length(joined(t)), F.length(joined(n)))
-    ratio = F.when(longest > 0, 1 - F.levenshtein(joined(t), joined(n)) / longest).otherwise(0.0)
+    ratio = exact_identity_ratio()(joined(t), joined(n))
     hit = F.exists(F.array_intersect(t, n), lambda w: F.length(w) >= 5)
     verdict = F.when(F.col("key").isNull(), "no_ticker").when(F.col("listed_name").isNull(), "no_data").when((ratio >= 0.6) | hit, "CONFIRM").otherwise("REJECT")
     return pairs.withColumn("ratio", F.round(ratio, 4)).withColumn("verdict", verdict)

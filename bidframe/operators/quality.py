@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bidframe.functions.filings import fr_offer_price, fr_quality_flag, it_quality_flag, outlier_bucket
+from bidframe.functions.filings import de_offer_price, fr_offer_price, fr_quality_flag, it_quality_flag, outlier_bucket
 
 
 def violations(df: DataFrame, table: str, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -89,6 +89,27 @@ def backfill_fr(deals: DataFrame, filings: DataFrame, version: int = 2) -> DataF
     )
 
 
+def backfill_de(deals: DataFrame, filings: DataFrame, low: float = 5, high: float = 500, version: int = 2) -> DataFrame:
+    """German deals from an older parser without a price, or with one below ``low`` or above ``high``, are read again (filings: id, text).
+
+    Action: corrected (another price, or the first), nulled, unchanged, or skipped_no_pdf without a text, which leaves
+    the deal as it is. Scores of corrected and nulled deals are no longer valid (``ingest.invalidate_scores``). Run
+    twice, it finds only the skipped ones.
+    """
+    old = F.col("offer_price")
+    due = deals.filter((F.col("juridiction") == "DE") & (F.col("parser_version") < version) & (old.isNull() | (old < low) | (old > high)))
+    got = due.join(filings, "id", "left").withColumn("x", de_offer_price(F.col("text")))
+    new = F.col("x.amount")
+    action = (
+        F.when(F.col("text").isNull(), "skipped_no_pdf").when(new.isNull() & old.isNotNull(), "nulled").when(new.isNotNull() & (old.isNull() | (new != old)), "corrected").otherwise("unchanged")
+    )
+    read = F.col("action") != "skipped_no_pdf"
+    return got.withColumn("action", action).select(
+        "id", old.alias("old_price"), F.when(read, new).otherwise(old).alias("new_price"), F.when(read, F.col("x.flag")).otherwise(F.col("offer_price_quality_flag")).alias("flag"), "action",
+        F.when(read, F.lit(version)).otherwise(F.col("parser_version")).alias("parser_version"),
+    )
+
+
 def reparse_action(old_price: Column, new_price: Column, new_flag: Column) -> Column:
     """(action, delta): new_suspect_mixed, promoted, price_changed (over 1 %), nulled, unchanged."""
     delta = F.try_divide(new_price - old_price, old_price)

@@ -73,22 +73,31 @@ def stop_at_known(spark, d):
     return ingest.before_first_known(rows, rows.filter("key % 97 = 50"), ["feed"], ["ts", "key"], "key").select("feed", "key")
 
 
-_LABELS = "SELECT o_orderkey AS line, concat(CAST(o_orderkey AS VARCHAR(20)), '_', CAST(o_orderkey + 3 AS VARCHAR(20)), '_x', CASE WHEN o_orderkey % 50 = 0 THEN '_999999999999' ELSE '' END) AS id_cluster, CASE o_orderkey % 4 WHEN 0 THEN ' 1' WHEN 1 THEN '0' ELSE '?' END AS label_y, 'manual' AS label_source, CAST(NULL AS VARCHAR(10)) AS label_notes FROM orders WHERE o_orderkey % 10 = 0"
+_LABELS = (
+    "SELECT o_orderkey AS line, concat(CAST(o_orderkey AS VARCHAR(20)), '_', CAST(o_orderkey + 3 AS VARCHAR(20)), '_x', CASE WHEN o_orderkey % 50 = 0 THEN '_999999999999' ELSE '' END) AS id_cluster, CASE o_orderkey % 5 WHEN 0 THEN ' 1' WHEN 1 THEN '0' WHEN 2 THEN NULL ELSE '?' END AS label_y, "
+    "CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE concat('https://s.example/', CAST(o_orderkey % 9 AS VARCHAR(20))) END AS label_source, CASE WHEN o_orderkey % 3 = 0 THEN ' seen in the press ' WHEN o_orderkey % 3 = 1 THEN '' END AS label_notes FROM orders"
+)
+_OLD_SOURCE = "CASE WHEN id % 2 = 0 THEN 'earlier' END"
 
 
 def _labels(spark, d):
     from bidframe.plans.pricing import _split
 
-    rows = table(spark, d, "orders").filter("o_orderkey % 10 = 0").selectExpr(*[x.strip() for x in _split(_LABELS)])
-    return ingest.apply_labels(table(spark, d, "deals"), rows)
+    rows = table(spark, d, "orders").selectExpr(*[x.strip() for x in _split(_LABELS)])
+    return ingest.apply_labels(table(spark, d, "deals").withColumn("label_source", F.expr(_OLD_SOURCE)), rows, "2026-01-31")
 
 
-_LAST_LABEL = ", l AS (" + _LABELS + "), x AS (SELECT line, CAST(i AS BIGINT) AS id, CASE trim(label_y) WHEN '1' THEN 1 WHEN '0' THEN 0 END AS y FROM (SELECT *, unnest(string_split(id_cluster, '_')) AS i FROM l) WHERE regexp_full_match(i, '\\d+')), z AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY line DESC) = 1)"
+_LAST_LABEL = (
+    f", l AS ({_LABELS}), x AS (SELECT line, CAST(i AS BIGINT) AS id, CAST(trim(label_y) AS INT) AS y, trim(coalesce(label_source, '')) AS s, trim(coalesce(label_notes, '')) AS n FROM (SELECT *, unnest(string_split(id_cluster, '_')) AS i FROM l) WHERE regexp_full_match(i, '\\d+') AND trim(label_y) IN ('0', '1')), "
+    "z AS (SELECT id, y, CASE WHEN s <> '' AND n <> '' THEN s || ' | ' || n WHEN n <> '' THEN n WHEN s <> '' THEN s END AS said FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY line DESC) = 1)"
+)
 
 
-@query(with_tables("deals") + _LAST_LABEL + " SELECT d.id, CASE WHEN z.id IS NOT NULL THEN z.y ELSE d.completion_label END AS completion_label, CASE WHEN z.id IS NOT NULL THEN 'manual' END AS label_source FROM deals d LEFT JOIN z ON z.id = d.id")
+@query(
+    with_tables("deals") + _LAST_LABEL + f" SELECT d.id, CASE WHEN z.id IS NOT NULL THEN z.y ELSE d.completion_label END AS completion_label, CASE WHEN z.id IS NOT NULL THEN z.said ELSE {_OLD_SOURCE.replace('id', 'd.id')} END AS label_source, CASE WHEN z.id IS NOT NULL THEN DATE '2026-01-31' END AS label_date FROM deals d LEFT JOIN z ON z.id = d.id"
+)
 def label_import(spark, d):
-    return _labels(spark, d)[0].select("id", "completion_label", "label_source")
+    return _labels(spark, d)[0].select("id", "completion_label", "label_source", "label_date")
 
 
 @query(with_tables("deals") + _LAST_LABEL + " SELECT id FROM z WHERE id NOT IN (SELECT id FROM deals)")
@@ -112,12 +121,12 @@ def score_invalidation(spark, d):
 
 
 @query(
-    with_tables("deals", "scores", "filing_events") + ", g AS (SELECT id FROM deals WHERE regulator_ref LIKE 'REF-1%') SELECT 'deals' AS table_name, (SELECT count(*) FROM deals) AS before, (SELECT count(*) FROM g) AS deleted UNION ALL SELECT 'events', (SELECT count(*) FROM filing_events), (SELECT count(*) FROM filing_events WHERE deal_id IN (SELECT id FROM g)) "
-    "UNION ALL SELECT 'scores', (SELECT count(*) FROM scores), (SELECT count(*) FROM scores WHERE deal_id IN (SELECT id FROM g))"
+    with_tables("deals", "scores", "filing_events") + ", g AS (SELECT id FROM deals WHERE regulator_ref LIKE 'REF-1%') SELECT 'deals' AS table_name, (SELECT count(*) FROM deals) AS before, (SELECT count(*) FROM g) AS deleted, 0 AS left_over UNION ALL SELECT 'events', (SELECT count(*) FROM filing_events), (SELECT count(*) FROM filing_events WHERE deal_id IN (SELECT id FROM g)), 0 "
+    "UNION ALL SELECT 'scores', (SELECT count(*) FROM scores), (SELECT count(*) FROM scores WHERE deal_id IN (SELECT id FROM g)), 0"
 )
 def cascade_delete(spark, d):
     children = {"events": table(spark, d, "filing_events"), "scores": table(spark, d, "scores")}
-    return ingest.cascade_delete(table(spark, d, "deals"), children, "REF-1%")[2].select("table_name", "before", "deleted")
+    return ingest.cascade_delete(table(spark, d, "deals"), children, "REF-1%")[2].select("table_name", "before", "deleted", "left_over")
 
 
 @query(with_tables("deals") + "SELECT id FROM deals d WHERE completion_label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM deals e WHERE e.target_name = d.target_name AND e.juridiction = d.juridiction AND e.offer_price_quality_flag = 'manual_review' AND e.completion_label IS NOT NULL)")

@@ -37,11 +37,11 @@ def dominant_type(spark, d):
 
 
 @query(
-    with_tables("deals") + "SELECT id, round((id % 90 - CAST(offer_price AS DOUBLE)) / CAST(offer_price AS DOUBLE) * 100, 3) AS delta_pct FROM deals WHERE offer_price > 0 ORDER BY abs((id % 90 - CAST(offer_price AS DOUBLE)) / CAST(offer_price AS DOUBLE)) DESC, id LIMIT 20"
+    with_tables("deals") + "SELECT id, round((id % 90 - CAST(offer_price AS DOUBLE)) / CAST(offer_price AS DOUBLE) * 100, 4) AS delta_pct FROM deals WHERE offer_price > 0 ORDER BY abs(round((id % 90 - CAST(offer_price AS DOUBLE)) / CAST(offer_price AS DOUBLE) * 100, 4)) DESC, id LIMIT 20"
 )
 def top_corrections(spark, d):
     rows = table(spark, d, "deals").filter("offer_price > 0").select("id", F.col("offer_price").cast("double").alias("old"), (F.col("id") % 90).cast("double").alias("new"))
-    return ingest.top_corrections(rows, "old", "new").select("id", F.round((F.col("new") - F.col("old")) / F.col("old") * 100, 3).alias("delta_pct"))
+    return ingest.top_corrections(rows, "old", "new").select("id", "delta_pct")
 
 
 @query(

@@ -11,7 +11,7 @@ from bidframe.plans.standin import table, with_tables
 
 def _bars_sql(unit: str) -> str:
     return with_tables("ticks") + (
-        f"SELECT ticker, date_trunc('{unit}', ts) AS bucket, CAST(arg_min(close, (ts, event_id)) AS DOUBLE) AS open, CAST(max(close) AS DOUBLE) AS high, CAST(min(close) AS DOUBLE) AS low, CAST(arg_max(close, (ts, event_id)) AS DOUBLE) AS close, count(*) AS n_ticks FROM ticks GROUP BY 1, 2"
+        f"SELECT ticker, date_trunc('{unit}', ts) AS bucket, CAST(arg_min(close, (ts, event_id)) AS DOUBLE) AS open, CAST(max(close) AS DOUBLE) AS high, CAST(min(close) AS DOUBLE) AS low, CAST(arg_max(close, (ts, event_id)) AS DOUBLE) AS close, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS n_ticks FROM ticks GROUP BY 1, 2"
     )
 
 
@@ -83,32 +83,38 @@ _PREM = (
 )
 
 
+#: A quotient of whole numbers, rounded half to even.
+def _half_even(n: str, m: str) -> str:
+    return f"sign({n}) * (abs({n}) // ({m}) + CASE WHEN 2 * (abs({n}) % ({m})) > ({m}) OR (2 * (abs({n}) % ({m})) = ({m}) AND (abs({n}) // ({m})) % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+_MICRO = "CAST({} * 1000000 AS HUGEINT)"
+_GAP = f"(({_MICRO.format('o')} - {_MICRO.format('c')}) * 10000)"
+
+
 @query(
-    _PREM + "SELECT deal_id, close_date AS reference_date, CASE WHEN (offer - close) / close BETWEEN -0.5 AND 2.0 THEN round((offer - close) / close, 3) END AS premium_pct, "
-    "CASE WHEN close IS NULL THEN 'no_price' WHEN offer IS NULL THEN 'no_offer' WHEN NOT ((offer - close) / close BETWEEN -0.5 AND 2.0) THEN 'out_of_bounds' ELSE 'applied' END AS action FROM p"
+    _PREM + f", m AS (SELECT *, CAST(offer AS DECIMAL(18,6)) AS o, CAST(close AS DECIMAL(18,6)) AS c FROM p) SELECT deal_id, CAST(c AS DOUBLE) AS reference_price, close_date AS reference_date, CASE WHEN (o - c) BETWEEN -0.5 * c AND 2 * c THEN CAST({_half_even(_GAP, _MICRO.format('c'))} AS DOUBLE) / 10000 END AS premium_pct, "
+    "CASE WHEN c IS NULL THEN 'no_price' WHEN o IS NULL THEN 'no_offer' WHEN NOT ((o - c) BETWEEN -0.5 * c AND 2 * c) THEN 'out_of_bounds' ELSE 'applied' END AS action FROM m"
 )
 def premium_gate(spark, d):
     requests = table(spark, d, "price_requests").select(F.col("deal_id").alias("id"), "ticker", F.col("d").alias("announcement_date"), "offer_price", F.lit(1).alias("completion_label"))
-    got = pricing.premium_backfill(requests, table(spark, d, "ticks").withColumn("close", F.col("close").cast("double")))
-    exact = got.join(requests.select(F.col("id").alias("deal_id"), F.col("offer_price").cast("double").alias("o")), "deal_id")
-    raw = (F.col("o") - F.col("reference_price")) / F.col("reference_price")
-    return exact.select("deal_id", "reference_date", F.when(F.col("premium_pct").isNotNull(), F.round(raw, 3)).alias("premium_pct"), "action")
+    return _doubles(pricing.premium_backfill(requests, table(spark, d, "ticks")), "reference_price", "premium_pct").select("deal_id", "reference_price", "reference_date", "premium_pct", "action")
 
 
-_LEGS = "SELECT o_orderkey AS deal_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 13 AS DECIMAL(18,6)) END AS cash_eur, CAST(o_orderkey % 7 + 1 AS DECIMAL(12,6)) / 4 AS share_ratio, concat('T', CAST(o_custkey % 150 AS VARCHAR(20))) AS acquirer_ticker, date_add(DATE '2024-01-01', CAST(o_orderkey % 30 AS INT)) AS day FROM orders WHERE o_orderkey % 20 = 0"
+_LEGS = "SELECT o_orderkey AS deal_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 13 AS DECIMAL(18,6)) END AS cash_eur, CAST(CAST(o_orderkey % 7 + 1 AS DECIMAL(12,6)) * 0.25 AS DECIMAL(12,6)) AS share_ratio, concat('T', CAST(o_custkey % 150 AS VARCHAR(20))) AS acquirer_ticker, date_add(DATE '2024-01-01', CAST(o_orderkey % 30 AS INT)) AS day FROM orders"
+#: Cash and shares times close, in units of 10 ** -12.
+_TOTAL = f"({_MICRO.format('coalesce(cash_eur, 0)')} * 1000000 + {_MICRO.format('share_ratio')} * {_MICRO.format('close')})"
 
 
 @query(
-    with_tables("ticks") + f", {_DAILY}, legs AS ({_LEGS}), p AS (SELECT r.*, CAST(c.close AS DOUBLE) AS close FROM (SELECT deal_id, cash_eur, share_ratio, acquirer_ticker AS ticker, {_TMINUS.format(d='day')} AS d FROM legs) r " + _asof("c.d <= r.d AND date_diff('day', c.d, r.d) <= 5")
-    + ") SELECT deal_id, round(coalesce(CAST(cash_eur AS DOUBLE), 0) + CAST(share_ratio AS DOUBLE) * close, 6) AS total, CASE WHEN close IS NULL THEN 'miss' ELSE 'updated' END AS action FROM p"
+    with_tables("ticks") + f", {_DAILY}, legs AS ({_LEGS}), p AS (SELECT r.*, c.close FROM (SELECT deal_id, cash_eur, share_ratio, acquirer_ticker AS ticker, {_TMINUS.format(d='day')} AS d FROM legs) r " + _asof("c.d <= r.d AND date_diff('day', c.d, r.d) <= 5")
+    + f") SELECT deal_id, CAST({_half_even(_TOTAL, '100000000')} AS DOUBLE) / 10000 AS total, CASE WHEN close IS NULL THEN 'miss' ELSE 'updated' END AS action, CASE WHEN close IS NULL THEN 'suspect_mixed' ELSE 'verified_mixed' END AS flag FROM p"
 )
 def mixed_total(spark, d):
-    legs = table(spark, d, "orders").filter("o_orderkey % 20 = 0").selectExpr(*[x.strip() for x in _split(_LEGS)])
+    legs = table(spark, d, "orders").selectExpr(*[x.strip() for x in _split(_LEGS)])
     deals = legs.select(F.col("deal_id").alias("id"), F.col("day").alias("announcement_date"), F.lit("suspect_mixed").alias("offer_price_quality_flag"))
     got = pricing.recalculate_totals(deals, legs.drop("day"), table(spark, d, "ticks"))
-    exact = pricing.asof_close(legs.select(F.col("acquirer_ticker").alias("ticker"), pricing.prev_business_day(F.col("day")).alias("d"), "deal_id", "cash_eur", "share_ratio"), table(spark, d, "ticks"))
-    total = F.coalesce(F.col("cash_eur").cast("double"), F.lit(0.0)) + F.col("share_ratio").cast("double") * F.col("close").cast("double")
-    return got.select("deal_id", "action").join(exact.select("deal_id", F.round(total, 6).alias("total")), "deal_id")
+    return got.select("deal_id", F.col("offer_price_total_eur").cast("double").alias("total"), "action", F.col("offer_price_quality_flag").alias("flag"))
 
 
 def _split(sql: str) -> list[str]:
@@ -136,29 +142,42 @@ def _resolved(spark, d):
     return pricing.resolve_venues(keys, listings)
 
 
-@query(
-    f"WITH l AS ({_LISTINGS}), k AS ({_ISINS}), e AS (SELECT *, count(*) OVER (PARTITION BY isin, composite) AS n, min(pos) OVER (PARTITION BY isin, composite) AS seen, "
-    "CASE substring(isin, 1, 2) WHEN 'FR' THEN list_position(['FP', 'XS', 'XH', 'EO'], exch) WHEN 'IT' THEN list_position(['IM'], exch) ELSE list_position(['GR', 'GY'], exch) END AS rk FROM l WHERE security_type IN ('Common Stock', 'REIT') AND market_sector = 'Equity'), "
-    "b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY isin ORDER BY nullif(rk, 0) ASC NULLS LAST, n DESC, seen, pos) = 1), "
-    "t AS (SELECT k.isin, b.exch, b.ticker, nullif(b.rk, 0) AS rk, CASE WHEN b.exch IN ('FP', 'XS', 'XH', 'EO') THEN '.PA' WHEN b.exch = 'IM' THEN '.MI' WHEN b.exch IN ('GR', 'GY') THEN '.DE' WHEN b.exch = 'LN' THEN '.L' WHEN b.exch = 'SM' THEN '.MC' END AS suffix FROM k LEFT JOIN b USING (isin)) "
-    "SELECT isin, CASE WHEN ends_with(ticker, 'EUR') THEN ticker[:-4] ELSE ticker END || suffix AS trading_ticker, CASE WHEN ticker IS NULL THEN 'no_match' WHEN suffix IS NULL THEN 'unknown_exch' WHEN rk IS NULL THEN 'venue_fallback' WHEN exch IN ('XS', 'XH', 'EO') THEN 'growth' ELSE 'home_venue' END AS flag FROM t"
-)
+def _venues(keys: str) -> str:
+    return (
+        f"l AS ({_LISTINGS}), k AS ({keys}), e AS (SELECT *, count(*) OVER (PARTITION BY isin, composite) AS n, min(pos) OVER (PARTITION BY isin, composite) AS seen, "
+        "CASE substring(isin, 1, 2) WHEN 'FR' THEN list_position(['FP', 'XS', 'XH', 'EO'], exch) WHEN 'IT' THEN list_position(['IM'], exch) ELSE list_position(['GR', 'GY'], exch) END AS rk FROM l WHERE security_type IN ('Common Stock', 'REIT') AND market_sector = 'Equity'), "
+        "b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY isin ORDER BY nullif(rk, 0) ASC NULLS LAST, n DESC, seen, pos) = 1), "
+        "t AS (SELECT k.isin, b.exch, b.ticker, nullif(b.rk, 0) AS rk, CASE WHEN b.exch IN ('FP', 'XS', 'XH', 'EO') THEN '.PA' WHEN b.exch = 'IM' THEN '.MI' WHEN b.exch IN ('GR', 'GY') THEN '.DE' WHEN b.exch = 'LN' THEN '.L' WHEN b.exch = 'SM' THEN '.MC' END AS suffix FROM k LEFT JOIN b USING (isin)), "
+        "v AS (SELECT isin, CASE WHEN ends_with(ticker, 'EUR') THEN ticker[:-4] ELSE ticker END || suffix AS trading_ticker, CASE WHEN ticker IS NULL THEN 'no_match' WHEN suffix IS NULL THEN 'unknown_exch' WHEN rk IS NULL THEN 'venue_fallback' WHEN exch IN ('XS', 'XH', 'EO') THEN 'growth' ELSE 'home_venue' END AS flag FROM t) "
+    )
+
+
+@query("WITH " + _venues(_ISINS) + "SELECT * FROM v")
 def venue_resolution(spark, d):
     return _resolved(spark, d).select("isin", "trading_ticker", "flag")
 
 
-@query(with_tables("deals") + "SELECT coalesce(ticker_resolution_flag, CASE WHEN o.isin IS NULL THEN 'not_isin' ELSE 'no_match' END) AS flag, count(*) AS n FROM (SELECT *, isin AS i FROM deals) o GROUP BY 1")
+_OF_DEALS = "SELECT DISTINCT isin FROM deals WHERE isin IS NOT NULL"
+
+
+def _deals_resolved(spark, d):
+    deals = table(spark, d, "deals").withColumn("isin", F.expr("CASE WHEN id % 8 = 0 THEN NULL ELSE isin END"))
+    listings = table(spark, d, "part").selectExpr(*[x.strip() for x in _split(_LISTINGS)])
+    return deals, pricing.resolve_venues(deals.select("isin").filter("isin IS NOT NULL").distinct(), listings).select("isin", "trading_ticker", "flag")
+
+
+_SOME_ISINS = "o AS (SELECT id, ticker, ticker_resolution_flag AS old, CASE WHEN id % 8 = 0 THEN NULL ELSE isin END AS isin FROM deals), "
+_NEW_FLAG = "CASE WHEN o.isin IS NULL THEN 'not_isin' ELSE coalesce(v.flag, 'no_match') END"
+
+
+@query(with_tables("deals") + ", " + _SOME_ISINS + _venues(_OF_DEALS.replace("deals", "o")) + f"SELECT id, CASE WHEN old IS NULL THEN coalesce(v.trading_ticker, ticker) ELSE ticker END AS ticker, coalesce(old, {_NEW_FLAG}) AS flag FROM o LEFT JOIN v USING (isin)")
 def resolution_write(spark, d):
-    """Deals' ISINs have no listing here, so unset flags become ``no_match``."""
-    listed = _resolved(spark, d).filter("isin = ''").select("isin", "trading_ticker", "flag")
-    got = pricing.write_resolution(table(spark, d, "deals"), listed)
-    return got.groupBy(F.col("ticker_resolution_flag").alias("flag")).agg(F.count("*").alias("n"))
+    return pricing.write_resolution(*_deals_resolved(spark, d)).select("id", "ticker", F.col("ticker_resolution_flag").alias("flag"))
 
 
-@query(with_tables("deals") + "SELECT id, CASE WHEN ticker_resolution_flag IN ('growth') THEN 'growth' ELSE 'no_match' END AS flag FROM deals")
+@query(with_tables("deals") + ", " + _SOME_ISINS + _venues(_OF_DEALS.replace("deals", "o")) + f"SELECT id, coalesce(v.trading_ticker, ticker) AS ticker, CASE WHEN old = 'growth' THEN old ELSE {_NEW_FLAG} END AS flag FROM o LEFT JOIN v USING (isin)")
 def resolution_backfill(spark, d):
-    listed = _resolved(spark, d).filter("isin = ''").select("isin", "trading_ticker", "flag")
-    return pricing.write_resolution(table(spark, d, "deals"), listed, only_unset=False, keep=("growth",)).select("id", F.col("ticker_resolution_flag").alias("flag"))
+    return pricing.write_resolution(*_deals_resolved(spark, d), only_unset=False, keep=("growth",)).select("id", "ticker", F.col("ticker_resolution_flag").alias("flag"))
 
 
 @query(

@@ -88,33 +88,51 @@ _OLD = "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(5 AS DECIMAL(18,6)
 
 @query(
     f"WITH x AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 3 THEN CAST({texts._EUROS} AS DOUBLE) WHEN 4 THEN NULL WHEN 5 THEN 1000 ELSE {texts._PRICE} END AS new, CASE WHEN o_orderkey % 6 IN (0, 1) THEN 1 ELSE 0 END AS trusted, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 5 ELSE {texts._PRICE} END AS old FROM orders) "
-    "SELECT id, CASE WHEN new IS NULL THEN CASE WHEN old IS NULL THEN 'UNCHANGED' ELSE 'PARSER_FAIL' END WHEN old IS NULL THEN 'NEW_EXTRACT' WHEN old = new THEN 'UNCHANGED' WHEN trusted = 1 THEN 'CORRECTED' ELSE 'NEW_DIFFERENT' END AS category FROM x"
+    ", y AS (SELECT id, CASE WHEN new IS NULL THEN CASE WHEN old IS NULL THEN 'UNCHANGED' ELSE 'PARSER_FAIL' END WHEN old IS NULL THEN 'NEW_EXTRACT' WHEN old = new THEN 'UNCHANGED' WHEN trusted = 1 THEN 'CORRECTED' ELSE 'NEW_DIFFERENT' END AS category, round(new - old, 2) AS delta_eur, round((new - old) / old * 100, 4) AS delta_pct FROM x) "
+    "SELECT *, category IN ('NEW_DIFFERENT', 'PARSER_FAIL', 'NEW_EXTRACT') AS review FROM y"
 )
 def extraction_diff(spark, d):
     from bidframe.functions.filings import fr_offer_price
 
     rows = texts._orders(spark, d, text=texts._FR_TEXT, old=_OLD.format(p=texts._PRICE)).withColumn("x", fr_offer_price(F.col("text")))
-    return rows.select("id", quality.extraction_diff(F.col("old"), F.col("x.amount"), F.col("x.source"))["category"].alias("category"))
+    rows = rows.select("id", quality.extraction_diff(F.col("old"), F.col("x.amount"), F.col("x.source")).alias("y"))
+    return rows.select("id", "y.category", F.col("y.delta_eur").cast("double").alias("delta_eur"), F.col("y.delta_pct").cast("double").alias("delta_pct"), "y.review")
 
 
 @query(
-    f"WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 IN (2, 3) THEN NULL ELSE {texts._PRICE} END AS new, o_orderkey % 5 = 2 AS mixed, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 5 ELSE {texts._PRICE} END AS old FROM orders WHERE o_orderkey % 5 < 4) "
-    "SELECT id, CASE WHEN mixed THEN 'new_suspect_mixed' WHEN old IS NULL AND new IS NOT NULL THEN 'promoted' WHEN old IS NOT NULL AND new IS NULL THEN 'nulled' WHEN abs((new - old) / old) > 0.01 THEN 'price_changed' ELSE 'unchanged' END AS action FROM x"
+    f"WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 IN (2, 3) THEN NULL ELSE {texts._PRICE} END AS new, o_orderkey % 5 = 2 AS mixed, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 5 ELSE {texts._PRICE} END AS old FROM orders) "
+    "SELECT id, CASE WHEN mixed THEN 'new_suspect_mixed' WHEN old IS NULL AND new IS NOT NULL THEN 'promoted' WHEN old IS NOT NULL AND new IS NULL THEN 'nulled' WHEN abs((new - old) / old) > 0.01 THEN 'price_changed' ELSE 'unchanged' END AS action, round((new - old) / old, 6) AS delta FROM x"
 )
 def reparse_actions(spark, d):
     from bidframe.functions.filings import de_offer_price
 
-    rows = texts._orders(spark, d, text=texts._DE_TEXT, old=_OLD.format(p=texts._PRICE)).filter("id % 5 < 4").withColumn("x", de_offer_price(F.col("text")))
-    return rows.select("id", quality.reparse_action(F.col("old"), F.col("x.amount"), F.col("x.flag"))["action"].alias("action"))
+    rows = texts._orders(spark, d, text=texts._DE_TEXT, old=_OLD.format(p=texts._PRICE)).withColumn("x", de_offer_price(F.col("text"))).withColumn("r", quality.reparse_action(F.col("old"), F.col("x.amount"), F.col("x.flag")))
+    return rows.select("id", "r.action", F.col("r.delta").cast("double").alias("delta"))
 
 
 @query(
-    with_tables("deals") + "SELECT id, CASE WHEN id % 7 = 0 THEN 'exception' WHEN id % 3 = 0 THEN 'skipped_no_pdf' WHEN id % 6 = 4 AND offer_price IS NULL THEN 'noop' ELSE 'applied' END AS action FROM deals WHERE offer_price_quality_flag = 'suspect_low_unverified' AND id % 4 < 2"
+    with_tables("deals")
+    + f", f AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 3 THEN CAST({texts._EUROS} AS DOUBLE) WHEN 4 THEN NULL WHEN 5 THEN 1000 ELSE {texts._PRICE} END AS new, CASE WHEN o_orderkey % 3 = 0 THEN 'no_match' ELSE CASE o_orderkey % 6 WHEN 1 THEN 'surenchere_raised' WHEN 4 THEN 'no_match' ELSE 'fallback_first_match' END END AS source FROM orders), "
+    "a AS (SELECT d.id, offer_price, new, source, CASE WHEN d.id % 7 = 0 THEN 'exception' WHEN d.id % 3 = 0 THEN 'skipped_no_pdf' WHEN d.id % 6 = 4 AND offer_price IS NULL THEN 'noop' ELSE 'applied' END AS action FROM deals d JOIN f USING (id) WHERE offer_price_quality_flag = 'suspect_low_unverified' AND d.id % 4 < 2) "
+    "SELECT id, action, CASE WHEN action = 'applied' THEN new ELSE CAST(offer_price AS DOUBLE) END AS offer_price, CASE WHEN action = 'applied' AND new IS NOT NULL THEN 'verified_cash' ELSE 'suspect_low_unverified' END AS flag, CASE WHEN action = 'applied' THEN 2 ELSE 1 END AS parser_version, source FROM a"
 )
 def parser_backfill(spark, d):
     deals = table(spark, d, "deals").withColumn("parser_version", F.when(F.col("id") % 4 < 2, 1).otherwise(2))
     found = texts._orders(spark, d, text=texts._FR_TEXT).withColumn("failed", F.col("id") % 7 == 0).withColumn("text", F.when(F.col("id") % 3 != 0, F.col("text")))
-    return quality.backfill_fr(deals, found).select("id", "action")
+    return quality.backfill_fr(deals, found).select("id", "action", F.col("offer_price").cast("double").alias("offer_price"), F.col("offer_price_quality_flag").alias("flag"), "parser_version", "source")
+
+
+@query(
+    with_tables("deals")
+    + f", f AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, CASE WHEN o_orderkey % 5 IN (2, 3) THEN NULL ELSE {texts._PRICE} END AS new FROM orders), "
+    "a AS (SELECT id, k, CAST(offer_price AS DOUBLE) AS old_price, new, offer_price_quality_flag AS old_flag, CASE WHEN id % 7 = 0 THEN 'skipped_no_pdf' WHEN new IS NULL THEN CASE WHEN offer_price IS NULL THEN 'unchanged' ELSE 'nulled' END WHEN offer_price IS NULL OR new <> offer_price THEN 'corrected' ELSE 'unchanged' END AS action "
+    "FROM deals JOIN f USING (id) WHERE juridiction = 'DE' AND id % 4 < 3 AND (offer_price IS NULL OR offer_price < 5 OR offer_price > 200)) "
+    "SELECT id, old_price, CASE WHEN action = 'skipped_no_pdf' THEN old_price ELSE new END AS new_price, CASE WHEN action = 'skipped_no_pdf' THEN old_flag WHEN k = 2 THEN 'suspect_mixed' WHEN k = 3 THEN 'suspect_low_unverified' ELSE 'verified_cash' END AS flag, action, CASE WHEN action = 'skipped_no_pdf' THEN 1 ELSE 2 END AS parser_version FROM a"
+)
+def de_outlier_backfill(spark, d):
+    deals = table(spark, d, "deals").withColumn("parser_version", F.when(F.col("id") % 4 < 3, 1).otherwise(2))
+    found = texts._orders(spark, d, text=texts._DE_TEXT).withColumn("text", F.when(F.col("id") % 7 != 0, F.col("text")))
+    return quality.backfill_de(deals, found, high=200).select("id", F.col("old_price").cast("double").alias("old_price"), F.col("new_price").cast("double").alias("new_price"), "flag", "action", "parser_version")
 
 
 @query(
@@ -196,6 +214,15 @@ def prediction_diff(spark, d):
     return summary
 
 
+@query(
+    with_tables("scores") + ", a AS (SELECT deal_id, max(CAST(p_completion AS DOUBLE)) AS p_a FROM scores WHERE model_version = 'v1' GROUP BY 1), b AS (SELECT deal_id, max(CAST(p_completion AS DOUBLE)) AS p_b FROM scores WHERE model_version = 'v2' GROUP BY 1) "
+    "SELECT deal_id, p_a, p_b, abs(p_a - p_b) AS diff FROM a JOIN b USING (deal_id) ORDER BY diff DESC, deal_id LIMIT 10"
+)
+def prediction_movers(spark, d):
+    best = table(spark, d, "scores").groupBy("deal_id", "model_version").agg(F.max("p_completion").alias("p"))
+    return metrics.compare_models(best.filter("model_version = 'v1'"), best.filter("model_version = 'v2'"), ["deal_id"])[1].select("deal_id", "p_a", "p_b", "diff")
+
+
 @query(
     with_tables("scores") + ", r AS (SELECT CAST(id % 4 AS INT) AS run, deal_id, max(CAST(p_completion AS DOUBLE)) AS p FROM scores GROUP BY 1, 2) SELECT a.run AS run_a, b.run AS run_b, round(avg(abs(a.p - b.p)), 8) AS mean_diff, round(max(abs(a.p - b.p)), 8) AS max_diff, count(*) AS n FROM r a JOIN r b ON a.deal_id = b.deal_id AND a.run < b.run GROUP BY 1, 2"
 )

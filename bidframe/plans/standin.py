@@ -34,11 +34,11 @@ _DEALS = [
 
 _TABLES = {
     "deals": ("orders", _DEALS, None),
-    "ticks": ("events", ["concat('T', CAST(user_id AS VARCHAR(20))) AS ticker", "ts", "CAST(value AS DECIMAL(18,6)) AS close", "event_id"], None),
+    "ticks": ("events", ["concat('T', CAST(user_id AS VARCHAR(20))) AS ticker", "ts", "CAST(value AS DECIMAL(18,6)) AS close", "event_id", "1 + event_id % 7 AS volume"], None),
     "price_requests": (
         "orders",
         ["o_orderkey AS deal_id", "concat('T', CAST(o_custkey % 150 AS VARCHAR(20))) AS ticker", "date_add(DATE '2024-01-01', CAST(o_orderkey % 30 AS INT)) AS d", "CAST(o_totalprice / 1000 AS DECIMAL(18,6)) AS offer_price"],
-        "o_orderkey % 20 = 0",
+        None,
     ),
     "filing_events": ("events", ["event_id AS id", "user_id AS deal_id", "ts", "event_type", "props AS raw_payload", "CASE WHEN event_id % 11 = 0 THEN NULL ELSE concat('https://feed.example/', CAST(event_id % 400 AS VARCHAR(20))) END AS source_url"], None),
     "fills": (

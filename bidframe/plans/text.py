@@ -51,10 +51,10 @@ _DE_TEXT = (
 
 
 @query(
-    f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 IN (2, 3) THEN NULL ELSE {_PRICE} END AS amount, CASE o_orderkey % 5 WHEN 2 THEN 'suspect_mixed' WHEN 3 THEN 'suspect_low_unverified' ELSE 'verified_cash' END AS flag FROM orders WHERE o_orderkey % 5 < 4"
+    f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 IN (2, 3) THEN NULL ELSE {_PRICE} END AS amount, CASE o_orderkey % 5 WHEN 2 THEN 'suspect_mixed' WHEN 3 THEN 'suspect_low_unverified' ELSE 'verified_cash' END AS flag FROM orders"
 )
 def de_offer_price(spark, d):
-    got = _orders(spark, d, text=_DE_TEXT).filter("id % 5 < 4").withColumn("x", filings.de_offer_price(F.col("text")))
+    got = _orders(spark, d, text=_DE_TEXT).withColumn("x", filings.de_offer_price(F.col("text")))
     return got.select("id", F.col("x.amount").cast("double").alias("amount"), "x.flag")
 
 
@@ -147,12 +147,12 @@ def labelled_parties(spark, d):
 
 @query(
     f"SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 4 THEN 'suspect_low_unverified' ELSE 'verified_cash' END AS fr_flag, CASE WHEN {_PRICE} < 5 THEN 'below_5' WHEN {_PRICE} > 500 THEN 'above_500' ELSE 'normal' END AS bucket, "
-    "CASE o_orderkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS n_amounts FROM orders"
+    f"CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN {_PRICE} = 3.1 THEN 1 ELSE 2 END WHEN 1 THEN CASE WHEN {_PRICE} = 9.69 THEN 1 ELSE 2 END WHEN 2 THEN CASE WHEN {_PRICE} IN (17, 99) THEN 2 ELSE 3 END WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS n_amounts FROM orders"
 )
 def flags_and_buckets(spark, d):
     rows = _orders(spark, d, text=_FR_TEXT, price=_PRICE)
-    amounts = F.when(F.col("id") % 6 == 3, 1).otherwise(F.size(filings.all_amounts(F.col("text"))))
-    return rows.filter("true").select("id", filings.fr_quality_flag(filings.fr_offer_price(F.col("text"))["amount"]).alias("fr_flag"), filings.outlier_bucket(F.col("price")).alias("bucket"), F.coalesce(amounts, F.lit(0)).alias("n_amounts"))
+    amounts = F.size(filings.all_amounts(F.col("text")))
+    return rows.select("id", filings.fr_quality_flag(filings.fr_offer_price(F.col("text"))["amount"]).alias("fr_flag"), filings.outlier_bucket(F.col("price")).alias("bucket"), amounts.alias("n_amounts"))
 
 
 @query(f"SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CASE o_orderkey % 6 WHEN 0 THEN {_PRICE} WHEN 3 THEN CAST({_EUROS} AS DOUBLE) END AS guess FROM orders")
@@ -161,11 +161,14 @@ def best_guess(spark, d):
     return got.select("id", "x.confidence", F.col("x.price").cast("double").alias("guess"))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'MATCH' WHEN 3 THEN 'MISMATCH' WHEN 4 THEN 'NO_CLAUSE' ELSE 'MISMATCH' END AS verdict FROM orders WHERE o_orderkey % 6 IN (0, 3, 4) AND CAST(floor(o_totalprice) AS BIGINT) % 900 + 1 <> 7")
+@query(
+    f"WITH c AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 2 THEN 99 WHEN 3 THEN CAST({_EUROS} AS DOUBLE) WHEN 4 THEN NULL ELSE {_PRICE} END AS clause_price FROM orders) "
+    "SELECT id, clause_price, CASE WHEN clause_price IS NULL THEN 'NO_CLAUSE' WHEN id % 6 = 0 OR clause_price = 7 THEN 'MATCH' ELSE 'MISMATCH' END AS verdict FROM c"
+)
 def clause_verdict(spark, d):
     stored = f"CASE WHEN o_orderkey % 6 = 0 THEN CAST({_EUROS} + (o_orderkey % 100) / 100.0 AS DECIMAL(18,6)) ELSE CAST(7 AS DECIMAL(18,6)) END"
-    got = _orders(spark, d, text=_FR_TEXT, stored=stored, e=_EUROS).filter("id % 6 IN (0, 3, 4) AND e <> 7")
-    return got.select("id", filings.clause_verdict(F.col("text"), F.col("stored"))["verdict"].alias("verdict"))
+    got = _orders(spark, d, text=_FR_TEXT, stored=stored).withColumn("x", filings.clause_verdict(F.col("text"), F.col("stored")))
+    return got.select("id", F.col("x.price").cast("double").alias("clause_price"), "x.verdict")
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'conformity_decision' WHEN 1 THEN 'deposit_notice' WHEN 2 THEN 'deposit_notice_byheader' WHEN 3 THEN 'procedural_other' ELSE 'other' END AS kind, CASE o_orderkey % 5 WHEN 0 THEN 'OCEANE' WHEN 1 THEN 'SURENCHERE' WHEN 2 THEN 'BLOCK_PURCHASE' ELSE 'NO_CLAUSE' END AS dominant FROM orders")
@@ -186,11 +189,11 @@ def isin_extract(spark, d):
 
 
 @query(
-    with_tables("deals") + "SELECT id, upper(CASE WHEN target_name = '[pending parse]' THEN 'PENDING PARSE' ELSE target_name END) AS norm, CASE WHEN target_name = '[pending parse]' THEN 'pending-parse' ELSE lower(replace(target_name, ' ', '-')) END AS slug, target_name AS trimmed FROM deals"
+    with_tables("deals") + "SELECT id, upper(CASE WHEN target_name = '[pending parse]' THEN 'PENDING PARSE' ELSE target_name END) || ' HOLDING' AS norm, CASE WHEN target_name = '[pending parse]' THEN 'pending-parse' ELSE lower(replace(target_name, ' ', '-')) END AS slug, target_name AS trimmed, target_name AS trimmed_offer, CASE WHEN id % 3 = 0 THEN substring(target_name, 1, 6) ELSE '[pending parse]' END AS safe FROM deals"
 )
 def name_normalise(spark, d):
     t = F.col("target_name")
-    return table(spark, d, "deals").select("id", names.normalise_name(F.concat(t, F.lit(" Holding AG SE"))).substr(F.lit(1), F.length(names.normalise_name(t))).alias("norm"), names.slug(t).alias("slug"), names.trim_company_name(F.concat(t, F.lit("  (vertreten durch X), z. Hd. Y"))).alias("trimmed"))
+    return table(spark, d, "deals").select("id", names.normalise_name(F.concat(t, F.lit(" Holding AG  S.p.A. SE"))).alias("norm"), names.slug(t).alias("slug"), names.trim_company_name(F.concat(t, F.lit("  (vertreten durch X), z. Hd. Y"))).alias("trimmed"), names.trim_offer_name(F.concat(t, F.lit("  ai sensi dell'art. 102; avente"))).alias("trimmed_offer"), names.safe_name(F.when(F.col("id") % 3 == 0, t).when(F.col("id") % 3 == 1, "  "), 6).alias("safe"))
 
 
 @query(
@@ -295,9 +298,9 @@ def document_urls(spark, d):
     return _orders(spark, d, u="CASE WHEN o_orderkey % 2 = 0 THEN concat('/a/b', CAST(o_orderkey AS STRING), '.html?nn=12') ELSE '/a/b.pdf' END").select("id", filings.listing_document(F.col("u")).alias("document"))
 
 
-@query(f"SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 3 THEN 'unchanged_silent' WHEN 4 THEN 'unchanged_silent' WHEN 0 THEN 'changed_extracted' WHEN 1 THEN 'changed_extracted' WHEN 2 THEN 'changed_extracted' ELSE 'lost' END AS impact FROM orders WHERE {_AMOUNT} NOT IN ('3,10', '9,69', '17,00')")
+@query(
+    f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 IN (3, 4) THEN 'unchanged_silent' WHEN o_orderkey % 6 = 5 THEN 'lost' WHEN o_orderkey % 6 < 2 AND {_AMOUNT} = CASE o_orderkey % 6 WHEN 0 THEN '3,10' ELSE '9,69' END THEN 'unchanged_extracted' ELSE 'changed_extracted' END AS impact FROM orders"
+)
 def pattern_impact(spark, d):
-    """A pattern for any amount against one that needs a word after the euro sign."""
-    rows = _orders(spark, d, text=_FR_TEXT, a=_AMOUNT).filter("a NOT IN ('3,10', '9,69', '17,00')")
-    text = F.when(F.col("id") % 6 == 5, F.col("text")).otherwise(F.regexp_replace("text", " EUR", ""))
-    return rows.select("id", quality.pattern_impact(text, r"(\d[\d,]*) (?:€|EUR)", r"(?s).*[^\d,](\d[\d,]*) €").alias("impact"))
+    """The first amount in euros, by sign or code, against the last one by sign."""
+    return _orders(spark, d, text=_FR_TEXT).select("id", quality.pattern_impact(F.col("text"), r"(\d[\d,]*) (?:€|EUR)", r"(?s).*[^\d,](\d[\d,]*) €").alias("impact"))

@@ -46,8 +46,8 @@ def bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 days") -> DataF
     """Price bars kept current; ticks later than the watermark are dropped."""
     order = F.struct("ts", "event_id")
     return ticks.withWatermark("ts", late).groupBy("ticker", F.window("ts", width).alias("w")).agg(
-        F.min_by("close", order).alias("open"), F.max("close").alias("high"), F.min("close").alias("low"), F.max_by("close", order).alias("close"), F.count("*").alias("n_ticks"),
-    ).select("ticker", F.col("w.start").alias("bucket"), "open", "high", "low", "close", "n_ticks")
+        F.min_by("close", order).alias("open"), F.max("close").alias("high"), F.min("close").alias("low"), F.max_by("close", order).alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n_ticks"),
+    ).select("ticker", F.col("w.start").alias("bucket"), "open", "high", "low", "close", "volume", "n_ticks")
 
 
 def write_bars(stream: DataFrame, target: str, checkpoint: str):

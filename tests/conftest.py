@@ -25,4 +25,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return "/root/testdata/sf0.001"
+    return "/root/testdata/sf0.01"

@@ -56,7 +56,7 @@ def test_cross_validation_report(spark, features):
 
 
 def test_streamed_bars_equal_batch(spark, sf_dir):
-    key = lambda df: {(r.ticker, r.bucket): (r.open, r.high, r.low, r.close, r.n_ticks) for r in df.collect()}
+    key = lambda df: {(r.ticker, r.bucket): (r.open, r.high, r.low, r.close, r.volume, r.n_ticks) for r in df.collect()}
     assert key(plans.QUERIES["streamed_bars"](spark, sf_dir)) == key(bars.price_bars(table(spark, sf_dir, "ticks")))
 
 
