@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from bidframe.operators.ordering import number_rows
+
 
 def auc_parts(rows: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
     """Exact AUC by average rank. Rows are first counted per distinct prediction, so the running sum goes over distinct values and ties need no ranks of their own."""
@@ -56,14 +58,14 @@ def chronological_folds(rows: DataFrame, k: int = 3, gap_days: int = 90, day: st
 
 def stratified_folds(rows: DataFrame, label: str, k: int = 3, key: str = "id") -> DataFrame:
     """Fold numbers 1..k, contiguous blocks of each class in the order of the key."""
-    w = W.partitionBy(label)
-    n = F.count("*").over(w)
-    at = F.row_number().over(w.orderBy(key)) - 1
+    held = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_held"))
+    rows = number_rows(rows, key, (label,), "_n").join(held, F.col(label).eqNullSafe(F.col("_label")))
+    n, at = F.col("_held"), F.col("_n") - 1
     extra = n % k
     base = F.floor(n / k)
     cut = extra * (base + 1)
     fold = F.when(at < cut, F.floor(at / (base + 1))).otherwise(extra + F.floor((at - cut) / F.greatest(base, F.lit(1))))
-    return rows.withColumn("fold", (fold + 1).cast("int"))
+    return rows.withColumn("fold", (fold + 1).cast("int")).drop("_label", "_held", "_n")
 
 
 def compare_models(a: DataFrame, b: DataFrame, keys: list[str], p: str = "p") -> tuple[DataFrame, DataFrame]:

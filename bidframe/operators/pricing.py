@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bidframe.functions.names import GROWTH_VENUES, HOME_VENUES, broker_symbol, normalise_name, venue_ticker
+from bidframe.operators.ordering import number_rows
 
 
 def prev_business_day(day: Column) -> Column:
@@ -152,7 +153,7 @@ def stale_keys(wanted: DataFrame, cache: DataFrame, now, days: int = 30, batch:
     """Keys without a cache row of the last ``days``, once each, in batches of ``batch`` for an outside service."""
     fresh = cache.filter(F.col("fetched_at") > F.lit(now) - F.make_dt_interval(F.lit(days))).select("key").distinct()
     rows = wanted.select("key").filter("key IS NOT NULL").distinct().join(fresh, "key", "left_anti")
-    return rows.withColumn("batch", F.ceil(F.row_number().over(W.orderBy("key")) / batch).cast("int"))
+    return number_rows(rows, "key").select("key", F.ceil(F.col("n") / batch).cast("int").alias("batch"))
 
 
 def validate_small_caps(chosen: DataFrame, closes: DataFrame) -> DataFrame:
