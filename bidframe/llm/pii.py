@@ -182,8 +182,14 @@ def span_text(spans) -> Column:
 
 
 def sanitise(docs: DataFrame, found: DataFrame, action: str = "generalise", text: str = "text") -> DataFrame:
-    """``docs`` with their texts sanitised: spans of ``found`` become ``[KIND]`` (``generalise``) or vanish (``remove``). Overlapping spans are replaced as one, named after the first. A null text stays null."""
-    spans = found.filter("size(spans) > 0").select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), "spans").dropDuplicates(["_d", "_p"])
+    """``docs`` with their texts sanitised: spans of ``found`` become ``[KIND]`` (``generalise``) or vanish (``remove``).
+
+    Overlapping spans are replaced as one, named after the first. ``found`` is matched by doc_id, null or not, and the
+    text's hash, so rows that repeat a doc_id with another text each get their own spans; a row without any, and a null
+    or empty text, stay as they are. All columns of ``docs`` are returned, whatever their names; an empty table gives
+    an empty result.
+    """
+    spans = found.filter("size(spans) > 0").select(F.struct("doc_id", "print").alias("key"), "spans").dropDuplicates(["key"])
 
     @F.pandas_udf("string")
     def replace(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
@@ -199,5 +205,7 @@ def sanitise(docs: DataFrame, found: DataFrame, action: str = "generalise", text
             out.append(body)
         return pd.Series(out, dtype=object)
 
-    rows = docs.withColumn("_h", F.xxhash64(text)).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_p")), "left")
-    return rows.withColumn(text, replace(F.col(text), F.col("spans"))).select(*docs.columns)
+    key = F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row")[text]).alias("print"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("own", key).join(spans, F.col("own").eqNullSafe(F.col("key")), "left")
+    clean = replace(F.col("row")[text], F.col("spans"))
+    return rows.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

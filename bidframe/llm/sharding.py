@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import pandas_udf
 
-#: Rows of a shard are numbered within this many parts, so that no task numbers a whole shard.
-PARTS = 1 << 16
-
 #: Fixed value of the published algorithm: the multiplier of its generator.
 JUMP_MULTIPLIER = 2862933555777941757
 
@@ -70,6 +67,15 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:
-    """Write all columns of ``docs`` as parquet, in one folder per shard."""
-    docs.withColumn("_shard", jump_shard(F.col(key), shards)).write.partitionBy("_shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", folder: str = "shard", files: int = 8) -> None:
+    """Write all columns of ``docs`` as parquet, in one folder ``<folder>=<number>`` per shard.
+
+    Rows of a shard are dealt to ``files`` files by a hash of the key, so no task holds a shard, and a task doesn't
+    write a little into every one. A null key counts as 0; rows that repeat a key go to one file; null and empty texts
+    are written as they are. An empty table writes no folder. A column that is called ``folder`` is an error, as the
+    folder's name would hide it.
+    """
+    if folder in docs.columns:
+        raise ValueError(f"{folder} is a column of the table; name another folder")
+    rows = docs.withColumn(folder, jump_shard(F.col(key), shards))
+    rows.repartition(shards * files, folder, F.pmod(F.xxhash64(key), F.lit(files))).write.partitionBy(folder).parquet(path)

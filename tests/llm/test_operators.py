@@ -429,6 +429,15 @@ def test_licences_odd(odd, none):
     assert licences.licence_scan(none).count() == 0
 
 
+def plain_jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
 def test_jump_hash():
     keys = np.random.default_rng(0).integers(0, 2**63, 500, dtype=np.uint64)
     for n in (1, 2, 16, 17, 100):
