@@ -237,13 +237,24 @@ def split_audit(spark, d):
 
 
 @query(
-    with_tables("deals", "scores") + ", m AS (SELECT d.juridiction, s.model_version AS v, avg((CAST(s.p_completion AS DOUBLE) - d.completion_label) * (CAST(s.p_completion AS DOUBLE) - d.completion_label)) AS brier FROM scores s JOIN deals d ON d.id = s.deal_id WHERE d.completion_label IS NOT NULL GROUP BY 1, 2) "
-    "SELECT a.juridiction, CASE WHEN abs(a.brier - b.brier) <= 0.005 THEN 'acceptable' ELSE 'regression' END AS verdict FROM m a JOIN m b ON a.juridiction = b.juridiction AND a.v = 'v1' AND b.v = 'v2'"
+    with_tables("deals", "scores")
+    + ", r AS (SELECT s.deal_id, d.juridiction, s.model_version AS v, CAST(s.p_completion AS DOUBLE) AS p, d.completion_label AS y FROM scores s JOIN deals d ON d.id = s.deal_id WHERE d.completion_label IS NOT NULL AND s.model_version IN ('v1', 'v2')), "
+    "k AS (SELECT *, rank() OVER (PARTITION BY juridiction, v ORDER BY p) + (count(*) OVER (PARTITION BY juridiction, v, p) - 1) / 2.0 AS rk FROM r), "
+    "m AS (SELECT juridiction, v, round(avg((p - y) * (p - y)), 8) AS brier, round((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 8) AS auc FROM k GROUP BY 1, 2), "
+    "x AS (SELECT deal_id, juridiction, v, max(p) AS p FROM r GROUP BY 1, 2, 3), g AS (SELECT a.juridiction, b.v, max(abs(a.p - b.p)) AS max_diff FROM x a JOIN x b ON a.deal_id = b.deal_id WHERE a.v = 'v1' GROUP BY 1, 2) "
+    "SELECT a.juridiction, b.v AS against, round(g.max_diff, 8) AS max_diff, b.brier - a.brier AS d_brier, b.auc - a.auc AS d_auc, CASE WHEN g.max_diff <= 1e-10 THEN 'identical' WHEN abs(a.brier - b.brier) <= 0.005 AND abs(a.auc - b.auc) <= 0.01 THEN 'acceptable' ELSE 'regression' END AS verdict "
+    "FROM m a JOIN m b ON a.juridiction = b.juridiction AND a.v = 'v1' JOIN g ON g.juridiction = a.juridiction AND g.v = b.v"
 )
 def no_regression_verdict(spark, d):
-    s = table(spark, d, "scores").select("deal_id", "model_version", F.col("p_completion").cast("double").alias("p"))
+    """Each version against the first, the first itself among them."""
+    s = table(spark, d, "scores").filter("model_version IN ('v1', 'v2')").select("deal_id", "model_version", F.col("p_completion").cast("double").alias("p"))
     deals = table(spark, d, "deals").filter("completion_label IS NOT NULL").select(F.col("id").alias("deal_id"), "juridiction", F.col("completion_label").alias("y"))
-    m = metrics.losses(s.join(deals, "deal_id"), "p", "y", ["juridiction", "model_version"])
-    a, b = (m.filter(F.col("model_version") == v).select("juridiction", F.col("brier").alias(f"brier_{v}")) for v in ("v1", "v2"))
-    one, half = F.lit(1.0), F.lit(0.5)
-    return a.join(b, "juridiction").select("juridiction", metrics.no_regression(one, F.col("brier_v1"), F.col("brier_v2"), half, half).alias("verdict"))
+    rows = s.join(deals, "deal_id")
+    m = metrics.metrics(rows, "p", "y", ["juridiction", "model_version"])
+    best = rows.groupBy("deal_id", "juridiction", "model_version").agg(F.max("p").alias("p"))
+    base = best.filter("model_version = 'v1'").select("deal_id", F.col("p").alias("base"))
+    diff = best.join(base, "deal_id").groupBy("juridiction", F.col("model_version").alias("against")).agg(F.max(F.abs(F.col("p") - F.col("base"))).alias("max_diff"))
+    one = m.filter("model_version = 'v1'").select("juridiction", F.col("brier").alias("brier_a"), F.col("auc").alias("auc_a"))
+    both = m.select("juridiction", F.col("model_version").alias("against"), F.col("brier").alias("brier_b"), F.col("auc").alias("auc_b")).join(one, "juridiction").join(diff, ["juridiction", "against"])
+    verdict = metrics.no_regression(F.col("max_diff"), F.col("brier_a"), F.col("brier_b"), F.col("auc_a"), F.col("auc_b"))
+    return both.select("juridiction", "against", F.round("max_diff", 8).alias("max_diff"), (F.col("brier_b") - F.col("brier_a")).alias("d_brier"), (F.col("auc_b") - F.col("auc_a")).alias("d_auc"), verdict.alias("verdict"))
