@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bidframe.functions.names import acquirer_class, is_cross_border, is_fdi_risk, payment_type
+from bidframe.operators.ordering import number_rows
 
 PEND = "[pending parse]"
 
@@ -66,6 +67,12 @@ def collapse_chains(deals: DataFrame, gap_days: int = 730) -> DataFrame:
     return g.drop("part")
 
 
+def audit_order(collapsed: DataFrame) -> DataFrame:
+    """Collapsed rows in the order of the audit file, by jurisdiction and from the latest first date, with their place ``pos``."""
+    key = F.concat_ws("|", "juridiction", F.lpad((1000000 - F.unix_date("first_date")).cast("string"), 8, "0"), "id_cluster")
+    return number_rows(collapsed.withColumn("_key", key), "_key", name="pos").drop("_key").orderBy("pos")
+
+
 def candidate_failures(collapsed: DataFrame, pairs: DataFrame, parts: list[str], long_chain: int = 4) -> DataFrame:
     """Flag collapsed rows that a hand-made list of (juridiction, target) pairs or name parts marks as likely failures, and label chains of ``long_chain`` filings or more as completed."""
     listed = pairs.select("juridiction", "target_name").distinct().withColumn("listed", F.lit(True))

@@ -51,10 +51,14 @@ def daily_loss(nlv: DataFrame, limit: float = 0.02, by: tuple[str, ...] = ("acco
     return g.withColumn("drawdown", F.round(drawdown, 6)).withColumn("breached", F.coalesce(drawdown >= limit, F.lit(False)))
 
 
-def threshold_crossings(usage: DataFrame, budget: float, marks: tuple[float, ...] = (0.5, 0.75, 0.9)) -> DataFrame:
-    """Rows at which a vendor's running credits of the month cross a mark of the budget."""
+def threshold_crossings(usage: DataFrame, budget: float, marks: tuple[float, ...] = (0.5, 0.75, 0.9), spent: DataFrame | None = None) -> DataFrame:
+    """Rows at which a vendor's running credits of the month cross a mark of the budget; ``spent`` (vendor, year_month, credits) is what was used before these rows."""
     w = W.partitionBy("vendor", "year_month").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0)
-    rows = usage.withColumn("after", F.sum("credits_cost").over(w)).withColumn("before", F.col("after") - F.col("credits_cost"))
+    rows = usage.withColumn("after", F.sum("credits_cost").over(w))
+    if spent is not None:
+        known = spent.select("vendor", "year_month", F.col("credits").alias("_spent"))
+        rows = rows.join(known, ["vendor", "year_month"], "left").withColumn("after", F.col("after") + F.coalesce("_spent", F.lit(0)))
+    rows = rows.withColumn("before", F.col("after") - F.col("credits_cost"))
     rows = rows.withColumn("mark", F.explode(F.array(*[F.lit(m) for m in marks])))
     return rows.filter((F.col("before") < F.col("mark") * budget) & (F.col("after") >= F.col("mark") * budget)).select("vendor", "year_month", "id", "mark", "after")
 

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bidframe.operators.ordering import number_rows
+from bidframe.operators.ordering import number_rows, running_sum
 
 
 def auc_parts(rows: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
-    """Exact AUC by average rank. Rows are first counted per distinct prediction, so the running sum goes over distinct values and ties need no ranks of their own."""
+    """Exact AUC by average rank. Rows are first counted per distinct prediction, so ties need no ranks of their own; the running sum over distinct values is taken range by range, so a group of many predictions is no one task."""
     values = rows.groupBy(*by, p).agg(F.sum((F.col(y) == 1).cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("rank_sum", F.col("pos") * (before + (F.col("n") + 1) / 2))
+    ranked = running_sum(values, p, F.col("n"), tuple(by)).withColumn("rank_sum", F.col("pos") * (F.col("upto") - (F.col("n") - 1) / 2))
     g = ranked.groupBy(*by).agg(F.sum("rank_sum").alias("r"), F.sum("pos").alias("n_pos"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("n_pos")
     auc = F.when((F.col("n_pos") > 0) & (neg > 0), (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * neg))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from bidframe.operators.decisions import call, stars
 from bidframe.operators.metrics import chronological_folds, metrics, stratified_folds
@@ -19,6 +21,10 @@ NUMERIC = ["bid_premium_pct", "relative_size", "min_acceptance_threshold", "days
 CATEGORICAL = ["deal_type", "payment_type", "juridiction", "target_sector", "acquirer_type"]
 BOOLEAN = ["cross_border", "has_irrevocable_undertaking", "fdi_risk_flag"]
 LEAST_LABELS = 20
+#: Labelled rows a task of a solver, about.
+TASK_ROWS = 50_000
+#: Smaller coefficients count as zero.
+ZERO = 1e-9
 
 
 def flatten(features: DataFrame) -> DataFrame:
@@ -29,34 +35,54 @@ def flatten(features: DataFrame) -> DataFrame:
 class ScoringModel:
     """Fitted on a flattened frame with ``label``; everything that is fitted is small, whatever the number of rows."""
 
-    def __init__(self, rounds: int = 3, folds: int = 3):
-        self.rounds, self.folds = rounds, folds
+    def __init__(self, rounds: int = 20, folds: int = 3, tolerance: float = 1e-3):
+        self.rounds, self.folds, self.tolerance = rounds, folds, tolerance
+
+    def _filled(self, chains: list) -> Column:
+        """The numbers as an array, gaps filled by the means and then by the regressions ``chains``, one after the other. The plan is as small for many of them as for one."""
+        filled = F.array(*[F.coalesce(F.col(c), F.lit(self.means[c])) for c in self.numeric])
+        if not chains:
+            return filled
+        gap = F.array(*[F.col(c).isNull() for c in self.numeric])
+        steps = []
+        for c, (weights, shift) in chains:
+            at = self.numeric.index(c)
+            whole = [*weights[:at], 0.0, *weights[at:]]
+            steps.append(F.struct(F.lit(at).alias("at"), F.lit(float(shift)).alias("shift"), F.array(*[F.lit(float(w)) for w in whole]).alias("weights")))
+
+        def step(numbers: Column, s: Column) -> Column:
+            guess = s["shift"] + F.aggregate(F.zip_with(numbers, s["weights"], lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
+            return F.transform(numbers, lambda x, k: F.when((k == s["at"]) & F.get(gap, k), guess).otherwise(x))
+
+        return F.aggregate(F.array(*steps), filled, step)
 
     def _numbers(self, df: DataFrame) -> DataFrame:
         """Missing numbers filled: by the mean, then by the linear regressions fitted in ``_fit_numbers``."""
-        missing = {f"_miss_{c}": F.col(c).isNull() for c in self.numeric}
-        df = df.withColumns(missing).withColumns({c: F.coalesce(F.col(c), F.lit(self.means[c])) for c in self.numeric})
-        for c, (weights, shift) in self.chains:
-            others = [o for o in self.numeric if o != c]
-            guess = sum((F.col(o) * float(w) for o, w in zip(others, weights)), F.lit(float(shift)))
-            df = df.withColumn(c, F.when(F.col(f"_miss_{c}"), guess).otherwise(F.col(c)))
-        df = df.drop(*missing)
+        if self.numeric:
+            df = df.withColumn("_filled", self._filled(self.chains))
+            df = df.withColumns({c: F.get("_filled", F.lit(k)) for k, c in enumerate(self.numeric)}).drop("_filled")
         return df.withColumns({f"z_{c}": (F.col(c) - self.centres[c]) / self.scales[c] for c in self.numeric})
 
     def _fit_numbers(self, df: DataFrame) -> None:
+        """Regressions of each column with gaps on the others, in up to ``rounds`` rounds: until no filled number moves by ``tolerance`` times the largest number or more. Columns without any number are dropped."""
         seen = df.agg(*[F.count(c).alias(c) for c in NUMERIC]).first()
         self.numeric = [c for c in NUMERIC if seen[c]]
         self.means = {c: float(v) for c, v in df.agg(*[F.avg(c).alias(c) for c in self.numeric]).first().asDict().items()}
         self.chains: list = []
         self.centres, self.scales = dict.fromkeys(self.numeric, 0.0), dict.fromkeys(self.numeric, 1.0)
         gaps = [c for c in self.numeric if seen[c] < df.count()]
+        largest = max(df.agg(*[F.max(F.abs(c)) for c in self.numeric]).first(), default=0.0) if self.numeric else 0.0
         for _ in range(self.rounds if gaps and len(self.numeric) > 1 else 0):
+            before = self._filled(list(self.chains))
             for c in gaps:
                 others = [o for o in self.numeric if o != c]
                 filled = self._numbers(df.withColumn("_y", F.col(c))).filter("_y IS NOT NULL")
                 rows = VectorAssembler(inputCols=others, outputCol="_x").transform(filled)
                 fit = LinearRegression(featuresCol="_x", labelCol="_y", regParam=1e-3).fit(rows)
-                self.chains.append((c, (list(fit.coefficients), fit.intercept)))
+                self.chains.append((c, ([float(w) for w in fit.coefficients], float(fit.intercept))))
+            moved = df.agg(F.max(F.array_max(F.zip_with(before, self._filled(self.chains), lambda x, y: F.abs(x - y))))).first()[0]
+            if moved < self.tolerance * largest:
+                break
         done = self._numbers(df).agg(*[F.avg(c).alias(f"m_{c}") for c in self.numeric], *[F.stddev_pop(c).alias(f"s_{c}") for c in self.numeric]).first()
         self.centres = {c: float(done[f"m_{c}"]) for c in self.numeric}
         self.scales = {c: float(done[f"s_{c}"] or 0) or 1.0 for c in self.numeric}
@@ -72,17 +98,18 @@ class ScoringModel:
         ]
         return Pipeline(stages=stages).fit(df.withColumn("label", F.col("label").cast("double")).withColumn("weight", weight))
 
-    def fit(self, rows: DataFrame, version: str = "v1") -> ScoringModel:
-        """Refuses to fit on fewer than 20 labelled rows or one class."""
+    def fit(self, rows: DataFrame, version: str = "v1", calibrate: bool = True) -> ScoringModel:
+        """Refuses to fit on fewer than 20 labelled rows or one class. A model that isn't calibrated has coefficients but can't predict."""
         rows = rows.filter("label IS NOT NULL").cache()  # labelled clusters, read by every fit below
         n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
         if n < LEAST_LABELS or pos in (0, n):
             raise ValueError(f"{n} labelled rows, {pos} of them positive: too few to fit on")
         self._fit_numbers(rows)
-        ready = stratified_folds(self._numbers(rows), "label", self.folds, "representative_deal_id").cache()
+        ready = stratified_folds(self._numbers(rows), "label", self.folds, "representative_deal_id")
+        ready = ready.coalesce(max(1, ceil(n / TASK_ROWS))).cache()  # solvers run a job an iteration: few rows, few tasks
         self.base = self._fit_base(ready)
         self.calibrated = []
-        for k in range(1, self.folds + 1):
+        for k in range(1, self.folds + 1) if calibrate else ():
             base = self._fit_base(ready.filter(F.col("fold") != k))
             held = self._margin(base, ready.filter(F.col("fold") == k)).withColumn("label", F.col("label").cast("double"))
             self.calibrated.append((base, IsotonicRegression(featuresCol="margin", labelCol="label").fit(held)))
@@ -157,48 +184,88 @@ def score_clusters(model: ScoringModel, features: DataFrame) -> DataFrame:
 
 
 def cross_validate(rows: DataFrame, folds: int = 3, gap_days: int = 90) -> DataFrame:
-    """Metrics per time fold and, as fold 0, over all validated rows. A fold that can't be fitted has a note and no metrics."""
+    """Per time fold the rows it trains on and validates, their first and last day, positives, negatives and metrics; fold 0 has the metrics over all validated rows. A fold that can't be fitted has a note and no metrics."""
     spark = rows.sparkSession
     labelled = flatten(rows).filter("label IS NOT NULL").withColumn("day", F.col("earliest_announcement"))
     placed = chronological_folds(labelled, folds, gap_days, "day", "representative_deal_id").cache()
+    valid = F.col("role") == "valid"
+    sides = {"train": ~valid, "valid": valid}
+    ranges = [f(F.when(on, F.col("day"))).alias(f"{side}_{name}") for side, on in sides.items() for f, name in ((F.min, "from"), (F.max, "to"))]
+    held = placed.groupBy("fold").agg(F.count_if(~valid).alias("train_n"), *ranges, F.count_if(valid & (F.col("label") == 0)).alias("n_neg"))
+    held = spark.createDataFrame(held.collect(), held.schema)  # a row per fold
     scored, notes = None, []
     for fold in range(1, folds + 1):
         part = placed.filter(F.col("fold") == fold)
         try:
-            model = ScoringModel(rounds=1).fit(part.filter("role = 'train'").drop("fold", "role"))
+            model = ScoringModel().fit(part.filter("role = 'train'").drop("fold", "role"))
         except ValueError as e:
             notes.append((fold, str(e)))
             continue
         got = model.predict(part.filter("role = 'valid'")).select("fold", "label", "p")
         scored = got if scored is None else scored.unionByName(got)
-    empty = spark.createDataFrame(notes, "fold int, note string")
+    placed.unpersist()
+    failed = spark.createDataFrame(notes, "fold int, note string")
     if scored is None:
-        return empty.withColumn("n", F.lit(None).cast("bigint"))
+        return failed.join(held, "fold", "left").withColumn("n", F.lit(None).cast("bigint"))
     per = metrics(scored.unionByName(scored.withColumn("fold", F.lit(0))), "p", "label", ["fold"]).withColumn("note", F.lit(None).cast("string"))
-    return per.unionByName(empty, allowMissingColumns=True)
+    report = per.unionByName(failed, allowMissingColumns=True).join(held, "fold", "left")
+    return report.withColumn("n_neg", F.when(F.col("note").isNull(), F.coalesce("n_neg", F.col("n") - F.col("n_pos"))))
+
+
+def calibration_curve(predicted: DataFrame, bins: int = 5) -> DataFrame:
+    """(mid, rate, n): the share of positives among rows (label, p) per bin of p."""
+    at = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
+    return predicted.groupBy(F.round((at + 0.5) / bins, 6).alias("mid")).agg(F.round(F.avg(F.col("label").cast("double")), 6).alias("rate"), F.count("*").alias("n"))
 
 
-def validation_text(report: DataFrame) -> str:
-    """The report of ``cross_validate`` as lines of text; it has one row per fold."""
-    lines = ["fold | n | auc | brier | note"]
-    for r in report.orderBy("fold").collect():
-        d = r.asDict()
-        lines.append(" | ".join(str(d.get(k)) for k in ("fold", "n", "auc", "brier", "note")))
+def extreme_coefficients(coefficients: DataFrame, n: int = 5) -> DataFrame:
+    """(side, place, feature, coefficient): the n largest and the n smallest coefficients of a model, of which there are few."""
+    sides = []
+    for side, order in (("top", F.desc("coefficient")), ("bottom", F.asc("coefficient"))):
+        place = F.row_number().over(W.orderBy(order, "feature"))
+        sides.append(coefficients.select(F.lit(side).alias("side"), place.alias("place"), "feature", "coefficient").filter(F.col("place") <= n))
+    return sides[0].unionByName(sides[1])
+
+
+def validation_text(report: DataFrame, curve: DataFrame | None = None, extremes: DataFrame | None = None) -> str:
+    """The report of ``cross_validate`` as lines of text, with the calibration and the extreme coefficients of the model on all rows; these tables have a row per fold, bin and coefficient."""
+
+    def line(*values) -> str:
+        return " | ".join("n/a" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in values)
+
+    names = ["fold", "train_n", "n", "n_pos", "n_neg", "auc", "brier", "train_from", "train_to", "valid_from", "valid_to", "note"]
+    lines = ["Folds by date; fold 0 is all of them", line(*names)]
+    lines += [line(*[r.asDict().get(k) for k in names]) for r in report.orderBy("fold").collect()]
+    if curve is not None:
+        lines += ["Calibration on all rows", line("mid", "rate", "n")] + [line(*r) for r in curve.orderBy("mid").collect()]
+    if extremes is not None:
+        lines += ["Coefficients on all rows", line("side", "place", "feature", "coefficient")] + [line(*r) for r in extremes.orderBy(F.desc("side"), "place").collect()]
     return "\n".join(lines)
 
 
 def coefficient_stability(rows: DataFrame, steps: int = 3) -> DataFrame:
-    """Coefficients of models fitted on ever longer pasts: spread, times zeroed and a verdict per feature."""
+    """Per feature its coefficient on all labelled rows and the rank of its size, and what models fitted on ever longer pasts say: spread, times zeroed and a verdict.
+
+    ``absent``: zero on all rows. ``present``: in two pasts or more and of one sign in all. Else ``indeterminate``.
+    """
     days = flatten(rows).filter("label IS NOT NULL").cache()
-    cuts = [r[0] for r in [days.agg(F.percentile(F.unix_date("earliest_announcement"), (k + 1) / steps)).first() for k in range(steps)]]
+    day = F.unix_date("earliest_announcement")
+    cuts = days.agg(*[F.percentile(day, k / (steps + 1)) for k in range(1, steps + 1)]).first()
     found = None
-    for k, cut in enumerate(cuts):
-        past = days.filter(F.unix_date("earliest_announcement") <= cut)
-        got = ScoringModel(rounds=1).fit(past).coefficients(past).withColumn("step", F.lit(k))
+    for k, past in enumerate([*[days.filter(day <= cut) for cut in cuts], days], 1):
+        got = ScoringModel().fit(past, calibrate=False).coefficients(past).withColumn("step", F.lit(k))
         found = got if found is None else found.unionByName(got)
-    g = found.groupBy("feature").agg(F.min("coefficient").alias("low"), F.max("coefficient").alias("high"), F.count_if(F.abs("coefficient") < 1e-9).alias("zeroed"), F.count("*").alias("steps"))
-    verdict = F.when(F.col("zeroed") == F.col("steps"), "dropped").when(F.signum("low") * F.signum("high") < 0, "unstable").otherwise("stable")
-    return g.withColumn("verdict", verdict)
+    days.unpersist()
+    last, c = F.col("step") == steps + 1, F.col("coefficient")
+    g = found.groupBy("feature").agg(
+        F.max(F.when(last, c)).alias("coefficient"), F.min(F.when(~last, c)).alias("low"), F.max(F.when(~last, c)).alias("high"), F.count_if(~last & (F.abs(c) < ZERO)).alias("zeroed"), F.count_if(~last).alias("steps"),
+        F.count_if(~last & (c > 0)).alias("_up"),
+    )
+    absent = F.coalesce(F.abs("coefficient") < ZERO, F.lit(True))
+    same = (F.col("steps") >= 2) & F.col("_up").isin(0, F.col("steps"))
+    verdict = F.when(absent, "absent").when(same, "present").otherwise("indeterminate")
+    rank = F.when(F.col("coefficient").isNotNull(), F.row_number().over(W.orderBy(F.abs("coefficient").desc_nulls_last(), "feature")))  # a row per feature
+    return g.withColumn("rank", rank).withColumn("verdict", verdict).drop("_up")
 
 
 def version_record(model: ScoringModel, rows: DataFrame, report: DataFrame, corrected: DataFrame) -> DataFrame:

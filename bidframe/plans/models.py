@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,10 +14,12 @@ from bidframe.streaming import streams
 
 
 def _shared(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder that driver and executors share. A cluster must name the place in ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -25,7 +28,7 @@ def _features(spark, d):
 
 
 def _fitted(spark, d):
-    rows = scoring.flatten(_features(spark, d)).cache()
+    rows = scoring.flatten(_features(spark, d))
     return scoring.ScoringModel().fit(rows), rows
 
 
@@ -46,6 +49,16 @@ def cross_validation(spark, d):
     return scoring.cross_validate(_features(spark, d))
 
 
+@query()
+def validation_report(spark, d):
+    """The lines of the report, of which there are a few dozen."""
+    features = _features(spark, d)
+    model, rows = _fitted(spark, d)
+    curve = scoring.calibration_curve(model.predict(rows.filter("label IS NOT NULL")))
+    text = scoring.validation_text(scoring.cross_validate(features), curve, scoring.extreme_coefficients(model.coefficients(rows)))
+    return spark.createDataFrame(list(enumerate(text.split("\n"), 1)), "pos int, line string")
+
+
 @query()
 def coefficient_stability(spark, d):
     return scoring.coefficient_stability(_features(spark, d))
@@ -76,6 +89,14 @@ def streamed_bars(spark, d):
     return streams.current_bars(spark, target)
 
 
+@query()
+def streamed_daily_bars(spark, d):
+    path, schema = _landed(spark, d, "ticks")
+    target = _shared(spark, "bars")
+    streams.write_bars(streams.bars(streams.read_landed(spark, path, schema), "1 day", "7 days"), target, _shared(spark, "checkpoint"))
+    return streams.current_bars(spark, target)
+
+
 @query()
 def streamed_dedup(spark, d):
     path, schema = _landed(spark, d, "filing_events")

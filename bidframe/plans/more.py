@@ -101,8 +101,8 @@ def fresh_pool_decisions(spark, d):
 def version_comparison(spark, d):
     from bidframe.plans.models import _features
 
-    rows = _features(spark, d).cache()
-    model = scoring.ScoringModel(rounds=1).fit(scoring.flatten(rows), "v2")
+    rows = _features(spark, d)
+    model = scoring.ScoringModel().fit(scoring.flatten(rows), "v2")
     corrected = table(spark, d, "deals").filter("id % 40 = 1").select("target_name")
     return scoring.version_record(model, rows, scoring.cross_validate(rows), corrected)
 

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from bidframe.operators import clusters, views
-from bidframe.plans.registry import query
+from bidframe.plans.registry import ORACLE, query
 from bidframe.plans.standin import table, with_tables
 
 _LATEST = "latest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY deal_id ORDER BY id DESC) = 1)"
@@ -263,11 +263,10 @@ def decision_deal(spark, d):
 
 
 @query(
-    with_tables("deals") + ", g AS (SELECT juridiction, target_name, count(*) AS n FROM deals WHERE juridiction <> 'FR' GROUP BY 1, 2), c AS (SELECT juridiction, id, target_name FROM deals WHERE juridiction <> 'FR') "
-    "SELECT juridiction, count(*) AS n_rows, count(*) FILTER (contains(lower(target_name), 'target 12') OR (juridiction = 'IT' AND target_name = 'Target 1')) AS n_flagged, CAST(0 AS BIGINT) AS n_prelabelled FROM c GROUP BY 1"
+    "SELECT juridiction, count(*) AS n_rows, count(*) FILTER (contains(lower(target_name), 'target 12') OR (juridiction = 'IT' AND target_name = 'Target 1')) AS n_flagged, count(*) FILTER (n_filings >= 4) AS n_prelabelled "
+    f"FROM ({ORACLE['fr_chain_collapse']}) GROUP BY 1"
 )
 def collapse_summary(spark, d):
-    """Jurisdictions without chains, where the list of candidate failures alone decides."""
-    rows = clusters.collapse_chains(table(spark, d, "deals").filter("juridiction <> 'FR'"))
+    rows = clusters.collapse_chains(table(spark, d, "deals"))
     pairs = spark.createDataFrame([("IT", "Target 1")], "juridiction string, target_name string")
     return clusters.collapse_summary(clusters.candidate_failures(rows, pairs, ["Target 12"]))

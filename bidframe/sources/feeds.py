@@ -136,4 +136,6 @@ def document_links(pages: DataFrame, pattern: str = r"/(\d{4})/([A-Za-z0-9-]+)/(
 
 
 def label_file(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("id_cluster string, juridiction string, target_name string, label_y string, label_source string, label_notes string").csv(path, header=True)
+    """The lines of a label file, numbered in their order, which ``apply_labels`` needs; several files have no order among each other."""
+    lines = spark.read.schema("id_cluster string, juridiction string, target_name string, label_y string, label_source string, label_notes string").csv(path, header=True, escape='"')
+    return lines.withColumn("line", F.monotonically_increasing_id())

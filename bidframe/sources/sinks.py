@@ -24,8 +24,8 @@ def describe_filing(kind: Column, target: Column, acquirer: Column) -> Column:
 
 
 def write_audit(df: DataFrame, path: str, columns: list[str]) -> None:
-    """CSV with a fixed order of columns."""
-    df.select(*columns).write.csv(path, header=True)
+    """CSV with a fixed order of columns; quotes within values are doubled."""
+    df.select(*columns).write.csv(path, header=True, escape='"')
 
 
 def append_scores(scores: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from bidframe.operators.bars import price_bars
 from bidframe.operators.ledger import threshold_crossings
 
 
@@ -43,11 +44,8 @@ def ingest(filings: DataFrame, target: str, checkpoint: str, key: list[str]):
 
 
 def bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 days") -> DataFrame:
-    """Price bars kept current; ticks later than the watermark are dropped."""
-    order = F.struct("ts", "event_id")
-    return ticks.withWatermark("ts", late).groupBy("ticker", F.window("ts", width).alias("w")).agg(
-        F.min_by("close", order).alias("open"), F.max("close").alias("high"), F.min("close").alias("low"), F.max_by("close", order).alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n_ticks"),
-    ).select("ticker", F.col("w.start").alias("bucket"), "open", "high", "low", "close", "volume", "n_ticks")
+    """Price bars kept current; ticks later than the watermark are dropped. Daily bars look back 7 days."""
+    return price_bars(ticks.withWatermark("ts", late), width)
 
 
 def write_bars(stream: DataFrame, target: str, checkpoint: str):
@@ -105,12 +103,15 @@ def closed_positions(fills: DataFrame) -> DataFrame:
     return fills.groupBy("deal_id").transformWithStateInPandas(PositionFold(), outputStructType=POSITION_ROW, outputMode="Append", timeMode="None")
 
 
-def budget_alerts(usage: DataFrame, history: str, checkpoint: str, budget: float, alert: Callable[[DataFrame, int], None]):
-    """Append usage to ``history`` and hand each batch's own threshold crossings to ``alert``."""
+def budget_alerts(usage: DataFrame, totals: str, checkpoint: str, budget: float, alert: Callable[[DataFrame, int], None]):
+    """Hand each batch's threshold crossings to ``alert``. ``totals`` keeps the credits per vendor and month after each batch, so a batch reads its own usage and the totals before it; one that runs again writes the same."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        every = batch.sparkSession.read.parquet(f"{history}/batch=*")
-        alert(threshold_crossings(every, budget).join(batch.select("id"), "id", "left_semi"), number)
+        spark = batch.sparkSession
+        spent = spark.read.parquet(f"{totals}/batch={number - 1}") if number else None
+        alert(threshold_crossings(batch, budget, spent=spent), number)
+        used = batch.select("vendor", "year_month", F.col("credits_cost").cast("bigint").alias("credits"))
+        every = used if spent is None else used.unionByName(spent)
+        every.groupBy("vendor", "year_month").agg(F.sum("credits").alias("credits")).write.mode("overwrite").parquet(f"{totals}/batch={number}")
 
     return run_available(usage.writeStream.foreachBatch(put), checkpoint)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bidframe import plans
 from bidframe.operators import bars, clusters, ledger, scoring
 from bidframe.plans.standin import table
+from bidframe.streaming import streams
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def features(spark, sf_dir):
 
 @pytest.fixture(scope="module")
 def model(features):
-    return scoring.ScoringModel(rounds=1).fit(scoring.flatten(features))
+    return scoring.ScoringModel().fit(scoring.flatten(features))
 
 
 def test_scores_are_probabilities(features, model):
@@ -50,9 +51,48 @@ def test_save_and_load(spark, features, model, tmp_path):
     assert a == pytest.approx(b)
 
 
-def test_cross_validation_report(spark, features):
+def test_gaps_are_filled_until_settled(spark):
+    """Where two columns fix each other, regressions find a gap's number, and the rounds end by themselves."""
+    rows = spark.range(200).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") * 2.0 + 1).alias("bid_premium_pct"), F.when(F.col("id") % 5 != 3, F.col("id") * 1.0).alias("events_count"), F.lit(None).cast("double").alias("relative_size"), F.lit(0.5).alias("min_acceptance_threshold"),
+        F.lit(None).cast("double").alias("days_to_expected_close"), "id",
+    )
+    model = scoring.ScoringModel()
+    model._fit_numbers(rows)
+    assert model.numeric == ["bid_premium_pct", "min_acceptance_threshold", "events_count"] and 2 < len(model.chains) < 40
+    got = {r.id: r for r in model._numbers(rows).collect()}
+    assert got[100].bid_premium_pct == 201.0 and got[70].bid_premium_pct == pytest.approx(141, abs=3) and got[93].events_count == pytest.approx(93, abs=3)
+
+
+def test_cross_validation_report(features, model):
     report = scoring.cross_validate(features, folds=2)
-    assert {r.fold for r in report.collect()} >= {0} and "fold | n" in scoring.validation_text(report)
+    got = {r.fold: r for r in report.collect()}
+    assert set(got) == {0, 1, 2}
+    assert all(r.train_to < r.valid_from and r.n == r.n_pos + r.n_neg for f, r in got.items() if f)
+    assert got[0].n == got[1].n + got[2].n and got[0].n_neg == got[1].n_neg + got[2].n_neg
+    labelled = scoring.flatten(features).filter("label IS NOT NULL")
+    curve, extremes = scoring.calibration_curve(model.predict(labelled)), scoring.extreme_coefficients(model.coefficients(labelled))
+    lines = scoring.validation_text(report, curve, extremes).split("\n")
+    assert lines[1].startswith("fold | train_n | n") and sum(x.startswith(("top | ", "bottom | ")) for x in lines) == 10
+    at = lines.index("Calibration on all rows")
+    assert sum(int(x.split(" | ")[2]) for x in lines[at + 2 : lines.index("Coefficients on all rows")]) == labelled.count()
+
+
+def test_report_names_folds_that_cannot_be_fitted(spark, features):
+    few = features.filter("label IS NOT NULL").orderBy("representative_deal_id").limit(30)
+    notes = scoring.cross_validate(few, folds=2)
+    assert notes.filter("note IS NOT NULL").count() >= 1 and "too few" in scoring.validation_text(notes)
+
+
+def test_extremes_curve_and_stability(spark, features):
+    c = spark.createDataFrame([(f"f{k}", k - 5.0) for k in range(11)], "feature string, coefficient double")
+    got = {(r.side, r.place): r.feature for r in scoring.extreme_coefficients(c).collect()}
+    assert len(got) == 10 and got["top", 1] == "f10" and got["bottom", 1] == "f0" and got["bottom", 5] == "f4"
+    p = spark.createDataFrame([(0.1, 0), (0.15, 1), (1.0, 1)], "p double, label int")
+    assert {tuple(r) for r in scoring.calibration_curve(p).collect()} == {(0.1, 0.5, 2), (0.9, 1.0, 1)}
+    rows = scoring.coefficient_stability(features, 2).collect()
+    assert sorted(r["rank"] for r in rows if r["rank"]) == list(range(1, 1 + sum(r["rank"] is not None for r in rows)))
+    assert all((r.verdict == "absent") == (r.coefficient is None or abs(r.coefficient) < 1e-9) for r in rows)
 
 
 def test_streamed_bars_equal_batch(spark, sf_dir):
@@ -60,6 +100,24 @@ def test_streamed_bars_equal_batch(spark, sf_dir):
     assert key(plans.QUERIES["streamed_bars"](spark, sf_dir)) == key(bars.price_bars(table(spark, sf_dir, "ticks")))
 
 
+def test_streamed_daily_bars_equal_batch(spark, sf_dir):
+    key = lambda df: {(r.ticker, r.bucket): (r.open, r.high, r.low, r.close, r.volume, r.n_ticks) for r in df.collect()}
+    assert key(plans.QUERIES["streamed_daily_bars"](spark, sf_dir)) == key(bars.price_bars(table(spark, sf_dir, "ticks"), "1 day"))
+
+
+def test_alerts_run_on_from_batch_to_batch(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id", "concat('v', id % 2) AS vendor", "timestamp_seconds(id * 60) AS ts", "CAST(5 + id % 3 AS INT) AS credits_cost", "'2024-01' AS year_month")
+    for k in range(3):
+        rows.filter(f"id >= {20 * k} AND id < {20 * k + 20}").coalesce(1).write.parquet(f"file://{tmp_path}/in/part={k}")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    alerts = f"file://{tmp_path}/alerts"
+    stream = streams.read_landed(spark, f"file://{tmp_path}/in/*", schema, files=1)
+    streams.budget_alerts(stream, f"file://{tmp_path}/totals", f"file://{tmp_path}/check", 150.0, lambda rows, number: rows.write.mode("overwrite").parquet(f"{alerts}/batch={number}"))
+    got = {tuple(r) for r in spark.read.parquet(f"{alerts}/batch=*").select("vendor", "year_month", "id", "mark", "after").collect()}
+    want = ledger.threshold_crossings(rows, 150.0)
+    assert got == {tuple(r) for r in want.collect()} and len(got) == 6
+
+
 def test_streamed_positions_equal_batch(spark, sf_dir):
     batch = ledger.positions(table(spark, sf_dir, "fills")).filter("status = 'closed'").collect()
     got = plans.QUERIES["streamed_positions"](spark, sf_dir).collect()

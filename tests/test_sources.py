@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bidframe.functions import filings
-from bidframe.operators import pricing
+from bidframe.operators import ingest, pricing
 from bidframe.sources import feeds, sinks
 
 RSS = """<?xml version="1.0"?><rss><channel>
@@ -31,6 +31,11 @@ def test_label_file_and_sinks(spark, tmp_path):
     (tmp_path / "l.csv").write_text("id_cluster,juridiction,target_name,label_y,label_source,label_notes\n1_2,FR,Alpha,1,manual,\n")
     labels = feeds.label_file(spark, f"file://{tmp_path}/l.csv")
     assert labels.first().id_cluster == "1_2"
+    (tmp_path / "two.csv").write_text("id_cluster,juridiction,target_name,label_y,label_source,label_notes\n" + "".join(f"7,FR,\"Alpha \"\"A\"\", SA\",{y},s{k},\n" for k, y in enumerate(["1", "0", "?"])))
+    deals = spark.createDataFrame([(7, None)], "id long, completion_label int")
+    two = feeds.label_file(spark, f"file://{tmp_path}/two.csv")
+    last = ingest.apply_labels(deals, two, "2026-01-31")[0].first()
+    assert two.first().target_name == 'Alpha "A", SA' and (last.completion_label, last.label_source) == (0, "s1")
     sinks.write_audit(labels, f"file://{tmp_path}/out", ["label_y", "id_cluster"])
     assert spark.read.csv(f"file://{tmp_path}/out", header=True).columns == ["label_y", "id_cluster"]
     sinks.append_scores(labels, f"file://{tmp_path}/scores")
