@@ -207,9 +207,13 @@ def cross_validate(rows: DataFrame, folds: int = 3, gap_days: int = 90) -> DataF
     failed = spark.createDataFrame(notes, "fold int, note string")
     if scored is None:
         return failed.join(held, "fold", "left").withColumn("n", F.lit(None).cast("bigint"))
+    scored = scored.cache()  # validated rows, read for several metrics
     per = metrics(scored.unionByName(scored.withColumn("fold", F.lit(0))), "p", "label", ["fold"]).withColumn("note", F.lit(None).cast("string"))
     report = per.unionByName(failed, allowMissingColumns=True).join(held, "fold", "left")
-    return report.withColumn("n_neg", F.when(F.col("note").isNull(), F.coalesce("n_neg", F.col("n") - F.col("n_pos"))))
+    report = report.withColumn("n_neg", F.when(F.col("note").isNull(), F.coalesce("n_neg", F.col("n") - F.col("n_pos"))))
+    report = spark.createDataFrame(report.collect(), report.schema)  # a row per fold
+    scored.unpersist()
+    return report
 
 
 def calibration_curve(predicted: DataFrame, bins: int = 5) -> DataFrame:
