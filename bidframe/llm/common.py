@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder made for runs on this machine alone, once it is needed.
+_own_dir: list[str] = []
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, as a URI: Hadoop's default file system where the path names none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/+", "file:///", uri).rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one is made here if all runs on this machine; a cluster must name its own."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``, as a URI. Where it is unset, one is made here if all runs on this machine; a cluster must name its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
+        path = _own_dir[0]
+    return qualified(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bidframe.llm.common import materialise, shared_dir
+from bidframe.llm.common import materialise, qualified, shared_dir
 from bidframe.llm.words import portions
 
 MAGIC = b"BPZ1"
@@ -303,8 +303,6 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
 
 
 def tokenise_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, planes: str = "byte", path: str | None = None) -> DataFrame:
-    """Write the token files of all documents and read them back; repeated doc_ids follow each other. An empty table writes no file and gives no rows. ``path`` is a URI that driver and executors share."""
-    path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    if "://" not in path:
-        raise ValueError(f"not a URI: {path}")
+    """Write the token files of all documents and read them back; repeated doc_ids follow each other. An empty table writes no file and gives no rows. ``path`` is a folder that driver and executors share; without a file system's name it is on Hadoop's default one."""
+    path = qualified(docs.sparkSession, path) if path else f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     return read_token_files(write_token_files(docs, tokenizer, path, end_id, planes), path)

@@ -1,11 +1,13 @@
 """What writes or rewrites texts: sanitising and shard folders, on odd rows and clashing columns."""
 
+import os
 import tempfile
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from bidframe.llm import pii, sharding
+from bidframe.llm import pii, sharding, tokens
 
 
 @pytest.mark.parametrize("action,one,two", [("generalise", "write to [EMAIL] or [IP].", "[EMAIL]"), ("remove", "write to  or .", "")])
@@ -35,3 +37,17 @@ def test_write_shards(spark):
     assert all(r.shard == sharding.jump_hash(np.array([r.doc_id or 0], dtype=np.uint64), 4)[0] for r in got)
     with pytest.raises(ValueError):
         sharding.write_shards(docs, path + "2", folder="part")
+
+
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}"])
+def test_forms_of_the_shared_folder(spark, form):
+    """Token files and intermediate tables are written wherever spark.checkpoint.dir points, with or without a file system's name."""
+    folder, before = tempfile.mkdtemp(prefix="spark-"), spark.conf.get("spark.checkpoint.dir")
+    docs = spark.createDataFrame([(2, "two words"), (1, None), (3, "three more words")], "doc_id long, text string")
+    spark.conf.set("spark.checkpoint.dir", form.format(folder))
+    try:
+        got = sorted(tuple(r) for r in tokens.tokenise_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect())
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+    assert [r[:3] for r in got] == [(1, 0, 1), (2, 1, 3), (3, 4, 4)]
+    assert any(f.endswith(".bpz") for _, _, files in os.walk(folder) for f in files)
