@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidframe.llm.align import align_tokenizers
 from bidframe.llm.common import table
 from bidframe.llm.decontam import contaminated
 from bidframe.llm.langid import identify_documents
@@ -22,6 +23,7 @@ from bidframe.llm.urlfilter import filter_urls
 
 #: Where the tokenizers' vocabularies lie is up to this package.
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(OTHER_TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_near_duplicates, op3_top_k, op4_decontaminate, op5_mix_sources, op6_token_files, op7_url_filter, op8_personal_data, op9_licence_scan, op10_shards)
+    found = (op1_language_id, op2_near_duplicates, op3_top_k, op4_decontaminate, op5_mix_sources, op6_token_files, op7_url_filter, op8_personal_data, op9_licence_scan, op10_shards, op11_align_tokenizers)
     return {f.__name__: f for f in found}
