@@ -40,14 +40,11 @@ def test_write_shards(spark):
 
 
 @pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}"])
-def test_forms_of_the_shared_folder(spark, form):
+def test_forms_of_the_shared_folder(spark, monkeypatch, form):
     """Token files and intermediate tables are written wherever spark.checkpoint.dir points, with or without a file system's name."""
-    folder, before = tempfile.mkdtemp(prefix="spark-"), spark.conf.get("spark.checkpoint.dir")
+    folder, real = tempfile.mkdtemp(prefix="spark-"), type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *rest: form.format(folder) if key == "spark.checkpoint.dir" else real(self, key, *rest))
     docs = spark.createDataFrame([(2, "two words"), (1, None), (3, "three more words")], "doc_id long, text string")
-    spark.conf.set("spark.checkpoint.dir", form.format(folder))
-    try:
-        got = sorted(tuple(r) for r in tokens.tokenise_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    got = sorted(tuple(r) for r in tokens.tokenise_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect())
     assert [r[:3] for r in got] == [(1, 0, 1), (2, 1, 3), (3, 4, 4)]
     assert any(f.endswith(".bpz") for _, _, files in os.walk(folder) for f in files)
