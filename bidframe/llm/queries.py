@@ -17,6 +17,7 @@ from bidframe.llm.mixing import mix_sources
 from bidframe.llm.neardup import near_duplicates
 from bidframe.llm.pii import KINDS, find_personal_data, span_text
 from bidframe.llm.sharding import assign_shards
+from bidframe.llm.simhash import simhash_duplicates
 from bidframe.llm.tokens import tokenise_documents
 from bidframe.llm.topk import top_k
 from bidframe.llm.urlfilter import filter_urls
@@ -80,6 +81,10 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(OTHER_TOKENIZER))
 
 
+def op12_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_near_duplicates, op3_top_k, op4_decontaminate, op5_mix_sources, op6_token_files, op7_url_filter, op8_personal_data, op9_licence_scan, op10_shards, op11_align_tokenizers)
+    found = (op1_language_id, op2_near_duplicates, op3_top_k, op4_decontaminate, op5_mix_sources, op6_token_files, op7_url_filter, op8_personal_data, op9_licence_scan, op10_shards, op11_align_tokenizers, op12_simhash_duplicates)
     return {f.__name__: f for f in found}
