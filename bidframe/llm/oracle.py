@@ -1,6 +1,6 @@
 """DuckDB SQL for the corpus queries that SQL can say.
 
-Not here: language ID and token files (model and tokenizer), URL rules (mined), personal data (possessive patterns and corpus statistics), decontamination (hashes of placeholders); the tests hold these against brute force.
+Not here: language ID, token files and alignment (model and tokenizers), fingerprints (XXH64), URL rules (mined), personal data (possessive patterns and corpus statistics), decontamination (hashes of placeholders); the tests hold these against brute force.
 """
 
 from __future__ import annotations
@@ -147,6 +147,30 @@ SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, a.shard, row_number() OVER
 FROM s JOIN e a ON a.id = s.doc_id AND a.n = 16 JOIN e g ON g.id = s.doc_id AND g.n = 17
 """
 
+#: Every prefix is a list of all its turns, and every subtree a join of lists, so this is for small tables.
+OP13 = """
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (
+    SELECT conv_id, turns, conv_id - conv_id % 5 AS donor,
+        xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda c, b: xor(c // 256, crc.t[xor(c % 256, b) + 1])), CAST(4294967295 AS BIGINT)) % 9 AS h
+    FROM own, crc
+),
+c AS (SELECT h.conv_id, list_concat(coalesce(d.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN own d ON d.conv_id = h.donor),
+p AS (SELECT conv_id, len(turns) AS n, CAST(d AS BIGINT) AS depth, turns[1:d] AS prefix FROM c, range(0, len(turns) + 1) t(d)),
+node AS (
+    SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256,
+        (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(coalesce(prefix[depth].text, ''))) END AS own_saved
+    FROM p GROUP BY prefix, depth
+),
+kid AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kid USING (prefix)),
+sub AS (SELECT u.prefix[1:d] AS prefix, sum(u.own_saved) AS saved_tokens, count(*) FILTER (u.n_children = 0) AS n_leaves FROM full_node u, range(0, u.depth + 1) t(d) GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN sub s USING (prefix) LEFT JOIN full_node q ON f.depth > 0 AND q.prefix = f.prefix[1:f.depth - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": OP2, "op3_top_k": OP3, "op5_mix_sources": OP5, "op9_licence_scan": _op9(), "op10_shards": OP10}
+    return {"op2_near_duplicates": OP2, "op3_top_k": OP3, "op5_mix_sources": OP5, "op9_licence_scan": _op9(), "op10_shards": OP10, "op13_conversation_trie": OP13}

@@ -16,6 +16,7 @@ from bidframe.llm.licences import licence_scan
 from bidframe.llm.mixing import mix_sources
 from bidframe.llm.neardup import near_duplicates
 from bidframe.llm.pii import KINDS, find_personal_data, span_text
+from bidframe.llm.prefixtrie import conversation_trie
 from bidframe.llm.sharding import assign_shards
 from bidframe.llm.simhash import simhash_duplicates
 from bidframe.llm.tokens import tokenise_documents
@@ -85,6 +86,10 @@ def op12_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_near_duplicates, op3_top_k, op4_decontaminate, op5_mix_sources, op6_token_files, op7_url_filter, op8_personal_data, op9_licence_scan, op10_shards, op11_align_tokenizers, op12_simhash_duplicates)
+    found = (op1_language_id, op2_near_duplicates, op3_top_k, op4_decontaminate, op5_mix_sources, op6_token_files, op7_url_filter, op8_personal_data, op9_licence_scan, op10_shards, op11_align_tokenizers, op12_simhash_duplicates, op13_conversation_trie)
     return {f.__name__: f for f in found}
