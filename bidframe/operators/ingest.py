@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bidframe.functions.names import PEND
+from bidframe.operators.ordering import number_rows
 
 KEY = ["juridiction", "regulator_ref"]
 DEFAULT_FLAG = "suspect_low_unverified"
@@ -20,31 +21,68 @@ def latest_filings(filings: DataFrame, order: list[Column]) -> DataFrame:
     return filings.withColumn("_n", F.row_number().over(W.partitionBy(*KEY).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def upsert_filings(deals: DataFrame, filings: DataFrame, today, fallback_type: str = "opa") -> tuple[DataFrame, DataFrame]:
-    """(new deals, filing events). Filings with a new key are inserted with defaults, each with one event; known deals only get a missing document path, and price, flag and version while their flag is still the default."""
-    new = filings.join(deals.select(*KEY), KEY, "left_anti").select(
-        *KEY, F.coalesce("target_name", F.lit(PEND)).alias("target_name"), F.coalesce("acquirer_name", F.lit(PEND)).alias("acquirer_name"), F.coalesce("announcement_date", F.lit(today).cast("date")).alias("announcement_date"),
-        F.coalesce("deal_type", F.lit(fallback_type)).alias("deal_type"), F.lit("announced").alias("status"), F.coalesce("currency", F.lit("EUR")).alias("currency"), "offer_price",
-        F.coalesce("offer_price_quality_flag", F.lit(DEFAULT_FLAG)).alias("offer_price_quality_flag"), "pdf_path", F.coalesce("parser_version", F.lit(1)).alias("parser_version"),
-    )
-    fresh = filings.select(*KEY, F.col("pdf_path").alias("_path"), F.col("offer_price").alias("_price"), F.col("offer_price_quality_flag").alias("_flag"), F.col("parser_version").alias("_version"))
-    open_ = (F.col("offer_price_quality_flag") == DEFAULT_FLAG) & F.col("_flag").isNotNull()
-    old = deals.join(fresh, KEY, "left").select(
-        *[c for c in new.columns if c not in ("offer_price", "offer_price_quality_flag", "pdf_path", "parser_version")],
-        F.when(open_, F.col("_price")).otherwise(F.col("offer_price")).alias("offer_price"), F.when(open_, F.col("_flag")).otherwise(F.col("offer_price_quality_flag")).alias("offer_price_quality_flag"),
-        F.coalesce("pdf_path", "_path").alias("pdf_path"), F.when(open_, F.coalesce("_version", "parser_version")).otherwise(F.col("parser_version")).alias("parser_version"),
-    )
-    events = new.select(*KEY, F.lit("filing").alias("event_type"), F.col("announcement_date").alias("day"))
-    return old.unionByName(new), events
+def fold_filings(filings: DataFrame, order: str) -> DataFrame:
+    """Per key, what its filings, taken one after the other by ``order``, bring to a deal that is there: ``path`` and ``terms``.
+
+    A filing with terms (a quality flag) sets price, flag, version and currency as long as the deal's flag is the
+    default. So the first one with another flag is the last that counts, and without one the last does; of currency
+    and version the last that is known among those that count. All of it is partial aggregates: a key may repeat at will.
+    """
+    said = F.col("offer_price_quality_flag")
+    stops = filings.filter(said != DEFAULT_FLAG).groupBy(*KEY).agg(F.min(order).alias("_stop"))
+    counts = said.isNotNull() & (F.col("_stop").isNull() | (F.col(order) <= F.col("_stop")))
+
+    def last_known(c: str) -> Column:
+        return F.max_by(c, F.when(counts & F.col(c).isNotNull(), F.col(order)))
 
+    first_path = F.min_by("pdf_path", F.when(F.col("pdf_path").isNotNull(), F.col(order)))
+    last = F.max_by(F.struct("offer_price", said.alias("flag")), F.when(counts, F.col(order)))
+    return filings.join(stops, KEY, "left").groupBy(*KEY).agg(first_path.alias("_path"), last.alias("_terms"), last_known("currency").alias("_currency"), last_known("parser_version").alias("_version"))
 
-def match_signals(signals: DataFrame, deals: DataFrame, events: DataFrame, event_type: str) -> DataFrame:
-    """News (regulator_ref, link) matched to FR deals: no_ref, unmatched, duplicate (same deal, type and link; a null link never is), created."""
+
+def upsert_filings(deals: DataFrame, filings: DataFrame, today, order: str, fallback_type: str = "opa") -> tuple[DataFrame, DataFrame]:
+    """(new deals, filing events): the tables after the filings were taken one after the other, by the unique column ``order``.
+
+    The first filing with a new key inserts a deal with defaults, and one event. Every other one meets a deal that is
+    there: it fills a missing document path, and sets price, currency, flag and version while the flag is still the
+    default (``fold_filings``). All columns of ``deals`` come back, in their order; those that a filing has too are
+    inserted with it. Where deals have an id and filings don't, new deals get the next ones in the order of their key.
+    Filings without a key are left out.
+    """
+    filings = filings.filter(F.col(KEY[0]).isNotNull() & F.col(KEY[1]).isNotNull())
+    firsts = filings.groupBy(*KEY).agg(F.min_by(F.struct(*[c for c in filings.columns if c not in KEY]), order).alias("_f")).join(deals.select(*KEY), KEY, "left_anti").select(*KEY, "_f.*")
+    defaults = {
+        "target_name": F.lit(PEND), "acquirer_name": F.lit(PEND), "announcement_date": F.lit(today).cast("date"), "deal_type": F.lit(fallback_type), "currency": F.lit("EUR"), "offer_price_quality_flag": F.lit(DEFAULT_FLAG), "parser_version": F.lit(1),
+    }
+    new = firsts.withColumns({c: F.coalesce(c, v) for c, v in defaults.items()}).withColumn("status", F.lit("announced"))
+    events = new.select(*KEY, F.lit("filing").alias("event_type"), F.col("announcement_date").alias("day"))
+    if "id" in deals.columns and "id" not in filings.columns:
+        newest = deals.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_newest"))
+        new = number_rows(new.withColumn("_key", F.concat_ws(" ", *KEY)), "_key", name="_n").crossJoin(F.broadcast(newest)).withColumn("id", F.col("_newest") + F.col("_n"))
+    every = deals.unionByName(new.select(*[c for c in deals.columns if c in new.columns]), allowMissingColumns=True)
+    open_ = (F.col("offer_price_quality_flag") == DEFAULT_FLAG) & F.col("_terms").isNotNull()
+    now = {
+        "offer_price": F.col("_terms.offer_price"), "offer_price_quality_flag": F.col("_terms.flag"), "currency": F.coalesce("_currency", "currency", F.lit("EUR")), "parser_version": F.coalesce("_version", "parser_version"),
+    }
+    changed = {c: F.when(open_, v).otherwise(F.col(c)) for c, v in now.items()} | {"pdf_path": F.coalesce("pdf_path", "_path")}
+    return every.join(fold_filings(filings, order), KEY, "left").select(*[changed.get(c, F.col(c)).alias(c) for c in deals.columns]), events
+
+
+def match_signals(signals: DataFrame, deals: DataFrame, events: DataFrame, event_type: str, order: str) -> DataFrame:
+    """News (regulator_ref, link) matched to FR deals, one after the other by the unique column ``order``: no_ref, unmatched, duplicate, created.
+
+    A duplicate has the deal, type and link of an event that is there or that an earlier one of the run created; a
+    null link never is one, and an empty link or reference is none.
+    """
     fr = deals.filter("juridiction = 'FR'").select("regulator_ref", F.col("id").alias("deal_id"))
     known = events.filter(F.col("event_type") == event_type).select("deal_id", F.col("source_url").alias("link")).filter("link IS NOT NULL").distinct().withColumn("known", F.lit(True))
-    got = signals.join(fr, "regulator_ref", "left").join(known, ["deal_id", "link"], "left")
-    outcome = F.when(F.col("regulator_ref").isNull(), "no_ref").when(F.col("deal_id").isNull(), "unmatched").when(F.col("known"), "duplicate").otherwise("created")
-    return got.withColumn("outcome", outcome).drop("known")
+    none = F.lit("")
+    got = signals.withColumns({"regulator_ref": F.nullif("regulator_ref", none), "link": F.nullif("link", none)}).join(fr, "regulator_ref", "left")
+    first = got.filter("deal_id IS NOT NULL AND link IS NOT NULL").groupBy("deal_id", "link").agg(F.min(order).alias("first"))
+    got = got.join(first.join(known, ["deal_id", "link"], "left"), ["deal_id", "link"], "left")
+    again = F.col("known") | (F.col(order) > F.col("first"))
+    outcome = F.when(F.col("regulator_ref").isNull(), "no_ref").when(F.col("deal_id").isNull(), "unmatched").when(again, "duplicate").otherwise("created")
+    return got.withColumn("outcome", outcome).drop("known", "first")
 
 
 def before_first_known(feed: DataFrame, known: DataFrame, partition: list[str], order: list[str], key: str) -> DataFrame:

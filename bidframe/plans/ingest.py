@@ -8,59 +8,69 @@ from bidframe.operators import ingest
 from bidframe.plans.registry import query
 from bidframe.plans.standin import table, with_tables
 
-#: Stored deals: three of four orders; landed filings: two of three.
-_STORED = "SELECT *, CASE WHEN id % 5 = 0 THEN NULL ELSE '/old.pdf' END AS pdf_path, CAST(1 AS INT) AS parser_version, 'EUR' AS currency FROM deals WHERE id % 4 < 3"
-_LANDED = (
-    "SELECT juridiction, regulator_ref, CASE WHEN id % 8 = 3 THEN NULL ELSE target_name END AS target_name, CAST(NULL AS VARCHAR) AS acquirer_name, CASE WHEN id % 8 = 7 THEN NULL ELSE announcement_date END AS announcement_date, CASE WHEN id % 16 = 3 THEN NULL ELSE deal_type END AS deal_type, "
-    "CAST(NULL AS VARCHAR) AS currency, CAST(id % 50 AS DECIMAL(18,6)) AS offer_price, 'verified_cash' AS offer_price_quality_flag, '/new.pdf' AS pdf_path, CAST(2 AS INT) AS parser_version FROM deals WHERE id % 3 < 2"
-)
+#: Stored deals: three of four orders. Landed filings: two of three orders, each one to four times, with other terms every time.
+_STORED_MORE = ["CASE WHEN id % 5 = 0 THEN NULL ELSE '/old.pdf' END AS pdf_path", "CAST(1 AS INT) AS parser_version", "CASE WHEN id % 2 = 0 THEN NULL ELSE 'GBP' END AS currency"]
+_LANDED = [
+    "id * 4 + k AS pos", "juridiction", "regulator_ref", "CASE WHEN id % 8 = 3 THEN NULL ELSE target_name END AS target_name", "CAST(NULL AS VARCHAR(9)) AS acquirer_name", "CASE WHEN id % 8 = 7 THEN NULL ELSE announcement_date END AS announcement_date",
+    "CASE WHEN id % 16 = 3 THEN NULL ELSE deal_type END AS deal_type", "expected_close_date", "isin", "CASE (id + k) % 3 WHEN 0 THEN NULL WHEN 1 THEN 'USD' ELSE 'CHF' END AS currency", "CASE WHEN (id + k) % 7 = 0 THEN NULL ELSE CAST(id % 50 + k AS DECIMAL(18,6)) END AS offer_price",
+    "CASE (id + k) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'verified_cash' WHEN 2 THEN 'failed_validation' ELSE 'suspect_low_unverified' END AS offer_price_quality_flag", "CASE WHEN (id + k) % 2 = 0 THEN NULL ELSE concat('/new', CAST(k AS VARCHAR(9)), '.pdf') END AS pdf_path",
+    "CASE WHEN (id + k) % 4 = 0 THEN NULL ELSE CAST(2 + k AS INT) END AS parser_version",
+]
 
 
 def _stored_and_landed(spark, d):
     deals = table(spark, d, "deals")
-    stored = deals.filter("id % 4 < 3").selectExpr("*", "CASE WHEN id % 5 = 0 THEN NULL ELSE '/old.pdf' END AS pdf_path", "CAST(1 AS INT) AS parser_version", "'EUR' AS currency")
-    landed = deals.filter("id % 3 < 2").selectExpr(
-        "juridiction", "regulator_ref", "CASE WHEN id % 8 = 3 THEN NULL ELSE target_name END AS target_name", "CAST(NULL AS STRING) AS acquirer_name", "CASE WHEN id % 8 = 7 THEN NULL ELSE announcement_date END AS announcement_date",
-        "CASE WHEN id % 16 = 3 THEN NULL ELSE deal_type END AS deal_type", "CAST(NULL AS STRING) AS currency", "CAST(id % 50 AS DECIMAL(18,6)) AS offer_price", "'verified_cash' AS offer_price_quality_flag", "'/new.pdf' AS pdf_path", "CAST(2 AS INT) AS parser_version",
-    )
-    return stored, landed
+    stored = deals.filter("id % 4 < 3").selectExpr("*", *_STORED_MORE)
+    return stored, deals.filter("id % 3 < 2").withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("id") % 4).cast("int")))).selectExpr(*_LANDED)
+
+
+#: The filings one after the other: step n takes each key's n-th filing. Step 0 is the stored deals; a new key's first filing inserts.
+_UPSERT = (
+    with_tables("deals").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", s AS (SELECT *, {', '.join(_STORED_MORE)} FROM deals WHERE id % 4 < 3), l AS (SELECT {', '.join(_LANDED)} FROM deals, range(0, id % 4 + 1) r(k) WHERE id % 3 < 2), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY juridiction, regulator_ref ORDER BY pos) AS n FROM l), "
+    "first_of AS (SELECT n.*, (SELECT max(id) FROM s) + row_number() OVER (ORDER BY concat(juridiction, ' ', regulator_ref)) AS new_id FROM n WHERE n.n = 1 AND (juridiction, regulator_ref) NOT IN (SELECT (juridiction, regulator_ref) FROM s)), "
+    "begun AS (SELECT id, juridiction, regulator_ref, target_name, acquirer_name, announcement_date, deal_type, status, offer_price, offer_price_quality_flag, completion_label, premium_pct, min_acceptance_threshold, expected_close_date, isin, ticker, ticker_resolution_flag, pdf_path, parser_version, currency, 0 AS step FROM s "
+    "UNION ALL SELECT new_id, juridiction, regulator_ref, coalesce(target_name, '[pending parse]'), coalesce(acquirer_name, '[pending parse]'), coalesce(announcement_date, DATE '2026-01-15'), coalesce(deal_type, 'opa'), 'announced', offer_price, coalesce(offer_price_quality_flag, 'suspect_low_unverified'), "
+    "NULL, NULL, NULL, expected_close_date, isin, NULL, NULL, pdf_path, coalesce(parser_version, 1), coalesce(currency, 'EUR'), 1 FROM first_of), "
+    "f AS (SELECT * FROM begun UNION ALL SELECT f.id, f.juridiction, f.regulator_ref, f.target_name, f.acquirer_name, f.announcement_date, f.deal_type, f.status, CASE WHEN o THEN n.offer_price ELSE f.offer_price END, CASE WHEN o THEN n.offer_price_quality_flag ELSE f.offer_price_quality_flag END, f.completion_label, f.premium_pct, "
+    "f.min_acceptance_threshold, f.expected_close_date, f.isin, f.ticker, f.ticker_resolution_flag, coalesce(f.pdf_path, n.pdf_path), CASE WHEN o THEN coalesce(n.parser_version, f.parser_version) ELSE f.parser_version END, CASE WHEN o THEN coalesce(n.currency, f.currency, 'EUR') ELSE f.currency END, f.step + 1 "
+    "FROM (SELECT f.*, f.offer_price_quality_flag = 'suspect_low_unverified' AS is_open FROM f) f JOIN (SELECT *, offer_price_quality_flag IS NOT NULL AS has_terms FROM n) n ON n.juridiction = f.juridiction AND n.regulator_ref = f.regulator_ref AND n.n = f.step + 1, LATERAL (SELECT is_open AND has_terms AS o)) "
+)
 
 
-@query(
-    with_tables("deals") + f", s AS ({_STORED}), l AS ({_LANDED}) SELECT s.juridiction, s.regulator_ref, s.target_name, s.deal_type, s.status, CAST(CASE WHEN s.offer_price_quality_flag = 'suspect_low_unverified' AND l.regulator_ref IS NOT NULL THEN l.offer_price ELSE s.offer_price END AS DOUBLE) AS offer_price, "
-    "CASE WHEN s.offer_price_quality_flag = 'suspect_low_unverified' AND l.regulator_ref IS NOT NULL THEN l.offer_price_quality_flag ELSE s.offer_price_quality_flag END AS flag, coalesce(s.pdf_path, l.pdf_path) AS pdf_path, s.announcement_date FROM s LEFT JOIN l USING (juridiction, regulator_ref) "
-    "UNION ALL SELECT juridiction, regulator_ref, coalesce(target_name, '[pending parse]'), coalesce(deal_type, 'opa'), 'announced', CAST(offer_price AS DOUBLE), offer_price_quality_flag, pdf_path, coalesce(announcement_date, DATE '2026-01-15') FROM l WHERE (juridiction, regulator_ref) NOT IN (SELECT (juridiction, regulator_ref) FROM s)"
-)
+@query(_UPSERT + "SELECT * EXCLUDE (step) FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY step DESC) = 1")
 def dedupe_upsert(spark, d):
-    got, _ = ingest.upsert_filings(*_stored_and_landed(spark, d), today="2026-01-15")
-    return got.select("juridiction", "regulator_ref", "target_name", "deal_type", "status", F.col("offer_price").cast("double").alias("offer_price"), F.col("offer_price_quality_flag").alias("flag"), "pdf_path", "announcement_date")
+    return ingest.upsert_filings(*_stored_and_landed(spark, d), today="2026-01-15", order="pos")[0]
 
 
-@query(with_tables("deals") + f", s AS ({_STORED}), l AS ({_LANDED}) SELECT juridiction, regulator_ref, 'filing' AS event_type, coalesce(announcement_date, DATE '2026-01-15') AS day FROM l WHERE (juridiction, regulator_ref) NOT IN (SELECT (juridiction, regulator_ref) FROM s)")
+@query(_UPSERT + "SELECT juridiction, regulator_ref, 'filing' AS event_type, announcement_date AS day FROM begun WHERE step = 1")
 def upsert_events(spark, d):
-    return ingest.upsert_filings(*_stored_and_landed(spark, d), today="2026-01-15")[1]
+    return ingest.upsert_filings(*_stored_and_landed(spark, d), today="2026-01-15", order="pos")[1]
 
 
 _SIGNALS = "SELECT o_orderkey AS sid, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'REF-none' ELSE concat('REF-', CAST(o_custkey % 200 AS VARCHAR(20))) END AS regulator_ref, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('https://feed.example/', CAST(o_orderkey % 600 AS VARCHAR(20))) END AS link FROM orders"
-_OUTCOME = "CASE WHEN s.regulator_ref IS NULL THEN 'no_ref' WHEN d.id IS NULL THEN 'unmatched' WHEN EXISTS (SELECT 1 FROM filing_events e WHERE e.event_type = 'click' AND e.deal_id = d.id AND e.source_url = s.link) THEN 'duplicate' ELSE 'created' END"
+#: Every event that is stored or that a signal would make has a place in time, the stored ones first; a signal is a duplicate if one with its deal and link stands before it.
+_OUTCOMES = (
+    with_tables("deals", "filing_events") + f", s AS ({_SIGNALS}), p AS (SELECT s.sid, s.regulator_ref, s.link, d.id AS deal_id FROM s LEFT JOIN deals d ON d.regulator_ref = s.regulator_ref AND d.juridiction = 'FR'), "
+    "e AS (SELECT deal_id, source_url AS link, -1 AS at FROM filing_events WHERE event_type = 'click' UNION ALL SELECT deal_id, link, sid FROM p WHERE deal_id IS NOT NULL), "
+    "m AS (SELECT sid, deal_id, CASE WHEN regulator_ref IS NULL THEN 'no_ref' WHEN deal_id IS NULL THEN 'unmatched' WHEN EXISTS (SELECT 1 FROM e WHERE e.deal_id = p.deal_id AND e.link = p.link AND e.at < p.sid) THEN 'duplicate' ELSE 'created' END AS outcome FROM p) "
+)
 
 
 def _matched(spark, d):
     from bidframe.plans.pricing import _split
 
     signals = table(spark, d, "orders").selectExpr(*[x.strip() for x in _split(_SIGNALS)])
-    return ingest.match_signals(signals, table(spark, d, "deals"), table(spark, d, "filing_events"), "click")
+    return ingest.match_signals(signals, table(spark, d, "deals"), table(spark, d, "filing_events"), "click", "sid")
 
 
-@query(with_tables("deals", "filing_events") + f", s AS ({_SIGNALS}) SELECT s.sid, d.id AS deal_id, {_OUTCOME} AS outcome FROM s LEFT JOIN deals d ON d.regulator_ref = s.regulator_ref AND d.juridiction = 'FR'")
+@query(_OUTCOMES + "SELECT sid, deal_id, outcome FROM m")
 def event_signal_match(spark, d):
     return _matched(spark, d).select("sid", "deal_id", "outcome")
 
 
-@query(
-    with_tables("deals", "filing_events") + f", s AS ({_SIGNALS}), m AS (SELECT {_OUTCOME} AS outcome FROM s LEFT JOIN deals d ON d.regulator_ref = s.regulator_ref AND d.juridiction = 'FR') "
-    "SELECT count(*) AS discovered, " + ", ".join(f"count(*) FILTER (outcome = '{n}') AS {n}" for n in ("created", "duplicate", "unmatched", "no_ref")) + " FROM m"
-)
+@query(_OUTCOMES + "SELECT count(*) AS discovered, " + ", ".join(f"count(*) FILTER (outcome = '{n}') AS {n}" for n in ("created", "duplicate", "unmatched", "no_ref")) + " FROM m")
 def run_counters(spark, d):
     return ingest.run_counters(_matched(spark, d))
 
