@@ -77,24 +77,25 @@ def _landed(spark, d, name: str):
 def streamed_ingest(spark, d):
     path, schema = _landed(spark, d, "deals")
     target = _shared(spark, "ingested")
-    streams.ingest(streams.read_landed(spark, path, schema), target, _shared(spark, "checkpoint"), ["juridiction", "regulator_ref"])
+    streams.ingest(streams.read_landed(spark, path, schema), target, _shared(spark, "checkpoint"), ["juridiction", "regulator_ref"], ["announcement_date", "id"])
     return spark.read.parquet(target).groupBy("juridiction").agg(F.count("*").alias("n"))
 
 
-@query()
-def streamed_bars(spark, d):
+def _bars(spark, d, *how):
     path, schema = _landed(spark, d, "ticks")
     target = _shared(spark, "bars")
-    streams.write_bars(streams.bars(streams.read_landed(spark, path, schema)), target, _shared(spark, "checkpoint"))
-    return streams.current_bars(spark, target)
+    run = streams.write_bars(streams.bars(streams.read_landed(spark, path, schema), *how), target, _shared(spark, "checkpoint"))
+    return streams.current_bars(spark, target, run.lastProgress["batchId"])
+
+
+@query()
+def streamed_bars(spark, d):
+    return _bars(spark, d)
 
 
 @query()
 def streamed_daily_bars(spark, d):
-    path, schema = _landed(spark, d, "ticks")
-    target = _shared(spark, "bars")
-    streams.write_bars(streams.bars(streams.read_landed(spark, path, schema), "1 day", "7 days"), target, _shared(spark, "checkpoint"))
-    return streams.current_bars(spark, target)
+    return _bars(spark, d, "1 day", "7 days")
 
 
 @query()
@@ -103,21 +104,17 @@ def streamed_dedup(spark, d):
     target = _shared(spark, "events")
     unique = streams.dedup_events(streams.read_landed(spark, path, schema), "40 days")
     streams.run_available(unique.writeStream.format("parquet").option("path", target).outputMode("append"), _shared(spark, "checkpoint"))
-    return spark.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("n"))
+    return spark.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("source_url").isNull()).alias("n_without_link"))
 
 
 @query()
 def streamed_positions(spark, d):
+    """Positions closed up to an hour before the newest fill."""
     path, schema = _landed(spark, d, "fills")
     target = _shared(spark, "positions")
-    had = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with streams.keyed_state(spark):
         closed = streams.closed_positions(streams.read_landed(spark, path, schema))
         streams.run_available(closed.writeStream.format("parquet").option("path", target).outputMode("append"), _shared(spark, "checkpoint"))
-    finally:
-        for k, v in had.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(streams.POSITION_ROW).parquet(target)
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from bidframe.operators.bars import price_bars
 from bidframe.operators.ledger import threshold_crossings
@@ -26,21 +28,53 @@ def run_available(writer, checkpoint: str):
     return query
 
 
-def ingest(filings: DataFrame, target: str, checkpoint: str, key: list[str]):
-    """Append filings whose key isn't in ``target`` yet, once each. A batch that runs again after a failure finds its rows there and adds none twice."""
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams started inside keep their state per key in RocksDB, on disk rather than in memory."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    had = spark.conf.get(name, None)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if had is None else spark.conf.set(name, had)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(key)
-        try:
-            old = spark.read.parquet(target).select(*key)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.select(*key).limit(0)
-        new.join(old, key, "left_anti").withColumn("batch", F.lit(number)).write.mode("append").parquet(target)
 
-    return run_available(filings.writeStream.foreachBatch(merge), checkpoint)
+class FirstOfKey(StatefulProcessor):
+    """Hands on a key's first row: the least by ``order`` of the first batch that has the key. Later rows of it go."""
+
+    def __init__(self, order: list[str]) -> None:
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            first = pd.concat([part] if first is None else [first, part]).sort_values(self.order, kind="stable").head(1)
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield first
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def ingest(filings: DataFrame, target: str, checkpoint: str, key: list[str], order: list[str], known: DataFrame | None = None):
+    """Append filings whose key hasn't come yet, once each, to parquet files in ``target``.
+
+    The keys are state of the stream, so a batch reads its own rows and never the target; the file sink's log makes
+    a batch that runs again after a failure write once. Of a key's rows in a batch the least by ``order`` is kept.
+    ``known`` has keys that are there before the stream begins.
+    """
+    start = None if known is None else known.select(*key).distinct().groupBy(*key)
+    first = filings.groupBy(*key).transformWithStateInPandas(FirstOfKey(order), outputStructType=filings.schema, outputMode="Append", timeMode="None", initialState=start)
+    with keyed_state(filings.sparkSession):
+        return run_available(first.writeStream.format("parquet").option("path", target).outputMode("append"), checkpoint)
 
 
 def bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 days") -> DataFrame:
@@ -49,58 +83,107 @@ def bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 days") -> DataF
 
 
 def write_bars(stream: DataFrame, target: str, checkpoint: str):
-    """Changed bars of each batch are written with its number; ``current_bars`` reads the latest of each."""
+    """Keep bars in ``target``, a folder per day and version. A batch reads and rewrites the days it has bars of, whole, as a new version; ``_days/batch=n`` says which version of each day holds after batch n. A batch that runs again writes the same folders again, and readers see whole versions only."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark = batch.sparkSession
+        new = batch.withColumn("day", F.to_date("bucket")).persist()
+        days = new.select("day").distinct()
+        held = spark.read.parquet(f"{target}/_days/batch={number - 1}") if number else days.limit(0).withColumn("version", F.lit(0))
+        old = bars_of(spark, target, held.join(days, "day", "left_semi"), new.schema)
+        kept = old.join(new.select("ticker", "bucket"), ["ticker", "bucket"], "left_anti")
+        new.unionByName(kept).repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{target}/version={number}")
+        held.join(days, "day", "left_anti").unionByName(days.withColumn("version", F.lit(number))).coalesce(1).write.mode("overwrite").parquet(f"{target}/_days/batch={number}")
+        new.unpersist()
+
+    return run_available(stream.writeStream.outputMode("update").foreachBatch(put), checkpoint)
 
-    return run_available(stream.drop("batch").writeStream.outputMode("update").foreachBatch(put), checkpoint)
 
+def bars_of(spark: SparkSession, target: str, held: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """The bars of the days and versions in ``held(day, version)``; there are as many as days, whatever the number of bars."""
+    paths = [f"{target}/version={r.version}/day={r.day}" for r in held.collect()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(*paths).withColumn("day", F.to_date("bucket"))
 
-def current_bars(spark: SparkSession, target: str) -> DataFrame:
-    rows = spark.read.parquet(f"{target}/batch=*")
-    cols = [c for c in rows.columns if c not in ("ticker", "bucket", "batch")]
-    return rows.groupBy("ticker", "bucket").agg(F.max_by(F.struct(*cols), "batch").alias("x")).select("ticker", "bucket", "x.*")
+
+def current_bars(spark: SparkSession, target: str, batch: int) -> DataFrame:
+    """The bars as they stand after batch number ``batch``."""
+    return bars_of(spark, target, spark.read.parquet(f"{target}/_days/batch={batch}")).drop("day")
 
 
 def dedup_events(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """One event per deal, type and link within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["deal_id", "event_type", "source_url"])
+    """One event per deal, type and link within the watermark. Events without a link are never duplicates; they go round the state."""
+    rows = events.withWatermark("ts", late).withColumn("source_url", F.nullif("source_url", F.lit("")))
+    linked = rows.filter("source_url IS NOT NULL").dropDuplicatesWithinWatermark(["deal_id", "event_type", "source_url"])
+    return linked.unionByName(rows.filter("source_url IS NULL"))
+
+
+FILL = "at bigint, trade_id bigint, side string, price double, quantity double"
 
 
 class PositionFold(StatefulProcessor):
-    """A deal's open position: BUYs add to it, a SELL closes it and gives one row. Rows of a batch are taken in the order of time and trade."""
+    """A deal's open position: BUYs add to it, a SELL closes it and gives one row.
+
+    Fills wait until the watermark has passed them, so that no earlier one can come, and are then folded in the order
+    of time and trade. A timer at the first waiting fill wakes the deal.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("position", "size double, weighted double, open_ts timestamp, epoch int")
+        self.handle = handle
+        self.state = handle.getValueState("position", "size double, weighted double, open_at bigint, epoch int")
+        self.waiting = handle.getListState("waiting", FILL)
+
+    def wake_at(self, at: int) -> None:
+        self.handle.registerTimer(at // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            new = list(zip(part["at"].astype(int), part["trade_id"].astype(int), part["side"], part["price"].astype(float), part["quantity"].astype(float)))
+            self.waiting.appendList(new)
+            self.wake_at(min(r[0] for r in new))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fills = sorted(tuple(r) for r in self.waiting.get())
+        later = [r for r in fills if r[0] > passed]
+        if len(later) < len(fills):
+            out = self.fold(key, fills[: len(fills) - len(later)])
+            self.waiting.put(later) if later else self.waiting.clear()
+            if later:
+                self.wake_at(later[0][0])
+            if out:
+                yield pd.DataFrame(out, columns=["deal_id", "epoch", "open_at", "close_at", "entry_price", "exit_price", "size_eur", "pnl_eur"])
+
+    def fold(self, key, fills: list[tuple]) -> list[tuple]:
         size, weighted, opened, epoch = self.state.get() if self.state.exists() else (0.0, 0.0, None, 0)
         out = []
-        batch = pd.concat(list(rows)).sort_values(["ts", "trade_id"])
-        for r in batch.itertuples():
-            price, quantity = float(r.price), float(r.quantity)
-            if r.side == "BUY":
-                opened = r.ts if opened is None else opened
+        for at, _, side, price, quantity in fills:
+            if side == "BUY":
+                opened = at if opened is None else opened
                 size, weighted = size + price * quantity, weighted + price * price * quantity
                 continue
             if size > 0:
                 entry = weighted / size
-                out.append((key[0], epoch, opened, r.ts, round(entry, 6), round(price, 6), round(size, 4), round((price / entry - 1) * size, 4)))
+                out.append((key[0], epoch, opened, at, round(entry, 6), round(price, 6), round(size, 4), round((price / entry - 1) * size, 4)))
             size, weighted, opened, epoch = 0.0, 0.0, None, epoch + 1
         self.state.update((size, weighted, opened, epoch))
-        yield pd.DataFrame(out, columns=["deal_id", "epoch", "open_ts", "close_ts", "entry_price", "exit_price", "size_eur", "pnl_eur"])
+        return out
 
     def close(self) -> None:
         pass
 
 
+_FOLDED = "deal_id bigint, epoch int, open_at bigint, close_at bigint, entry_price double, exit_price double, size_eur double, pnl_eur double"
 POSITION_ROW = "deal_id bigint, epoch int, open_ts timestamp, close_ts timestamp, entry_price double, exit_price double, size_eur double, pnl_eur double"
 
 
-def closed_positions(fills: DataFrame) -> DataFrame:
-    """Positions as they are closed by a stream of fills; the batch form is ``ledger.positions``."""
-    return fills.groupBy("deal_id").transformWithStateInPandas(PositionFold(), outputStructType=POSITION_ROW, outputMode="Append", timeMode="None")
+def closed_positions(fills: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Positions as they are closed by a stream of fills that come up to ``late`` after later ones; the batch form is ``ledger.positions``. What happened in the last ``late`` before the newest fill still waits."""
+    rows = fills.withWatermark("ts", late).select("deal_id", "ts", F.unix_micros("ts").alias("at"), "trade_id", "side", F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity"))
+    closed = rows.groupBy("deal_id").transformWithStateInPandas(PositionFold(), outputStructType=_FOLDED, outputMode="Append", timeMode="EventTime")
+    return closed.select("deal_id", "epoch", F.timestamp_micros("open_at").alias("open_ts"), F.timestamp_micros("close_at").alias("close_ts"), "entry_price", "exit_price", "size_eur", "pnl_eur")
 
 
 def budget_alerts(usage: DataFrame, totals: str, checkpoint: str, budget: float, alert: Callable[[DataFrame, int], None]):
