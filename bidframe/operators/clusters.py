@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bidframe.functions.names import acquirer_class, is_cross_border, is_fdi_risk, payment_type
-from bidframe.operators.ordering import number_rows
+from bidframe.operators.ordering import carry, number_rows
 
 PEND = "[pending parse]"
 
@@ -51,10 +51,15 @@ def cluster_features(deals: DataFrame) -> DataFrame:
 def collapse_chains(deals: DataFrame, gap_days: int = 730) -> DataFrame:
     """FR filings of one target fall into one cluster while the gap to the filing before is under ``gap_days``; unknown targets and other jurisdictions stay alone."""
     single = (F.col("juridiction") != "FR") | (F.col("target_name") == PEND)
-    order = W.partitionBy("target_name").orderBy("announcement_date", "id")
-    fr = deals.filter(~single)
-    gap = F.datediff("announcement_date", F.lag("announcement_date").over(order))
-    fr = fr.withColumn("opens", F.when(gap >= gap_days, 1).otherwise(0)).withColumn("part", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("opens")
+    fr = deals.filter(~single).withColumn("_year", F.coalesce(F.year("announcement_date"), F.lit(0)))
+    # gaps and their numbers are found within a target's years; what earlier years leave is carried on
+    order = W.partitionBy("target_name", "_year").orderBy("announcement_date", "id")
+    newest = carry(fr, ["target_name"], "_year", {"_newest": F.max("announcement_date")}, F.max)
+    gap = F.datediff("announcement_date", F.coalesce(F.lag("announcement_date").over(order), "_newest"))
+    fr = fr.join(newest, ["target_name", "_year"]).withColumn("_opens", F.when(gap >= gap_days, 1).otherwise(0))
+    opened = carry(fr, ["target_name"], "_year", {"_opened": F.sum("_opens")}, F.sum)
+    here = F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0))
+    fr = fr.withColumn("_here", here).join(opened, ["target_name", "_year"]).withColumn("part", F.col("_here") + F.coalesce("_opened", F.lit(0))).select(*deals.columns, "part")
     rows = fr.unionByName(deals.filter(single).withColumn("part", F.col("id").cast("long")))
     known = F.when(F.col("acquirer_name") != PEND, F.col("acquirer_name"))
     first = F.struct("announcement_date", "id")

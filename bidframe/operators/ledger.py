@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from bidframe.operators.ordering import carry
+
 OPEN = ("PENDING", "SUBMITTED", "FILLED")
 
 
@@ -27,11 +29,14 @@ def positions(fills: DataFrame) -> DataFrame:
     """Fills (deal_id, ts, trade_id, side, price, quantity) folded into positions.
 
     The number of SELLs before a row is its epoch: an epoch's BUYs make one position, entered at the EUR-weighted
-    price, and its SELL closes it all. A SELL without a position gives nothing.
+    price, and its SELL closes it all. A SELL without a position gives nothing. SELLs are counted day by day and the
+    days' counts added up, so a busy deal is as many tasks as it has days.
     """
-    order = W.partitionBy("deal_id").orderBy("ts", "trade_id")
-    sells = F.sum(F.when(F.col("side") == "SELL", 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    rows = fills.withColumn("epoch", sells - F.when(F.col("side") == "SELL", 1).otherwise(0))
+    sold = F.when(F.col("side") == "SELL", 1).otherwise(0)
+    days = fills.withColumn("_day", F.to_date("ts"))
+    before = carry(days, ["deal_id"], "_day", {"_sold": F.sum(sold)}, F.sum)
+    order = W.partitionBy("deal_id", "_day").orderBy("ts", "trade_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = days.withColumn("_here", F.sum(sold).over(order)).join(before, ["deal_id", "_day"], "left").withColumn("epoch", F.col("_here") + F.coalesce("_sold", F.lit(0)) - sold)
     p, q, buy = F.col("price").cast("double"), F.col("quantity").cast("double"), F.col("side") == "BUY"
     g = rows.groupBy("deal_id", "epoch").agg(
         F.min(F.when(buy, F.col("ts"))).alias("open_ts"), F.max(F.when(~buy, F.col("ts"))).alias("close_ts"), F.sum(F.when(buy, p * q)).alias("size"), F.sum(F.when(buy, p * p * q)).alias("weighted"), F.max(F.when(~buy, p)).alias("exit"),

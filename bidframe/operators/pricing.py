@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bidframe.functions.names import GROWTH_VENUES, HOME_VENUES, broker_symbol, normalise_name, venue_ticker
-from bidframe.operators.ordering import number_rows
+from bidframe.operators.ordering import carry, number_rows
 
 
 def prev_business_day(day: Column) -> Column:
@@ -24,30 +24,36 @@ def next_local_hour(now: Column, hour: int = 9, zone: str = "Europe/Paris") -> C
     return F.to_utc_timestamp(target, zone)
 
 
+#: Days in which closes and requests of a ticker are sorted together.
+SPAN_DAYS = 30
+
+
 def asof_close(requests: DataFrame, closes: DataFrame, days: int | None = 5, strict: bool = False, name: str = "close") -> DataFrame:
     """Each request (ticker, d, ...) with the latest close at or before ``d`` (before, if ``strict``), at most ``days`` back.
 
-    A union instead of a range join: closes are reduced to one row per ticker and day, requests are put among them in
-    the order of day, and the last close is carried forward. So the work is one sort of both sides, however many
-    closes a request could see. With a bound on ``days`` a ticker's time is cut into spans, each with the closes of
-    the days before it, so that one busy ticker is many partitions. Adds ``name`` and ``{name}_date``; both null
-    without a close.
+    A scan in segments instead of a range join: closes become one row per ticker and day, and the days asked for are
+    put among them, once each, in spans of a month. Within a span the last close is carried from day to day; each
+    span's last close is carried over the spans, of which a ticker has a few hundred, and holds where a span has none
+    before. So no window holds more than a ticker's month, however busy the ticker. Adds ``name`` and ``{name}_date``;
+    both null without a close, and a request without a ticker or day has none.
     """
     day = F.to_date("ts") if "ts" in closes.columns else F.col("d")
     last = F.max_by("close", F.struct(*[c for c in ("ts", "event_id") if c in closes.columns])) if "ts" in closes.columns else F.max("close")
-    daily = closes.groupBy("ticker", day.alias("d")).agg(last.alias("close"))
-    rest = [c for c in requests.columns if c not in ("ticker", "d")]
-    width = None if days is None else max(30, days)
-    number = F.unix_date("d")
-    span = F.lit(0) if width is None else F.floor(number / width)
-    reach = F.lit(0) if width is None else F.floor((number + days) / width)
-    left = requests.select("ticker", "d", span.cast("int").alias("span"), F.struct(*rest).alias("r"), F.lit(None).cast(daily.schema["close"].dataType).alias("close"), F.lit(0 if strict else 1).alias("k"))
-    right = daily.select("ticker", "d", F.explode(F.sequence(span.cast("int"), reach.cast("int"))).alias("span"), F.lit(None).cast(left.schema["r"].dataType).alias("r"), "close", F.lit(1 if strict else 0).alias("k"))
+    daily = closes.filter(F.col("ticker").isNotNull()).groupBy("ticker", day.alias("d")).agg(last.alias("close"))
+    asked = requests.filter(F.col("ticker").isNotNull() & F.col("d").isNotNull()).select("ticker", F.col("d").cast("date").alias("d")).distinct()
+    none = F.lit(None).cast(daily.schema["close"].dataType)
+    both = asked.select("ticker", "d", none.alias("close"), F.lit(0 if strict else 1).alias("k")).unionByName(daily.select("ticker", "d", "close", F.lit(1 if strict else 0).alias("k")))
+    priced = F.when(F.col("close").isNotNull(), F.struct("close", "d"))
+    rows = both.withColumn("span", F.floor(F.unix_date("d") / SPAN_DAYS).cast("int")).withColumn("seen", priced)
+    earlier = carry(rows, ["ticker"], "span", {"kept": F.max_by("seen", F.when(F.col("seen").isNotNull(), F.col("d")))}, lambda c: F.last(c, ignorenulls=True))
     order = W.partitionBy("ticker", "span").orderBy("d", "k").rowsBetween(W.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("r").isNull(), F.struct("close", "d")), ignorenulls=True).over(order)
-    got = left.unionByName(right).withColumn("seen", seen).filter("r IS NOT NULL")
-    fresh = F.lit(True) if days is None else F.datediff("d", "seen.d") <= days
-    return got.select("ticker", "d", "r.*", F.when(fresh, F.col("seen.close")).alias(name), F.when(fresh, F.col("seen.d")).alias(f"{name}_date"))
+    here = rows.withColumn("here", F.last("seen", ignorenulls=True).over(order)).filter(F.col("k") == (0 if strict else 1)).filter("close IS NULL")
+    got = here.join(earlier, ["ticker", "span"], "left").select("ticker", F.col("d").alias("_day"), F.coalesce("here", "kept").alias("seen"))
+    fresh = F.lit(True) if days is None else F.datediff("_day", "seen.d") <= days
+    found = got.filter(fresh).select("ticker", "_day", F.col("seen.close").alias("_close"), F.col("seen.d").alias("_close_date"))
+    rest = [c for c in requests.columns if c not in ("ticker", "d")]
+    asking = requests.withColumn("_day", F.col("d").cast("date"))
+    return asking.join(found, ["ticker", "_day"], "left").select("ticker", "d", *rest, F.col("_close").alias(name), F.col("_close_date").alias(f"{name}_date"))
 
 
 def to_euro(priced: DataFrame, rates: DataFrame, days: int = 5) -> DataFrame:

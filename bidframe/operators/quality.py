@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bidframe.functions.filings import de_offer_price, fr_offer_price, fr_quality_flag, it_quality_flag, outlier_bucket
-from bidframe.operators.ordering import running_sum
+from bidframe.operators.ordering import values_at
 
 
 def violations(df: DataFrame, table: str, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -36,15 +36,14 @@ def counts_with_total(df: DataFrame, col: str, total: str = "TOTAL") -> DataFram
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
-    """n, mean, min, p05, median, p95, max and sample deviation of the non-null values. p05 and p95 are the values at places max(1, floor(.05 n)) and max(1, min(n, floor(.95 n))) in ascending order; running counts per distinct value, range by range, give the places without gathering rows."""
-    x = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"))
-    rest = x.agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.round(F.stddev_samp("x"), 6).alias("stdev")).withColumn("k", F.lit(1))
-    run = running_sum(x.groupBy("x").agg(F.count("*").alias("m")), "x", F.col("m")).withColumn("k", F.lit(1)).join(F.broadcast(rest.select("k", "n")), "k")  # one row
-    place = lambda k: F.min(F.when(F.col("upto") >= k, F.col("x")))
-    low, high = F.greatest(F.lit(1), F.floor(F.col("n") * 0.05)), F.greatest(F.lit(1), F.least(F.col("n"), F.floor(F.col("n") * 0.95)))
-    middle = (place(F.floor((F.col("n") + 1) / 2)) + place(F.floor(F.col("n") / 2) + 1)) / 2
-    picks = run.agg(place(low).alias("p05"), middle.alias("median"), place(high).alias("p95")).withColumn("k", F.lit(1))
-    return rest.join(picks, "k").select("n", "mean", "min", "median", "max", "stdev", "p05", "p95")
+    """n, mean, min, p05, median, p95, max and sample deviation of the non-null values, one row. p05 and p95 are the values at places max(1, floor(.05 n)) and max(1, min(n, floor(.95 n))) in ascending order. One pass for sums and brackets, one for counts inside of these."""
+    x = F.col("x")
+    sums = {"n": F.count("*"), "mean": F.round(F.avg(x), 6), "min": F.min(x), "max": F.max(x), "stdev": F.round(F.stddev_samp(x), 6)}
+    places = {"p05": (0.05, lambda n: max(1, n * 5 // 100)), "lower": (0.5, lambda n: (n + 1) // 2), "upper": (0.5, lambda n: n // 2 + 1), "p95": (0.95, lambda n: max(1, n * 95 // 100))}
+    at, row = values_at(df.filter(F.col(col).isNotNull()), col, places, sums)
+    median = None if at["lower"] is None else (at["lower"] + at["upper"]) / 2
+    kinds = "n long, mean double, min double, median double, max double, stdev double, p05 double, p95 double"
+    return df.sparkSession.createDataFrame([(row["n"], row["mean"], row["min"], median, row["max"], row["stdev"], at["p05"], at["p95"])], kinds)
 
 
 def coverage(deals: DataFrame, columns: list[str], target: str = "target_name", jurisdiction: str = "juridiction") -> DataFrame:

@@ -26,3 +26,17 @@ def test_distribution_of_few_values(spark):
         if n:
             s = sorted(values)
             assert (row.p05, row.median, row.p95) == (s[max(0, int(0.05 * n) - 1)], (s[(n - 1) // 2] + s[n // 2]) / 2, s[min(n, max(1, int(0.95 * n))) - 1])
+
+
+@pytest.mark.parametrize("selected,accuracy", [(100_000, 10_000), (50, 100), (10, 20)])
+def test_exact_places_by_narrowing(spark, monkeypatch, selected, accuracy):
+    """Brackets narrowed pass by pass give the values of a sorted list, with ties and heavy values."""
+    import random
+
+    monkeypatch.setattr(ordering, "SELECTED", selected)
+    monkeypatch.setattr(ordering, "ACCURACY", accuracy)
+    draw = random.Random(selected)
+    for values in ([draw.gauss(0, 1) for _ in range(3001)], [float(draw.randrange(4)) for _ in range(2000)] + [draw.random() for _ in range(500)], [7.0] * 300):
+        row = quality.distribution(spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(7), "x").first()
+        s, n = sorted(values), len(values)
+        assert (row.n, row.p05, row.median, row.p95) == (n, s[max(1, n * 5 // 100) - 1], (s[(n - 1) // 2] + s[n // 2]) / 2, s[max(1, n * 95 // 100) - 1])
