@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from bidframe.llm.tokens import LAST_LATIN, PieceEncoder
 from bidframe.llm.words import portions
 
 #: Pieces of text whose alignment a Python worker remembers, about 400 bytes each.
-STORED_PIECES = 500_000
+STORED_PIECES = 700_000
 #: Characters of neighbouring texts that are handled together.
 CHUNK_CHARS = 2_000_000
 #: Distinct id pairs that a task counts before it hands the counts on.
@@ -45,19 +46,10 @@ def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[i
     return [at_a[e] for e in shared], [at_b[e] for e in shared]
 
 
-def group_links(a_ids: list[int], b_ids: list[int], a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """The overlapping pairs of one group: every byte range between neighbouring ends of either side is in one token of each."""
-    if len(a_ids) == 1:
-        return [(a_ids[0], b) for b in b_ids]
-    if len(b_ids) == 1:
-        return [(a, b_ids[0]) for a in a_ids]
-    out, k, m = [], 0, 0
-    while k < len(a_ids) and m < len(b_ids):
-        out.append((a_ids[k], b_ids[m]))
-        end_a, end_b = a_ends[k], b_ends[m]
-        k += end_a <= end_b
-        m += end_b <= end_a
-    return out
+def group_links(a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """The overlapping pairs, a * 2**32 + b, of ids whose last ends are equal: every byte range between neighbouring ends of either side is in one token of each. Slices that end at common ends may be given together, as no range crosses these."""
+    ends = np.union1d(a_ends, b_ends)
+    return (a_ids[np.searchsorted(a_ends, ends)].astype(np.int64) << 32) | b_ids[np.searchsorted(b_ends, ends)]
 
 
 class Aligner:
@@ -68,7 +60,7 @@ class Aligner:
     other, and every piece ends at a common end. Any other text is one piece. ``codes`` are id pairs, a * 2**32 + b.
     """
 
-    def __init__(self, path_a: str, path_b: str, stored: int = STORED_PIECES):
+    def __init__(self, path_a: str, path_b: str, texts: bool = True, stored: int = STORED_PIECES):
         import sentencepiece
 
         self.a = PieceEncoder(path_a)
@@ -80,13 +72,15 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
         # B's ids of a piece don't depend on its neighbours if no entry goes on over a word's start or holds a line feed
         self.by_piece = self.a.by_piece and not any("▁" in p.lstrip("▁") or "\n" in p for p in names) and self.b.encode("\nx", out_type=str)[:1] == ["▁"]
-        self.stored = stored
+        self.lengths = [np.array([len(names[k]) if k in names else 1 for k in range(max(names) + 1)]) for names in (self.a_bytes, dict(enumerate(self.b_bytes)))]
+        self.names = [str(k) for k in range(max(len(x) for x in self.lengths))]
+        self.texts, self.stored = texts, stored
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.groups: list[str] = []
-        self.sizes = np.zeros((0, 3), dtype=np.int64)  # of A, of B, groups; -1 where the bytes differ
+        self.sizes = np.zeros((0, 3), dtype=np.int32)  # of A, of B, groups; -1 where the bytes differ
         self.codes = np.zeros(0, dtype=np.int64)
         self.first = np.zeros(1, dtype=np.int64)  # of each piece's codes
         self.scores: tuple = ("", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
@@ -109,54 +103,64 @@ class Aligner:
         ids_b = [ids[1:] if p[0] == "\n" else ids for p, ids in zip(new, self.b.encode(new, num_threads=1))]
         return ids_a, ids_b
 
-    def learn(self, new: list[str]) -> None:
-        """Align new pieces and add them to the store."""
-        ids_a, ids_b = self.encode_pieces(new)
-        self.add([p if p[0] == "\n" else " " + p for p in new], [np.frombuffer(ids, "<u4").tolist() for ids in ids_a], ids_b)
-        self.index.update(zip(new, range(len(self.groups) - len(new), len(self.groups))))
-
-    def add(self, texts: list[str], all_a: list[list[int]], all_b: list[list[int]]) -> None:
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        sizes, codes, first = [], [], []
-        for text, a, b in zip(texts, all_a, all_b):
-            whole = text.encode()
-            of_a, of_b = [a_bytes[k] for k in a], [b_bytes[k] for k in b]
-            if b"".join(of_a) != whole or b"".join(of_b) != whole:
-                sizes.append((-1, -1, -1))
-                self.groups.append("")
-            else:
-                a_ends, b_ends = np.cumsum([len(x) for x in of_a]).tolist(), np.cumsum([len(x) for x in of_b]).tolist()
-                said, k0, m0 = [], 0, 0
-                for k, m in zip(*common_ends(a_ends, b_ends)):
-                    one, other = a[k0 : k + 1], b[m0 : m + 1]
-                    codes.extend([x << 32 | y for x, y in group_links(one, other, a_ends[k0 : k + 1], b_ends[m0 : m + 1])])
-                    said.append(",".join(map(str, one)) + "|" + ",".join(map(str, other)))
-                    k0, m0 = k + 1, m + 1
-                sizes.append((len(a), len(b), len(said)))
-                self.groups.append(";".join(said))
-            first.append(len(codes))
-        self.first = np.concatenate((self.first, len(self.codes) + np.array(first, dtype=np.int64)))
-        self.codes = np.concatenate((self.codes, np.array(codes, dtype=np.int64)))
-        self.sizes = np.concatenate((self.sizes, np.array(sizes, dtype=np.int64).reshape(-1, 3)))
+    def add(self, texts: list[str], all_a: list[bytes], all_b: list[list[int]]) -> None:
+        """Align texts, given with their space, and add them to the store. Texts whose bytes both sides have end at common ends, so all of them are aligned as one."""
+        whole = [t.encode() for t in texts]
+        counts = np.array([[len(a) >> 2 for a in all_a], [len(b) for b in all_b]], dtype=np.int64).reshape(2, -1)
+        ids = [np.frombuffer(b"".join(all_a), "<u4"), np.fromiter(chain.from_iterable(all_b), np.uint32, int(counts[1].sum()))]
+        sizes = np.array([len(w) for w in whole], dtype=np.int64)
+        good = np.ones(len(texts), dtype=bool)
+        for k, names in ((0, self.a_bytes), (1, self.b_bytes)):
+            parts = [names[x] for x in ids[k].tolist()]
+            if b"".join(parts) != b"".join(whole) or not (np.diff(np.concatenate(([0], np.cumsum([len(p) for p in parts])))[np.concatenate(([0], np.cumsum(counts[k])))]) == sizes).all():
+                at = np.concatenate(([0], np.cumsum(counts[k]))).tolist()
+                good &= np.array([b"".join(parts[m:n]) == w for m, n, w in zip(at, at[1:], whole)], dtype=bool)
+        ids = [x[np.repeat(good, counts[k])] for k, x in enumerate(ids)]
+        counts = counts * good
+        ends = [np.cumsum(lengths[x]) for lengths, x in zip(self.lengths, ids)]
+        at_a, at_b = common_ends(ends[0].tolist(), ends[1].tolist())
+        bounds = np.concatenate(([0], np.cumsum(counts[0])))
+        group_of = np.searchsorted(bounds, np.array(at_a, dtype=np.int64), side="right") - 1  # the text of each group
+        n_groups = np.bincount(group_of, minlength=len(texts))
+        codes = group_links(ids[0], ids[1], *ends)
+        n_links = np.where(good, counts[0] + counts[1] - n_groups, 0)  # each end of either side closes one link
+        if self.texts:
+            names_a, names_b = [self.names[x] for x in ids[0].tolist()], [self.names[x] for x in ids[1].tolist()]
+            said, k0, m0 = [], 0, 0
+            for k, m in zip(at_a, at_b):
+                one = names_a[k] if k == k0 else ",".join(names_a[k0 : k + 1])
+                other = names_b[m] if m == m0 else ",".join(names_b[m0 : m + 1])
+                said.append(f"{one}|{other}")
+                k0, m0 = k + 1, m + 1
+            cut = np.concatenate(([0], np.cumsum(n_groups))).tolist()
+            self.groups.extend([said[x] if y - x == 1 else ";".join(said[x:y]) for x, y in zip(cut, cut[1:])])
+        else:
+            self.groups.extend([""] * len(texts))
+        self.first = np.concatenate((self.first, len(self.codes) + np.cumsum(n_links)))
+        self.codes = np.concatenate((self.codes, codes))
+        self.sizes = np.concatenate((self.sizes, np.where(good[:, None], np.stack((counts[0], counts[1], n_groups), axis=1), -1).astype(np.int32)))
 
     def read(self, texts: list[str]) -> list[list[int]]:
-        """The numbers, in the store, of each text's pieces in order; they hold until the next call. An empty text has none."""
-        if len(self.index) > self.stored:
-            self.clear()
-        elif len(self.groups) > len(self.index):  # whole texts of the last call go
-            self.drop_from(len(self.index))
+        """The numbers, in the store, of each text's pieces in order; they hold until the next call. An empty text has none. The pieces met first, which are the common ones, stay in the store; once it is full, others leave with the next call."""
+        self.drop_from(len(self.index))
         self.kept = len(self.groups)
         cut = [self.pieces(t) for t in texts]
-        new = set().union(*[p for p in cut if p]).difference(self.index)
-        if new:
-            self.learn(list(new))
+        new = list(set().union(*[p for p in cut if p]).difference(self.index))
         whole = [t for t, p in zip(texts, cut) if p is None and t]
         base = len(self.groups)
+        if new:
+            self.add([p if p[0] == "\n" else " " + p for p in new], *self.encode_pieces(new))
         if whole:
-            self.add([" " + t for t in whole], [self.a.tokenizer.encode(" " + t, add_special_tokens=False).ids for t in whole], self.b.encode(whole, num_threads=1))
-        at, out = iter(range(base, base + len(whole))), []
+            self.add([" " + t for t in whole], [self.a.whole(" " + t) for t in whole], self.b.encode(whole, num_threads=1))
+        more = dict(zip(new, range(base, base + len(new))))
+        find = self.index.__getitem__
+        if base + len(new) <= self.stored:
+            self.index.update(more)
+        else:
+            find = lambda p, old=self.index.get: more[p] if (k := old(p)) is None else k
+        at, out = iter(range(base + len(new), len(self.groups))), []
         for text, pieces in zip(texts, cut):
-            out.append(list(map(self.index.__getitem__, pieces)) if pieces else [next(at)] if text else [])
+            out.append(list(map(find, pieces)) if pieces else [next(at)] if text else [])
         return out
 
     def drop_from(self, n: int) -> None:
@@ -185,14 +189,16 @@ class Aligner:
         return self.codes[np.repeat(self.first[pieces] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-_aligners: dict[tuple[str, str], Aligner] = {}
+_aligners: dict[tuple, Aligner] = {}
 
 
-def aligner(path_a: str, path_b: str) -> Aligner:
+def aligner(path_a: str, path_b: str, texts: bool) -> Aligner:
     """One per Python worker, which keeps what it has learnt from task to task."""
-    if (path_a, path_b) not in _aligners:
-        _aligners[path_a, path_b] = Aligner(path_a, path_b)
-    return _aligners[path_a, path_b]
+    key = (path_a, path_b, texts)
+    if key not in _aligners:
+        _aligners.clear()  # what an earlier pass has learnt goes
+        _aligners[key] = Aligner(*key)
+    return _aligners[key]
 
 
 def _read(batches: Iterator[pa.RecordBatch], column: int, known: Aligner) -> Iterator[tuple[pa.RecordBatch, int, int, list[list[int]]]]:
@@ -206,7 +212,7 @@ def linked_pairs(docs: DataFrame, path_a: str, path_b: str, text: str = "text")
     """(a, b, n): in how many documents tokens with these ids are linked. Tasks hand on one count per pair, not one row per document and pair."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = aligner(path_a, path_b), {}
+        known, total = aligner(path_a, path_b, False), {}
 
         def handed() -> pa.RecordBatch:
             codes = np.fromiter(total.keys(), np.int64, len(total))
@@ -235,7 +241,7 @@ def _aligned(path_a: str, path_b: str, pairs):
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = aligner(path_a, path_b)
+        known = aligner(path_a, path_b, True)
         table = pairs.value if pairs else None
         for batch, first, last, rows in _read(batches, 1, known):
             names = ["n_a", "n_b", "n_groups", "n_links"]
