@@ -30,12 +30,12 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN part USING (doc_id)
 
 OP3 = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+    SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
     WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
 )
 SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INT) AS rank, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
-FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
-WINDOW w AS (PARTITION BY q.vec_id ORDER BY CAST(list_dot_product(q.x, c.x) AS BIGINT) DESC, c.vec_id)
+FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.n <> q.n
+WINDOW w AS (PARTITION BY q.n ORDER BY CAST(list_dot_product(q.x, c.x) AS BIGINT) DESC, c.vec_id)
 QUALIFY row_number() OVER w <= 10
 """
 

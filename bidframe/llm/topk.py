@@ -51,8 +51,8 @@ def _buckets(lengths: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best of ``vectors`` by inner product, ties to the smaller id, its own id left out, as (query number, id, product).
+def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floors: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of ``vectors`` by inner product, ties to the smaller id, as (query number, id, product). A vector isn't found by the query of its id; where ids repeat, ``own`` numbers the vectors, and queries are named by such numbers.
 
     Vectors are grouped by length in descending order. Per bucket and query the k-th best product so far, or the
     query's floor (k products at least as high are known) if that is higher, divided by both lengths, is the local
@@ -60,6 +60,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     narrow ranges of the query's largest coordinates; a low one only to those long enough. Products of what is left
     are computed exactly. Rows so large that doubles can't hold their products are compared with all.
     """
+    own = ids if own is None else own
     best, best_ids = np.full((len(queries), k), LEAST), np.full((len(queries), k), MOST)
     floors = np.full(len(queries), LEAST) if floors is None else floors
 
@@ -70,7 +71,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
 
     def compare(some_queries: np.ndarray, some: np.ndarray, may: np.ndarray | None) -> None:
         got, names = _products(queries[some_queries], vectors[some]), ids[some]
-        allowed = (names[None, :] != query_ids[some_queries, None]) & (got >= np.maximum(best[:, -1], floors)[some_queries, None])
+        allowed = (own[some][None, :] != query_ids[some_queries, None]) & (got >= np.maximum(best[:, -1], floors)[some_queries, None])
         allowed = allowed if may is None else allowed & may
         for r in np.flatnonzero(allowed.any(axis=1)):
             take = np.flatnonzero(allowed[r])
@@ -138,15 +139,15 @@ def _meet(k: int):
     def run(queries: pa.Table, block: pa.Table) -> pa.Table:
         q, v, s = np.zeros((3, 0), np.int64)
         if len(queries) and len(block):
-            query_ids = queries.column("query_id").to_numpy()
-            q, v, s = search_block(query_ids, matrix(queries), block.column("vec_id").to_numpy(), matrix(block), k, queries.column("bar").to_numpy())
-            q = query_ids[q]
-        return pa.table({"query_id": q.astype(np.int64), "vec_id": v.astype(np.int64), "score": s.astype(np.int64)})
+            query_rows = queries.column("query_row").to_numpy()
+            q, v, s = search_block(query_rows, matrix(queries), block.column("vec_id").to_numpy(), matrix(block), k, queries.column("bar").to_numpy(), block.column("row").to_numpy())
+            q = query_rows[q]
+        return pa.table({"query_row": q.astype(np.int64), "vec_id": v.astype(np.int64), "score": s.astype(np.int64)})
 
     return run
 
 
-_FOUND = "query_id long, vec_id long, score long"
+_FOUND = "query_row long, vec_id long, score long"
 
 
 def length_blocks(rows: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, vector:
     """Each query's ``k`` highest integer inner products with all other rows; ties to the smaller vec_id.
 
     Components become floor(scale * x). Vectors are bucketed by length, and buckets are cut into blocks of bounded
-    size by a hash of vec_id.
+    size by a hash of the row's number.
 
     1. Every query meets one block of long vectors. The k-th best product is its threshold.
     2. The threshold over the query's length is the length that other vectors must have; queries of like need are
@@ -189,40 +190,41 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, vector:
 
     Vectors that are null or hold null or non-finite components take no part; nor do rows without a vec_id. Vectors
     of different dimension never meet. Products beyond a 64-bit integer count as its greatest or least value, and tie.
-    Rows that repeat a vec_id count once per distinct vector as candidates of others; the smallest of them is the
-    query. An empty table gives an empty result; other columns aren't looked at. Returns query_id, rank, vec_id, score.
+    Every row is a candidate of all others, and every row that asks is a query, also where rows repeat a vec_id or all
+    of a row; only the row itself is left out. Components beyond doubles when scaled count as non-finite. An empty table gives an empty result; other columns aren't looked at. Returns query_id, rank, vec_id, score.
     """
     held = F.col(vector)
     scaled = lambda v: v.cast("double") * scale
     whole = F.transform(held, lambda v: F.when(F.abs(scaled(v)) < EXACT, F.floor(scaled(v)).cast("double")).otherwise(scaled(v)))
     fit = F.forall(held, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(scaled(v)) < F.lit(float("inf"))))
     rows = vectors.filter(held.isNotNull() & F.col("vec_id").isNotNull()).filter(F.coalesce(fit, F.lit(False)))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("x"), F.size(held).alias("dim"), is_query.alias("asks")).distinct()
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("x"), F.size(held).alias("dim"), is_query.alias("asks"), F.monotonically_increasing_id().alias("row"))
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda total, v: total + v * v))
     rows = materialise(rows.withColumn("length", length).withColumn("bin", _length_bin(F.col("length"))), "vectors")
     blocks = materialise(length_blocks(rows), "length-blocks")
-    asked = rows.filter("asks").groupBy("vec_id", "dim").agg(F.min(F.struct("x", "length")).alias("q")).select(F.col("vec_id").alias("query_id"), "dim", "q.*")
+    asked = rows.filter("asks").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "dim", "x", "length")
 
     # 1. a block of the longest bucket that has more than k vectors
     seed = blocks.filter(F.col("held") > k).groupBy("dim").agg(F.max(F.struct("top", "bin", "blocks")).alias("seed")).select("dim", F.col("seed.bin").alias("bin"), F.col("seed.blocks").alias("blocks"))
     many = asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
-    first = rows.join(seed, ["dim", "bin"]).filter(_block(F.col("blocks"), "vec_id") == 0).join(many, "dim").select("dim", _each(F.col("query_blocks")).alias("query_block"), "vec_id", "x")
-    ask = asked.join(many, "dim").select("dim", _block(F.col("query_blocks"), "query_id").alias("query_block"), "query_id", "x", F.lit(int(LEAST)).alias("bar"))
+    first = rows.join(seed, ["dim", "bin"]).filter(_block(F.col("blocks"), "row") == 0).join(many, "dim").select("dim", _each(F.col("query_blocks")).alias("query_block"), "row", "vec_id", "x")
+    ask = asked.join(many, "dim").select("dim", _block(F.col("query_blocks"), "query_row").alias("query_block"), "query_row", "x", F.lit(int(LEAST)).alias("bar"))
     keys = ["dim", "query_block"]
     nearest = materialise(_cogroup(ask, first, keys, k), "first-block")
 
     # 2. what else can reach the threshold
-    bars = nearest.groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("n")).filter(F.col("n") >= k).drop("n")
+    bars = nearest.groupBy("query_row").agg(F.min("score").alias("bar"), F.count("*").alias("n")).filter(F.col("n") >= k).drop("n")
     need = F.when((F.col("bar") > 0) & (F.col("length") > 0), F.col("bar") / F.col("length") * (1 - SLACK)).otherwise(0.0)
-    asked = asked.join(bars, "query_id", "left").withColumn("need", F.coalesce(need, F.lit(0.0))).withColumn("group", _length_bin(F.col("need")))
+    asked = asked.join(bars, "query_row", "left").withColumn("need", F.coalesce(need, F.lit(0.0))).withColumn("group", _length_bin(F.col("need")))
     asked = materialise(asked.withColumn("bar", F.coalesce("bar", F.lit(int(LEAST)))), "thresholds")
     plan = materialise(reached(asked, blocks).join(seed.select("dim", F.col("bin").alias("seed")), "dim", "left"), "reached-buckets")
     keys = ["dim", "group", "query_block", "bin", "block"]
     unseen = ~((F.col("bin") == F.coalesce("seed", F.lit(-2))) & (F.col("block") == 0))
-    ask = asked.join(plan, ["dim", "group"]).select("dim", "group", _block(F.col("query_blocks"), "query_id").alias("query_block"), "bin", "seed", _each(F.col("blocks")).alias("block"), "query_id", "x", "bar").filter(unseen).drop("seed")
-    other = rows.join(plan, ["dim", "bin"]).select("dim", "group", _each(F.col("query_blocks")).alias("query_block"), "bin", "seed", _block(F.col("blocks"), "vec_id").alias("block"), "vec_id", "x").filter(unseen).drop("seed")
+    ask = asked.join(plan, ["dim", "group"]).select("dim", "group", _block(F.col("query_blocks"), "query_row").alias("query_block"), "bin", "seed", _each(F.col("blocks")).alias("block"), "query_row", "x", "bar").filter(unseen).drop("seed")
+    other = rows.join(plan, ["dim", "bin"]).select("dim", "group", _each(F.col("query_blocks")).alias("query_block"), "bin", "seed", _block(F.col("blocks"), "row").alias("block"), "row", "vec_id", "x").filter(unseen).drop("seed")
     found = _cogroup(ask, other, keys, k)
 
     # 3. the best of all blocks
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return nearest.unionByName(found).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    best = nearest.unionByName(found).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.join(asked.select("query_row", "query_id"), "query_row").select("query_id", "rank", "vec_id", "score")

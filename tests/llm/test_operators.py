@@ -462,4 +462,4 @@ def test_query_digests(spark, sf_dir):
     assert len(got.base_sha256) == 64 and got.base_sha256 == got.base_sha256.lower()
     empty = [r for r in queries.op8_personal_data(spark, sf_dir).collect() if r.n_email + r.n_ip + r.n_card + r.n_phone == 0]
     assert empty[0].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert json.dumps(sorted(queries.queries())) and len(queries.queries()) == 10
+    assert json.dumps(sorted(queries.queries())) and len(queries.queries()) == 13

@@ -12,16 +12,14 @@ LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def brute(rows, k=10):
-    """(query_id, rank, vec_id, score) of distinct rows, the smallest vector of an id being the query; products kept within 64 bits."""
-    rows = sorted({(i, tuple(math.floor(1024 * x) if abs(1024 * x) < 2**53 else int(1024 * x) for x in v)) for i, v in rows})
-    queries = {}
-    for i, v in rows:
-        if i % 100 == 0:
-            queries.setdefault((i, len(v)), v)
-    out = {}
-    for (q, dim), x in queries.items():
-        out.setdefault(q, []).extend((-min(max(sum(a * b for a, b in zip(x, y)), LEAST), MOST), i) for i, y in rows if i != q and len(y) == dim)
-    return sorted((q, n, i, -s) for q, found in out.items() for n, (s, i) in enumerate(sorted(found)[:k], 1))
+    """(query_id, rank, vec_id, score) of all rows, each that asks with every other; products kept within 64 bits."""
+    rows = [(i, tuple(math.floor(1024 * x) if abs(1024 * x) < 2**53 else int(1024 * x) for x in v)) for i, v in rows]
+    out = []
+    for n, (q, x) in enumerate(rows):
+        if q % 100 == 0:
+            found = sorted((-min(max(sum(a * b for a, b in zip(x, y)), LEAST), MOST), i) for m, (i, y) in enumerate(rows) if m != n and len(y) == len(x))
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
+    return sorted(out)
 
 
 def run(spark, rows, k=10):
@@ -66,3 +64,9 @@ def test_floors_keep_what_ties():
     vectors = np.array([[1.0], [2.0], [2.0], [3.0]])
     q, v, s = topk.search_block(np.array([9]), np.array([[1.0]]), np.arange(4), vectors, 2, np.array([2]))
     assert v.tolist() == [3, 1] and s.tolist() == [3, 2]
+
+
+def test_repeated_rows_are_candidates(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0]), (0, [3.0]), (0, [1.0])]
+    assert run(spark, rows, 3) == brute(rows, 3)
+    assert run(spark, [(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0])], 3) == [(0, 1, 1, 2048 * 1024), (0, 2, 1, 2048 * 1024), (0, 3, 2, 1024 * 1024)]
