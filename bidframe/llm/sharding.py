@@ -36,7 +36,14 @@ def jump_shard(key: Column, shards: int) -> Column:
     def shard(ids: pd.Series) -> pd.Series:
         return pd.Series(jump_hash(ids.fillna(0).to_numpy(dtype=np.int64).view(np.uint64), shards).astype(np.int32))
 
-    return shard(F.coalesce(key.cast("long"), F.lit(0)))
+    return shard(F.coalesce(key, F.lit(0).cast("long")))
+
+
+def key_number(docs: DataFrame, key: str) -> Column:
+    """The number that is hashed for a key: the key itself if it is of an integer type, else the XXH64 of its text; null without one."""
+    if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.col(key).cast("long")
+    return F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string")))
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,7 +53,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
     takes rows only into itself. Slots of a shard run from 0 without gaps in the order of ``part`` (four hex digits
     of the key's md5) and then key; they are numbered part by part, with the parts' offsets from one small count.
 
-    A null text has no bytes and crc32 0; a null key is hashed as 0. Rows that repeat a key share its shard and get
+    A null text has no bytes and crc32 0; a null key is hashed as 0, and one that is no integer by its text. Rows that repeat a key share its shard and get
     slots of their own. An empty table gives an empty result. Other columns of the input aren't looked at.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -55,7 +62,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("~"))), 1, 4), 16, 10).cast("int").alias("part"),
-    ).select("*", jump_shard(F.col("doc_id"), shards).alias("shard"), jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard"))
+        key_number(docs, key).alias("number"),
+    ).select("*", jump_shard(F.col("number"), shards).alias("shard"), jump_shard(F.col("number"), shards + 1).alias("grown_shard"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -77,5 +85,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_i
     """
     if folder in docs.columns:
         raise ValueError(f"{folder} is a column of the table; name another folder")
-    rows = docs.withColumn(folder, jump_shard(F.col(key), shards))
+    rows = docs.withColumn(folder, jump_shard(key_number(docs, key), shards))
     rows.repartition(shards * files, folder, F.pmod(F.xxhash64(key), F.lit(files))).write.partitionBy(folder).parquet(path)

@@ -48,3 +48,12 @@ def test_forms_of_the_shared_folder(spark, monkeypatch, form):
     got = sorted(tuple(r) for r in tokens.tokenise_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect())
     assert [r[:3] for r in got] == [(1, 0, 1), (2, 1, 3), (3, 4, 4)]
     assert any(f.endswith(".bpz") for _, _, files in os.walk(folder) for f in files)
+
+
+def test_shards_of_keys_that_are_no_numbers(spark):
+    rows = [("a1", "x"), ("b", None), (None, "y"), ("7", "z"), ("a1", "x")]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id string, text string"), shards=4).collect()
+    assert len(got) == 5 and len({r.shard for r in got if r.doc_id == "a1"}) == 1
+    assert all(r.grown_shard in (r.shard, 4) for r in got)
+    short = spark.createDataFrame([(5, "x"), (None, "y")], "doc_id smallint, text string")
+    assert {r.doc_id: r.shard for r in sharding.assign_shards(short, shards=4).collect()} == {5: int(sharding.jump_hash(np.array([5], dtype=np.uint64), 4)[0]), None: int(sharding.jump_hash(np.array([0], dtype=np.uint64), 4)[0])}
