@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidframe.llm.common import materialise
@@ -167,10 +167,10 @@ def _window_batches(widths: list[int], passes: np.ndarray | None):
                         slots = [hashes[k : k + width][kind[k : k + width] > 0].view(np.int64) for k in at.tolist()]
                         yield pa.RecordBatch.from_arrays(
                             [
-                                batch.column(0).take(pa.array(first_row + row[at])), pa.array((at - first[row[at]]).astype(np.int32)), pa.array(windows.view(np.int64)), pa.array(slots, pa.list_(pa.int64())),
+                                *[batch.column(k).take(pa.array(first_row + row[at])) for k in (0, 2)], pa.array((at - first[row[at]]).astype(np.int32)), pa.array(windows.view(np.int64)), pa.array(slots, pa.list_(pa.int64())),
                                 pa.array(sizes[row[at]].astype(np.int32)), pa.array(np.full(len(at), form, np.int32)),
                             ],
-                            names=["id", "at", "window", "slots", "n_words", "form"],
+                            names=["id", "text_key", "at", "window", "slots", "n_words", "form"],
                         )
 
     return run
@@ -208,11 +208,20 @@ def joined_cover(shift: list[int], item_at: list[int], said: list, says: list, r
     return most
 
 
-_ROW = "id long, at int, window long, slots array<long>, n_words int, form int"
+_ROW = "id long, text_key long, at int, window long, slots array<long>, n_words int, form int"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that hold a benchmark item, re-parameterised or not: doc_id, item_id, coverage.
+def _doc(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(0))
+
+
+def _text_key(doc_id: Column, text: Column) -> Column:
+    """0 for a document that has a doc_id; one without is told apart by its text."""
+    return F.when(doc_id.isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text).bitwiseOR(F.lit(1).cast("long")))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The documents that hold a benchmark item, re-parameterised or not: doc (doc_id, 0 without one), text_key, item_id, coverage.
 
     Words are reduced to letters and digits in lower case, of any script; numbers, names and units become typed
     placeholders, which may span words: "1 200 euros" or "Mary Ann Smith" is also read as one. Every
@@ -228,27 +237,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     all words literal, if fewer) can't be recognised and match nothing. Null and empty texts hold nothing. Repeated
     rows of a doc_id give its item once; empty tables give an empty result. Other columns aren't looked at.
     """
-    items = materialise(benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").mapInArrow(_window_batches([WIDTH], None), _ROW), "items")
+    own = ["doc", "text_key", "item_id", "form"]
+    items = materialise(benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text", F.lit(0).cast("long")).mapInArrow(_window_batches([WIDTH], None), _ROW), "items")
     bits = items.select(F.expr(f"CAST(window & {FILTER_BITS - 1} AS INT)").alias("bit")).distinct().toPandas()["bit"].to_numpy()
     passes = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     np.bitwise_or.at(passes, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
     short = [r[0] for r in items.filter(F.col("n_words") < WIDTH).select("n_words").distinct().collect()]
-    found = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(_window_batches([WIDTH, *short], passes), _ROW)
+    found = docs.select(_doc(F.col("doc_id")).alias("id"), "text", _text_key(F.col("doc_id"), F.col("text")).alias("text_key")).mapInArrow(_window_batches([WIDTH, *short], passes), _ROW)
     of_item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), "form")
     sizes = items.groupBy(F.col("id").alias("item_id"), "form").agg(F.countDistinct("at").alias("windows"), F.max("n_words").alias("n_words"))
-    met = found.select(F.col("id").alias("doc_id"), "at", "window", "slots", "form").join(of_item, ["window", "form"])
-    met = materialise(met.withColumn("shift", F.col("at") - F.col("item_at")).select("doc_id", "item_id", "form", "shift", "item_at", "item_slots", "slots").distinct(), "met-windows")
-    enough = met.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("item_at").alias("n")).join(sizes, ["item_id", "form"]).filter(F.col("n") >= coverage * F.col("windows")).drop("n")
+    met = found.select(F.col("id").alias("doc"), "text_key", "at", "window", "slots", "form").join(of_item, ["window", "form"])
+    met = materialise(met.withColumn("shift", F.col("at") - F.col("item_at")).select(*own, "shift", "item_at", "item_slots", "slots").distinct(), "met-windows")
+    enough = met.groupBy(*own).agg(F.countDistinct("item_at").alias("n")).join(sizes, ["item_id", "form"]).filter(F.col("n") >= coverage * F.col("windows")).drop("n")
 
     def cover(group: pd.DataFrame) -> pd.DataFrame:
         n = joined_cover(group["shift"], group["item_at"], group["item_slots"], group["slots"], int(group["n_words"].iloc[0]))
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1], "item_id": group["item_id"].iloc[:1], "coverage": [n / group["windows"].iloc[0]]})
+        return pd.DataFrame({c: group[c].iloc[:1] for c in own[:3]} | {"coverage": [n / group["windows"].iloc[0]]})
+
+    share = met.join(enough, own).groupBy(*own).applyInPandas(cover, "doc long, text_key long, item_id long, coverage double")
+    return share.filter(F.col("coverage") >= coverage).groupBy(*own[:3]).agg(F.max("coverage").alias("coverage"))
 
-    share = met.join(enough, ["doc_id", "item_id", "form"]).groupBy("doc_id", "item_id", "form").applyInPandas(cover, "doc_id long, item_id long, coverage double")
-    return share.filter(F.col("coverage") >= coverage).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_id, coverage of the documents that hold a benchmark item, as ``leaks`` finds them. Texts without a doc_id that hold one have a row each, with a null doc_id."""
+    doc_id = F.when(F.col("text_key") == 0, F.col("doc")).cast("long")
+    return leaks(docs, benchmark, coverage).select(doc_id.alias("doc_id"), "item_id", "coverage")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; documents with a null doc_id stay."""
-    leaks = contaminated(docs, benchmark, coverage).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a benchmark item. Rows that share a doc_id go together; rows without one go by their own text."""
+    found = leaks(docs, benchmark, coverage).select("doc", "text_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    same = (_doc(F.col("row.doc_id")) == F.col("doc")) & (_text_key(F.col("row.doc_id"), F.col("row.text")) == F.col("text_key"))
+    return rows.join(found, same, "left_anti").select("row.*")

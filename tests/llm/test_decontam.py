@@ -88,7 +88,7 @@ def test_reparameterised_items_among_fillers(spark):
     rows = [(i, t, 1, 2, 3, "s", 4) for i, t in docs] + [(None, items[0][1], 1, 2, 3, "s", 4), (1, items[5][1], 1, 2, 3, "s", 4), (3, "x " * 200_000, 1, 2, 3, "s", 4)]
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, window string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, SCHEMA), bench).collect()}
-    assert got == want | {(1, 5)}
+    assert got == want | {(1, 5), (None, 0)}
 
 
 def test_slots_must_agree(spark):
@@ -99,3 +99,14 @@ def test_slots_must_agree(spark):
     docs = spark.createDataFrame([(1, item.replace("Maria", "Klaus")), (2, item.replace("Maria", "Klaus", 1).replace("Maria", "Petra"))], "doc_id long, text string")
     got = {r.doc_id: r.coverage for r in decontam.contaminated(docs, bench, 0.01).collect()}
     assert got[1] == 1.0 and got.get(2, 0.0) < 0.5
+
+
+def test_documents_without_an_id(spark):
+    """A text without a doc_id that holds an item goes, whatever else has none; document 0 isn't mistaken for it."""
+    item = "what is the sum of the first seven odd numbers that the teacher wrote on the board"
+    rows = [(None, f"before {item} after", "a"), (None, "nothing of the kind is said in this text at all", "b"), (None, None, "c"), (0, "also a plain text", "d"), (3, f"so {item}", "e"), (3, "its other row", "f"), (None, f"before {item} after", "g")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, row string, doc int, text_key int")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).fillna(-1, ["doc_id"]).collect()) == [(-1, 9), (3, 9)]
+    kept = decontam.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and {r.row for r in kept.collect()} == {"b", "c", "d"}
