@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_identified_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows whose language is identified. Every row is judged by its own text: repeated rows stay together, and so does a row with a null doc_id, which nothing later can drop by name."""
+    """The rows whose language is identified. Every row is judged by its own text: repeated rows stay together, and a row with a null doc_id is judged like any other."""
     return keep_identified(docs, LEAST_SCORE).select(*COLUMNS)
 
 
@@ -30,7 +30,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_holders(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; one without a doc_id goes by its own text."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
