@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidframe.llm.common import materialise
@@ -17,6 +18,14 @@ from bidframe.llm.common import materialise
 CONFIDENCE = 1.96
 #: Share of an entity's information that a term may give away; beyond it, the term is generalised or removed.
 DISCLOSURE = 0.5
+#: A term protects an entity if its reader is left with this many candidates or more.
+CANDIDATES = 4
+#: Terms on each side of an entity that co-occur with it.
+WINDOW = 8
+#: Different texts in which a term must co-occur with an entity; what one text says may be chance.
+LEAST_TEXTS = 2
+#: Terms whose documents are counted by name, as a set in every task; where there are more, all words are counted and joined.
+NAMED_TERMS = 1_000_000
 KINDS = ("email", "ip", "card", "phone")
 
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -85,29 +94,35 @@ def terms_outside(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[st
     return out
 
 
-def terms_near(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of every entity of the text with every term outside all spans."""
-    terms = terms_outside(text, spans) if spans else []
-    return [(entity_of(text, span), *t) for span in spans for t in terms]
+def pairs_near(text: str, spans: list[tuple[int, int, str]], terms: list[tuple[str, int, int]], window: int) -> set[tuple[str, str]]:
+    """(entity, term) of every span with the ``window`` terms before and after it."""
+    starts, out = [t[1] for t in terms], set()
+    for span in spans:
+        at, entity = bisect_left(starts, span[0]), entity_of(text, span)
+        after = bisect_left(starts, span[1])
+        out.update((entity, t[0]) for t in terms[max(0, at - window) : at] + terms[after : after + window])
+    return out
 
 
-_FOUND = "doc_id long, print long, base array<struct<start:int,end:int,kind:string>>, entities array<string>, terms array<struct<term:string,start:int,end:int>>"
+_FOUND = "doc_id long, print long, base array<struct<start:int,end:int,kind:string>>, entities array<string>, terms array<struct<term:string,start:int,end:int>>, near array<struct<entity:string,term:string>>"
 
 
-def base_findings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, print (a hash of the text), base spans, the distinct entities in them and, of texts that have any, the terms outside of them, of every document."""
+def base_findings(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, print (a hash of the text), base spans, the distinct entities in them and, of texts that have any, the terms outside of them and the pairs of entity and term that stand near, of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, entities, terms = [], [], []
+            base, entities, all_terms, near = [], [], [], []
             for body in batch.column(2).to_pylist():
                 spans = base_spans(body)
+                terms = terms_outside(body, spans) if spans else []
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
                 entities.append(sorted({entity_of(body, x) for x in spans}))
-                terms.append([dict(zip(("term", "start", "end"), x)) for x in terms_outside(body, spans)] if spans else [])
+                all_terms.append([dict(zip(("term", "start", "end"), x)) for x in terms])
+                near.append([{"entity": e, "term": t} for e, t in sorted(pairs_near(body, spans, terms, window))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(base, _SPANS), pa.array(entities, pa.list_(pa.string())), pa.array(terms, _TERMS)], names=["doc_id", "print", "base", "entities", "terms"]
+                [batch.column(0), batch.column(1), pa.array(base, _SPANS), pa.array(entities, pa.list_(pa.string())), pa.array(all_terms, _TERMS), pa.array(near, _NEAR)], names=["doc_id", "print", "base", "entities", "terms", "near"]
             )
 
     return rows.mapInArrow(find, _FOUND)
@@ -115,59 +130,70 @@ def base_findings(docs: DataFrame, text: str = "text") -> DataFrame:
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 _TERMS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
 
 
-def _judged(docs: DataFrame, findings: DataFrame, least: int, disclosure: float, text: str, z: float) -> DataFrame:
-    """(doc_id, print, entity, term, together, share): in each document the pairs that ``disclosing_terms`` names. A document's terms meet the corpus's counts with all its entities in one row, so what is shuffled grows with the text and not with entities times terms."""
-    held = findings.filter("size(entities) > 0")
-    own_docs = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    known = held.select("doc_id", "print", F.explode("entities").alias("entity")).distinct().join(own_docs, "entity").groupBy("doc_id", "print").agg(F.collect_list(F.struct("entity", "entity_docs")).alias("known"))
-    rows = held.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("terms"))
-    rows = rows.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("doc_id", "print", "known", F.explode("terms").alias("term"))
-    texts = docs.select(F.col(text).alias("text"))
+def term_counts(docs: DataFrame, wanted: DataFrame, text: str = "text", named: int = NAMED_TERMS) -> DataFrame:
+    """(term, term_docs): in how many of all documents each term of ``wanted(term)`` stands. Tasks hand on one count per term; up to ``named`` wanted terms are known to every task, beyond that all words are counted and joined with them."""
+    known = None
+    if wanted.count() <= named:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in wanted.toLocalIterator()))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = known.value if known else None
         for batch in batches:
             found: Counter = Counter()
             for body in batch["text"]:
                 if body:
-                    found.update(set(_term.findall(body.lower())))
+                    words = set(map(str.lower, set(_term.findall(body))))
+                    found.update(words if some is None else words & some)
             yield pd.DataFrame(found.items(), columns=["term", "n"])
 
-    counts = texts.mapInPandas(spread, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
-    pairs = rows.join(counts, "term").select("doc_id", "print", "term", "term_docs", F.explode("known").alias("k")).select("doc_id", "print", "term", "term_docs", "k.*")
-    pairs = pairs.withColumn("together", F.count("*").over(Window.partitionBy("term", "entity"))).filter(F.col("together") >= least)
-    total = F.lit(float(max(2, findings.count())))
-    n, seen = F.col("term_docs"), F.col("together") / F.col("term_docs")
-    sure = (seen + z * z / (2 * n) - z * F.sqrt(seen * (1 - seen) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    mutual = F.log2(sure * total / F.col("entity_docs"))
-    own = F.log2(total / F.col("entity_docs"))
-    share = F.when(own > 0, mutual / own).otherwise(0.0)
-    return pairs.withColumn("share", share).filter(F.col("share") >= disclosure).select("doc_id", "print", "entity", "term", "together", "share")
+    counts = docs.select(F.col(text).alias("text")).mapInPandas(spread, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
+    return counts if known else counts.join(wanted, "term", "left_semi")
+
 
+def disclosing_terms(
+    docs: DataFrame, findings: DataFrame, disclosure: float = DISCLOSURE, text: str = "text", z: float = CONFIDENCE, candidates: float = CANDIDATES, least: int = LEAST_TEXTS, named: int = NAMED_TERMS
+) -> DataFrame:
+    """(entity, term, together, share): terms that reveal a protected entity beyond the thresholds.
 
-def disclosing_terms(docs: DataFrame, findings: DataFrame, least: int = 1, disclosure: float = DISCLOSURE, text: str = "text", z: float = 0.0) -> DataFrame:
-    """(entity, term, together, share): terms that reveal a protected entity beyond the threshold.
+    A term co-occurs with an entity where it is one of the ``WINDOW`` terms next to it, on either side. ``together``
+    is the number of different texts in which it does, so copies of one text are no evidence, and must be ``least``
+    or more. p(entity | term) is held to be the lower end of Wilson's interval, at the quantile ``z``, of together in
+    all documents that hold the term anywhere. Two things are asked of it, whatever the size of the corpus:
 
-    Over all documents, an entity's information is -log2 of the share of documents it occurs in, and what a term
-    reveals of it is the pointwise mutual information of the two, log2(p(entity | term) / p(entity)); the quotient of
-    the two is held against ``disclosure``. The pairs are every entity with every term of its documents, and each is
-    judged from ``least`` documents on, which is one unless more are asked for. What few documents say is held down
-    by the measure: p(entity | term) is the lower end of Wilson's interval at the quantile ``z``, which with 0 is the
-    observed share. The words of the whole corpus are counted by document, entities by the documents with their spans.
+    - a reader of the term is left with fewer than ``candidates`` candidates, 1 / p(entity | term). With 4 candidates
+      and 95 % these are 2 of 2 documents, 3 of 4, 5 of 9: one document is never enough;
+    - it is more than chance: the mutual information of the two, log2(p(entity | term) / p(entity)), is the share
+      ``disclosure`` or more of the entity's own, -log2 p(entity). An entity in half of all documents has no such term.
+
+    Pairs near each other are counted by partial sums; the documents' words are counted for terms of these alone.
     """
-    return _judged(docs, findings, least, disclosure, text, z).select("entity", "term", "together", "share").distinct()
+    pairs = findings.select("print", F.explode("near").alias("pair")).select("print", "pair.*").distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= least)
+    pairs = materialise(pairs, "pairs-near")
+    counts = term_counts(docs, pairs.select("term").distinct(), text, named)
+    own = findings.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    rows = pairs.join(counts, "term").join(own, "entity")
+    total = F.lit(float(max(2, findings.count())))
+    n, seen = F.col("term_docs"), F.col("together") / F.col("term_docs")
+    sure = (seen + z * z / (2 * n) - z * F.sqrt(seen * (1 - seen) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    own = F.log2(total / F.col("entity_docs"))
+    share = F.when(own > 0, F.log2(sure * total / F.col("entity_docs")) / own).otherwise(0.0)
+    return rows.withColumn("share", share).filter((sure * candidates > 1) & (F.col("share") >= disclosure)).select("entity", "term", "together", "share")
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, text: str = "text", z: float = CONFIDENCE) -> DataFrame:
     """doc_id, print, base and spans of every document; spans are base spans and, as kind ``term``, the added ones.
 
-    A term in a document with an entity is added if ``disclosing_terms`` found that it reveals this entity. A null or
-    empty text has no spans. Repeated rows are handled one by one, though each counts in the statistics; an empty
-    table gives an empty result; other columns aren't looked at.
+    In a document with an entity, every place of a term that ``disclosing_terms`` found to reveal this entity is added.
+    A null or empty text has no spans. Repeated rows are handled one by one, though each counts in the statistics; an
+    empty table gives an empty result; other columns aren't looked at.
     """
     findings = materialise(base_findings(docs, text), "personal-data")
-    added = _judged(docs, findings, 1, disclosure, text, z).groupBy("doc_id", "print").agg(F.collect_set("term").alias("risky"))
+    risky = disclosing_terms(docs, findings, disclosure, text, z).select("entity", "term")
+    held = findings.filter("size(entities) > 0").select("doc_id", "print", F.explode("entities").alias("entity")).distinct()
+    added = held.join(risky, "entity").groupBy("doc_id", "print").agg(F.collect_set("term").alias("risky"))
     rows = findings.join(added.withColumnRenamed("doc_id", "d").withColumnRenamed("print", "p"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")
     more = F.transform(F.filter("terms", lambda t: F.array_contains("risky", t["term"])), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("term").alias("kind")))
     more = F.when(F.col("risky").isNotNull(), more).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))

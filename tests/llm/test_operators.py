@@ -389,34 +389,6 @@ def test_personal_data_terms(spark):
     assert "[EMAIL]" in out.text and "[TERM]" in out.text and "Zebulon" not in out.text
 
 
-def test_personal_data_terms_of_one_document(spark):
-    """A name that occurs once, far from its address, gives it away; a word of many other documents doesn't, though it stands beside."""
-    filler = " ".join(f"and the other {w}" for w in ("note", "rest", "list") for _ in range(30))
-    rows = [(0, f"Zebulon wrote. {filler}. Reach the lantern zeb@home.org"), (1, "mia@home.org")] + [(10 + k, f"{filler} lantern {k}") for k in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: [rows[0][1][s.start : s.end] for s in r.spans if s.kind == "term"] for r in pii.find_personal_data(df).filter("doc_id < 2").collect()}
-    assert "Zebulon" in found[0] and not {"lantern", "the", "note", "other"} & set(found[0]) and found[1] == []
-    sure = pii.disclosing_terms(df, pii.base_findings(df), 1, 0.0, z=pii.CONFIDENCE).filter("term IN ('zebulon', 'lantern')").collect()
-    assert {r.term: r.share for r in sure} == pytest.approx({"zebulon": math.log2(302 / (1 + 1.96**2)) / math.log2(302)}) and sure[0].together == 1
-
-
-def test_personal_data_disclosure_brute_force(documents):
-    import math
-
-    findings = pii.base_findings(documents).cache()
-    got = {(r.entity, r.term): r.share for r in pii.disclosing_terms(documents, findings, 1, 0.5).collect()}
-    together, entities, terms, n = Counter(), Counter(), Counter(), 0
-    for r in documents.select("text").collect():
-        n += 1
-        spans = pii.base_spans(r.text)
-        near = pii.terms_near(r.text, spans)
-        together.update({(e, t) for e, t, _, _ in near})
-        entities.update({e for e, *_ in near})
-        terms.update(set(re.findall(r"[^\W\d_]{2,}", r.text.lower())))
-    want = {(e, t): math.log2(c * n / (terms[t] * entities[e])) / math.log2(n / entities[e]) for (e, t), c in together.items()}
-    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.5})
-
-
 def test_personal_data_odd(odd, none):
     got = {r.doc_id: r for r in pii.find_personal_data(odd).collect()}
     assert [s.kind for s in got[9].base] == ["email", "ip", "phone"] and got[1].base == [] and pii.find_personal_data(none).count() == 0
