@@ -149,14 +149,12 @@ def broker_symbol(ticker: Column) -> Column:
     return F.regexp_replace(ticker, r"\.[^.]*$", "")
 
 
-#: Entries of a registry, at most; it is sent to every task.
-MOST_PARTS = 10_000
-
-
 def registry_match(names: DataFrame, registry: DataFrame, name: str = "acquirer_name") -> DataFrame:
-    """Join each distinct name to the first entry (by ``pos``) of a hand-made registry(part, pos, ticker, isin) whose part it contains. Every name is held against every part, so a registry of more than MOST_PARTS is refused."""
-    if registry.limit(MOST_PARTS + 1).count() > MOST_PARTS:
-        raise ValueError(f"a registry of more than {MOST_PARTS} parts")
-    hits = names.select(name).distinct().join(F.broadcast(registry), F.lower(name).contains(F.lower("part")))
-    best = hits.groupBy(name).agg(F.min_by(F.struct("ticker", "isin", "part"), "pos").alias("x")).select(name, F.col("x.ticker").alias("acquirer_ticker"), F.col("x.isin").alias("acquirer_isin"))
-    return names.join(best, name, "left")
+    """Join each distinct name to the first entry (by ``pos``) of a hand-made registry(part, pos, ticker, isin) whose part it contains, letter case aside."""
+    from bidframe.operators.substrings import contained
+
+    low = names.select(F.lower(name).alias("text")).distinct()
+    entries = registry.select(F.lower("part").alias("part"), "pos", "ticker", "isin")
+    best = contained(low, entries).join(entries, "part").groupBy("text").agg(F.min_by(F.struct("ticker", "isin", "part"), "pos").alias("x"))
+    best = best.select("text", F.col("x.ticker").alias("acquirer_ticker"), F.col("x.isin").alias("acquirer_isin"))
+    return names.withColumn("_low", F.lower(name)).join(best.withColumnRenamed("text", "_low"), "_low", "left").drop("_low")

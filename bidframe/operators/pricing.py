@@ -172,16 +172,35 @@ def validate_small_caps(chosen: DataFrame, closes: DataFrame) -> DataFrame:
     return got.select("deal_id", "ticker", "offer_price", "close", off.alias("deviation"), judged["flag"].alias("flag"), judged["reason"].alias("reason"))
 
 
-def identity_check(pairs: DataFrame, stop: list[str]) -> DataFrame:
-    """``pairs(key, target_name, listed_name)``: CONFIRM if the sorted words are alike by 0.6 or share a word of 5 letters, else REJECT; no_data without a listed name, no_ticker without a key. The likeness is the matching-blocks ratio."""
+def shared_letters(a: Column, b: Column) -> Column:
+    """How many letters two texts have in common, each as often as in the one that has it less: no order of matching blocks can have more."""
+    letters = F.array_distinct(F.split(a, ""))
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    return F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+
+
+def identity_check(pairs: DataFrame, stop: list[str], least: float = 0.6) -> DataFrame:
+    """``pairs(key, target_name, listed_name)``: CONFIRM if the sorted words are alike by ``least`` or share a word of 5 letters, else REJECT; no_data without a listed name, no_ticker without a key.
+
+    The likeness is the matching-blocks ratio, twice the matched letters by all letters. ``decided_by`` says what a
+    verdict rests on: a shared ``word``; ``equal`` texts; a ``bound``, where even all letters in common, in any order,
+    are too few; or the ``ratio`` itself, which only the distinct pairs that are left need. ``ratio`` is null for others.
+    """
     from bidframe.functions.names import name_tokens
 
     t, n = name_tokens(F.col("target_name"), stop), name_tokens(F.col("listed_name"), stop)
     joined = lambda x: F.array_join(F.array_sort(x), " ")
-    ratio = exact_identity_ratio()(joined(t), joined(n))
-    hit = F.exists(F.array_intersect(t, n), lambda w: F.length(w) >= 5)
-    verdict = F.when(F.col("key").isNull(), "no_ticker").when(F.col("listed_name").isNull(), "no_data").when((ratio >= 0.6) | hit, "CONFIRM").otherwise("REJECT")
-    return pairs.withColumn("ratio", F.round(ratio, 4)).withColumn("verdict", verdict)
+    rows = pairs.withColumns({"_a": joined(t), "_b": joined(n), "_word": F.coalesce(F.exists(F.array_intersect(t, n), lambda w: F.length(w) >= 5), F.lit(False))})
+    whole = F.length("_a") + F.length("_b")
+    most = F.when(whole > 0, 2 * shared_letters(F.col("_a"), F.col("_b")) / whole).otherwise(1.0)
+    known = F.col("key").isNotNull() & F.col("listed_name").isNotNull() & F.col("target_name").isNotNull()
+    by = F.when(~known, None).when(F.col("_word"), "word").when(F.col("_a") == F.col("_b"), "equal").when(most < least, "bound").otherwise("ratio")
+    rows = rows.withColumn("decided_by", by)
+    open_ = rows.filter("decided_by = 'ratio'").select("_a", "_b").distinct().withColumn("_ratio", exact_identity_ratio()("_a", "_b"))
+    rows = rows.join(open_, ["_a", "_b"], "left")
+    hit = F.col("decided_by").isin("word", "equal") | (F.col("_ratio") >= least)
+    verdict = F.when(F.col("key").isNull(), "no_ticker").when(F.col("listed_name").isNull(), "no_data").when(hit, "CONFIRM").otherwise("REJECT")
+    return rows.select(*pairs.columns, F.when(F.col("decided_by") == "ratio", F.round("_ratio", 4)).alias("ratio"), "decided_by", verdict.alias("verdict"))
 
 
 def exact_identity_ratio():

@@ -198,7 +198,10 @@ def deals_with_event_count(deals: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def first_by_name(view: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each (juridiction, part) of ``wanted``, the first cluster whose target contains the part, or nulls. The list is small and named by hand."""
-    hit = wanted.join(view.select("juridiction", "target_name", "cluster_id", "p_completion"), ["juridiction"]).filter(F.col("target_name").contains(F.col("part")))
-    first = hit.groupBy("juridiction", "part").agg(F.min_by(F.struct("cluster_id", "target_name", "p_completion"), "cluster_id").alias("x")).select("juridiction", "part", "x.*")
+    """For each (juridiction, part) of ``wanted``, the first cluster whose target contains the part, or nulls."""
+    from bidframe.operators.substrings import contained
+
+    pairs = contained(view.select(F.col("target_name").alias("text")), wanted).withColumnRenamed("text", "target_name")
+    rows = view.select("juridiction", "target_name", "cluster_id", "p_completion").join(pairs, "target_name").join(wanted.select("juridiction", "part").distinct(), ["juridiction", "part"])
+    first = rows.groupBy("juridiction", "part").agg(F.min_by(F.struct("cluster_id", "target_name", "p_completion"), "cluster_id").alias("x")).select("juridiction", "part", "x.*")
     return wanted.join(first, ["juridiction", "part"], "left")

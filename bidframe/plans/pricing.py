@@ -222,12 +222,40 @@ def price_probe_rates(spark, d):
     return pricing.probe_rates(pricing.price_probe(sample, table(spark, d, "ticks")))
 
 
+_LISTED = "SELECT id, target_name, CASE WHEN id % 5 = 0 THEN NULL ELSE ticker END AS key, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN concat(target_name, ' Holding SE') WHEN id % 11 = 1 THEN concat('Tragte ', CAST(id % 97 AS VARCHAR(9)), ' AG') WHEN id % 11 = 2 THEN concat('1', target_name) ELSE concat('Other ', acquirer_name) END AS listed_name FROM deals"
+
+
+def _identity(spark, d):
+    from bidframe.functions.names import STOP_WORDS
+
+    return pricing.identity_check(table(spark, d, "deals").selectExpr(*[x.strip() for x in _split(_LISTED)]), STOP_WORDS)
+
+
+def _identity_sql() -> str:
+    """Words, shared words and letters in common by lists. Of the pairs that the bound leaves open, the longest common stretch is found and then those left and right of it, step by step."""
+    from bidframe.functions.names import STOP_WORDS
+
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    words = "list_sort(list_distinct([w FOR w IN string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' ') IF w <> '' AND w NOT IN (" + stop + ")]))"
+    return (
+        with_tables("deals") + f", p AS ({_LISTED}), w AS (SELECT *, {words.format(c='target_name')} AS t, {words.format(c='listed_name')} AS n FROM p), j AS (SELECT *, array_to_string(t, ' ') AS a, array_to_string(n, ' ') AS b FROM w), "
+        "m AS (SELECT *, len(a) + len(b) AS both_, coalesce(list_sum([least(len(a) - len(replace(a, c, '')), len(b) - len(replace(b, c, ''))) FOR c IN list_distinct(string_split(a, '')) IF c <> '']), 0) AS shared FROM j), "
+        "x AS (SELECT *, CASE WHEN key IS NULL OR listed_name IS NULL THEN NULL WHEN len(list_filter(list_intersect(t, n), lambda v: len(v) >= 5)) > 0 THEN 'word' WHEN a = b THEN 'equal' WHEN both_ > 0 AND 2 * shared / both_ < 0.6 THEN 'bound' ELSE 'ratio' END AS decided_by FROM m), "
+        "q AS (SELECT DISTINCT a, b FROM x WHERE decided_by = 'ratio'), "
+        "r AS (SELECT a, b, a AS l, b AS o, 0 AS matched FROM q UNION ALL SELECT a, b, u.l, u.o, u.matched FROM (SELECT a, b, unnest([{'l': l[1:-best.i - 1], 'o': o[1:-best.j - 1], 'matched': best.n}, {'l': l[-best.i + best.n:], 'o': o[-best.j + best.n:], 'matched': 0}]) AS u "
+        "FROM (SELECT a, b, l, o, list_max(flatten([flatten([[{'n': n, 'i': -i, 'j': -j} FOR n IN range(1, len(l) + 1) IF i + n <= len(l) + 1 AND j + n <= len(o) + 1 AND l[i:i + n - 1] = o[j:j + n - 1]] FOR j IN range(1, len(o) + 1)]) FOR i IN range(1, len(l) + 1)])) AS best FROM r WHERE l <> '' AND o <> '') WHERE best IS NOT NULL)), "
+        "e AS (SELECT a, b, 2 * sum(matched) / (len(a) + len(b)) AS ratio FROM r GROUP BY a, b) "
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query(
-    with_tables("deals") + ", t AS (SELECT id, target_name, CASE WHEN id % 5 = 0 THEN NULL ELSE ticker END AS key, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN concat(target_name, ' Holding SE') ELSE concat('Other ', acquirer_name) END AS listed FROM deals) "
-    "SELECT id, CASE WHEN key IS NULL THEN 'no_ticker' WHEN listed IS NULL THEN 'no_data' WHEN id % 3 = 0 THEN 'CONFIRM' WHEN target_name = '[pending parse]' AND contains(listed, 'pending') THEN 'CONFIRM' ELSE 'REJECT' END AS verdict FROM t"
+    _identity_sql() + "SELECT x.id, CASE WHEN x.key IS NULL THEN 'no_ticker' WHEN x.listed_name IS NULL THEN 'no_data' WHEN decided_by IN ('word', 'equal') OR e.ratio >= 0.6 THEN 'CONFIRM' ELSE 'REJECT' END AS verdict, decided_by, round(e.ratio, 4) AS ratio FROM x LEFT JOIN e ON e.a = x.a AND e.b = x.b AND x.decided_by = 'ratio'"
 )
 def identity_check(spark, d):
-    from bidframe.functions.names import STOP_WORDS
+    return _identity(spark, d).select("id", "verdict", "decided_by", "ratio")
+
 
-    pairs = table(spark, d, "deals").selectExpr("id", "target_name", "CASE WHEN id % 5 = 0 THEN NULL ELSE ticker END AS key", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN concat(target_name, ' Holding SE') ELSE concat('Other ', acquirer_name) END AS listed_name")
-    return pricing.identity_check(pairs, STOP_WORDS).select("id", "verdict")
+@query(_identity_sql() + "SELECT decided_by, count(*) AS n FROM x GROUP BY 1")
+def identity_paths(spark, d):
+    """How many pairs each way decides; those by ``ratio`` are the ones that reach Python."""
+    return _identity(spark, d).groupBy("decided_by").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidframe.operators import metrics, quality
+from bidframe.operators import constraints, metrics, quality
 from bidframe.plans import text as texts
 from bidframe.plans.registry import query
 from bidframe.plans.standin import table, with_tables
@@ -28,6 +28,27 @@ def quality_bounds(spark, d):
     return rows.groupBy("table_name", "rule").agg(F.count("*").alias("n"))
 
 
+#: Columns of the checked tables that the stand-ins don't have.
+_MORE = {
+    "deals": ["CASE WHEN id % 9 = 0 THEN 'guess' WHEN id % 2 = 0 THEN 'parser_only' END AS pricing_source", "CASE WHEN id % 13 = 0 THEN 'JPY' ELSE 'EUR' END AS currency"],
+    "scores": ["CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id % 7 AS DECIMAL(6,5)) / 5 END AS p_market_implied"],
+}
+
+
+def _checked_sql() -> str:
+    names = list(constraints.RULES)
+    tables = ", ".join(f"c_{n} AS (SELECT *{''.join(', ' + m for m in _MORE.get(n, []))} FROM {n})" for n in names)
+    parts = [f"SELECT '{n}' AS table_name, '{rule}' AS rule, count(*) AS n_rows, count(*) FILTER (NOT coalesce({test}, true)) AS n_failed FROM c_{n}" for n in names for rule, test in constraints.RULES[n].items()]
+    parts += [f"SELECT '{n}', 'unique', (SELECT count(*) FROM c_{n}), count(*) FROM (SELECT {', '.join(cols)} FROM c_{n} WHERE {' AND '.join(c + ' IS NOT NULL' for c in cols)} GROUP BY ALL HAVING count(*) > 1)" for n, cols in constraints.UNIQUE.items()]
+    parts += [f"SELECT '{n}', 'foreign_key', count(*), count(*) FILTER ({c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM c_{p})) FROM c_{n}" for n, (c, p, k) in constraints.FOREIGN.items()]
+    return with_tables(*names) + f", {tables} " + " UNION ALL ".join(parts)
+
+
+@query(_checked_sql())
+def constraint_report(spark, d):
+    return constraints.constraint_report({n: table(spark, d, n).selectExpr("*", *_MORE.get(n, [])) for n in constraints.RULES})
+
+
 @query(with_tables("deals") + "SELECT juridiction, offer_price_quality_flag, count(*) AS n FROM deals GROUP BY ALL")
 def flag_counts(spark, d):
     return quality.counts_by(table(spark, d, "deals"), "juridiction", "offer_price_quality_flag")
