@@ -5,16 +5,14 @@ from __future__ import annotations
 import json
 from math import ceil
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bidframe.operators.decisions import call, stars
+from bidframe.operators.fitting import chained_maps, fit_isotonic, fit_logistic, gap_mask, gap_sums, interpolate, largest_moves
+from bidframe.operators.lineage import cut_lineage
 from bidframe.operators.metrics import chronological_folds, metrics, stratified_folds
 
 NUMERIC = ["bid_premium_pct", "relative_size", "min_acceptance_threshold", "days_to_expected_close", "events_count"]
@@ -33,141 +31,154 @@ def flatten(features: DataFrame) -> DataFrame:
 
 
 class ScoringModel:
-    """Fitted on a flattened frame with ``label``; everything that is fitted is small, whatever the number of rows."""
+    """Fitted on a flattened frame with ``label``; everything that is fitted is small, whatever the number of rows.
+
+    ``numeric`` are the columns that have numbers; ``maps`` fill their gaps (``fitting.chained_maps``); ``centres``
+    and ``scales`` bring them to one size. ``names`` are the features of ``base``, coefficients and shift of the full
+    model; ``calibrated`` has for each fold a model without it and the points that calibrate it.
+    """
 
     def __init__(self, rounds: int = 20, folds: int = 3, tolerance: float = 1e-3):
         self.rounds, self.folds, self.tolerance = rounds, folds, tolerance
 
-    def _filled(self, chains: list) -> Column:
-        """The numbers as an array, gaps filled by the means and then by the regressions ``chains``, one after the other. The plan is as small for many of them as for one."""
-        filled = F.array(*[F.coalesce(F.col(c), F.lit(self.means[c])) for c in self.numeric])
-        if not chains:
-            return filled
-        gap = F.array(*[F.col(c).isNull() for c in self.numeric])
-        steps = []
-        for c, (weights, shift) in chains:
-            at = self.numeric.index(c)
-            whole = [*weights[:at], 0.0, *weights[at:]]
-            steps.append(F.struct(F.lit(at).alias("at"), F.lit(float(shift)).alias("shift"), F.array(*[F.lit(float(w)) for w in whole]).alias("weights")))
-
-        def step(numbers: Column, s: Column) -> Column:
-            guess = s["shift"] + F.aggregate(F.zip_with(numbers, s["weights"], lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
-            return F.transform(numbers, lambda x, k: F.when((k == s["at"]) & F.get(gap, k), guess).otherwise(x))
-
-        return F.aggregate(F.array(*steps), filled, step)
-
-    def _numbers(self, df: DataFrame) -> DataFrame:
-        """Missing numbers filled: by the mean, then by the linear regressions fitted in ``_fit_numbers``."""
-        if self.numeric:
-            df = df.withColumn("_filled", self._filled(self.chains))
-            df = df.withColumns({c: F.get("_filled", F.lit(k)) for k, c in enumerate(self.numeric)}).drop("_filled")
-        return df.withColumns({f"z_{c}": (F.col(c) - self.centres[c]) / self.scales[c] for c in self.numeric})
-
-    def _fit_numbers(self, df: DataFrame) -> None:
-        """Regressions of each column with gaps on the others, in up to ``rounds`` rounds: until no filled number moves by ``tolerance`` times the largest number or more. Columns without any number are dropped."""
-        seen = df.agg(*[F.count(c).alias(c) for c in NUMERIC]).first()
-        self.numeric = [c for c in NUMERIC if seen[c]]
-        self.means = {c: float(v) for c, v in df.agg(*[F.avg(c).alias(c) for c in self.numeric]).first().asDict().items()}
-        self.chains: list = []
-        self.centres, self.scales = dict.fromkeys(self.numeric, 0.0), dict.fromkeys(self.numeric, 1.0)
-        gaps = [c for c in self.numeric if seen[c] < df.count()]
-        largest = max(df.agg(*[F.max(F.abs(c)) for c in self.numeric]).first(), default=0.0) if self.numeric else 0.0
-        for _ in range(self.rounds if gaps and len(self.numeric) > 1 else 0):
-            before = self._filled(list(self.chains))
-            for c in gaps:
-                others = [o for o in self.numeric if o != c]
-                filled = self._numbers(df.withColumn("_y", F.col(c))).filter("_y IS NOT NULL")
-                rows = VectorAssembler(inputCols=others, outputCol="_x").transform(filled)
-                fit = LinearRegression(featuresCol="_x", labelCol="_y", regParam=1e-3).fit(rows)
-                self.chains.append((c, ([float(w) for w in fit.coefficients], float(fit.intercept))))
-            moved = df.agg(F.max(F.array_max(F.zip_with(before, self._filled(self.chains), lambda x, y: F.abs(x - y))))).first()[0]
-            if moved < self.tolerance * largest:
-                break
-        done = self._numbers(df).agg(*[F.avg(c).alias(f"m_{c}") for c in self.numeric], *[F.stddev_pop(c).alias(f"s_{c}") for c in self.numeric]).first()
-        self.centres = {c: float(done[f"m_{c}"]) for c in self.numeric}
-        self.scales = {c: float(done[f"s_{c}"] or 0) or 1.0 for c in self.numeric}
-
-    def _fit_base(self, df: DataFrame) -> PipelineModel:
-        n, pos = df.agg(F.count("*"), F.sum("label")).first()
-        weight = F.when(F.col("label") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
-        index = [f"i_{c}" for c in CATEGORICAL]
-        stages = [
-            StringIndexer(inputCols=CATEGORICAL, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=index, outputCols=[f"o_{c}" for c in CATEGORICAL], dropLast=True),
-            VectorAssembler(inputCols=[f"z_{c}" for c in self.numeric] + [f"o_{c}" for c in CATEGORICAL] + BOOLEAN, outputCol="features"),
-            LogisticRegression(labelCol="label", weightCol="weight", elasticNetParam=0.5, regParam=1.0 / n, standardization=False, maxIter=60, tol=1e-6),
-        ]
-        return Pipeline(stages=stages).fit(df.withColumn("label", F.col("label").cast("double")).withColumn("weight", weight))
-
     def fit(self, rows: DataFrame, version: str = "v1", calibrate: bool = True) -> ScoringModel:
         """Refuses to fit on fewer than 20 labelled rows or one class. A model that isn't calibrated has coefficients but can't predict."""
-        rows = rows.filter("label IS NOT NULL").cache()  # labelled clusters, read by every fit below
-        n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-        if n < LEAST_LABELS or pos in (0, n):
-            raise ValueError(f"{n} labelled rows, {pos} of them positive: too few to fit on")
-        self._fit_numbers(rows)
-        ready = stratified_folds(self._numbers(rows), "label", self.folds, "representative_deal_id")
-        ready = ready.coalesce(max(1, ceil(n / TASK_ROWS))).cache()  # solvers run a job an iteration: few rows, few tasks
-        self.base = self._fit_base(ready)
-        self.calibrated = []
-        for k in range(1, self.folds + 1) if calibrate else ():
-            base = self._fit_base(ready.filter(F.col("fold") != k))
-            held = self._margin(base, ready.filter(F.col("fold") == k)).withColumn("label", F.col("label").cast("double"))
-            self.calibrated.append((base, IsotonicRegression(featuresCol="margin", labelCol="label").fit(held)))
-        ready.unpersist()
-        rows.unpersist()
-        self.info = {"version": version, "n": n, "positive": int(pos)}
+        found = fit_models(rows.withColumn("grp", F.lit(0)), [0], version, calibrate, self)[0]
+        if isinstance(found, str):
+            raise ValueError(found)
+        self.__dict__.update(found.__dict__)
         return self
 
+    def set_numbers(self, sums: dict, numeric: list[str], maps: np.ndarray) -> None:
+        """Keep the maps, and centre and scale of the filled numbers, which the same sums give."""
+        self.numeric, self.maps = numeric, maps.tolist()
+        k = len(numeric)
+        moments = np.zeros((k + 1, k + 1))
+        for m, (s, _) in sums.items():
+            whole = np.vstack((maps[m], np.eye(k + 1)[-1]))
+            moments += whole @ s @ whole.T
+        mean = moments[:k, k] / moments[k, k]
+        scale = np.sqrt(np.maximum(np.diag(moments)[:k] / moments[k, k] - mean**2, 0))
+        self.centres = mean.tolist()
+        self.scales = [float(v) if v > 1e-9 * (1 + abs(m)) else 1.0 for v, m in zip(scale, mean)]
+
+    def numbers(self) -> Column:
+        """The numeric columns as an array, their gaps filled by the map of the row's nulls."""
+        if not self.numeric:
+            return F.array().cast("array<double>")
+        maps = F.from_json(F.lit(json.dumps(self.maps)), "array<array<array<double>>>")
+        x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.numeric], F.lit(1.0))
+        own = F.get(maps, gap_mask(self.numeric))
+        return F.transform(own, lambda line: F.aggregate(F.zip_with(line, x, lambda w, v: w * v), F.lit(0.0), lambda a, b: a + b))
+
+    def features(self) -> Column:
+        numbers = F.transform(self.numbers(), lambda v, k: (v - F.get(F.array(*[F.lit(c) for c in self.centres]), k)) / F.get(F.array(*[F.lit(c) for c in self.scales]), k)) if self.numeric else self.numbers()
+        flags = [(F.col(c) == v).cast("double") for c, values in self.categories.items() for v in values]
+        return F.concat(numbers, F.array(*flags, *[F.col(c).cast("double") for c in BOOLEAN]))
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.numeric, *[f"{c}_{v}" for c, values in self.categories.items() for v in values], *BOOLEAN]
+
     @staticmethod
-    def _margin(base: PipelineModel, df: DataFrame) -> DataFrame:
-        return base.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
+    def margin(features: Column, weights: list[float]) -> Column:
+        return F.aggregate(F.zip_with(features, F.array(*[F.lit(float(w)) for w in weights[:-1]]), lambda x, w: x * w), F.lit(float(weights[-1])), lambda a, b: a + b)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` with p, the mean of the calibrated models, and contributions (coefficient times value) of the full model."""
-        keep = rows.columns
-        df = self._numbers(rows)
-        for k, (base, iso) in enumerate(self.calibrated):
-            scored = iso.transform(self._margin(base, df).drop("features", *[f"i_{c}" for c in CATEGORICAL], *[f"o_{c}" for c in CATEGORICAL]))
-            df = scored.withColumnRenamed("prediction", f"_p{k}").drop("margin")
-        df = df.withColumn("p", sum((F.col(f"_p{k}") for k in range(self.folds)), F.lit(0.0)) / self.folds)
-        df = self.base.transform(df)
-        weights = F.array(*[F.lit(float(w)) for w in self.base.stages[-1].coefficients])
-        parts = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
-        named = F.zip_with(F.array(*[F.lit(n) for n in self.names(df)]), parts, lambda n, v: F.struct(v.alias("value"), n.alias("name")))
-        return df.select(*keep, F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)).alias("p"), named.alias("contributions"))
-
-    def names(self, transformed: DataFrame) -> list[str]:
-        attrs = transformed.schema["features"].metadata["ml_attr"]["attrs"]
-        found = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
-        return [n.removeprefix("z_").removeprefix("o_") for _, n in found]
+        df = rows.withColumn("_features", self.features())
+        df = df.withColumns({f"_margin{k}": self.margin(F.col("_features"), w) for k, (w, _, _) in enumerate(self.calibrated)})
+        p = sum((interpolate(F.col(f"_margin{k}"), x, y) for k, (_, x, y) in enumerate(self.calibrated)), F.lit(0.0)) / len(self.calibrated)
+        weights, names = F.array(*[F.lit(float(w)) for w in self.base[:-1]]), F.array(*[F.lit(n) for n in self.names])
+        parts = F.zip_with(names, F.zip_with("_features", weights, lambda x, w: x * w), lambda n, v: F.struct(v.alias("value"), n.alias("name")))
+        return df.select(*rows.columns, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"), parts.alias("contributions"))
 
     def coefficients(self, rows: DataFrame) -> DataFrame:
-        names = self.names(self.base.transform(self._numbers(rows)))
-        data = list(zip(names, [float(w) for w in self.base.stages[-1].coefficients]))
-        return rows.sparkSession.createDataFrame(data, "feature string, coefficient double")
+        return rows.sparkSession.createDataFrame(list(zip(self.names, map(float, self.base[:-1]))), "feature string, coefficient double")
 
     def save(self, path: str) -> None:
-        self.base.write().overwrite().save(f"{path}/base")
-        for k, (base, iso) in enumerate(self.calibrated):
-            base.write().overwrite().save(f"{path}/fold{k}")
-            iso.write().overwrite().save(f"{path}/iso{k}")
-        state = {"numeric": self.numeric, "means": self.means, "chains": self.chains, "centres": self.centres, "scales": self.scales, "info": self.info, "folds": self.folds}
         from pyspark.sql import SparkSession
 
-        SparkSession.active().createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+        SparkSession.active().createDataFrame([(json.dumps(self.__dict__),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark, path: str) -> ScoringModel:
-        from pyspark.ml.regression import IsotonicRegressionModel
-
         model = cls()
-        for k, v in json.loads(spark.read.text(f"{path}/state").first()[0]).items():
-            setattr(model, k, v)
-        model.base = PipelineModel.load(f"{path}/base")
-        model.calibrated = [(PipelineModel.load(f"{path}/fold{k}"), IsotonicRegressionModel.load(f"{path}/iso{k}")) for k in range(model.folds)]
+        model.__dict__.update(json.loads(spark.read.text(path).first()[0]))
         return model
 
 
+def fit_models(rows: DataFrame, groups: list[int], version: str = "v1", calibrate: bool = True, like: ScoringModel | None = None) -> dict[int, ScoringModel | str]:
+    """A model for the rows of each group ``grp``, or why there is none; all of them are fitted in the same passes.
+
+    1. Rows and positives per group, and the values of the categories.
+    2. Sums of products per group and set of missing numbers, from which all chained regressions are solved; one more
+       pass says after which round the filled numbers have settled.
+    3. Steps of the logistic fits: the full model and one without each calibration fold, for every group at once.
+    4. The calibration of each fold.
+    """
+    like = like or ScoringModel()
+    folds = like.folds if calibrate else 0
+    rows = rows.filter("label IS NOT NULL").withColumns({c: F.col(c).cast("double") for c in NUMERIC}).cache()  # labelled clusters, read by every pass
+    held = {r.grp: r for r in rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("label").alias("pos"), *[F.count(c).alias(c) for c in NUMERIC]).collect()}
+    out: dict[int, ScoringModel | str] = {}
+    for g in groups:
+        n, pos = (held[g]["n"], int(held[g]["pos"])) if g in held else (0, 0)
+        if n < LEAST_LABELS or pos in (0, n):
+            out[g] = f"{n} labelled rows, {pos} of them positive: too few to fit on"
+    live = [g for g in groups if g not in out]
+    if live:
+        kinds = rows.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in CATEGORICAL]).first().asDict()
+        models = {g: ScoringModel(like.rounds, like.folds, like.tolerance) for g in live}
+        numeric = {g: [c for c in NUMERIC if held[g][c]] for g in live}
+        sums, maps = {}, {}
+        for columns in {tuple(c) for c in numeric.values() if c}:  # groups of like columns
+            some = [g for g in live if tuple(numeric[g]) == columns]
+            sums |= gap_sums(rows.filter(F.col("grp").isin(some)), "grp", list(columns))
+        for g in live:
+            maps[g] = chained_maps(sums[g], len(numeric[g]), like.rounds, 1e-3) if numeric[g] else [np.zeros((1, 0, 1))]
+        moved = largest_moves(rows, "grp", numeric, maps)
+        for g, model in models.items():
+            largest = max((v for _, v in sums[g].values()), default=0.0) if numeric[g] else 0.0
+            settled = np.flatnonzero(moved[g] < like.tolerance * largest)
+            model.rounds_run = int(settled[0]) + 1 if len(settled) else len(moved[g])
+            model.categories = {c: list(v) for c, v in kinds.items()}
+            model.set_numbers(sums.get(g, {0: (np.array([[float(held[g]["n"])]]), 0.0)}), numeric[g], maps[g][model.rounds_run])
+            model.info = {"version": version, "n": held[g]["n"], "positive": int(held[g]["pos"])}
+        ready = None
+        for g, model in models.items():
+            part = rows.filter(F.col("grp") == g).select("grp", "label", "representative_deal_id", model.features().alias("features"))
+            # groups may have other columns, so features are brought to one width
+            width = max(len(m.names) for m in models.values())
+            part = part.withColumn("features", F.concat("features", F.array_repeat(F.lit(0.0), width - len(model.names))))
+            ready = part if ready is None else ready.unionByName(part)
+        ready = ready.withColumn("_class", F.concat_ws(":", "grp", F.col("label").cast("int")))
+        ready = (stratified_folds(ready, "_class", folds, "representative_deal_id") if folds else ready.withColumn("fold", F.lit(-1))).withColumnRenamed("fold", "part")
+        ready = ready.coalesce(max(1, ceil(sum(held[g]["n"] for g in live) / TASK_ROWS))).cache()  # few rows, few tasks
+        per = ready.groupBy("grp", "part").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()
+        counts = {(g, k): tuple(int(sum(r[c] for r in per if r.grp == g and r.part != k)) for c in ("n", "pos")) for g in live for k in range(folds + 1)}
+        for g in live:
+            bad = [k for k in range(folds + 1) if counts[g, k][1] in (0, counts[g, k][0])]
+            if bad:
+                out[g] = f"{counts[g, 0][0]} labelled rows, {counts[g, 0][1]} of them positive: too few to fit on"
+        live = [g for g in live if g not in out]
+        fits = fit_logistic(ready, {m: c for m, c in counts.items() if m[0] in live}, width) if live else {}
+        cut = lambda g, w: [*w[: len(models[g].names)].tolist(), float(w[-1])]
+        if folds and live:
+            margin = None
+            for (g, k), w in fits.items():
+                if k:
+                    margin = F.when((F.col("grp") == g) & (F.col("part") == k), ScoringModel.margin(F.col("features"), w.tolist())) if margin is None else margin.when((F.col("grp") == g) & (F.col("part") == k), ScoringModel.margin(F.col("features"), w.tolist()))
+            points = fit_isotonic(ready.filter(F.col("grp").isin(live)).select("grp", "part", margin.alias("margin"), "label"))
+        for g in live:
+            models[g].base = cut(g, fits[g, 0])
+            models[g].calibrated = [(cut(g, fits[g, k]), *points[g, k]) for k in range(1, folds + 1)]
+            out[g] = models[g]
+        ready.unpersist()
+    rows.unpersist()
+    return out
+
+
 def top_factors(contributions, n: int = 3):
     """(positive, negative): names of the n largest contributions of each sign."""
     up = F.filter(contributions, lambda c: c["value"] > 0)
@@ -187,32 +198,28 @@ def cross_validate(rows: DataFrame, folds: int = 3, gap_days: int = 90) -> DataF
     """Per time fold the rows it trains on and validates, their first and last day, positives, negatives and metrics; fold 0 has the metrics over all validated rows. A fold that can't be fitted has a note and no metrics."""
     spark = rows.sparkSession
     labelled = flatten(rows).filter("label IS NOT NULL").withColumn("day", F.col("earliest_announcement"))
-    placed = chronological_folds(labelled, folds, gap_days, "day", "representative_deal_id").cache()
+    placed = cut_lineage(chronological_folds(labelled, folds, gap_days, "day", "representative_deal_id"))
     valid = F.col("role") == "valid"
     sides = {"train": ~valid, "valid": valid}
     ranges = [f(F.when(on, F.col("day"))).alias(f"{side}_{name}") for side, on in sides.items() for f, name in ((F.min, "from"), (F.max, "to"))]
     held = placed.groupBy("fold").agg(F.count_if(~valid).alias("train_n"), *ranges, F.count_if(valid & (F.col("label") == 0)).alias("n_neg"))
     held = spark.createDataFrame(held.collect(), held.schema)  # a row per fold
     scored, notes = None, []
-    for fold in range(1, folds + 1):
-        part = placed.filter(F.col("fold") == fold)
-        try:
-            model = ScoringModel().fit(part.filter("role = 'train'").drop("fold", "role"))
-        except ValueError as e:
-            notes.append((fold, str(e)))
+    fitted = fit_models(placed.filter(~valid).withColumn("grp", F.col("fold")), list(range(1, folds + 1)))
+    for fold, model in fitted.items():
+        if isinstance(model, str):
+            notes.append((fold, model))
             continue
-        got = model.predict(part.filter("role = 'valid'")).select("fold", "label", "p")
+        got = model.predict(placed.filter(valid & (F.col("fold") == fold))).select("fold", "label", "p")
         scored = got if scored is None else scored.unionByName(got)
-    placed.unpersist()
     failed = spark.createDataFrame(notes, "fold int, note string")
     if scored is None:
         return failed.join(held, "fold", "left").withColumn("n", F.lit(None).cast("bigint"))
-    scored = scored.cache()  # validated rows, read for several metrics
+    scored = cut_lineage(scored)  # validated rows, read for several metrics
     per = metrics(scored.unionByName(scored.withColumn("fold", F.lit(0))), "p", "label", ["fold"]).withColumn("note", F.lit(None).cast("string"))
     report = per.unionByName(failed, allowMissingColumns=True).join(held, "fold", "left")
     report = report.withColumn("n_neg", F.when(F.col("note").isNull(), F.coalesce("n_neg", F.col("n") - F.col("n_pos"))))
     report = spark.createDataFrame(report.collect(), report.schema)  # a row per fold
-    scored.unpersist()
     return report
 
 
@@ -255,9 +262,14 @@ def coefficient_stability(rows: DataFrame, steps: int = 3) -> DataFrame:
     days = flatten(rows).filter("label IS NOT NULL").cache()
     day = F.unix_date("earliest_announcement")
     cuts = days.agg(*[F.percentile(day, k / (steps + 1)) for k in range(1, steps + 1)]).first()
+    pasts = F.filter(F.array(*[F.when(day <= cut, k) for k, cut in enumerate(cuts, 1)], F.lit(steps + 1)), lambda k: k.isNotNull())
+    fitted = fit_models(days.withColumn("grp", F.explode(pasts)), list(range(1, steps + 2)), calibrate=False)
+    refused = [m for m in fitted.values() if isinstance(m, str)]
+    if refused:
+        raise ValueError(refused[0])
     found = None
-    for k, past in enumerate([*[days.filter(day <= cut) for cut in cuts], days], 1):
-        got = ScoringModel().fit(past, calibrate=False).coefficients(past).withColumn("step", F.lit(k))
+    for k, model in fitted.items():
+        got = model.coefficients(days).withColumn("step", F.lit(k))
         found = got if found is None else found.unionByName(got)
     days.unpersist()
     last, c = F.col("step") == steps + 1, F.col("coefficient")

@@ -1,10 +1,11 @@
 """Models and streams: invariants, and batch twins."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bidframe import plans
-from bidframe.operators import bars, clusters, ledger, scoring
+from bidframe.operators import bars, clusters, fitting, ledger, scoring
 from bidframe.plans.standin import table
 from bidframe.streaming import streams
 
@@ -57,11 +58,19 @@ def test_gaps_are_filled_until_settled(spark):
         F.when(F.col("id") % 7 > 0, F.col("id") * 2.0 + 1).alias("bid_premium_pct"), F.when(F.col("id") % 5 != 3, F.col("id") * 1.0).alias("events_count"), F.lit(None).cast("double").alias("relative_size"), F.lit(0.5).alias("min_acceptance_threshold"),
         F.lit(None).cast("double").alias("days_to_expected_close"), "id",
     )
+    columns = ["bid_premium_pct", "min_acceptance_threshold", "events_count"]
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in columns}).withColumn("grp", F.lit(0))
+    sums = fitting.gap_sums(rows, "grp", columns)[0]
+    maps = fitting.chained_maps(sums, 3, 20, 1e-3)
+    moved = fitting.largest_moves(rows, "grp", {0: columns}, {0: maps})[0]
+    settled = int(np.flatnonzero(moved < 1e-3 * 400)[0]) + 1
+    assert len(maps) == 21 and settled < 20
     model = scoring.ScoringModel()
-    model._fit_numbers(rows)
-    assert model.numeric == ["bid_premium_pct", "min_acceptance_threshold", "events_count"] and 2 < len(model.chains) < 40
-    got = {r.id: r for r in model._numbers(rows).collect()}
-    assert got[100].bid_premium_pct == 201.0 and got[70].bid_premium_pct == pytest.approx(141, abs=3) and got[93].events_count == pytest.approx(93, abs=3)
+    model.set_numbers(sums, columns, maps[settled])
+    got = {r.id: r.x for r in rows.select("id", model.numbers().alias("x")).collect()}
+    assert got[100][0] == 201.0 and got[70][0] == pytest.approx(141, abs=3) and got[93][2] == pytest.approx(93, abs=3)
+    filled = np.array(list(got.values()))
+    assert model.centres == pytest.approx(filled.mean(axis=0).tolist()) and model.scales[0] == pytest.approx(filled[:, 0].std())
 
 
 def test_cross_validation_report(features, model):
