@@ -36,7 +36,7 @@ def metrics(rows: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
 
 
 def chronological_folds(rows: DataFrame, k: int = 3, gap_days: int = 90, day: str = "day", key: str = "id") -> DataFrame:
-    """Rows by date in k + 1 chunks of n // (k + 1) (the last takes the rest): fold s validates chunk s + 1 and trains on earlier rows up to ``gap_days`` before its first date. Folds without rows on a side are dropped.
+    """Rows by date in k + 1 chunks of n // (k + 1), one row at least (the last takes the rest): fold s validates chunk s + 1 and trains on earlier rows up to ``gap_days`` before its first date. Folds without rows on a side are dropped.
 
     Adds fold and role, one row per fold a row takes part in. Chunk bounds come from counts per day, so only the
     labelled rows of one day are ever numbered together.
@@ -44,8 +44,8 @@ def chronological_folds(rows: DataFrame, k: int = 3, gap_days: int = 90, day: st
     days = rows.groupBy(day).agg(F.count("*").alias("n"))
     before = days.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(W.partitionBy())).drop("n")
     at = rows.join(before, day).withColumn("at", F.col("before") + F.row_number().over(W.partitionBy(day).orderBy(key)) - 1)
-    size = F.floor(F.col("total") / (k + 1))
-    chunk = F.when(size > 0, F.least(F.floor(F.col("at") / size), F.lit(k))).otherwise(k).cast("int")
+    size = F.greatest(F.floor(F.col("total") / (k + 1)), F.lit(1))
+    chunk = F.least(F.floor(F.col("at") / size), F.lit(k)).cast("int")
     placed = at.withColumn("chunk", chunk).drop("before", "total", "at")
     starts = placed.filter("chunk >= 1").groupBy(F.col("chunk").alias("fold")).agg(F.min(day).alias("first_valid"))
     parts = placed.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(starts, "fold")
@@ -70,7 +70,7 @@ def stratified_folds(rows: DataFrame, label: str, k: int = 3, key: str = "id") -
 def compare_models(a: DataFrame, b: DataFrame, keys: list[str], p: str = "p") -> tuple[DataFrame, DataFrame]:
     """(summary: mean, max, number over 1e-6; the ten that moved most)."""
     both = a.select(*keys, F.col(p).cast("double").alias("p_a")).join(b.select(*keys, F.col(p).cast("double").alias("p_b")), keys).withColumn("diff", F.abs(F.col("p_a") - F.col("p_b")))
-    summary = both.agg(F.round(F.avg("diff"), 8).alias("mean_diff"), F.round(F.max("diff"), 8).alias("max_diff"), F.count_if(F.col("diff") > 1e-6).alias("n_moved"))
+    summary = both.agg(F.round(F.avg("diff"), 12).alias("mean_diff"), F.max("diff").alias("max_diff"), F.count_if(F.col("diff") > 1e-6).alias("n_moved"))
     return summary, both.orderBy(F.desc("diff"), *keys).limit(10)
 
 
@@ -81,10 +81,10 @@ def no_regression(max_diff: Column, brier_a: Column, brier_b: Column, auc_a: Col
 
 
 def refit_variance(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of runs (run, keys, p): mean and largest difference. Runs are few; rows meet on their key."""
+    """Pairs of runs (run, keys, p): mean and largest difference, the latter as it is, however small. Runs are few; rows meet on their key."""
     a, b = runs.select(F.col("run").alias("run_a"), *keys, F.col("p").alias("p_a")), runs.select(F.col("run").alias("run_b"), *keys, F.col("p").alias("p_b"))
     both = a.join(b, keys).filter("run_a < run_b").withColumn("diff", F.abs(F.col("p_a") - F.col("p_b")))
-    return both.groupBy("run_a", "run_b").agg(F.round(F.avg("diff"), 8).alias("mean_diff"), F.round(F.max("diff"), 8).alias("max_diff"), F.count("*").alias("n"))
+    return both.groupBy("run_a", "run_b").agg(F.round(F.avg("diff"), 12).alias("mean_diff"), F.max("diff").alias("max_diff"), F.count("*").alias("n"))
 
 
 def split_audit(deals: DataFrame) -> DataFrame:

@@ -39,11 +39,17 @@ def kelly_sizing(spark, d):
     return rows.withColumn("s", s).select("deal_id", F.col("s.reason").alias("reason"), F.col("s.size_qty").alias("size_qty"), F.round("s.position_pct", 6).alias("position_pct"))
 
 
+#: Prices have 6 digits; rounded to 4, half to even, in whole millionths.
+_FOUR = "(CAST(round({x} * 1000000) AS BIGINT) // 100 + CASE WHEN CAST(round({x} * 1000000) AS BIGINT) % 100 > 50 OR (CAST(round({x} * 1000000) AS BIGINT) % 100 = 50 AND CAST(round({x} * 1000000) AS BIGINT) // 100 % 2 = 1) THEN 1 ELSE 0 END) / 10000.0"
+
+
 @query(
-    _SIZED + "SELECT deal_id, reason, CASE WHEN reason = 'ok' THEN CAST(qty AS BIGINT) END AS quantity, CASE WHEN reason = 'ok' THEN round_even(lim, 4) END AS limit_price, CASE WHEN reason = 'ok' THEN rampup_validated < 10 END AS requires_approval FROM o"
+    _SIZED + "SELECT deal_id, juridiction, score_stars, reason, CASE WHEN reason = 'ok' THEN CAST(qty AS BIGINT) END AS quantity, CASE WHEN reason = 'ok' THEN round_even(lim, 4) END AS limit_price, CASE WHEN reason = 'ok' THEN round_even(lim * 0.9, 4) END AS stop_loss_price, "
+    f"CASE WHEN reason = 'ok' THEN {_FOUR.format(x='offer_price')} END AS take_profit_price, round_even(spread, 6) AS expected_return_pct, CASE WHEN reason = 'ok' THEN rampup_validated < 10 END AS requires_approval, "
+    "CASE WHEN reason = 'ok' THEN format('p={:.2f}, spread={:.1f}%, {}@{:.2f}', p_completion, spread * 100, CAST(qty AS BIGINT), lim) END AS rationale FROM o"
 )
 def trade_decisions(spark, d):
-    return decisions.decide(_candidates(spark, d)).select("deal_id", "reason", "quantity", "limit_price", "requires_approval")
+    return decisions.decide(_candidates(spark, d)).drop("kelly_fractional_pct", "position_pct")
 
 
 @query(_SIZED + "SELECT reason, count(*) AS n FROM o GROUP BY 1")
@@ -159,12 +165,18 @@ def daily_cycle(spark, d):
     return decisions.daily_cycle(rows)
 
 
+_REPORTED = ["concat('Bid ', CAST(deal_id AS VARCHAR(20))) AS target_name", "CASE WHEN deal_id % 2 = 0 THEN 'A \"B\" Holding' END AS acquirer_name", "CASE deal_id % 3 WHEN 1 THEN CAST(0.5 AS DOUBLE) WHEN 2 THEN CAST(0 AS DOUBLE) END AS payment_cash_share"]
+
+
 @query(
-    _SIZED + "SELECT concat('2024-01-02_bid-', CAST(deal_id AS VARCHAR), '_', CAST(deal_id AS VARCHAR), '.md') AS file, CAST(qty AS VARCHAR) IS NOT NULL AS has_body FROM o WHERE reason = 'ok'"
+    _SIZED + f", b AS (SELECT *, {', '.join(_REPORTED)} FROM o WHERE reason = 'ok') "
+    "SELECT concat('2024-01-02_bid-', CAST(deal_id AS VARCHAR), '_', CAST(deal_id AS VARCHAR), '.md') AS file, DATE '2024-01-02' AS day, concat('# ', target_name, chr(10), '- acquirer: ', coalesce(acquirer_name, 'N/A'), chr(10), '- strategy: ', "
+    "CASE WHEN coalesce(payment_cash_share, 1) >= 1 THEN 'cash' WHEN payment_cash_share > 0 THEN 'cash and shares' ELSE 'shares' END, chr(10), '- quantity: ', CAST(CAST(qty AS BIGINT) AS VARCHAR), chr(10), '- limit: ', format('{:,.2f} EUR', round_even(lim, 4)), chr(10), "
+    "'- stop: ', format('{:,.2f} EUR', round_even(lim * 0.9, 4)), chr(10), '- target: ', format('{:,.2f} EUR', round_even(offer_price, 4)), chr(10), '- spread: ', format('{:,.2f}%', round_even(spread, 6) * 100), chr(10), '- p: 50.00%') AS body FROM b"
 )
 def decision_reports(spark, d):
+    """The whole text of every report."""
     from bidframe.sources.sinks import decision_report
 
     rows = decisions.decide(_candidates(spark, d)).filter("reason = 'ok'")
-    rows = rows.selectExpr("*", "concat('Bid ', deal_id) AS target_name", "CAST(NULL AS STRING) AS acquirer_name", "CAST(NULL AS DOUBLE) AS payment_cash_share", "DATE '2024-01-02' AS day", "0.5D AS p_completion")
-    return decision_report(rows).select("file", F.col("body").contains("- quantity: ").alias("has_body"))
+    return decision_report(rows.selectExpr("*", *_REPORTED, "DATE '2024-01-02' AS day", "0.5D AS p_completion"))

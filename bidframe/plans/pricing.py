@@ -207,10 +207,10 @@ def stale_worklist(spark, d):
 
 @query(
     with_tables("ticks", "price_requests") + f", {_DAILY}, p AS (SELECT r.deal_id, CAST(r.offer_price AS DOUBLE) AS offer, CAST(c.close AS DOUBLE) AS close FROM (SELECT deal_id, ticker, offer_price, {_TMINUS.format(d='d')} AS d FROM price_requests) r " + _asof("c.d <= r.d AND date_diff('day', c.d, r.d) <= 5")
-    + ") SELECT deal_id, CASE WHEN close IS NULL THEN 'no_close' WHEN offer IS NULL THEN 'no_offer' WHEN abs(offer - close) / close >= 0.3 THEN 'deviation' ELSE 'within_bound' END AS reason FROM p"
+    + ") SELECT deal_id, CASE WHEN close IS NULL THEN 'no_close' WHEN offer IS NULL THEN 'no_offer' WHEN abs(offer - close) / close >= 0.3 THEN 'deviation' ELSE 'within_bound' END AS reason, CASE WHEN abs(offer - close) / close < 0.3 THEN 'verified_cash' ELSE 'manual_review' END AS flag FROM p"
 )
 def small_cap_validation(spark, d):
-    return pricing.validate_small_caps(table(spark, d, "price_requests"), table(spark, d, "ticks")).select("deal_id", "reason")
+    return pricing.validate_small_caps(table(spark, d, "price_requests"), table(spark, d, "ticks")).select("deal_id", "reason", "flag")
 
 
 @query(
