@@ -52,17 +52,22 @@ def normalise_name(name: Column) -> Column:
     return F.regexp_replace(s, f"(?: (?:{'|'.join(LEGAL_FORMS)}))+$", "")
 
 
+#: Marks and words with which the narrative begins after a name.
+DE_NARRATIVE = r"(?isU)\s*(?:,|\(|\bz\.\s*Hd\.\b|\bvertreten\b|\bhandelnd\b).*$"
+IT_NARRATIVE = r"(?isU)\s*(?:,|\.|;|:|\(|\bai sensi\b|\bavente\b|\brappresentative\b|\bad un\b|\bal prezzo\b).*$"
+
+
 def trim_company_name(name: Column, most: int = 120) -> Column:
     """One-spaced, cut where the narrative begins, at most 120 characters."""
     s = F.regexp_replace(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")), "[.,;: ]+$", "")
-    head = F.regexp_replace(F.regexp_replace(s, r"(?isU)\s*(?:,|\(|\bz\.\s*Hd\.\b|\bvertreten\b|\bhandelnd\b).*$", ""), "[.,;: ]+$", "")
+    head = F.regexp_replace(F.regexp_replace(s, DE_NARRATIVE, ""), "[.,;: ]+$", "")
     return F.when(F.length(head) > most, F.rtrim(F.substring(head, 1, most))).otherwise(head)
 
 
 def trim_offer_name(name: Column, most: int = 120) -> Column:
     """As ``trim_company_name``, for Italian listings: cut at the first mark or word of the narrative."""
     s = F.regexp_replace(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")), "[.,;:]+$", "")
-    head = F.regexp_replace(F.regexp_replace(s, r"(?isU)\s*(?:,|\.|;|:|\(|\bai sensi\b|\bavente\b|\brappresentative\b|\bad un\b|\bal prezzo\b).*$", ""), "[.,;:]+$", "")
+    head = F.regexp_replace(F.regexp_replace(s, IT_NARRATIVE, ""), "[.,;:]+$", "")
     return F.when(F.length(head) > most, F.rtrim(F.substring(head, 1, most))).otherwise(head)
 
 
