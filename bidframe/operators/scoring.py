@@ -287,7 +287,8 @@ def coefficient_stability(rows: DataFrame, steps: int = 3) -> DataFrame:
 def version_record(model: ScoringModel, rows: DataFrame, report: DataFrame, corrected: DataFrame) -> DataFrame:
     """One row on a model: in-sample metrics on all labelled clusters, pooled cross-validation metrics, and how many labelled clusters the corrected targets (target_name) touch."""
     labelled = flatten(rows).filter("label IS NOT NULL")
-    own = metrics(model.predict(labelled).withColumn("k", F.lit(1)), "p", "label", ["k"]).select("k", F.col("n").alias("n_labelled"), F.col("auc").alias("auc_in_sample"), F.col("brier").alias("brier_in_sample"))
+    scored = cut_lineage(model.predict(labelled).select("label", "p", F.lit(1).alias("k")))
+    own = metrics(scored, "p", "label", ["k"]).select("k", F.col("n").alias("n_labelled"), F.col("auc").alias("auc_in_sample"), F.col("brier").alias("brier_in_sample"))
     held = report.filter("fold = 0").select(F.lit(1).alias("k"), *[F.col(c).alias(f"{c}_cv") for c in ("auc", "brier") if c in report.columns])
     touched = labelled.join(corrected.select("target_name").distinct(), "target_name", "left_semi").agg(F.count("*").alias("n_touched")).withColumn("k", F.lit(1))
     return own.join(held, "k", "left").join(touched, "k").drop("k").withColumn("version", F.lit(model.info["version"]))
