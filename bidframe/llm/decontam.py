@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidframe.llm.common import materialise
+from bidframe.llm.common import materialise, trimmed
 from bidframe.llm.words import BASE, BASE_INVERSE, mix, powers, text_blocks
 
 #: Words of a window; a shorter item is one window.
@@ -238,12 +238,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     rows of a doc_id give its item once; empty tables give an empty result. Other columns aren't looked at.
     """
     own = ["doc", "text_key", "item_id", "form"]
-    items = materialise(benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text", F.lit(0).cast("long")).mapInArrow(_window_batches([WIDTH], None), _ROW), "items")
+    items = materialise(benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text", F.lit(0).cast("long")).mapInArrow(trimmed(_window_batches([WIDTH], None)), _ROW), "items")
     bits = items.select(F.expr(f"CAST(window & {FILTER_BITS - 1} AS INT)").alias("bit")).distinct().toPandas()["bit"].to_numpy()
     passes = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     np.bitwise_or.at(passes, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
     short = [r[0] for r in items.filter(F.col("n_words") < WIDTH).select("n_words").distinct().collect()]
-    found = docs.select(_doc(F.col("doc_id")).alias("id"), "text", _text_key(F.col("doc_id"), F.col("text")).alias("text_key")).mapInArrow(_window_batches([WIDTH, *short], passes), _ROW)
+    found = docs.select(_doc(F.col("doc_id")).alias("id"), "text", _text_key(F.col("doc_id"), F.col("text")).alias("text_key")).mapInArrow(trimmed(_window_batches([WIDTH, *short], passes)), _ROW)
     of_item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), "form")
     sizes = items.groupBy(F.col("id").alias("item_id"), "form").agg(F.countDistinct("at").alias("windows"), F.max("n_words").alias("n_words"))
     met = found.select(F.col("id").alias("doc"), "text_key", "at", "window", "slots", "form").join(of_item, ["window", "form"])

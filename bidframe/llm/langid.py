@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidframe.llm.common import give_back, trimmed
 from bidframe.llm.words import BASE, BASE_INVERSE, mix, portions, powers
 
 #: Labelled documents of each language that the model is fitted on, about; the sample is drawn by a hash of doc_id.
@@ -222,7 +223,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> BackoffModel:
         return BackoffModel([], *np.zeros((3, 0), np.int64))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     keep = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(math.ceil(min(1.0, fit_docs / r["count"]) * (1 << 30)))) for r in per])
-    counts = docs.filter(place < keep).select("text", "lang").mapInArrow(_count_batches, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.filter(place < keep).select("text", "lang").mapInArrow(trimmed(_count_batches), "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toArrow()
     # languages as in the sample; one whose documents have no letters has no entry
     return BackoffModel(counts["lang"].to_pylist(), counts["kind"].to_numpy(), counts["key"].to_numpy().view(np.uint64), counts["n"].to_numpy())
 
@@ -238,7 +239,9 @@ def identify(docs: DataFrame, model: BackoffModel, text: str = "text") -> DataFr
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("lang_pred", "score"), shared.value.predict(texts.tolist()))))
+        found = pd.DataFrame(dict(zip(("lang_pred", "score"), shared.value.predict(texts.tolist()))))
+        give_back()
+        return found
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     found = docs.select(F.struct(*others).alias("row"), predict(F.col(text)).alias("found"))

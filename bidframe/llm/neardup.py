@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidframe.llm.common import materialise
+from bidframe.llm.common import materialise, trimmed
 from bidframe.llm.words import mix, shingle_sets, split_words, text_blocks
 
 #: Each permutation gives two signature values, its minimum and its maximum.
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), te
     """
     least, of = similarity
     texts = docs.select("doc_id", F.col(text).alias("text"))
-    signs = materialise(texts.mapInArrow(_signature_batches, "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"), "signatures")
+    signs = materialise(texts.mapInArrow(trimmed(_signature_batches), "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"), "signatures")
     keys = ["n_shingles", "print1", "print2"]
     full = signs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     heads = materialise(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies")), "classes")
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), te
     weights = members.groupBy("rep").agg(F.sum("held").alias("weight"))
     members = materialise(members.join(weights, "rep").select("bucket", "rep", "n", "weight"), "weighted-members")
     sets = materialise(
-        texts.join(classes.join(weights.select("rep"), "rep").select(F.col("rep").alias("doc_id"), "print1", "print2"), "doc_id").select("doc_id", "text", "print1", "print2").mapInArrow(_set_batches, "doc long, shingles array<long>").distinct(), "sets"
+        texts.join(classes.join(weights.select("rep"), "rep").select(F.col("rep").alias("doc_id"), "print1", "print2"), "doc_id").select("doc_id", "text", "print1", "print2").mapInArrow(trimmed(_set_batches), "doc long, shingles array<long>").distinct(), "sets"
     )
 
     def close(n, m):

@@ -191,7 +191,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, text: st
     empty table gives an empty result; other columns aren't looked at.
     """
     findings = materialise(base_findings(docs, text), "personal-data")
-    risky = disclosing_terms(docs, findings, disclosure, text, z).select("entity", "term")
+    risky = materialise(disclosing_terms(docs, findings, disclosure, text, z).select("entity", "term"), "disclosing-terms")
     held = findings.filter("size(entities) > 0").select("doc_id", "print", F.explode("entities").alias("entity")).distinct()
     added = held.join(risky, "entity").groupBy("doc_id", "print").agg(F.collect_set("term").alias("risky"))
     rows = findings.join(added.withColumnRenamed("doc_id", "d").withColumnRenamed("print", "p"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")

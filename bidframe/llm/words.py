@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _tables: dict[int, np.ndarray] = {}
 
