@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bidframe.functions.names import GROWTH_VENUES, HOME_VENUES, broker_symbol, normalise_name, venue_ticker
+from bidframe.functions.names import GROWTH_VENUES, HOME_VENUES, broker_symbol, is_isin, normalise_name, venue_ticker
 from bidframe.operators.ordering import carry, number_rows
 
 
@@ -155,6 +155,36 @@ def premium_backfill(deals: DataFrame, closes: DataFrame) -> DataFrame:
     return got.select("deal_id", F.col("close").alias("reference_price"), F.col("close_date").alias("reference_date"), p.alias("premium_pct"), action.alias("action"))
 
 
+#: Resolutions that are good enough for a price.
+PRICED_FLAGS = ("home_venue", "venue_fallback")
+
+
+def premium_from_isin(deals: DataFrame, listings: DataFrame, closes: DataFrame) -> DataFrame:
+    """Labelled deals with an ISIN and no resolution flag yet, from the ISIN to the premium; one row per deal that was due.
+
+    An ISIN of the wrong form ends as ``not_isin``; one that is resolved to a growth venue, an unknown one or none
+    keeps that flag and isn't priced; without a close in the five days up to the business day before the announcement
+    it is ``no_price_data``; a premium outside the gate is ``premium_out_of_bounds`` and stays null, while the reference
+    price is kept. A deal without an offer price has a reference price and no premium. Deals with a flag aren't due, so
+    a second run does nothing. Each ISIN is resolved once.
+    """
+    due = deals.filter("completion_label IS NOT NULL AND isin IS NOT NULL AND ticker_resolution_flag IS NULL").select(F.col("id").alias("deal_id"), "isin", "announcement_date", "offer_price")
+    keys = due.filter(is_isin(F.col("isin"))).select("isin").distinct()
+    found = resolve_venues(keys, listings).select("isin", "trading_ticker", F.col("flag").alias("_found"))
+    rows = due.join(found, "isin", "left").withColumn("ticker", F.when(F.col("_found").isin(*PRICED_FLAGS), F.col("trading_ticker")))
+    got = asof_close(rows.withColumn("d", prev_business_day(F.col("announcement_date"))), closes)
+    off = F.try_divide(F.col("offer_price") - F.col("close"), "close")
+    flag = (
+        F.when(~is_isin(F.col("isin")), "not_isin").when(F.col("ticker").isNull(), F.coalesce("_found", F.lit("no_match"))).when(F.col("close").isNull(), "no_price_data")
+        .when(~off.between(-0.5, 2.0), "premium_out_of_bounds").otherwise(F.col("_found"))
+    )
+    priced = F.col("close").isNotNull()
+    return got.select(
+        "deal_id", "isin", "trading_ticker", flag.alias("flag"), F.col("close").alias("reference_price"), F.when(priced, F.col("d")).alias("target_date"), F.col("close_date").alias("effective_date"),
+        premium(F.col("offer_price"), F.col("close")).alias("premium_pct"),
+    )
+
+
 def stale_keys(wanted: DataFrame, cache: DataFrame, now, days: int = 30, batch: int = 100) -> DataFrame:
     """Keys without a cache row of the last ``days``, once each, in batches of ``batch`` for an outside service."""
     fresh = cache.filter(F.col("fetched_at") > F.lit(now) - F.make_dt_interval(F.lit(days))).select("key").distinct()
@@ -168,7 +198,7 @@ def validate_small_caps(chosen: DataFrame, closes: DataFrame) -> DataFrame:
 
     got = asof_close(chosen.withColumn("d", prev_business_day(F.col("d"))), closes)
     judged = deviation_flag(F.col("offer_price"), F.col("ticker"), F.col("close"))
-    off = F.bround(F.try_divide("offer_price", "close").cast("double") - 1, 4)
+    off = F.bround(F.try_divide(F.col("offer_price") - F.col("close"), "close"), 4).cast("double")
     return got.select("deal_id", "ticker", "offer_price", "close", off.alias("deviation"), judged["flag"].alias("flag"), judged["reason"].alias("reason"))
 
 
@@ -225,18 +255,27 @@ def mid_quote(bid: Column, ask: Column) -> Column:
     return (clean_quote(bid) + clean_quote(ask)) / 2
 
 
+#: Statuses of a probed row that has an ISIN and no ticker.
+UNRESOLVED = ("no_ticker", "no_match", "unknown_exch")
+
+
 def price_probe(sample: DataFrame, closes: DataFrame) -> DataFrame:
-    """Status and premium preview of sampled deals (deal_id, isin, ticker, d, offer_price), with outliers marked."""
+    """Status and premium preview of sampled deals (deal_id, isin, ticker, d, offer_price), with outliers marked.
+
+    With a column ``flag`` (of ``resolve_venues``) a row without a ticker is ``no_match`` or ``unknown_exch``, else
+    ``no_ticker``; a resolved row without a day is ``resolved_no_date``. The preview is a fraction; beyond the premium
+    gate it is an outlier.
+    """
     got = asof_close(sample.withColumn("d", prev_business_day(F.col("d"))), closes)
-    status = F.when(F.col("isin").isNull(), "no_isin").when(F.col("ticker").isNull(), "no_ticker").when(F.col("close").isNull(), "no_price").otherwise("ok")
-    p = F.bround(F.try_divide(F.col("offer_price") - F.col("close"), "close"), 4)
-    return got.select("deal_id", "isin", status.alias("status"), p.alias("premium_preview"), F.coalesce(F.abs(p) > 2, F.lit(False)).alias("outlier"))
+    missing = F.when(F.coalesce("flag", F.lit("no_match")) == "no_match", "no_match").otherwise("unknown_exch") if "flag" in sample.columns else F.lit("no_ticker")
+    status = F.when(F.col("isin").isNull(), "no_isin").when(F.col("ticker").isNull(), missing).when(F.col("d").isNull(), "resolved_no_date").when(F.col("close").isNull(), "no_price").otherwise("ok")
+    off = F.try_divide(F.col("offer_price") - F.col("close"), "close")
+    ok = status == "ok"
+    return got.select("deal_id", "isin", status.alias("status"), F.when(ok, F.bround(off, 4)).alias("premium_preview"), (ok & F.coalesce(~off.between(-0.5, 2.0), F.lit(False))).alias("outlier"))
 
 
 def probe_rates(probed: DataFrame) -> DataFrame:
     """Resolution rate among rows with an ISIN and priced rate of all, one row."""
     return probed.agg(
-        F.round(F.avg(F.when(F.col("isin").isNotNull(), (F.col("status") != "no_ticker").cast("double"))), 6).alias("resolution_rate"), F.round(F.avg((F.col("status") == "ok").cast("double")), 6).alias("priced_rate"),
+        F.round(F.avg(F.when(F.col("isin").isNotNull(), (~F.col("status").isin(*UNRESOLVED)).cast("double"))), 6).alias("resolution_rate"), F.round(F.avg((F.col("status") == "ok").cast("double")), 6).alias("priced_rate"),
     )
-
-

@@ -110,16 +110,43 @@ def backfill_de(deals: DataFrame, filings: DataFrame, low: float = 5, high: floa
     )
 
 
-def reparse_action(old_price: Column, new_price: Column, new_flag: Column) -> Column:
-    """(action, delta): new_suspect_mixed, promoted, price_changed (over 1 %), nulled, unchanged."""
-    delta = F.try_divide(new_price - old_price, old_price)
+def reparse_action(old_price: Column, new_price: Column, old_flag: Column, new_flag: Column) -> Column:
+    """(action, delta): new_suspect_mixed; unchanged without a new price; promoted where there was none; price_changed (over 1 %); promoted by the flag alone; else unchanged. The delta is a share of the old price, where two prices were compared."""
+    first = F.coalesce(old_price, F.lit(0)) == 0
+    compared = (new_flag != "suspect_mixed") & new_price.isNotNull() & ~first
+    delta = F.when(compared, F.abs(F.try_divide(new_price - old_price, old_price)))
     action = (
-        F.when(new_flag == "suspect_mixed", "new_suspect_mixed").when(old_price.isNull() & new_price.isNotNull(), "promoted").when(old_price.isNotNull() & new_price.isNull(), "nulled")
-        .when(F.abs(delta) > 0.01, "price_changed").otherwise("unchanged")
+        F.when(new_flag == "suspect_mixed", "new_suspect_mixed").when(new_price.isNull(), "unchanged").when(first, "promoted").when(delta > 0.01, "price_changed")
+        .when(~old_flag.eqNullSafe(new_flag), "promoted").otherwise("unchanged")
     )
     return F.struct(action.alias("action"), F.bround(delta, 6).alias("delta"))
 
 
+def reparse_de(deals: DataFrame, filings: DataFrame, scores: DataFrame, version: int = 2) -> DataFrame:
+    """German deals of an older parser read again (filings: id, text), whatever their price: one audit row each, with prices, flags and versions before and after.
+
+    Without a text a deal stays as it is (``skipped_no_pdf``). Else it takes the new price, also none, the new flag and
+    the version. ``scores_deleted`` counts the scores (deal_id) of a deal whose price changed, which are no longer
+    valid (``ingest.invalidate_scores``); scores are counted by partial sums.
+    """
+    due = deals.filter((F.col("juridiction") == "DE") & (F.col("parser_version") < version))
+    got = due.join(filings.select("id", "text"), "id", "left").withColumn("x", de_offer_price(F.col("text")))
+    read = F.col("text").isNotNull()
+    got = got.withColumn("r", reparse_action(F.col("offer_price"), F.col("x.amount"), F.col("offer_price_quality_flag"), F.col("x.flag")))
+    n = scores.groupBy(F.col("deal_id").alias("id")).agg(F.count("*").alias("_n"))
+    return got.join(n, "id", "left").select(
+        "id", F.when(read, F.col("r.action")).otherwise("skipped_no_pdf").alias("action"), F.when(read, F.col("r.delta")).alias("delta"), F.col("offer_price").alias("old_price"),
+        F.when(read, F.col("x.amount")).otherwise(F.col("offer_price")).alias("new_price"), F.col("offer_price_quality_flag").alias("old_flag"), F.when(read, F.col("x.flag")).otherwise(F.col("offer_price_quality_flag")).alias("new_flag"),
+        F.when(read, F.lit(version)).otherwise(F.col("parser_version")).alias("parser_version"), F.when(read & (F.col("r.action") == "price_changed"), F.coalesce("_n", F.lit(0))).otherwise(0).cast("long").alias("scores_deleted"),
+    )
+
+
+def validate_bounds(sample: DataFrame, filings: DataFrame) -> DataFrame:
+    """Sampled deals (id) with the price their filing's text says and the flag that follows from it; ``missing_pdf`` without a text (filings: id, text)."""
+    got = sample.join(filings.select("id", "text"), "id", "left").withColumn("price", fr_offer_price(F.col("text"))["amount"])
+    return got.select("id", "price", F.when(F.col("text").isNull(), "missing_pdf").otherwise(fr_quality_flag(F.col("price"))).alias("flag"))
+
+
 #: Sources of a price that are trusted to correct a stored one.
 TRUSTED = ("engagement_clause", "surenchere_raised")
 

@@ -6,8 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from bidframe.functions.filings import fr_offer_price, fr_quality_flag
-from bidframe.operators import decisions, ingest, ledger, metrics, pricing, scoring, views
+from bidframe.operators import decisions, ingest, ledger, metrics, pricing, quality, scoring, views
 from bidframe.plans import text as texts
 from bidframe.plans.quality import _PRED, _predictions
 from bidframe.plans.registry import query
@@ -58,10 +57,15 @@ def ramp_up_status(spark, d):
     return ledger.ramp_up_status(ledger.upsert_state(rows.limit(0), rows))
 
 
-@query("SELECT CASE o_orderkey % 6 WHEN 4 THEN 'suspect_low_unverified' ELSE 'verified_cash' END AS flag, count(*) AS n FROM orders GROUP BY 1")
+@query(
+    with_tables("deals") + f", s AS (SELECT id FROM deals QUALIFY row_number() OVER (PARTITION BY year(announcement_date) ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id) <= 40), f AS (SELECT o_orderkey AS id, o_orderkey % 9 = 0 AS lost, CASE o_orderkey % 6 WHEN 3 THEN CAST({texts._EUROS} AS DOUBLE) WHEN 4 THEN NULL WHEN 5 THEN 1000 ELSE {texts._PRICE} END AS price FROM orders) "
+    "SELECT id, CASE WHEN NOT lost THEN price END AS price, CASE WHEN lost THEN 'missing_pdf' WHEN price IS NULL THEN 'suspect_low_unverified' ELSE 'verified_cash' END AS flag FROM s JOIN f USING (id)"
+)
 def bound_validation(spark, d):
-    rows = texts._orders(spark, d, text=texts._FR_TEXT)
-    return rows.groupBy(fr_quality_flag(fr_offer_price(F.col("text"))["amount"]).alias("flag")).agg(F.count("*").alias("n"))
+    """A sample of 40 deals per year, each with what its filing says."""
+    deals = table(spark, d, "deals").withColumn("year", F.year("announcement_date"))
+    found = texts._orders(spark, d, text=texts._FR_TEXT).withColumn("text", F.when(F.col("id") % 9 != 0, F.col("text")))
+    return quality.validate_bounds(quality.stratified_sample(deals, "year", "id", 40), found).withColumn("price", F.col("price").cast("double"))
 
 
 _REGISTRY = [("mfe media", 0, "MFEB.MI", "NL0015000MZ1")]

@@ -205,12 +205,40 @@ def stale_worklist(spark, d):
     return pricing.stale_keys(table(spark, d, "orders").select(F.col("o_custkey").alias("key")), cache, F.to_timestamp(F.lit("2024-02-20 00:00:00")))
 
 
+#: Deals with ISINs that listings know, announced in the ticks' days; and ticks at the venues' tickers.
+_VENUE_DEALS = (
+    "SELECT id, CASE WHEN id % 40 = 0 THEN NULL WHEN id % 41 = 0 THEN 'XX' ELSE concat(juridiction, lpad(CAST(id % 120 AS VARCHAR(20)), 10, '0')) END AS isin, CASE WHEN id % 37 = 0 THEN NULL ELSE date_add(DATE '2024-01-01', CAST(id % 30 AS INT)) END AS announcement_date, "
+    "CAST(CASE WHEN offer_price IS NULL THEN NULL ELSE 20 + id % 150 END AS DECIMAL(18,6)) AS offer_price, completion_label, CASE WHEN id % 5 = 0 THEN 'no_match' ELSE NULL END AS ticker_resolution_flag FROM deals"
+)
+_VENUE_TICKS = "SELECT concat('AB', CAST(user_id % 50 + 1 AS VARCHAR(20)), CASE event_id % 3 WHEN 0 THEN '.PA' WHEN 1 THEN '.DE' ELSE '.MI' END) AS ticker, ts, CAST(value AS DECIMAL(18,6)) AS close, event_id FROM events"
+_VENUE_ROWS = (
+    with_tables("deals") + f", ticks AS ({_VENUE_TICKS}), {_DAILY}, o AS ({_VENUE_DEALS}), " + _venues("SELECT DISTINCT isin FROM o WHERE isin IS NOT NULL") + ", "
+    + f"r AS (SELECT o.id AS deal_id, o.isin, o.announcement_date, o.offer_price AS offer, o.completion_label, o.ticker_resolution_flag AS old, v.trading_ticker, CASE WHEN {{usable}} THEN v.trading_ticker END AS ticker, v.flag AS found, CASE WHEN o.announcement_date IS NOT NULL THEN {_TMINUS.format(d='o.announcement_date')} END AS d FROM o LEFT JOIN v USING (isin)), "
+    + "q AS (SELECT r.*, c.close, c.d AS close_date FROM r " + _asof("c.d <= r.d AND date_diff('day', c.d, r.d) <= 5") + "), h AS (SELECT *, CAST(offer AS DECIMAL(18,6)) AS o, CAST(close AS DECIMAL(18,6)) AS c FROM q), g AS (SELECT *, (o - c) BETWEEN -0.5 * c AND 2 * c AS inside, CAST(" + _half_even(_GAP, _MICRO.format("c")) + " AS DOUBLE) / 10000 AS off FROM h) "
+)
+
+
+def _venue_deals(spark, d):
+    return table(spark, d, "deals").selectExpr(*[x.strip() for x in _split(_VENUE_DEALS)]), table(spark, d, "part").selectExpr(*[x.strip() for x in _split(_LISTINGS)]), table(spark, d, "events").selectExpr(*[x.strip() for x in _split(_VENUE_TICKS)])
+
+
+@query(
+    _VENUE_ROWS.format(usable="v.flag IN ('home_venue', 'venue_fallback')")
+    + "SELECT deal_id, isin, trading_ticker, CASE WHEN len(isin) < 12 THEN 'not_isin' WHEN ticker IS NULL THEN found WHEN close IS NULL THEN 'no_price_data' WHEN NOT inside THEN 'premium_out_of_bounds' ELSE found END AS flag, CAST(close AS DOUBLE) AS reference_price, CASE WHEN close IS NOT NULL THEN d END AS target_date, close_date AS effective_date, "
+    "CASE WHEN inside THEN off END AS premium_pct FROM (SELECT * REPLACE (CASE WHEN len(isin) < 12 THEN NULL ELSE trading_ticker END AS trading_ticker) FROM g) WHERE completion_label IS NOT NULL AND isin IS NOT NULL AND old IS NULL"
+)
+def premium_from_isin(spark, d):
+    deals, listings, closes = _venue_deals(spark, d)
+    got = pricing.premium_from_isin(deals, listings, closes)
+    return got.withColumn("reference_price", F.col("reference_price").cast("double")).withColumn("premium_pct", F.col("premium_pct").cast("double"))
+
+
 @query(
-    with_tables("ticks", "price_requests") + f", {_DAILY}, p AS (SELECT r.deal_id, CAST(r.offer_price AS DOUBLE) AS offer, CAST(c.close AS DOUBLE) AS close FROM (SELECT deal_id, ticker, offer_price, {_TMINUS.format(d='d')} AS d FROM price_requests) r " + _asof("c.d <= r.d AND date_diff('day', c.d, r.d) <= 5")
-    + ") SELECT deal_id, CASE WHEN close IS NULL THEN 'no_close' WHEN offer IS NULL THEN 'no_offer' WHEN abs(offer - close) / close >= 0.3 THEN 'deviation' ELSE 'within_bound' END AS reason, CASE WHEN abs(offer - close) / close < 0.3 THEN 'verified_cash' ELSE 'manual_review' END AS flag FROM p"
+    with_tables("ticks", "price_requests") + f", {_DAILY}, p AS (SELECT r.deal_id, CAST(r.offer_price AS DECIMAL(18,6)) AS o, CAST(c.close AS DECIMAL(18,6)) AS c FROM (SELECT deal_id, ticker, offer_price, {_TMINUS.format(d='d')} AS d FROM price_requests) r " + _asof("c.d <= r.d AND date_diff('day', c.d, r.d) <= 5")
+    + f") SELECT deal_id, CASE WHEN c IS NULL THEN 'no_close' WHEN o IS NULL THEN 'no_offer' WHEN abs(o - c) >= 0.3 * c THEN 'deviation' ELSE 'within_bound' END AS reason, CASE WHEN abs(o - c) < 0.3 * c THEN 'verified_cash' ELSE 'manual_review' END AS flag, CAST(c AS DOUBLE) AS close, CAST({_half_even(_GAP, _MICRO.format('c'))} AS DOUBLE) / 10000 AS deviation FROM p"
 )
 def small_cap_validation(spark, d):
-    return pricing.validate_small_caps(table(spark, d, "price_requests"), table(spark, d, "ticks")).select("deal_id", "reason", "flag")
+    return pricing.validate_small_caps(table(spark, d, "price_requests"), table(spark, d, "ticks")).select("deal_id", "reason", "flag", F.col("close").cast("double").alias("close"), "deviation")
 
 
 @query(
@@ -222,6 +250,18 @@ def price_probe_rates(spark, d):
     return pricing.probe_rates(pricing.price_probe(sample, table(spark, d, "ticks")))
 
 
+@query(
+    _VENUE_ROWS.format(usable="true")
+    + "SELECT deal_id, status, CASE WHEN status = 'ok' THEN off END AS premium_preview, coalesce(status = 'ok' AND NOT inside, false) AS outlier FROM (SELECT *, CASE WHEN isin IS NULL THEN 'no_isin' WHEN ticker IS NULL AND found = 'no_match' THEN 'no_match' WHEN ticker IS NULL THEN 'unknown_exch' WHEN d IS NULL THEN 'resolved_no_date' WHEN close IS NULL THEN 'no_price' ELSE 'ok' END AS status FROM g)"
+)
+def price_probe_statuses(spark, d):
+    """Each deal probed from its ISIN on: resolved, priced, and how its offer stands to the price."""
+    deals, listings, closes = _venue_deals(spark, d)
+    found = pricing.resolve_venues(deals.select("isin").filter("isin IS NOT NULL").distinct(), listings).select("isin", F.col("trading_ticker").alias("ticker"), "flag")
+    sample = deals.join(found, "isin", "left").select(F.col("id").alias("deal_id"), "isin", "ticker", "flag", F.col("announcement_date").alias("d"), "offer_price")
+    return pricing.price_probe(sample, closes).select("deal_id", "status", F.col("premium_preview").cast("double").alias("premium_preview"), "outlier")
+
+
 _LISTED = "SELECT id, target_name, CASE WHEN id % 5 = 0 THEN NULL ELSE ticker END AS key, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN concat(target_name, ' Holding SE') WHEN id % 11 = 1 THEN concat('Tragte ', CAST(id % 97 AS VARCHAR(9)), ' AG') WHEN id % 11 = 2 THEN concat('1', target_name) ELSE concat('Other ', acquirer_name) END AS listed_name FROM deals"
 
 

@@ -121,14 +121,20 @@ def extraction_diff(spark, d):
 
 
 @query(
-    f"WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 IN (2, 3) THEN NULL ELSE {texts._PRICE} END AS new, o_orderkey % 5 = 2 AS mixed, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 5 ELSE {texts._PRICE} END AS old FROM orders) "
-    "SELECT id, CASE WHEN mixed THEN 'new_suspect_mixed' WHEN old IS NULL AND new IS NOT NULL THEN 'promoted' WHEN old IS NOT NULL AND new IS NULL THEN 'nulled' WHEN abs((new - old) / old) > 0.01 THEN 'price_changed' ELSE 'unchanged' END AS action, round((new - old) / old, 6) AS delta FROM x"
+    with_tables("deals")
+    + f", f AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, CASE WHEN o_orderkey % 5 IN (2, 3) THEN NULL ELSE {texts._PRICE} END AS new, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 5 ELSE {texts._PRICE} END AS old FROM orders), n AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1), "
+    "x AS (SELECT d.id, old, new, d.id % 7 = 0 AS lost, coalesce(n, 0) AS n, offer_price_quality_flag AS old_flag, CASE k WHEN 2 THEN 'suspect_mixed' WHEN 3 THEN 'suspect_low_unverified' ELSE 'verified_cash' END AS flag FROM deals d JOIN f USING (id) LEFT JOIN n USING (id) WHERE juridiction = 'DE' AND d.id % 9 > 0), "
+    "a AS (SELECT *, CASE WHEN lost THEN 'skipped_no_pdf' WHEN flag = 'suspect_mixed' THEN flag WHEN new IS NULL THEN 'unchanged' WHEN old IS NULL THEN 'promoted' WHEN abs(new - old) / old > 0.01 THEN 'price_changed' WHEN flag <> old_flag THEN 'promoted' ELSE 'unchanged' END AS action FROM x) "
+    "SELECT id, CASE WHEN action = 'suspect_mixed' THEN 'new_suspect_mixed' ELSE action END AS action, CASE WHEN NOT lost AND flag <> 'suspect_mixed' THEN round(abs(new - old) / old, 6) END AS delta, old AS old_price, CASE WHEN lost THEN old ELSE new END AS new_price, old_flag, CASE WHEN lost THEN old_flag ELSE flag END AS new_flag, "
+    "CASE WHEN lost THEN 1 ELSE 2 END AS parser_version, CASE WHEN action = 'price_changed' THEN n ELSE 0 END AS scores_deleted FROM a"
 )
 def reparse_actions(spark, d):
-    from bidframe.functions.filings import de_offer_price
-
-    rows = texts._orders(spark, d, text=texts._DE_TEXT, old=_OLD.format(p=texts._PRICE)).withColumn("x", de_offer_price(F.col("text"))).withColumn("r", quality.reparse_action(F.col("old"), F.col("x.amount"), F.col("x.flag")))
-    return rows.select("id", "r.action", F.col("r.delta").cast("double").alias("delta"))
+    """Deals with a stored price of several kinds; every ninth was read by the newest parser already."""
+    old = texts._orders(spark, d, offer_price=_OLD.format(p=texts._PRICE))
+    deals = table(spark, d, "deals").drop("offer_price").join(old, "id").withColumn("parser_version", F.when(F.col("id") % 9 > 0, 1).otherwise(2))
+    found = texts._orders(spark, d, text=texts._DE_TEXT).withColumn("text", F.when(F.col("id") % 7 != 0, F.col("text")))
+    got = quality.reparse_de(deals, found, table(spark, d, "scores"))
+    return got.withColumns({c: F.col(c).cast("double") for c in ("delta", "old_price", "new_price")})
 
 
 @query(
@@ -164,13 +170,24 @@ def it_flag_promotion(spark, d):
     return quality.promote_it_flags(table(spark, d, "deals"))
 
 
-@query(
-    with_tables("deals") + "SELECT id, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN isin END AS found, CASE WHEN id % 3 = 0 THEN 'no_pdf' WHEN id % 3 = 2 THEN 'no_isin' ELSE 'ok' END AS status FROM deals WHERE id % 4 = 0"
-)
-def isin_backfill(spark, d):
+def _isins_found(spark, d):
     deals = table(spark, d, "deals")
     found = deals.filter("id % 3 > 0").select("id", F.when(F.col("id") % 3 == 1, F.concat(F.lit("code ISIN : "), "isin", F.lit(" (x)"))).otherwise("rien").alias("text"))
-    return quality.isin_backfill(deals.withColumn("ticker", F.expr("CASE WHEN id % 4 = 0 THEN NULL ELSE ticker END")), found).select("id", "found", "status")
+    return quality.isin_backfill(deals.withColumn("ticker", F.expr("CASE WHEN id % 4 = 0 THEN NULL ELSE ticker END")), found)
+
+
+_FOUND = "SELECT id, juridiction, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN isin END AS found, CASE WHEN id % 3 = 0 THEN 'no_pdf' WHEN id % 3 = 2 THEN 'no_isin' ELSE 'ok' END AS status FROM deals WHERE id % 4 = 0"
+
+
+@query(with_tables("deals") + f"SELECT id, found, status FROM ({_FOUND})")
+def isin_backfill(spark, d):
+    return _isins_found(spark, d).select("id", "found", "status")
+
+
+@query(with_tables("deals") + f", s AS (SELECT juridiction, CAST(status = 'ok' AS INT) AS ok FROM ({_FOUND})) SELECT coalesce(juridiction, 'TOTAL') AS juridiction, count(*) AS n, round(avg(ok), 6) AS rate, CASE WHEN avg(ok) >= 0.33 THEN 'GO' ELSE 'NO_GO' END AS verdict FROM s GROUP BY ROLLUP (juridiction)")
+def isin_success(spark, d):
+    """The share of deals without a ticker whose filing gave an ISIN, per country and over all."""
+    return quality.success_rates(_isins_found(spark, d), 0.33)
 
 
 @query(

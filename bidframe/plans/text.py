@@ -147,7 +147,7 @@ def labelled_parties(spark, d):
 
 @query(
     f"SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 4 THEN 'suspect_low_unverified' ELSE 'verified_cash' END AS fr_flag, CASE WHEN {_PRICE} < 5 THEN 'below_5' WHEN {_PRICE} > 500 THEN 'above_500' ELSE 'normal' END AS bucket, "
-    f"CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN {_PRICE} = 3.1 THEN 1 ELSE 2 END WHEN 1 THEN CASE WHEN {_PRICE} = 9.69 THEN 1 ELSE 2 END WHEN 2 THEN CASE WHEN {_PRICE} IN (17, 99) THEN 2 ELSE 3 END WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS n_amounts FROM orders"
+    f"CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN {_PRICE} = 3.1 THEN 1 ELSE 2 END WHEN 1 THEN CASE WHEN {_PRICE} = 9.69 THEN 1 ELSE 2 END WHEN 2 THEN CASE WHEN {_PRICE} IN (17, 99) THEN 2 ELSE 3 END ELSE 0 END AS n_amounts FROM orders"
 )
 def flags_and_buckets(spark, d):
     rows = _orders(spark, d, text=_FR_TEXT, price=_PRICE)
@@ -155,20 +155,85 @@ def flags_and_buckets(spark, d):
     return rows.select("id", filings.fr_quality_flag(filings.fr_offer_price(F.col("text"))["amount"]).alias("fr_flag"), filings.outlier_bucket(F.col("price")).alias("bucket"), amounts.alias("n_amounts"))
 
 
-@query(f"SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CASE o_orderkey % 6 WHEN 0 THEN {_PRICE} WHEN 3 THEN CAST({_EUROS} AS DOUBLE) END AS guess FROM orders")
+#: Texts with a match's first character and the one after its last.
+_AROUND = "trim(regexp_replace(replace(text, chr(160), ' ')[greatest(s - {before}, 1):e + {after} - 1], '\\s+', ' ', 'g'))"
+_REVIEWED = f"t AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k, {_AMOUNT} AS a, {_PRICE} AS p, {_FR_TEXT} AS text FROM orders)"
+_CLAUSE_SPAN = "CASE k WHEN 0 THEN instr(text, 's’engage') WHEN 1 THEN instr(text, 'rehaussé au prix') + 9 WHEN 2 THEN instr(text, ' prix de ') + 1 END AS s, CASE k WHEN 0 THEN instr(text, 'unitaire\nde ') + 12 WHEN 1 THEN instr(text, 'rehaussé au prix de ') + 20 WHEN 2 THEN instr(text, ' prix de ') + 9 END + len(a) + 2 AS e"
+
+
+@query(
+    f"WITH {_REVIEWED}, m AS (SELECT id, text, true AS principal, 1 AS n, p AS amount, {_CLAUSE_SPAN} FROM t WHERE k = 0 UNION ALL SELECT id, text, false, 1, CASE k WHEN 0 THEN 3.1 WHEN 1 THEN 9.69 ELSE 17 END, b, b + CASE k WHEN 2 THEN 7 ELSE 6 END FROM (SELECT *, instr(text, CASE k WHEN 0 THEN '3,10 €' WHEN 1 THEN '9,69 €' ELSE '17,00 €' END) AS b FROM t WHERE k < 3) "
+    "UNION ALL SELECT id, text, false, 2, p, b, b + len(a) + 2 FROM (SELECT *, CASE k WHEN 1 THEN instr(text, 'rehaussé au prix de ') + 20 ELSE instr(text, ' prix de ') + 9 END AS b FROM t WHERE k IN (1, 2)) UNION ALL SELECT id, text, false, 3, 99, instr(text, 'puis ') + 5, instr(text, 'puis ') + 12 FROM t WHERE k = 2), "
+    "u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id, amount ORDER BY principal DESC, n) = 1) "
+    f"SELECT id, principal, row_number() OVER (PARTITION BY id ORDER BY principal DESC, n) - 1 AS pos, CAST(amount AS DOUBLE) AS amount, {_AROUND.format(before=150, after=150)} AS context FROM u"
+)
+def amount_candidates(spark, d):
+    """All amounts that a review has to weigh, the bidder's own clauses first, with the text around them."""
+    got = _orders(spark, d, text=_FR_TEXT).withColumn("x", filings.amount_candidates(F.col("text")))
+    marked = lambda part, own: F.transform(f"x.{part}", lambda v: F.struct(F.lit(own).alias("principal"), v["amount"].cast("double").alias("amount"), v["context"].alias("context")))
+    rows = got.select("id", F.posexplode(F.concat(marked("principal", True), marked("other", False))).alias("pos", "v"))
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), "v.principal", "v.amount", "v.context")
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'HIGH' WHEN o_orderkey % 6 = 1 AND {_PRICE} = 9.69 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CASE WHEN o_orderkey % 6 = 0 OR o_orderkey % 6 = 1 AND {_PRICE} = 9.69 THEN {_PRICE} END AS guess FROM orders")
 def best_guess(spark, d):
     got = _orders(spark, d, text=_FR_TEXT).withColumn("x", filings.best_guess(F.col("text")))
     return got.select("id", "x.confidence", F.col("x.price").cast("double").alias("guess"))
 
 
 @query(
-    f"WITH c AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 2 THEN 99 WHEN 3 THEN CAST({_EUROS} AS DOUBLE) WHEN 4 THEN NULL ELSE {_PRICE} END AS clause_price FROM orders) "
-    "SELECT id, clause_price, CASE WHEN clause_price IS NULL THEN 'NO_CLAUSE' WHEN id % 6 = 0 OR clause_price = 7 THEN 'MATCH' ELSE 'MISMATCH' END AS verdict FROM c"
+    f"WITH {_REVIEWED}, c AS (SELECT id, k, p, text, {_CLAUSE_SPAN} FROM t), v AS (SELECT *, CASE WHEN k > 2 THEN 'NO_CLAUSE' WHEN id % 5 = 0 THEN 'MISSING' WHEN k = 0 OR p = 7 THEN 'MATCH' ELSE 'MISMATCH' END AS verdict FROM c) "
+    "SELECT id, CASE WHEN k < 3 THEN p END AS clause_price, verdict, CASE WHEN k > 2 THEN 'no_engagement_clause' WHEN k = 0 THEN concat('single_engagement_clause', CASE WHEN verdict <> 'MISSING' THEN concat('_', lower(verdict)) ELSE '' END) WHEN verdict = 'MISSING' THEN 'fallback_only' ELSE concat(lower(verdict), '_via_fallback') END AS status, "
+    f"CASE WHEN k < 3 THEN {_AROUND.format(before=80, after=120)} END AS excerpt FROM v"
 )
 def clause_verdict(spark, d):
-    stored = f"CASE WHEN o_orderkey % 6 = 0 THEN CAST({_EUROS} + (o_orderkey % 100) / 100.0 AS DECIMAL(18,6)) ELSE CAST(7 AS DECIMAL(18,6)) END"
+    stored = f"CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN CAST({_EUROS} + (o_orderkey % 100) / 100.0 AS DECIMAL(18,6)) ELSE CAST(7 AS DECIMAL(18,6)) END"
     got = _orders(spark, d, text=_FR_TEXT, stored=stored).withColumn("x", filings.clause_verdict(F.col("text"), F.col("stored")))
-    return got.select("id", F.col("x.price").cast("double").alias("clause_price"), "x.verdict")
+    return got.select("id", F.col("x.price").cast("double").alias("clause_price"), "x.verdict", "x.status", "x.excerpt")
+
+
+_NO_TEXT = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE {} END"
+_FR_TITLE = "CASE o_orderkey % 3 WHEN 0 THEN concat('OFFRE PUBLIQUE DE RETRAIT visant les actions de la société Gamma ', CAST(o_orderkey AS VARCHAR(20)), '.') WHEN 1 THEN 'Dépôt' END"
+_FR_FILING = _NO_TEXT.format(f"concat('Offre publique d''achat simplifiée. Société visée : Beta ', CAST(o_custkey AS VARCHAR(20)), '\nInitiateur : Delta ', CAST(o_orderkey AS VARCHAR(20)), '\nParis, le 3 mars 2024. prix offert : ', {_AMOUNT}, ' €', repeat(' suite', 200))")
+_DE_FILING = _NO_TEXT.format(
+    f"concat('Bieterin: Delta ', CAST(o_orderkey AS VARCHAR(20)), ' GmbH Zielgesellschaft: Gamma ', CAST(o_custkey AS VARCHAR(20)), ' AG, ISIN DE0\nPflichtangebot. ', CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE concat('Angebotspreis: EUR ', {_AMOUNT}, ' je Aktie. ') END, 'Annahmefrist vom 1. März 2024 bis 30. April 2026', repeat(' weiter', 200))"
+)
+_IT_FILING = _NO_TEXT.format(
+    f"concat('Comunicazione n. 0', CAST(o_orderkey AS VARCHAR(20)), ' del 5 marzo 2024. Emittente: Gamma ', CAST(o_custkey AS VARCHAR(20)), ';\nOfferente: Delta ', CAST(o_orderkey AS VARCHAR(20)), ' S.p.A.; dal 1 aprile 2024 al 30 aprile 2026. ', CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE concat('Corrispettivo: Euro ', {_AMOUNT}) END, repeat(' segue', 200))"
+)
+
+
+def _records(rows, record, country):
+    """A country's records, flat, with prices as doubles, and whether each says enough to be stored."""
+    got = rows.withColumn("r", record).withColumn("enough", filings.has_minimum(F.col("r"), country))
+    return got.select("id", "r.*", "enough").withColumn("offer_price", F.col("offer_price").cast("double"))
+
+
+@query(
+    f"WITH t AS (SELECT o_orderkey AS id, o_custkey AS c, {_FR_FILING} AS text, {_PRICE} AS p FROM orders), r AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'opr' WHEN text IS NOT NULL THEN 'opa_simplifiee' END AS deal_type FROM t) "
+    "SELECT id, deal_type, CASE WHEN id % 3 = 0 THEN concat('Gamma ', id) WHEN text IS NOT NULL THEN concat('Beta ', c) END AS target_name, CASE WHEN text IS NOT NULL THEN concat('Delta ', id) END AS acquirer_name, CASE WHEN text IS NOT NULL THEN DATE '2024-03-03' END AS announcement_date, "
+    "CASE WHEN text IS NOT NULL THEN p END AS offer_price, CASE WHEN text IS NOT NULL THEN 'EUR' END AS currency, CASE WHEN text IS NOT NULL THEN 'fallback_first_match' ELSE 'no_match' END AS source, text[1:1024] AS sample, deal_type IS NOT NULL AS enough FROM r"
+)
+def fr_filing_records(spark, d):
+    return _records(_orders(spark, d, title=_FR_TITLE, text=_FR_FILING), filings.fr_filing(F.col("title"), F.col("text")), "FR")
+
+
+@query(
+    f"WITH t AS (SELECT o_orderkey AS id, o_custkey AS c, {_DE_FILING} AS text, {_PRICE} AS p FROM orders), r AS (SELECT *, CASE WHEN id % 3 <> 1 AND text IS NOT NULL THEN p END AS offer_price FROM t) "
+    "SELECT id, CASE WHEN text IS NOT NULL THEN DATE '2024-03-01' END AS opening_date, CASE WHEN text IS NOT NULL THEN DATE '2026-04-30' END AS closing_date, offer_price, CASE WHEN offer_price IS NOT NULL THEN 'EUR' END AS currency, CASE WHEN offer_price IS NOT NULL THEN 'verified_cash' ELSE 'suspect_low_unverified' END AS flag, "
+    "CASE WHEN text IS NOT NULL THEN concat('Gamma ', c, ' AG') END AS target_name, CASE WHEN text IS NOT NULL THEN concat('Delta ', id, ' GmbH') END AS acquirer_name, CASE WHEN text IS NOT NULL THEN 'Pflichtangebot' END AS offer_type, text[1:1024] AS sample, text IS NOT NULL AS enough FROM r"
+)
+def de_filing_records(spark, d):
+    return _records(_orders(spark, d, text=_DE_FILING), filings.de_filing(F.col("text")), "DE")
+
+
+@query(
+    f"WITH t AS (SELECT o_orderkey AS id, o_custkey AS c, {_IT_FILING} AS text, {_PRICE} AS p FROM orders), r AS (SELECT *, CASE WHEN id % 3 <> 1 AND text IS NOT NULL THEN p END AS offer_price FROM t) "
+    "SELECT id, CASE WHEN text IS NOT NULL THEN concat('Comunicazione n. 0', id) END AS visa, CASE WHEN text IS NOT NULL THEN DATE '2024-03-05' END AS announcement_date, CASE WHEN text IS NOT NULL THEN DATE '2024-04-01' END AS opening_date, CASE WHEN text IS NOT NULL THEN DATE '2026-04-30' END AS closing_date, offer_price, "
+    "CASE WHEN offer_price IS NOT NULL THEN 'EUR' END AS currency, CASE WHEN text IS NOT NULL THEN concat('Gamma ', c) END AS target_name, CASE WHEN text IS NOT NULL THEN concat('Delta ', id, ' S.p.A') END AS acquirer_name, text[1:1024] AS sample, text IS NOT NULL AS enough FROM r"
+)
+def it_filing_records(spark, d):
+    return _records(_orders(spark, d, text=_IT_FILING), filings.it_filing(F.col("text")), "IT")
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'conformity_decision' WHEN 1 THEN 'deposit_notice' WHEN 2 THEN 'deposit_notice_byheader' WHEN 3 THEN 'procedural_other' ELSE 'other' END AS kind, CASE o_orderkey % 5 WHEN 0 THEN 'OCEANE' WHEN 1 THEN 'SURENCHERE' WHEN 2 THEN 'BLOCK_PURCHASE' ELSE 'NO_CLAUSE' END AS dominant FROM orders")
@@ -216,11 +281,11 @@ def venue_tickers(spark, d):
     return rows.select("id", ticker.alias("ticker"), names.broker_symbol(ticker).alias("symbol"))
 
 
-@query("SELECT doc_id, quality_text AS text FROM (SELECT doc_id, string_agg(CASE WHEN k < 3 THEN concat('p', k, ':', source) END, chr(10) ORDER BY k) AS quality_text FROM documents, range(5) t(k) GROUP BY 1)")
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS text FROM documents WHERE text IS NOT NULL")
 def filing_text_assembly(spark, d):
-    pages = table(spark, d, "documents").select(F.lit("FR").alias("jurisdiction"), F.col("doc_id").alias("regulator_ref"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("page_no"), "source")
-    pages = pages.withColumn("text", F.concat(F.lit("p"), "page_no", F.lit(":"), "source")).drop("source")
-    return feeds.filing_text(pages, 3).select(F.col("regulator_ref").alias("doc_id"), "text")
+    """The given documents, each line a page."""
+    pages = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page_no", "text"))
+    return feeds.filing_text(pages, 3, ("doc_id",))
 
 
 _FEED = (
@@ -277,12 +342,13 @@ def bid_news(spark, d):
     return feeds.bid_news(rows).select("id", "regulator_ref", "published_at")
 
 
-@query("SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS section FROM pages WHERE regexp_matches(url, '/[a-z]+/[0-9]+\\.html')")
+_LINK = r'<a href="/([^"])([^"]*)">([^<]*)</a>'
+
+
+@query("SELECT url, " + ", ".join(f"nullif(regexp_extract(html, '{_LINK}', {k}), '') AS {n}" for k, n in enumerate(("year", "reference", "hash"), 1)) + f" FROM pages WHERE regexp_extract(html, '{_LINK}', 1) <> ''")
 def document_links(spark, d):
-    """Pages whose own address is a document's, read from a page that links to it."""
-    pages = table(spark, d, "pages").withColumn("html", F.concat(F.lit('<a href="'), "url", F.lit('">x</a>'))).withColumn("url", F.col("page_id").cast("string"))
-    got = feeds.document_links(pages, r"https?://[^/]+/([a-z]+)/([0-9]+)\.(html)")
-    return got.select(F.col("url").cast("bigint").alias("page_id"), F.col("year").alias("section"))
+    """The first link of each given page, in three parts."""
+    return feeds.document_links(table(spark, d, "pages"), _LINK)
 
 
 @query(
