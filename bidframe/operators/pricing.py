@@ -193,13 +193,16 @@ def stale_keys(wanted: DataFrame, cache: DataFrame, now, days: int = 30, batch:
 
 
 def validate_small_caps(chosen: DataFrame, closes: DataFrame) -> DataFrame:
-    """Deals (deal_id, ticker, d, offer_price) against the close of the business day before: deviation, flag and reason."""
+    """Deals (deal_id, ticker, d, offer_price) against the close of the business day before: deviation, flag and reason. ``pos`` is the place in the report: verified ones first, then by the size of the deviation, those without one last."""
     from bidframe.functions.filings import deviation_flag
 
     got = asof_close(chosen.withColumn("d", prev_business_day(F.col("d"))), closes)
     judged = deviation_flag(F.col("offer_price"), F.col("ticker"), F.col("close"))
     off = F.bround(F.try_divide(F.col("offer_price") - F.col("close"), "close"), 4).cast("double")
-    return got.select("deal_id", "ticker", "offer_price", "close", off.alias("deviation"), judged["flag"].alias("flag"), judged["reason"].alias("reason"))
+    rows = got.select("deal_id", "ticker", "offer_price", "close", off.alias("deviation"), judged["flag"].alias("flag"), judged["reason"].alias("reason"))
+    size = F.coalesce(F.lpad(F.round(F.abs("deviation") * 10000).cast("long").cast("string"), 18, "0"), F.lit("x"))
+    key = F.concat_ws("|", F.when(F.col("flag") == "verified_cash", "0").otherwise("1"), size, F.lpad(F.col("deal_id").cast("string"), 20, "0"))
+    return number_rows(rows.withColumn("_key", key), "_key", name="pos").drop("_key")
 
 
 def shared_letters(a: Column, b: Column) -> Column:

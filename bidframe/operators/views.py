@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from bidframe.operators.ordering import number_rows
+
 
 def latest_score(scores: DataFrame, by: str = "id") -> DataFrame:
     """One score per deal: the one with the largest ``id`` (as the view takes it) or ``ts`` (as the single lookup does; ties by id)."""
@@ -29,6 +31,12 @@ def cluster_view(scores: DataFrame, deals: DataFrame) -> DataFrame:
     return s.join(d, s.deal_id == d.id).drop("id").withColumnRenamed("deal_id", "cluster_id")
 
 
+def placed(view: DataFrame, name: str = "pos") -> DataFrame:
+    """The view from the latest announcement on, ties by cluster, undated last, with each row's place from 1: rows are numbered range by range, so no task holds them all."""
+    key = F.concat_ws("|", F.lpad((2000000 - F.coalesce(F.unix_date("announcement_date"), F.lit(-1000000))).cast("string"), 8, "0"), F.lpad(F.col("cluster_id").cast("string"), 20, "0"))
+    return number_rows(view.withColumn("_key", key), "_key", name=name).drop("_key").orderBy(name)
+
+
 @dataclass(frozen=True)
 class DealFilters:
     """Optional filters of the view; None filters nothing."""

@@ -235,10 +235,10 @@ def premium_from_isin(spark, d):
 
 @query(
     with_tables("ticks", "price_requests") + f", {_DAILY}, p AS (SELECT r.deal_id, CAST(r.offer_price AS DECIMAL(18,6)) AS o, CAST(c.close AS DECIMAL(18,6)) AS c FROM (SELECT deal_id, ticker, offer_price, {_TMINUS.format(d='d')} AS d FROM price_requests) r " + _asof("c.d <= r.d AND date_diff('day', c.d, r.d) <= 5")
-    + f") SELECT deal_id, CASE WHEN c IS NULL THEN 'no_close' WHEN o IS NULL THEN 'no_offer' WHEN abs(o - c) >= 0.3 * c THEN 'deviation' ELSE 'within_bound' END AS reason, CASE WHEN abs(o - c) < 0.3 * c THEN 'verified_cash' ELSE 'manual_review' END AS flag, CAST(c AS DOUBLE) AS close, CAST({_half_even(_GAP, _MICRO.format('c'))} AS DOUBLE) / 10000 AS deviation FROM p"
+    + f"), j AS (SELECT deal_id, CASE WHEN c IS NULL THEN 'no_close' WHEN o IS NULL THEN 'no_offer' WHEN abs(o - c) >= 0.3 * c THEN 'deviation' ELSE 'within_bound' END AS reason, CASE WHEN abs(o - c) < 0.3 * c THEN 'verified_cash' ELSE 'manual_review' END AS flag, CAST(c AS DOUBLE) AS close, CAST({_half_even(_GAP, _MICRO.format('c'))} AS DOUBLE) / 10000 AS deviation FROM p) SELECT *, row_number() OVER (ORDER BY flag <> 'verified_cash', abs(deviation) NULLS LAST, deal_id) AS pos FROM j"
 )
 def small_cap_validation(spark, d):
-    return pricing.validate_small_caps(table(spark, d, "price_requests"), table(spark, d, "ticks")).select("deal_id", "reason", "flag", F.col("close").cast("double").alias("close"), "deviation")
+    return pricing.validate_small_caps(table(spark, d, "price_requests"), table(spark, d, "ticks")).select("pos", "deal_id", "reason", "flag", F.col("close").cast("double").alias("close"), "deviation")
 
 
 @query(
