@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidframe.operators.ordering import number_rows
+
 #: Fixed values of sizing and admission.
 KELLY_SHARE, MOST_OF_CAPITAL, LEAST_EUR, MOST_POSITIONS = 0.15, 0.12, 1000.0, 5
 BREAK_LOSS, CAPITAL_FLOOR, CAPITAL_CAP = 0.15, 50_000.0, 2_000_000.0
@@ -104,26 +106,33 @@ def daily_cycle(decisions: DataFrame, cooldown_min: int = 60, ramp_up: int = 10)
     """The day's candidates, in order, as a fold: each decision meets the position cap, the approval gate and the cooldown.
 
     Rows: run_day, seq, at (timestamp), ok (it is a decision), open_positions and rampup_validated at the day's start,
-    halted (kill switch or daily loss). A day is one ordered array: its candidates are few by nature.
+    halted (kill switch or daily loss). No day is held whole: only a submit changes what later candidates meet, and the
+    position cap lets a day have few, so each pass over the rows finds every day's next submit. A missing count of open
+    positions, or one below zero, is none. Candidates alike in all columns are told apart by a number.
     """
-    row = F.struct("seq", "deal_id", F.unix_timestamp("at").alias("at"), "ok")
-    days = decisions.groupBy("run_day").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("open_positions").alias("held"), F.max("rampup_validated").alias("ramp"), F.max("halted").alias("halted"))
-    start = F.struct(F.col("held").cast("int").alias("held"), F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<deal_id:bigint,outcome:string>>").alias("out"))
-
-    def step(s, r):
-        cold = s["last"].isNotNull() & (r["at"] - s["last"] < cooldown_min * 60)
-        outcome = (
-            F.when(~r["ok"], "skipped").when(s["held"] >= MOST_POSITIONS, "skipped").when(cold, "execution_skipped")
-            .when(F.col("ramp") < ramp_up, "pending_approval").otherwise("submitted")
-        )
-        sent = outcome == "submitted"
-        return F.struct(
-            (s["held"] + F.when(sent, 1).otherwise(0)).alias("held"), F.when(sent, r["at"]).otherwise(s["last"]).alias("last"),
-            F.array_append(s["out"], F.struct(r["deal_id"].cast("bigint").alias("deal_id"), outcome.alias("outcome"))).alias("out"),
-        )
-
-    folded = days.filter("NOT halted").withColumn("out", F.aggregate("rows", start, step, lambda s: s["out"]))
-    return folded.select("run_day", F.posexplode("out").alias("pos", "o")).select("run_day", "pos", "o.deal_id", "o.outcome")
+    told = decisions.select("run_day", "seq", "deal_id", F.unix_timestamp("at").alias("at"), "ok")
+    alike = told.groupBy(*told.columns).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = alike.select("run_day", "seq", F.struct("seq", "deal_id", "at", "ok", "copy").alias("row"))
+    days = decisions.groupBy("run_day").agg(F.max("open_positions").alias("held"), F.max("rampup_validated").alias("ramp"), F.max("halted").alias("halted"))
+    days = days.filter("NOT halted").select(F.col("run_day").alias("day"), F.greatest(F.coalesce(F.col("held").cast("int"), F.lit(0)), F.lit(0)).alias("held"), (F.col("ramp") < ramp_up).alias("gated"))
+
+    def cold(row, last):
+        return F.coalesce(row["at"] - last["at"] < cooldown_min * 60, F.lit(False))
+
+    same, last = F.col("run_day").eqNullSafe(F.col("day")), F.try_element_at("sent", F.lit(-1))
+    state = days.withColumn("sent", F.array().cast(f"array<{rows.schema['row'].dataType.simpleString()}>"))
+    for _ in range(MOST_POSITIONS):
+        free = state.filter((F.col("held") + F.size("sent") < MOST_POSITIONS) & ~F.coalesce("gated", F.lit(False)))
+        after = (F.size("sent") == 0) | ((F.col("row") > last) & ~cold(F.col("row"), last))
+        found = rows.filter(F.coalesce("row.ok", F.lit(True))).join(F.broadcast(free), same & after).groupBy("run_day").agg(F.min("row").alias("next"))
+        state = state.join(found, same, "left").select("day", "held", "gated", F.when(F.col("next").isNull(), F.col("sent")).otherwise(F.array_append("sent", F.col("next"))).alias("sent"))
+
+    met = number_rows(rows, "seq", ("run_day",), "n", then=("row",)).join(F.broadcast(state), same).withColumn("sent", F.filter("sent", lambda s: s < F.col("row")))
+    outcome = (
+        F.when(~F.col("row.ok"), "skipped").when(F.col("held") + F.size("sent") >= MOST_POSITIONS, "skipped").when(cold(F.col("row"), last), "execution_skipped")
+        .when(F.col("gated"), "pending_approval").otherwise("submitted")
+    )
+    return met.select("run_day", (F.col("n") - 1).cast("int").alias("pos"), F.col("row.deal_id").cast("bigint").alias("deal_id"), outcome.alias("outcome"))
 
 
 def fresh_pool(deals: DataFrame, scores: DataFrame, closes: DataFrame, since, least_stars: int = 3) -> DataFrame:

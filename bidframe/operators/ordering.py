@@ -90,22 +90,22 @@ def values_at(df: DataFrame, key: str, places: dict[str, tuple[float, Callable[[
     return out, first
 
 
-def running_sum(df: DataFrame, key: str, weight: Column, by: tuple[str, ...] = (), name: str = "upto", ranges: int = RANGES) -> DataFrame:
-    """``df`` with the sum of ``weight`` up to and with each row, in the order of ``key`` (nulls first) within ``by``.
+def running_sum(df: DataFrame, key: str, weight: Column, by: tuple[str, ...] = (), name: str = "upto", ranges: int = RANGES, then: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the sum of ``weight`` up to and with each row, in the order of ``key`` and ``then`` (nulls first) within ``by``.
 
     Each range is summed on its own; the sums of the ranges before, of which there are few, are added. Rows that share
-    a key are in one range, in no particular order. Columns ``by`` compare null-safely.
+    a key are in one range, ordered by ``then`` and else in no particular order. Columns ``by`` compare null-safely.
     """
     rows = df.withColumn("_weight", weight).withColumn("_range", key_range(df, key, ranges))
     whole = rows.groupBy(*by, "_range").agg(F.sum("_weight").alias("_sum"))
     before = whole.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    same = F.col("_range") == F.col("_r")
+    same = F.col("_range").eqNullSafe(F.col("_r"))  # as ``==`` it would carry the range's expression over to the other side
     for k, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_{k}"))
-    here = F.sum("_weight").over(W.partitionBy(*by, "_range").orderBy(F.col(key).asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    here = F.sum("_weight").over(W.partitionBy(*by, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in (key, *then)]).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("_here", here).join(before, same).withColumn(name, F.col("_before") + F.col("_here")).select(*df.columns, name)
 
 
-def number_rows(df: DataFrame, key: str, by: tuple[str, ...] = (), name: str = "n", ranges: int = RANGES) -> DataFrame:
-    """``df`` with the number of each row from 1, in the order of ``key`` within ``by``."""
-    return running_sum(df, key, F.lit(1).cast("long"), by, name, ranges)
+def number_rows(df: DataFrame, key: str, by: tuple[str, ...] = (), name: str = "n", ranges: int = RANGES, then: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the number of each row from 1, in the order of ``key`` and ``then`` within ``by``."""
+    return running_sum(df, key, F.lit(1).cast("long"), by, name, ranges, then)
