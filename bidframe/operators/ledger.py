@@ -12,10 +12,10 @@ OPEN = ("PENDING", "SUBMITTED", "FILLED")
 
 
 def admit_trades(requests: DataFrame, trades: DataFrame) -> DataFrame:
-    """Requests (trade_id, deal_id, seq, requires_approval, resolved) that aren't yet known and whose deal has no open trade, the first per deal; PENDING if they need approval, REJECTED if unresolved, else SUBMITTED."""
+    """Requests (trade_id, deal_id, seq, requires_approval, resolved) that aren't yet known and whose deal has no open trade, the first per deal by seq, trade_id, requires_approval and resolved, nulls first; PENDING if they need approval, REJECTED if unresolved, else SUBMITTED."""
     new = requests.join(trades.select("trade_id").distinct(), "trade_id", "left_anti")
     free = new.join(trades.filter(F.col("status").isin(*OPEN)).select("deal_id").distinct(), "deal_id", "left_anti")
-    first = free.withColumn("_n", F.row_number().over(W.partitionBy("deal_id").orderBy("seq", "trade_id"))).filter("_n = 1").drop("_n")
+    first = free.withColumn("_n", F.row_number().over(W.partitionBy("deal_id").orderBy("seq", "trade_id", "requires_approval", "resolved"))).filter("_n = 1").drop("_n")
     return first.withColumn("status", F.when(F.col("requires_approval"), "PENDING").when(~F.col("resolved"), "REJECTED").otherwise("SUBMITTED"))
 
 

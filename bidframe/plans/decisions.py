@@ -121,7 +121,7 @@ _TRADES = "SELECT event_id AS trade_id, user_id AS deal_id, CASE event_id % 5 WH
 
 @query(
     f"WITH q AS ({_REQ}), t AS ({_TRADES}) SELECT trade_id, deal_id, CASE WHEN requires_approval THEN 'PENDING' WHEN NOT resolved THEN 'REJECTED' ELSE 'SUBMITTED' END AS status FROM (SELECT * FROM q WHERE trade_id NOT IN (SELECT trade_id FROM t) AND deal_id NOT IN (SELECT deal_id FROM t WHERE status IN ('PENDING', 'SUBMITTED', 'FILLED')) "
-    "QUALIFY row_number() OVER (PARTITION BY deal_id ORDER BY seq, trade_id) = 1)"
+    "QUALIFY row_number() OVER (PARTITION BY deal_id ORDER BY seq NULLS FIRST, trade_id NULLS FIRST, requires_approval NULLS FIRST, resolved NULLS FIRST) = 1)"
 )
 def trade_admission(spark, d):
     from bidframe.plans.pricing import _split

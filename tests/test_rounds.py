@@ -3,10 +3,14 @@
 import datetime
 import random
 
-from bidframe.operators import decisions
+import duckdb
+
+from bidframe import plans
+from bidframe.operators import decisions, ledger
 
 DAY = datetime.date(2024, 1, 1)
 
+
 def folded(rows):
     """The daily cycle as a plain loop."""
     want = []
@@ -25,6 +29,7 @@ def folded(rows):
             want.append((day, pos, r[2], out))
     return want
 
+
 def test_daily_cycle_holds_no_day(spark):
     draw = random.Random(1)
     rows = []
@@ -35,3 +40,23 @@ def test_daily_cycle_holds_no_day(spark):
     got = decisions.daily_cycle(spark.createDataFrame(rows, "run_day date, seq bigint, deal_id bigint, at timestamp, ok boolean, open_positions int, rampup_validated int, halted boolean"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(folded(rows), key=repr)
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row has a whole day
+
+
+def test_admission_of_equal_requests(spark):
+    """Requests alike in seq and trade_id are told apart by what they ask for, whatever order they come in."""
+    trades = spark.createDataFrame([], "trade_id bigint, deal_id bigint, status string")
+    rows = [(k, k, 1, approval, resolved) for k in range(40) for approval in (True, False) for resolved in (True, False)]
+    got = [
+        ledger.admit_trades(spark.createDataFrame(some, "trade_id bigint, deal_id bigint, seq bigint, requires_approval boolean, resolved boolean").coalesce(1), trades).select("trade_id", "status").collect()
+        for some in (rows, rows[::-1])
+    ]
+    assert [{tuple(r) for r in g} for g in got] == [{(k, "REJECTED") for k in range(40)}] * 2
+
+
+def test_admission_sql_of_equal_requests():
+    line = "SELECT k AS l_orderkey, 1 AS l_linenumber, 1 AS l_partkey, CASE WHEN k % 2 = {} THEN 'A' ELSE 'N' END AS l_returnflag, 'F' AS l_linestatus FROM range(20) t(k)"
+    for first, second in ((0, 1), (1, 0)):
+        con = duckdb.connect()
+        con.execute(f"CREATE TABLE lineitem AS {line.format(first)} UNION ALL {line.format(second)}")
+        con.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT)")
+        assert {r[2] for r in con.execute(plans.ORACLE["trade_admission"]).fetchall()} == {"REJECTED"}
