@@ -172,7 +172,7 @@ _REPORTED = ["concat('Bid ', CAST(deal_id AS VARCHAR(20))) AS target_name", "CAS
     _SIZED + f", b AS (SELECT *, {', '.join(_REPORTED)} FROM o WHERE reason = 'ok') "
     "SELECT concat('2024-01-02_bid-', CAST(deal_id AS VARCHAR), '_', CAST(deal_id AS VARCHAR), '.md') AS file, DATE '2024-01-02' AS day, concat('# ', target_name, chr(10), '- acquirer: ', coalesce(acquirer_name, 'N/A'), chr(10), '- strategy: ', "
     "CASE WHEN coalesce(payment_cash_share, 1) >= 1 THEN 'cash' WHEN payment_cash_share > 0 THEN 'cash and shares' ELSE 'shares' END, chr(10), '- quantity: ', CAST(CAST(qty AS BIGINT) AS VARCHAR), chr(10), '- limit: ', format('{:,.2f} EUR', round_even(lim, 4)), chr(10), "
-    "'- stop: ', format('{:,.2f} EUR', round_even(lim * 0.9, 4)), chr(10), '- target: ', format('{:,.2f} EUR', round_even(offer_price, 4)), chr(10), '- spread: ', format('{:,.2f}%', round_even(spread, 6) * 100), chr(10), '- p: 50.00%') AS body FROM b"
+    f"'- stop: ', format('{{:,.2f}} EUR', round_even(lim * 0.9, 4)), chr(10), '- target: ', format('{{:,.2f}} EUR', {_FOUR.format(x='offer_price')}), chr(10), '- spread: ', format('{{:,.2f}}%', round_even(spread, 6) * 100), chr(10), '- p: 50.00%') AS body FROM b"
 )
 def decision_reports(spark, d):
     """The whole text of every report."""

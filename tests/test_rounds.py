@@ -60,3 +60,15 @@ def test_admission_sql_of_equal_requests():
         con.execute(f"CREATE TABLE lineitem AS {line.format(first)} UNION ALL {line.format(second)}")
         con.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT)")
         assert {r[2] for r in con.execute(plans.ORACLE["trade_admission"]).fetchall()} == {"REJECTED"}
+
+
+def test_report_targets_rounded_from_six_digits(spark, sf_dir, tmp_path):
+    """16.215050 is half way between two prices of four digits and goes to the even one."""
+    con = duckdb.connect()
+    for name, change in (("orders", "REPLACE (CAST(16215.05 AS DOUBLE) AS o_totalprice)"), ("lineitem", "REPLACE (CAST(0.1 AS DOUBLE) AS l_discount, 4 AS l_partkey)")):
+        con.execute(f"COPY (SELECT * {change} FROM '{sf_dir}/{name}.parquet' WHERE {name[0]}_orderkey < 600) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = plans.QUERIES["decision_reports"](spark, str(tmp_path)).select("file", "day", "body").collect()
+    want = con.execute(plans.ORACLE["decision_reports"]).fetchall()
+    assert {tuple(r) for r in got} == set(want) and len(got) > 20
+    assert all("- target: 16.21 EUR" in r.body for r in got)
