@@ -4,8 +4,10 @@ import datetime
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from bidframe import plans
+from bidframe.functions import filings
 from bidframe.operators import decisions, ledger
 
 DAY = datetime.date(2024, 1, 1)
@@ -72,3 +74,15 @@ def test_report_targets_rounded_from_six_digits(spark, sf_dir, tmp_path):
     want = con.execute(plans.ORACLE["decision_reports"]).fetchall()
     assert {tuple(r) for r in got} == set(want) and len(got) > 20
     assert all("- target: 16.21 EUR" in r.body for r in got)
+
+
+def test_texts_of_a_small_table_are_many_tasks(spark, sf_dir):
+    """A table of one row group is dealt over all cores before texts are made of its rows and searched."""
+    for name in ("de_filing_records", "fr_filing_records", "de_listing_scan", "it_listing_scan"):
+        assert plans.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 8
+
+
+def test_guarded_matches_skip_whole_matches(spark):
+    text = "Nennbetrag EUR 5,00. Gegenleistung von EUR 1,00 Grundkapital; Barangebot: EUR 2,50 und Geldbetrag EUR 3,75"
+    got = spark.createDataFrame([(text,), ("ohne",), (None,)], "text string").select(filings.guarded_matches(F.col("text"), filings.DE_CASH, filings.DE_PAR, 30, groups=(1, 2)).alias("m")).collect()
+    assert [r.m for r in got] == [["Gegenleistung von EUR 1,00", "Geldbetrag EUR 3,75"], None, None]
