@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,41 +41,26 @@ def keyed_state(spark: SparkSession):
         spark.conf.unset(name) if had is None else spark.conf.set(name, had)
 
 
-class FirstOfKey(StatefulProcessor):
-    """Hands on a key's first row: the least by ``order`` of the first batch that has the key. Later rows of it go."""
-
-    def __init__(self, order: list[str]) -> None:
-        self.order = order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in rows:
-            first = pd.concat([part] if first is None else [first, part]).sort_values(self.order, kind="stable").head(1)
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield first
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.seen.update((True,))
-
-    def close(self) -> None:
-        pass
-
-
 def ingest(filings: DataFrame, target: str, checkpoint: str, key: list[str], order: list[str], known: DataFrame | None = None):
-    """Append filings whose key hasn't come yet, once each, to parquet files in ``target``.
+    """Append filings whose key hasn't come yet, once each, to parquet files in ``target``, a folder per batch.
 
-    The keys are state of the stream, so a batch reads its own rows and never the target; the file sink's log makes
-    a batch that runs again after a failure write once. Of a key's rows in a batch the least by ``order`` is kept.
-    ``known`` has keys that are there before the stream begins.
+    The keys are state of the stream, each with its row, so a batch reads its own rows and never the target; a batch
+    that runs again after a failure writes the same folder again. Of a key's rows in its first batch the least by
+    ``order`` is kept, later rows of it go: a key is new if it first came at this batch's time. ``known`` has keys that
+    are there before the stream begins; each batch is held against it.
     """
-    start = None if known is None else known.select(*key).distinct().groupBy(*key)
-    first = filings.groupBy(*key).transformWithStateInPandas(FirstOfKey(order), outputStructType=filings.schema, outputMode="Append", timeMode="None", initialState=start)
+    rows = filings
+    if known is not None:
+        had = known.select(*[F.col(k).alias(f"_known_{k}") for k in key]).distinct()
+        rows = rows.join(had, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in key]), "left_anti")
+    rows = rows.select(*[F.col(k).alias(f"_key_{k}") for k in key], F.struct(*filings.columns).alias("_row"), F.current_timestamp().alias("_at"))
+    first = rows.groupBy(*[f"_key_{k}" for k in key]).agg(F.min_by("_row", F.struct("_at", *[f"_row.{c}" for c in order])).alias("_row"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.filter("_first = _last").select("_row.*").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
     with keyed_state(filings.sparkSession):
-        return run_available(first.writeStream.format("parquet").option("path", target).outputMode("append"), checkpoint)
+        return run_available(first.writeStream.outputMode("update").foreachBatch(put), checkpoint)
 
 
 def bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 days") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from bidframe import plans
 from bidframe.functions import filings
 from bidframe.operators import decisions, ledger
+from bidframe.streaming import streams
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -86,3 +88,15 @@ def test_guarded_matches_skip_whole_matches(spark):
     text = "Nennbetrag EUR 5,00. Gegenleistung von EUR 1,00 Grundkapital; Barangebot: EUR 2,50 und Geldbetrag EUR 3,75"
     got = spark.createDataFrame([(text,), ("ohne",), (None,)], "text string").select(filings.guarded_matches(F.col("text"), filings.DE_CASH, filings.DE_PAR, 30, groups=(1, 2)).alias("m")).collect()
     assert [r.m for r in got] == [["Gegenleistung von EUR 1,00", "Geldbetrag EUR 3,75"], None, None]
+
+
+def test_ingest_starts_no_python_per_key(spark, tmp_path):
+    """Keys are grouped by Spark's own aggregate; null keys are one key, and a key's later batches add nothing."""
+    batches = [[(None, 3, 1), (None, 2, 2), ("a", 5, 3), ("a", 5, 4), ("k", 1, 5)], [("a", 1, 6), (None, 1, 7), ("b", 9, 8)], [("b", 1, 9)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ref string, day int, id int").coalesce(1).write.parquet(f"file://{tmp_path}/in/part={k}")
+        time.sleep(0.01)  # files are read by their time
+    stream = streams.read_landed(spark, f"file://{tmp_path}/in/*", "ref string, day int, id int", files=1)
+    run = streams.ingest(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/check", ["ref"], ["day", "id"], spark.createDataFrame([("k",)], "ref string"))
+    assert sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [2, 3, 8]
+    assert "transformWithState" not in {o["operatorName"] for p in run.recentProgress for o in p["stateOperators"]} and any(p["stateOperators"] for p in run.recentProgress)
