@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from bidframe.operators.lineage import stored
+
 #: Ranges of the key that are numbered on their own; one bound each is known to the driver.
 RANGES = 256
 
@@ -106,6 +108,20 @@ def running_sum(df: DataFrame, key: str, weight: Column, by: tuple[str, ...] = (
     return rows.withColumn("_here", here).join(before, same).withColumn(name, F.col("_before") + F.col("_here")).select(*df.columns, name)
 
 
-def number_rows(df: DataFrame, key: str, by: tuple[str, ...] = (), name: str = "n", ranges: int = RANGES, then: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with the number of each row from 1, in the order of ``key`` and ``then`` within ``by``."""
-    return running_sum(df, key, F.lit(1).cast("long"), by, name, ranges, then)
+def number_rows(df: DataFrame, key: str, by: tuple[str, ...] = (), name: str = "n", ranges: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the number of each row from 1, in the order of ``key`` and ``then`` (nulls first) within ``by``.
+
+    Rows are dealt into ranges of that order, sorted there and written once with their places in the range; where a
+    range begins follows from the counts of the ranges before, of which there are few. So ``df`` is not evaluated again
+    for the counts, and no window holds a range. Without ``ranges`` there are as many as the shuffle has partitions.
+    """
+    order = [F.col(c).asc_nulls_first() for c in (*by, key, *then)]
+    placed = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    rows = stored(placed.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    held = rows.groupBy(*by, "_range").agg(F.count("*").alias("_held"), F.min("_at").alias("_first"))
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = held.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], F.col("_range").alias("_r"), (F.coalesce(F.sum("_held").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_range") == F.col("_r")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(starts if by else F.broadcast(starts), same).withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)  # a row per range

@@ -200,9 +200,8 @@ def validate_small_caps(chosen: DataFrame, closes: DataFrame) -> DataFrame:
     judged = deviation_flag(F.col("offer_price"), F.col("ticker"), F.col("close"))
     off = F.bround(F.try_divide(F.col("offer_price") - F.col("close"), "close"), 4).cast("double")
     rows = got.select("deal_id", "ticker", "offer_price", "close", off.alias("deviation"), judged["flag"].alias("flag"), judged["reason"].alias("reason"))
-    size = F.coalesce(F.lpad(F.round(F.abs("deviation") * 10000).cast("long").cast("string"), 18, "0"), F.lit("x"))
-    key = F.concat_ws("|", F.when(F.col("flag") == "verified_cash", "0").otherwise("1"), size, F.lpad(F.col("deal_id").cast("string"), 20, "0"))
-    return number_rows(rows.withColumn("_key", key), "_key", name="pos").drop("_key")
+    placed = rows.withColumn("_rest", F.coalesce(F.col("flag") != "verified_cash", F.lit(True))).withColumn("_size", F.coalesce(F.abs("deviation"), F.lit(float("inf"))))
+    return number_rows(placed, "_rest", name="pos", then=("_size", "deal_id")).drop("_rest", "_size")
 
 
 def shared_letters(a: Column, b: Column) -> Column:

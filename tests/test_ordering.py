@@ -40,3 +40,32 @@ def test_exact_places_by_narrowing(spark, monkeypatch, selected, accuracy):
         row = quality.distribution(spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(7), "x").first()
         s, n = sorted(values), len(values)
         assert (row.n, row.p05, row.median, row.p95) == (n, s[max(1, n * 5 // 100) - 1], (s[(n - 1) // 2] + s[n // 2]) / 2, s[max(1, n * 95 // 100) - 1])
+
+
+@pytest.mark.parametrize("by", [(), ("part",)])
+def test_numbering_evaluates_its_rows_for_bounds_and_once(spark, by):
+    """The bounds take a pass over the rows and the numbering one; counts and places come from what that wrote."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def key(v):
+        seen.add(1)
+        return (v * 7919) % 1009
+
+    rows = spark.range(1009).repartition(4).withColumn("key", key.asNondeterministic()("id")).withColumn("part", F.col("id") % 3)
+    got = ordering.number_rows(rows, "key", by).collect()
+    assert seen.value <= 2 * 1009
+    for part in {0, 1, 2} if by else {None}:
+        some = sorted((r for r in got if part in (None, r.part)), key=lambda r: r.n)
+        assert [r.key for r in some] == sorted((v * 7919) % 1009 for v in range(1009) if part in (None, v % 3)) and [r.n for r in some] == list(range(1, len(some) + 1))
+
+
+def test_small_caps_in_the_order_of_numbers(spark):
+    """Rows alike in flag and deviation go by the number of their deal, below zero too."""
+    from bidframe.operators import pricing
+
+    asked = spark.createDataFrame([(k, "T1", "2024-01-10", 11.0) for k in (5, -3, 12, -5)], "deal_id long, ticker string, d string, offer_price double").selectExpr("deal_id", "ticker", "CAST(d AS DATE) AS d", "CAST(offer_price AS DECIMAL(18,6)) AS offer_price")
+    closes = spark.createDataFrame([("T1", "2024-01-09", 10.0)], "ticker string, d string, close double").selectExpr("ticker", "CAST(d AS DATE) AS d", "CAST(close AS DECIMAL(18,6)) AS close")
+    assert [r.deal_id for r in sorted(pricing.validate_small_caps(asked, closes).collect(), key=lambda r: r.pos)] == [-5, -3, 5, 12]
