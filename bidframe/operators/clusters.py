@@ -73,9 +73,9 @@ def collapse_chains(deals: DataFrame, gap_days: int = 730) -> DataFrame:
 
 
 def audit_order(collapsed: DataFrame) -> DataFrame:
-    """Collapsed rows in the order of the audit file, by jurisdiction and from the latest first date, with their place ``pos``."""
-    key = F.concat_ws("|", "juridiction", F.lpad((1000000 - F.unix_date("first_date")).cast("string"), 8, "0"), "id_cluster")
-    return number_rows(collapsed.withColumn("_key", key), "_key", name="pos").drop("_key").orderBy("pos")
+    """Collapsed rows in the order of the audit file, by jurisdiction and from the latest first date (none: last), with their place ``pos``. All columns are written once; a caller selects those it needs before."""
+    late = F.coalesce(-F.unix_date("first_date"), F.lit(2**31 - 1))
+    return number_rows(collapsed.withColumn("_late", late), "juridiction", name="pos", then=("_late", "id_cluster")).drop("_late").orderBy("pos")
 
 
 def candidate_failures(collapsed: DataFrame, pairs: DataFrame, parts: list[str], long_chain: int = 4) -> DataFrame:

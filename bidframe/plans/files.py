@@ -31,7 +31,8 @@ _AUDIT = {"pos": "long", "juridiction": "string", "first_date": "date", "target_
 def collapse_audit(spark, d):
     """The audit file of collapsed rows; as a table's files have no order, each row has its place."""
     path = _shared(spark, "audit")
-    sinks.write_audit(clusters.audit_order(clusters.collapse_chains(table(spark, d, "deals"))), path, list(_AUDIT))
+    collapsed = clusters.collapse_chains(table(spark, d, "deals")).select([c for c in _AUDIT if c != "pos"])
+    sinks.write_audit(clusters.audit_order(collapsed), path, list(_AUDIT))
     return spark.read.schema(", ".join(f"{k} {v}" for k, v in _AUDIT.items())).csv(path, header=True, quote='"', escape='"')
 
 

@@ -39,7 +39,7 @@ def cluster_view_filtered(spark, d):
 @query(_VIEW + "SELECT row_number() OVER (ORDER BY announcement_date DESC NULLS LAST, cluster_id) AS pos, cluster_id, announcement_date FROM view")
 def cluster_view_order(spark, d):
     """Each cluster's place in the view."""
-    return views.placed(_view(spark, d)).select("pos", "cluster_id", "announcement_date")
+    return views.placed(_view(spark, d).select("cluster_id", "announcement_date")).select("pos", "cluster_id", "announcement_date")
 
 
 @query(_VIEW + f"SELECT {', '.join(_COLUMNS)} FROM view WHERE announcement_date >= DATE '2001-08-01' - INTERVAL 730 DAY AND announcement_date <= DATE '2001-08-01' AND score_stars IN (3, 4, 5)")

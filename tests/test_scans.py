@@ -53,3 +53,10 @@ def test_chains_over_years(spark):
     deals = spark.createDataFrame(rows, "id long, juridiction string, target_name string, acquirer_name string, announcement_date date, deal_type string, expected_close_date date, offer_price double")
     got = sorted(r.id_cluster for r in clusters.collapse_chains(deals).collect())
     assert got == sorted(["0_1_2_3", "4_5", "6_7", "8", "100", "101"])
+
+
+def test_audit_from_the_latest_date(spark):
+    """Dates go by their number, however far off; undated rows come last in their jurisdiction."""
+    rows = [("FR", datetime.date(9999, 12, 31), "1"), ("FR", datetime.date(9998, 12, 31), "2"), ("FR", datetime.date(2020, 5, 1), "3_4"), ("FR", datetime.date(2020, 5, 1), "10"), ("FR", None, "5"), ("DE", datetime.date(2001, 1, 1), "6")]
+    got = clusters.audit_order(spark.createDataFrame(rows, "juridiction string, first_date date, id_cluster string").repartition(3)).collect()
+    assert [(r.pos, r.id_cluster) for r in got] == [(1, "6"), (2, "1"), (3, "2"), (4, "10"), (5, "3_4"), (6, "5")]
