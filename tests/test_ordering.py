@@ -69,3 +69,24 @@ def test_small_caps_in_the_order_of_numbers(spark):
     asked = spark.createDataFrame([(k, "T1", "2024-01-10", 11.0) for k in (5, -3, 12, -5)], "deal_id long, ticker string, d string, offer_price double").selectExpr("deal_id", "ticker", "CAST(d AS DATE) AS d", "CAST(offer_price AS DECIMAL(18,6)) AS offer_price")
     closes = spark.createDataFrame([("T1", "2024-01-09", 10.0)], "ticker string, d string, close double").selectExpr("ticker", "CAST(d AS DATE) AS d", "CAST(close AS DECIMAL(18,6)) AS close")
     assert [r.deal_id for r in sorted(pricing.validate_small_caps(asked, closes).collect(), key=lambda r: r.pos)] == [-5, -3, 5, 12]
+
+
+def test_metrics_evaluate_their_rows_once(spark):
+    """AUC and losses come from the counts per distinct prediction."""
+    from pyspark.sql import functions as F
+
+    from bidframe.operators import metrics
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def guess(v):
+        seen.add(1)
+        return (v * 37 % 11) / 10
+
+    rows = spark.range(400).repartition(4).select((F.col("id") % 2).alias("g"), guess.asNondeterministic()("id").alias("p"), F.when(F.col("id") % 9 > 0, (F.col("id") % 3 == 0).cast("int")).alias("y"))
+    got = {r.g: r for r in metrics.metrics(rows, "p", "y", ["g"]).collect()}
+    assert seen.value == 400
+    want = {r.g: r for r in metrics.losses(rows, "p", "y", ["g"]).collect()}
+    for g in (0, 1):
+        assert all(got[g][c] == pytest.approx(want[g][c], abs=1e-8) for c in ("brier", "log_loss", "accuracy", "f1"))
