@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -105,71 +106,78 @@ def dedup_events(events: DataFrame, late: str = "2 days") -> DataFrame:
     return linked.unionByName(rows.filter("source_url IS NULL"))
 
 
-FILL = "at bigint, trade_id bigint, side string, price double, quantity double"
+#: Groups of deals that share a state, so that a call of Python and its reads and writes serve many deals.
+DEAL_GROUPS = 1024
 
 
 class PositionFold(StatefulProcessor):
-    """A deal's open position: BUYs add to it, a SELL closes it and gives one row.
+    """Open positions of a group of deals: BUYs add to a deal's position, a SELL closes it and gives one row.
 
     Fills wait until the watermark has passed them, so that no earlier one can come, and are then folded in the order
-    of time and trade. A timer at the first waiting fill wakes the deal.
+    of time and trade. A timer at the first waiting fill wakes the group. Fills that came together are one state row,
+    as JSON, and so are the group's positions; a state row per fill cost more than the fold.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("position", "size double, weighted double, open_at bigint, epoch int")
-        self.waiting = handle.getListState("waiting", FILL)
+        self.state = handle.getValueState("positions", "rows string")
+        self.waiting = handle.getListState("waiting", "rows string")
 
     def wake_at(self, at: int) -> None:
         self.handle.registerTimer(at // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: list[tuple] = []
         for part in rows:
-            new = list(zip(part["at"].astype(int), part["trade_id"].astype(int), part["side"], part["price"].astype(float), part["quantity"].astype(float)))
-            self.waiting.appendList(new)
+            new += zip(*[part[c].astype(kind).tolist() for c, kind in (("at", int), ("trade_id", int), ("side", object), ("price", float), ("quantity", float), ("deal", object))])
+        if new:
+            self.waiting.appendValue((json.dumps(new),))
             self.wake_at(min(r[0] for r in new))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        fills = sorted(tuple(r) for r in self.waiting.get())
+        fills = sorted((r for some in self.waiting.get() for r in json.loads(some[0])), key=lambda r: r[:5])
         later = [r for r in fills if r[0] > passed]
         if len(later) < len(fills):
-            out = self.fold(key, fills[: len(fills) - len(later)])
-            self.waiting.put(later) if later else self.waiting.clear()
+            out = self.fold(fills[: len(fills) - len(later)])
             if later:
+                self.waiting.put([(json.dumps(later),)])
                 self.wake_at(later[0][0])
+            else:
+                self.waiting.clear()
             if out:
-                yield pd.DataFrame(out, columns=["deal_id", "epoch", "open_at", "close_at", "entry_price", "exit_price", "size_eur", "pnl_eur"])
+                yield pd.DataFrame(out, columns=["deal", "epoch", "open_at", "close_at", "entry_price", "exit_price", "size_eur", "pnl_eur"])
 
-    def fold(self, key, fills: list[tuple]) -> list[tuple]:
-        size, weighted, opened, epoch = self.state.get() if self.state.exists() else (0.0, 0.0, None, 0)
+    def fold(self, fills: list[list]) -> list[tuple]:
+        held = {deal: state for deal, *state in json.loads(self.state.get()[0])} if self.state.exists() else {}
         out = []
-        for at, _, side, price, quantity in fills:
+        for at, _, side, price, quantity, deal in fills:
+            size, weighted, opened, epoch = held.get(deal) or (0.0, 0.0, None, 0)
             if side == "BUY":
-                opened = at if opened is None else opened
-                size, weighted = size + price * quantity, weighted + price * price * quantity
+                held[deal] = (size + price * quantity, weighted + price * price * quantity, at if opened is None else opened, epoch)
                 continue
             if size > 0:
                 entry = weighted / size
-                out.append((key[0], epoch, opened, at, round(entry, 6), round(price, 6), round(size, 4), round((price / entry - 1) * size, 4)))
-            size, weighted, opened, epoch = 0.0, 0.0, None, epoch + 1
-        self.state.update((size, weighted, opened, epoch))
+                out.append((deal, epoch, opened, at, round(entry, 6), round(price, 6), round(size, 4), round((price / entry - 1) * size, 4)))
+            held[deal] = (0.0, 0.0, None, epoch + 1)
+        self.state.update((json.dumps([(deal, *state) for deal, state in held.items()]),))
         return out
 
     def close(self) -> None:
         pass
 
 
-_FOLDED = "deal_id bigint, epoch int, open_at bigint, close_at bigint, entry_price double, exit_price double, size_eur double, pnl_eur double"
+_FOLDED = "deal string, epoch int, open_at bigint, close_at bigint, entry_price double, exit_price double, size_eur double, pnl_eur double"
 POSITION_ROW = "deal_id bigint, epoch int, open_ts timestamp, close_ts timestamp, entry_price double, exit_price double, size_eur double, pnl_eur double"
 
 
-def closed_positions(fills: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Positions as they are closed by a stream of fills that come up to ``late`` after later ones; the batch form is ``ledger.positions``. What happened in the last ``late`` before the newest fill still waits."""
-    rows = fills.withWatermark("ts", late).select("deal_id", "ts", F.unix_micros("ts").alias("at"), "trade_id", "side", F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity"))
-    closed = rows.groupBy("deal_id").transformWithStateInPandas(PositionFold(), outputStructType=_FOLDED, outputMode="Append", timeMode="EventTime")
-    return closed.select("deal_id", "epoch", F.timestamp_micros("open_at").alias("open_ts"), F.timestamp_micros("close_at").alias("close_ts"), "entry_price", "exit_price", "size_eur", "pnl_eur")
+def closed_positions(fills: DataFrame, late: str = "1 hour", groups: int = DEAL_GROUPS) -> DataFrame:
+    """Positions as they are closed by a stream of fills that come up to ``late`` after later ones; the batch form is ``ledger.positions``. What happened in the last ``late`` before the newest fill still waits. Deals are kept in ``groups`` by hash; a running stream can't change their number."""
+    deal = F.col("deal_id").cast("string").alias("deal")  # a null stays a null in pandas
+    rows = fills.withWatermark("ts", late).select(F.pmod(F.xxhash64("deal_id"), F.lit(groups)).alias("group"), deal, "ts", F.unix_micros("ts").alias("at"), "trade_id", "side", F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity"))
+    closed = rows.groupBy("group").transformWithStateInPandas(PositionFold(), outputStructType=_FOLDED, outputMode="Append", timeMode="EventTime")
+    return closed.select(F.col("deal").cast("bigint").alias("deal_id"), "epoch", F.timestamp_micros("open_at").alias("open_ts"), F.timestamp_micros("close_at").alias("close_ts"), "entry_price", "exit_price", "size_eur", "pnl_eur")
 
 
 def budget_alerts(usage: DataFrame, totals: str, checkpoint: str, budget: float, alert: Callable[[DataFrame, int], None]):

@@ -80,6 +80,23 @@ def test_positions_with_late_fills(spark, tmp_path, sf_dir):
     assert got == pytest.approx(want, abs=1e-3) and len(want) > 20
 
 
+def test_positions_share_state_by_groups(spark, tmp_path, sf_dir):
+    """A few state rows a group hold all deals, fills without a deal among them; positions are those of the batch form."""
+    deal = F.when(F.col("deal_id") % 50 > 0, F.col("deal_id"))
+    fills = table(spark, sf_dir, "fills").withColumns({"ts": F.col("ts").cast("timestamp"), "price": F.col("price").cast("double"), "deal_id": deal})
+    fills.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fills.schema)
+    with streams.keyed_state(spark):
+        closed = streams.closed_positions(streams.read_landed(spark, f"file://{tmp_path}/in", schema), groups=8)
+        run = streams.run_available(closed.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").outputMode("append"), f"file://{tmp_path}/check")
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8 * 6 < fills.select("deal_id").distinct().count()
+    end = fills.agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).first()[0]
+    row = lambda r: (r.deal_id, r.epoch, r.close_ts)
+    want = {row(r): r.pnl_eur for r in ledger.positions(fills.filter("deal_id IS NOT NULL")).filter("status = 'closed'").filter(F.col("close_ts") < end).collect()}
+    got = {row(r): r.pnl_eur for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert {k: v for k, v in got.items() if k[0] is not None} == pytest.approx(want, abs=1e-3) and len(want) > 100 and any(k[0] is None for k in got)
+
+
 def test_bars_over_many_batches(spark, tmp_path, sf_dir):
     """Days that come back in later batches are rewritten, others aren't read."""
     ticks = table(spark, sf_dir, "ticks").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("close", F.col("close").cast("double"))
