@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from bidframe.operators import clusters, scoring
+from bidframe.operators.lineage import stored
 from bidframe.plans.registry import query
 from bidframe.plans.standin import table
 from bidframe.streaming import streams
@@ -28,7 +29,7 @@ def _features(spark, d):
 
 
 def _fitted(spark, d):
-    rows = scoring.flatten(_features(spark, d))
+    rows = stored(scoring.flatten(_features(spark, d)))  # read to fit and to score
     return scoring.ScoringModel().fit(rows), rows
 
 
