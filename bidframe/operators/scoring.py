@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from bidframe.operators.decisions import call, stars
 from bidframe.operators.fitting import chained_maps, fit_isotonic, fit_logistic, gap_mask, gap_sums, interpolate, largest_moves
-from bidframe.operators.lineage import cut_lineage
+from bidframe.operators.lineage import stored
 from bidframe.operators.metrics import chronological_folds, metrics, stratified_folds
 
 NUMERIC = ["bid_premium_pct", "relative_size", "min_acceptance_threshold", "days_to_expected_close", "events_count"]
@@ -197,8 +197,8 @@ def score_clusters(model: ScoringModel, features: DataFrame) -> DataFrame:
 def cross_validate(rows: DataFrame, folds: int = 3, gap_days: int = 90) -> DataFrame:
     """Per time fold the rows it trains on and validates, their first and last day, positives, negatives and metrics; fold 0 has the metrics over all validated rows. A fold that can't be fitted has a note and no metrics."""
     spark = rows.sparkSession
-    labelled = flatten(rows).filter("label IS NOT NULL").withColumn("day", F.col("earliest_announcement"))
-    placed = cut_lineage(chronological_folds(labelled, folds, gap_days, "day", "representative_deal_id"))
+    labelled = stored(flatten(rows).filter("label IS NOT NULL").withColumn("day", F.col("earliest_announcement")))  # read for days, places and starts
+    placed = stored(chronological_folds(labelled, folds, gap_days, "day", "representative_deal_id"))
     valid = F.col("role") == "valid"
     sides = {"train": ~valid, "valid": valid}
     ranges = [f(F.when(on, F.col("day"))).alias(f"{side}_{name}") for side, on in sides.items() for f, name in ((F.min, "from"), (F.max, "to"))]
@@ -215,7 +215,7 @@ def cross_validate(rows: DataFrame, folds: int = 3, gap_days: int = 90) -> DataF
     failed = spark.createDataFrame(notes, "fold int, note string")
     if scored is None:
         return failed.join(held, "fold", "left").withColumn("n", F.lit(None).cast("bigint"))
-    scored = cut_lineage(scored)  # validated rows, read for several metrics
+    scored = stored(scored)  # validated rows, read for several metrics
     per = metrics(scored.unionByName(scored.withColumn("fold", F.lit(0))), "p", "label", ["fold"]).withColumn("note", F.lit(None).cast("string"))
     report = per.unionByName(failed, allowMissingColumns=True).join(held, "fold", "left")
     report = report.withColumn("n_neg", F.when(F.col("note").isNull(), F.coalesce("n_neg", F.col("n") - F.col("n_pos"))))
@@ -287,7 +287,7 @@ def coefficient_stability(rows: DataFrame, steps: int = 3) -> DataFrame:
 def version_record(model: ScoringModel, rows: DataFrame, report: DataFrame, corrected: DataFrame) -> DataFrame:
     """One row on a model: in-sample metrics on all labelled clusters, pooled cross-validation metrics, and how many labelled clusters the corrected targets (target_name) touch."""
     labelled = flatten(rows).filter("label IS NOT NULL")
-    scored = cut_lineage(model.predict(labelled).select("label", "p", F.lit(1).alias("k")))
+    scored = stored(model.predict(labelled).select("label", "p", F.lit(1).alias("k")))
     own = metrics(scored, "p", "label", ["k"]).select("k", F.col("n").alias("n_labelled"), F.col("auc").alias("auc_in_sample"), F.col("brier").alias("brier_in_sample"))
     held = report.filter("fold = 0").select(F.lit(1).alias("k"), *[F.col(c).alias(f"{c}_cv") for c in ("auc", "brier") if c in report.columns])
     touched = labelled.join(corrected.select("target_name").distinct(), "target_name", "left_semi").agg(F.count("*").alias("n_touched")).withColumn("k", F.lit(1))
