@@ -87,6 +87,19 @@ def test_cross_validation_report(features, model):
     assert sum(int(x.split(" | ")[2]) for x in lines[at + 2 : lines.index("Coefficients on all rows")]) == labelled.count()
 
 
+def test_cross_validation_evaluates_its_rows_once(spark, features):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def same(v):
+        seen.add(1)
+        return v
+
+    rows = features.withColumn("events_count", same.asNondeterministic()("events_count"))
+    scoring.cross_validate(rows, folds=2).collect()
+    assert seen.value <= features.count()
+
+
 def test_report_names_folds_that_cannot_be_fitted(spark, features):
     few = features.filter("label IS NOT NULL").orderBy("representative_deal_id").limit(30)
     notes = scoring.cross_validate(few, folds=2)
