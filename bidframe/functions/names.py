@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,14 @@ LEGAL_FORMS = ["AKTIENGESELLSCHAFT", "SPA", "S P A", "SE", "AG", "SA", "S A", "N
 
 
 def any_of(col: Column, words: list[str]) -> Column:
-    """True if the text contains one of the words."""
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(col, w))
+    """True if the text contains one of the words; one search, so the text is made once."""
+    return col.rlike("|".join(map(re.escape, words)))
 
 
 def acquirer_class(name: Column) -> Column:
     """soe, pe, corporate, family (up to 3 words, none of a group) or unknown; the first that fits."""
     low = F.lower(name)
-    corporate = F.exists(F.array(*[F.lit(w) for w in CORPORATE_ENDS]), lambda w: F.endswith(low, w) | F.contains(low, F.concat(w, F.lit(" "))))
+    corporate = low.rlike(rf"(?:{'|'.join(map(re.escape, CORPORATE_ENDS))})(?: |\z)")
     words = F.size(F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != ""))
     return F.when(any_of(low, SOE_WORDS), "soe").when(any_of(low, PE_WORDS), "pe").when(corporate, "corporate").when(words.between(1, 3) & ~any_of(low, GROUP_WORDS), "family").otherwise("unknown")
 
@@ -35,7 +37,8 @@ def acquirer_class(name: Column) -> Column:
 def is_cross_border(target: Column, acquirer: Column) -> Column:
     """Some foreign word is in the acquirer's name and not in the target's."""
     t, a = F.lower(target), F.lower(acquirer)
-    return F.exists(F.array(*[F.lit(w) for w in FOREIGN_WORDS]), lambda w: F.contains(a, w) & ~F.contains(t, w))
+    foreign = F.exists(F.array(*[F.lit(w) for w in FOREIGN_WORDS]), lambda w: F.contains(a, w) & ~F.contains(t, w))
+    return F.when(~any_of(a, FOREIGN_WORDS), False).otherwise(foreign)  # few names have such a word
 
 
 def is_fdi_risk(acquirer: Column) -> Column:

@@ -13,25 +13,25 @@ PEND = "[pending parse]"
 
 
 def first_by_date(col, order=("announcement_date", "id")):
-    """The value of the first row, by date and id, that has one."""
-    return F.min_by(col, F.when(col.isNotNull(), F.struct(*order)))
+    """The value of the first row, by date and id, that has one; the least such value of rows alike in both."""
+    return F.min(F.when(col.isNotNull(), F.struct(*order, col.alias("value"))))["value"]
 
 
 def cluster_features(deals: DataFrame) -> DataFrame:
     """One row per (target, jurisdiction) with a known target: the features, label, first date and first deal's id."""
     known = F.when(F.col("acquirer_name") != PEND, F.col("acquirer_name"))
-    first = F.struct("announcement_date", "id")
+    first = F.min(F.struct("announcement_date", "id", "acquirer_name", "deal_type"))
     g = (
         deals.filter(F.col("target_name") != PEND)
         .groupBy("target_name", "juridiction")
         .agg(
-            F.min(first).alias("first"),
-            F.coalesce(first_by_date(known), F.min_by("acquirer_name", first)).alias("acquirer"),
+            first.alias("first"),
+            F.coalesce(first_by_date(known), first["acquirer_name"]).alias("acquirer"),
             first_by_date(F.col("premium_pct")).alias("premium"),
             first_by_date(F.col("min_acceptance_threshold")).alias("min_acceptance_threshold"),
             F.max("expected_close_date").alias("expected_close"),
             F.count("*").cast("double").alias("events_count"),
-            F.min_by("deal_type", first).alias("deal_type"),
+            first["deal_type"].alias("deal_type"),
             first_by_date(F.col("completion_label")).alias("label"),
         )
     )

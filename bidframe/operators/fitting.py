@@ -118,30 +118,30 @@ def largest_moves(rows: DataFrame, group: str, columns: dict[int, list[str]], ma
 
 
 def newton_step(beta: np.ndarray, slope: np.ndarray, curve: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
-    """The least of the loss's quadratic at ``beta`` plus penalties. Sweeps over the coordinates find which are not zero, and of what sign; then these are solved for as one, and taken if that is the least."""
-    u, r = beta.copy(), slope.copy()
-    diagonal, live = np.diag(curve), np.flatnonzero(np.diag(curve) + l2 > 1e-15)
-    for sweep in range(500):
-        most = 0.0
-        for j in live:
-            z = diagonal[j] * u[j] - r[j]
-            new = np.sign(z) * max(abs(z) - l1[j], 0.0) / (diagonal[j] + l2[j])
-            if new != u[j]:
-                r += curve[:, j] * (new - u[j])
-                most, u[j] = max(most, abs(new - u[j])), new
-        if most < 1e-12:
+    """The least of the loss's quadratic at ``beta`` plus penalties, exactly, however small these are. Coefficients that are not zero are solved for as one; the first that would change its sign becomes zero; then the one with the steepest way out of zero joins. The sum falls with each solution, so no choice of signs comes twice."""
+    u = beta.copy()
+    whole, linear = curve + np.diag(l2), slope - curve @ beta
+    live = np.diag(whole) > 1e-15
+    sign = np.sign(u)
+    on = live & ((u != 0) | (l1 == 0))
+    for _ in range(100 * len(u)):
+        at = np.flatnonzero(on)
+        guess = np.zeros(len(u))
+        guess[at] = np.linalg.solve(whole[np.ix_(at, at)], -linear[at] - whole[np.ix_(at, ~live)] @ u[~live] - l1[at] * sign[at])
+        turned = at[(l1[at] > 0) & (guess[at] * sign[at] <= 0)]
+        if len(turned):
+            way = np.abs(u[turned]) / np.maximum(np.abs(u[turned] - guess[turned]), 1e-300)
+            u[at] += way.min() * (guess[at] - u[at])
+            u[turned[way.argmin()]] = 0.0
+            on[turned[way.argmin()]] = False
+            continue
+        u[at] = guess[at]
+        down = linear + whole @ u
+        steep = np.where(live & ~on, np.abs(down) - l1, -np.inf)
+        j = int(steep.argmax())
+        if steep[j] <= 1e-12:
             break
-        if sweep % 4 == 3:
-            on = live[(u[live] != 0) | (l1[live] == 0)]
-            sign, guess = np.sign(u[on]), np.zeros(len(u))
-            try:
-                guess[on] = np.linalg.solve(curve[np.ix_(on, on)] + np.diag(l2[on]), curve[on] @ beta - slope[on] - l1[on] * sign)
-            except np.linalg.LinAlgError:
-                continue
-            off = slope + curve @ (guess - beta)
-            zero = np.setdiff1d(live, on)
-            if ((np.sign(guess[on]) == sign) | (l1[on] == 0)).all() and (np.abs(off[zero]) <= l1[zero] + 1e-12).all():
-                return guess
+        on[j], sign[j] = True, -np.sign(down[j])
     return u
 
 

@@ -66,6 +66,37 @@ def test_logistic_models_in_shared_passes(spark):
         assert fits[m][:-1].tolist() == pytest.approx(list(fit.coefficients), abs=2e-4) and fits[m][-1] == pytest.approx(fit.intercept, abs=2e-4)
 
 
+def test_steps_do_not_grow_with_rows(monkeypatch):
+    """Flags of all kinds add up to the shift, so only penalties tell solutions apart, and these fall with the rows: neither passes nor what is left to gain may grow for it."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    flags = np.concatenate([np.eye(k)[rng.integers(0, k, n)] for k in (5, 3)], axis=1)
+    x = np.concatenate((rng.normal(size=(n, 2)), flags, flags[:, :1] + flags[:, 1:2], np.ones((n, 2))), axis=1)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] * 0.3 + x[:, 3] * 0.1 - 0.1)))).astype(float)
+    passes = []
+
+    def sums(rows, models):  # of ``rows`` copies of each row
+        passes.append(len(models))
+        out = {}
+        for m, (beta, up, down) in models.items():
+            z, w = x @ beta, np.where(y == 1, up, down)
+            p = 1 / (1 + np.exp(-z))
+            out[m] = tuple(rows * v for v in ((w * (np.logaddexp(0, z) - y * z)).sum(), x.T @ (w * (p - y)), x.T @ (x * (w * p * (1 - p))[:, None])))
+        return out
+
+    monkeypatch.setattr(fitting, "logistic_sums", sums)
+    for copies in (1, 300, 30_000):
+        passes.clear()
+        beta = fitting.fit_logistic(copies, {(0, 0): (n * copies, int(y.sum()) * copies)}, x.shape[1] - 1)[0, 0]
+        assert len(passes) <= 8
+        up, down = n / 2 / y.sum(), n / 2 / (n - y.sum())
+        _, slope, _ = sums(1, {(0, 0): (beta, up, down)})[0, 0]
+        penalty = np.append(np.full(len(beta) - 1, 0.5 / n / copies), 0.0)
+        slope = slope / n + penalty * beta
+        left = np.where((beta != 0) | (penalty == 0), np.abs(slope + penalty * np.sign(beta)), np.maximum(np.abs(slope) - penalty, 0))
+        assert left.max() < 1e-10
+
+
 def test_isotonic_points(spark):
     rng = np.random.default_rng(5)
     rows = [(g, p, float(np.round(v, 1)), float(rng.random() < 1 / (1 + np.exp(-v)))) for g in (0, 1) for p in (1, 2) for v in rng.normal(size=150) * 2]

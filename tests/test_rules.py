@@ -3,6 +3,9 @@
 import random
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
+from bidframe.functions import names as rules
 from bidframe.functions.names import STOP_WORDS
 from bidframe.operators import constraints, pricing, substrings
 
@@ -54,3 +57,25 @@ def test_one_scan_of_a_table(spark, tmp_path):
     spark.createDataFrame([(1, 1)], "size_eur int, status int").write.parquet(f"file://{tmp_path}/t")
     plan = constraints.row_report(spark.read.parquet(f"file://{tmp_path}/t"), "t", {"size": "size_eur > 0", "state": "status = 1"})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_words_in_names(spark):
+    """Each word counts as it is written, marks included, and endings only at an end or before a space."""
+    draw = random.Random(6)
+    words = sorted({*rules.PE_WORDS, *rules.SOE_WORDS, *rules.CORPORATE_ENDS, *rules.FOREIGN_WORDS, *rules.FDI_WORDS, *rules.GROUP_WORDS})
+    some = [x for w in words for x in (w, f"q{w}q", f"A{w} B", f"A{w.upper()}\n", w.replace(".", "x"))] + [""]
+    rows = [(k, n, draw.choice([*some, None])) for k, n in enumerate([*some, None])]
+    got = spark.createDataFrame(rows, "k int, n string, t string").select("k", rules.acquirer_class(F.col("n")).alias("kind"), rules.is_cross_border(F.col("t"), F.col("n")).alias("cross"), rules.is_fdi_risk(F.col("n")).alias("fdi")).collect()
+    assert len(got) == len(rows)
+    for (_, kind, cross, fdi), (_, n, t) in zip(sorted(got), rows):
+        if n is None:
+            assert (kind, fdi) == ("unknown", None)
+            continue
+        low = n.lower()
+        has = lambda part, low=low: any(w in low for w in part)
+        ends = any(low.endswith(w) or w + " " in low for w in rules.CORPORATE_ENDS)
+        short = 1 <= len(n.split()) <= 3 and not has(rules.GROUP_WORDS)
+        assert kind == ("soe" if has(rules.SOE_WORDS) else "pe" if has(rules.PE_WORDS) else "corporate" if ends else "family" if short else "unknown"), n
+        assert fdi == has(rules.FDI_WORDS), n
+        foreign = [w for w in rules.FOREIGN_WORDS if w in low]
+        assert cross is ((None if foreign else False) if t is None else any(w not in t.lower() for w in foreign)), (n, t)

@@ -60,3 +60,12 @@ def test_audit_from_the_latest_date(spark):
     rows = [("FR", datetime.date(9999, 12, 31), "1"), ("FR", datetime.date(9998, 12, 31), "2"), ("FR", datetime.date(2020, 5, 1), "3_4"), ("FR", datetime.date(2020, 5, 1), "10"), ("FR", None, "5"), ("DE", datetime.date(2001, 1, 1), "6")]
     got = clusters.audit_order(spark.createDataFrame(rows, "juridiction string, first_date date, id_cluster string").repartition(3)).collect()
     assert [(r.pos, r.id_cluster) for r in got] == [(1, "6"), (2, "1"), (3, "2"), (4, "10"), (5, "3_4"), (6, "5")]
+
+
+def test_first_values_of_rows_alike(spark):
+    """Of rows alike in date and id the least value comes first, whatever order they come in; a later row's value fills a gap."""
+    rows = [(1, "FR", "T", "x", at(1), "opa", None, None, None, None), (1, "FR", "T", "b", at(1), "ope", None, 7, 3, 1), (1, "FR", "T", "a", at(1), "opa", at(9), 5, 2, 0), (2, "FR", "T", "c", at(0), "opr", None, None, None, None), (3, "IT", "T", None, None, None, None, None, None, None)]
+    for some in (rows, rows[::-1]):
+        deals = spark.createDataFrame(some, "id long, juridiction string, target_name string, acquirer_name string, announcement_date date, deal_type string, expected_close_date date, premium_pct int, min_acceptance_threshold int, completion_label int").coalesce(1)
+        got = {r.juridiction: (r.representative_deal_id, r.earliest_announcement, r.deal_type, r.bid_premium_pct, r.min_acceptance_threshold, r.days_to_expected_close, r.events_count, r.label) for r in clusters.cluster_features(deals).collect()}
+        assert got == {"FR": (2, at(0), "opr", 500.0, 2.0, 9.0, 4.0, 0), "IT": (3, None, "unknown", None, None, None, 1.0, None)}
